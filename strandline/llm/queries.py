@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii
 from .near_dedup import near_duplicates
 
 
@@ -18,8 +19,13 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85, name="op3")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of the documents, as counts and digests."""
+    return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_minhash_near_dedup, op6_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

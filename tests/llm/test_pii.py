@@ -1,0 +1,62 @@
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from strandline.llm.pii import digest, find_pii, find_spans, luhn, mod97, redact
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    found = []
+    for order, (kind, p) in enumerate(PLAIN.items()):
+        for m in re.finditer(p, text):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else False, "card": 12 <= len(d) <= 19 and luhn(d), "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                found.append((m.start(), order, kind, m.end()))
+    return [(k, s, e) for s, _, k, e in sorted(found)]
+
+
+def base(text):
+    return [(s["kind"], s["start"], s["end"]) for s in find_spans(text) if s["base"]]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="a.@-+0123456 9()é\n", max_size=60))
+def test_base_spans_equal_the_plain_patterns(text):
+    assert base(text) == plain(text)
+
+
+def test_checksums_and_context():
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    assert mod97("GB82WEST12345698765432") and not mod97("GB82WEST12345698765431")
+    text = "é pay to iban GB82 WEST 1234 5698 7654 32 or card 4111-1111-1111-1111; ssn 123-45-6789 and 123-45-6789x"
+    kinds = [(s["kind"], text[s["start"] : s["end"]]) for s in find_spans(text)]
+    assert ("iban", "GB82 WEST 1234 5698 7654 32") in kinds and ("card", "4111-1111-1111-1111") in kinds
+    assert ("ssn", "123-45-6789") in kinds
+    assert not [s for s in find_spans("the number 123-45-6789 alone") if s["kind"] == "ssn"]
+    near, far = find_spans("my card 4111111111111111"), find_spans("4111111111111111")
+    assert near[0]["score"] > far[0]["score"]
+
+
+def test_long_runs_stay_linear():
+    assert base("1" * 300_000) == [] and base("a" * 300_000) == [] and base("1." * 150_000) == base("1." * 150_000)
+    assert base("x" * 200_000 + "@" + "y" * 200_000) == []
+
+
+def test_rows_and_digest(spark):
+    rows = [(1, "mail a.b@c.org, ip 1.2.3.4", "s"), (2, None, "s"), (3, "", "s"), (1, "mail a.b@c.org, ip 1.2.3.4", "s"), (None, "+1 (017) 555-7713", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
+    got = [tuple(r) for r in digest(find_pii(docs)).collect()]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    one = (1, 1, 1, 0, 0, sha("email:5:14,ip:19:26"), "email:5:14,ip:19:26")
+    assert got == [one, (2, 0, 0, 0, 0, sha(""), ""), (3, 0, 0, 0, 0, sha(""), ""), one, (None, 0, 0, 0, 1, sha("phone:0:17"), "phone:0:17")]
+    assert [r.text for r in redact(docs).collect()][:2] == ["mail [EMAIL], ip [IP]", None]
+    assert digest(find_pii(docs.limit(0))).count() == 0
