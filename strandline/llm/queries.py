@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import line_dedup, mixing, pii
 from .near_dedup import near_duplicates
 
 
@@ -14,6 +14,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as text, less the lines that their host repeats."""
+    return line_dedup.drop_boilerplate(line_dedup.page_lines(_table(spark, sf_dir, "pages")), "host", "text", name="op2")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents at a similarity of 0.85."""
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85, name="op3")
@@ -24,9 +29,14 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of all documents takes of each."""
+    return mixing.taken_words(mixing.mix(_table(spark, sf_dir, "documents"), name="op9")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_minhash_near_dedup, op6_pii)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op6_pii, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE}
