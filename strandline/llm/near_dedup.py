@@ -3,13 +3,12 @@
 1.  One pass over the texts gives each document the size of its shingle set, a 128-bit print of the
     set, and band keys over many universal hash minima.
 2.  Documents with equal sets form a class, represented by its least id; only representatives go on.
-3.  Inside a band bucket every member is compared with the bucket's least member, its hub, never
-    with all others.  A pair whose signatures agree enough is confirmed on the full sets.
-4.  Members may be similar to one another without being similar to their hub.  Members that the hub
-    did not link go on to finer buckets: two sets with similarity >= t share at least one element
-    among the first ``floor((1 - t) * n) + 1`` of each under any common order, so that prefix, with
-    elements that the hub lacks first, gives the finer keys.  Each finer bucket is treated like a
-    band bucket until none is left.  Rows grow with the sets of the members, not with their pairs.
+3.  Documents that share a band bucket, directly or through others, form a family: every member of a
+    bucket is tied to the bucket's least member, and components of these ties are the families.  A
+    linked pair shares a bucket, so no link leaves a family.
+4.  A family is cut into blocks, and each pair of blocks is one small task: signatures rule most
+    pairs out, the full sets confirm the rest, and the task returns a forest that spans its links.
+    Pairs are never rows of a table; a family of any size spreads over many tasks.
 5.  Components of the links by alternating large-star and small-star.
 """
 
@@ -19,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +30,10 @@ _RNG = np.random.default_rng(20240601)
 _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _STEP = 512
-#: Agreement of signatures under which a pair is not compared in full: more than seven standard errors under a similarity of 0.8.
-_SLACK = 0.27
+#: Agreement of signatures under which a pair is not compared in full: more than five standard errors under a similarity of 0.8.
+_SLACK = 0.2
+#: A family has blocks of ``BLOCK`` members, of more beyond ``SPLIT`` blocks, and of ``MOST`` at most.
+BLOCK, SPLIT, MOST = 64, 32, 4096
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -94,69 +94,75 @@ def _describe(size: int):
 
 
 def _full_sets(size: int):
-    """Task function: (id, text) to (id, set as bytes)."""
+    """Task function: (id, text, family, blocks) to (id, family, i, j, own, set): the set once for each pair of blocks that it takes part in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out, held = [], [], 0
+            rows, held = [], 0
+            ids, family, blocks = (batch.column(c).to_pylist() for c in (0, 2, 3))
             for i, s in _sets(batch, size):
-                ids.append(i)
-                out.append(s.tobytes())
-                held += 8 * len(s)
-                if held > 32 << 20:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(out, pa.binary())], names=["id", "set"])
-                    ids, out, held = [], [], 0
-            if ids:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(out, pa.binary())], names=["id", "set"])
+                raw, own = s.tobytes(), int(mix64(np.array([ids[i] & (1 << 64) - 1], np.uint64))[0] % np.uint64(blocks[i]))
+                for other in range(blocks[i]):
+                    rows.append((ids[i], family[i], min(own, other), max(own, other), own, raw))
+                    held += len(raw)
+                    if held > 16 << 20:
+                        yield _set_batch(rows)
+                        rows, held = [], 0
+            if rows:
+                yield _set_batch(rows)
 
     return run
 
 
-def _compare(percent: int):
-    """Task function: (hub, member, hub_label, label, hub_set, set) to (hub, member, linked, label, prefix keys of the member under the hub's order)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub_sig = None, None
-        for batch in batches:
-            linked, keys, ends = [], [], [0]
-            for hub, hb, mb in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(5), strict=True):
-                h, m = np.frombuffer(hb.as_buffer(), np.uint64), np.frombuffer(mb.as_buffer(), np.uint64)
-                if hub != last:
-                    last, hub_sig = hub, signature(h)
-                ok = False
-                # sizes alone, then signatures, then the full sets
-                if 100 * min(len(h), len(m)) >= percent * max(len(h), len(m)) and np.count_nonzero(hub_sig == signature(m)) >= (percent / 100 - _SLACK) * len(hub_sig):
-                    both = sorted_overlap(h, m)
-                    ok = 100 * both >= percent * (len(h) + len(m) - both)
-                linked.append(ok)
-                lead = len(m) - -(-percent * len(m) // 100) + 1
-                at = np.searchsorted(h, m)
-                at[at == len(h)] = max(len(h) - 1, 0)
-                known = h[at] == m
-                first = np.concatenate([m[~known], m[known]])[:lead]
-                keys.append(mix64(first + np.uint64(hub * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-                ends.append(ends[-1] + len(first))
-            flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            ok = pa.array(linked, pa.bool_())
-            label = pc.if_else(ok, batch.column(2), batch.column(3))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ok, label, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["hub", "member", "linked", "label", "keys"])
+_SET_NAMES = ["id", "family", "i", "j", "own", "set"]
+
+
+def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_SET_NAMES)
+
+
+def _confirm(percent: int):
+    """Task function of one pair of blocks: a forest (u, v) that spans the links between the two (within one, if they are the same)."""
+
+    def run(block: pa.Table) -> pa.Table:
+        ids, own = (np.asarray(block.column(c)) for c in ("id", "own"))
+        order = np.lexsort((ids, own))
+        ids, own = ids[order], own[order]
+        raw = block.column("set").combine_chunks() if block.num_rows else []
+        sets = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in order]
+        n = np.array([len(s) for s in sets], np.int64)
+        signs = np.array([signature(s) for s in sets]).astype(np.uint8)
+        parent = list(range(len(sets)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        found = []
+        both = own[0] != own[-1]
+        for a in range(len(sets)):
+            lo = max(a + 1, int(np.searchsorted(own, own[a], side="right"))) if both else a + 1
+            rest = np.arange(lo, len(sets))
+            # sizes alone, then signatures, then the full sets of those not yet tied together
+            rest = rest[100 * np.minimum(n[rest], n[a]) >= percent * np.maximum(n[rest], n[a])]
+            if len(rest):
+                rest = rest[(signs[rest] == signs[a]).sum(1) >= (percent / 100 - _SLACK) * signs.shape[1]]
+            for b in rest.tolist():
+                x, y = root(a), root(b)
+                if x != y:
+                    shared = sorted_overlap(sets[a], sets[b])
+                    if 100 * shared >= percent * (n[a] + n[b] - shared):
+                        parent[max(x, y)] = min(x, y)
+                        found.append((int(ids[a]), int(ids[b])))
+        u, v = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
-def _buckets(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(hub, member, hub_label, label) of the buckets in ``rows(key, id, label)`` whose members have more than one label.
-
-    Members with one label are known to be in one component.
-    """
-    hubs = rows.groupBy("key").agg(F.min(F.struct("id", "label")).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high"))
-    hubs = scratch.save(hubs.where("low < high").select("key", F.col("hub.id").alias("hub"), F.col("hub.label").alias("hub_label")))
-    pairs = rows.join(hubs, "key").where("id <> hub").groupBy("hub", F.col("id").alias("member")).agg(F.min("hub_label").alias("hub_label"), F.min("label").alias("label"))
-    pairs = scratch.save(pairs)
-    scratch.drop(hubs)
-    return pairs
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, name: str = "near") -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
@@ -176,26 +182,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = told.select("id", "n", "fp1", "fp2").join(copies, ["fp1", "fp2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     others = scratch.save(member.where("id <> rep").select("id", "rep"))
 
-    alone = told.join(others.select("id"), "id", "left_anti")
-    pairs = _buckets(alone.select("id", F.col("id").alias("label"), F.explode("bands").alias("key")), scratch)
-
-    wanted = scratch.save(pairs.select(F.col("hub").alias("id")).union(pairs.select(F.col("member").alias("id"))).distinct())
-    full = scratch.save(texts.join(wanted, "id", "left_semi").mapInArrow(_full_sets(shingle), "id long, set binary"))
-    links = None
-    while True:
-        both = pairs.join(full.select(F.col("id").alias("member"), "set"), "member").join(full.select(F.col("id").alias("hub"), F.col("set").alias("hub_set")), "hub")
-        both = both.select("hub", "member", "hub_label", "label", "hub_set", "set")
-        seen = scratch.save(both.mapInArrow(_compare(percent), "hub long, member long, linked boolean, label long, keys array<long>"))
-        found = seen.where("linked").select(F.col("hub").alias("u"), F.col("member").alias("v"))
-        links = found if links is None else links.union(found)
-        mixed = scratch.save(seen.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("hub"))
-        finer = seen.join(mixed, "hub", "left_semi").select(F.explode("keys").alias("key"), F.col("member").alias("id"), "label")
-        new = _buckets(finer, scratch)
-        scratch.drop(pairs, mixed)
-        pairs = new
-        if not pairs.head(1):
-            break
-    scratch.drop(full, wanted, pairs)
+    bands = told.join(others.select("id"), "id", "left_anti").select("id", F.explode("bands").alias("key"))
+    hubs = scratch.save(bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"))
+    ties = bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
+    family = scratch.save(components(ties, scratch).withColumnsRenamed({"node": "id", "component": "family"}))
+    sizes = family.groupBy("family").agg(F.count("*").alias("members"))
+    sizes = scratch.save(sizes.select("family", F.ceil(F.col("members") / F.least(F.greatest(F.lit(BLOCK), F.col("members") / SPLIT), F.lit(MOST))).alias("blocks")))
+    placed = family.join(sizes, "family").select("id", "family", "blocks")
+    rows = texts.join(scratch.save(placed), "id").select("id", "text", "family", "blocks").mapInArrow(_full_sets(shingle), "id long, family long, i long, j long, own long, set binary")
+    links = rows.groupBy("family", "i", "j").applyInArrow(_confirm(percent), "u long, v long")
     tied = scratch.save(components(links, scratch))
     out = told.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(tied.withColumnRenamed("node", "rep"), "rep", "left")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, pii
+from . import langid, line_dedup, mixing, pii
 from .near_dedup import near_duplicates
 
 
@@ -14,6 +15,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from the rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trained = langid.in_training(F.col("doc_id"))
+    model = langid.fit(docs.where(trained))
+    return langid.identify(docs.select("doc_id", (~trained).alias("held_out"), "text"), model).drop("text")
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as text, less the lines that their host repeats."""
     return line_dedup.drop_boilerplate(line_dedup.page_lines(_table(spark, sf_dir, "pages")), "host", "text", name="op2")
@@ -35,7 +44,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_minhash_near_dedup, op6_pii, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op6_pii, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
