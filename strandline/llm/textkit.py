@@ -75,10 +75,15 @@ class _Powers:
 _POWERS = _Powers()
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes between the tokens of letters and digits (bytes beyond ASCII count as letters).
+MARKS = np.ones(256, dtype=bool)
+MARKS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of each word, and per text the index of its first word (one more entry than texts)."""
     solid = np.zeros(len(data) + 2, dtype=np.int8)
-    np.logical_not(_SPACE[data], out=solid[1:-1].view(bool))
+    np.logical_not(between[data], out=solid[1:-1].view(bool))
     cut = np.zeros(len(data) + 1, dtype=bool)
     cut[offsets] = True
     step = solid[1:] - solid[:-1]
