@@ -24,7 +24,7 @@ def test_held_out_documents(spark):
 
 
 def test_sentences_are_located(spark):
-    rows = [(i, f"a calm day w{i}. you are an idiot. more text" if i % 2 else f"a calm day w{i}. more text", i % 2, "x") for i in range(60)]
+    rows = [(i, f"a calm day w{i}. you are an idiot. more text" if i % 6 == 0 else f"a calm day w{i}. more text", int(i % 6 == 0), "x") for i in range(180)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
     model = fit(df, df)
     odd = [(1, "fine. YOU are an Idiot! fine", 0, "x"), (2, None, 1, "x"), (3, " .\n", 0, "x"), (4, "a calm day. " * 20000, 0, "x"), (1, "fine. YOU are an Idiot! fine", 0, "x")]
