@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
-A sentence has a logistic score over its distinct tokens; a document is toxic if any sentence is, so
+A sentence has a logistic score over its distinct known tokens, 0 if it has none; a document is toxic if any sentence is, so
 its score is the noisy-or of its sentences' scores, and the weights are fitted through that noisy-or
 on document labels alone.  The fitted sentence scores then tell which sentences offend.
 """
@@ -56,13 +56,15 @@ class Model:
     def logits(self, hashes: np.ndarray, sentence: np.ndarray) -> np.ndarray:
         """One logit per sentence from the distinct known tokens in it."""
         n = int(sentence[-1]) + 1 if len(sentence) else 0
-        z = np.full(n, self.bias)
+        z = np.full(n, -np.inf)  # a sentence without any known token is no instance: it scores 0, however many there are
         if len(self.tokens) and n:
             at = np.searchsorted(self.tokens, hashes)
             at[at == len(self.tokens)] = 0
             known = np.flatnonzero(self.tokens[at] == hashes)
             pair = np.unique(sentence[known] * len(self.tokens) + at[known])
-            z += np.bincount(pair // len(self.tokens), self.weights[pair % len(self.tokens)], n)
+            held = pair // len(self.tokens)
+            z[np.unique(held)] = self.bias
+            z += np.bincount(held, self.weights[pair % len(self.tokens)], n)
         return z
 
 
@@ -75,14 +77,14 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     label = np.array([y for y, h, _ in docs if len(h)], np.float64)
     docs = [d for d in docs if len(d[1])]
     if not len(label) or label.min() == label.max():
-        return Model(np.zeros(0, np.uint64), np.zeros(0), -20.0 if not label.any() else 20.0)
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     tokens, df = np.unique(np.concatenate([np.unique(h) for _, h, _ in docs]), return_counts=True)
     held = np.zeros(len(tokens))
     for y, h, _ in docs:
         if y:
             held[np.searchsorted(tokens, np.unique(h))] += 1
-    base = label.mean()
-    lift = (held - df * base) / np.sqrt(df * base * (1 - base))
+    rate = label.mean()
+    lift = (held - df * rate) / np.sqrt(df * rate * (1 - rate))
     tokens = tokens[(df >= LEAST_DOCUMENTS) & (lift >= LEAST_LIFT)]
     if not len(tokens):
         tokens = np.zeros(1, np.uint64)
@@ -92,13 +94,14 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
         at[at == len(tokens)] = 0
         known = np.flatnonzero(tokens[at] == h)
         pair = np.unique(s[known] * len(tokens) + at[known])
+        held, at = np.unique(pair // len(tokens), return_inverse=True)
         feature.append(pair % len(tokens))
-        row.append(pair // len(tokens) + base)
-        doc_of.append(np.full(int(s[-1]) + 1, d))
-        base += int(s[-1]) + 1
+        row.append(at + base)
+        doc_of.append(np.full(len(held), d))
+        base += len(held)
     feature, row, doc_of = (np.concatenate(x) for x in (feature, row, doc_of))
     theta = np.zeros(len(tokens) + 1)
-    theta[-1] = -7.0
+    theta[-1] = -2.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     share = 1 / len(label)
     for t in range(1, _ROUNDS + 1):
