@@ -105,7 +105,7 @@ def _full_sets(size: int):
                 for other in range(blocks[i]):
                     rows.append((ids[i], family[i], min(own, other), max(own, other), own, raw))
                     held += len(raw)
-                    if held > 16 << 20:
+                    if held > 4 << 20:
                         yield _set_batch(rows)
                         rows, held = [], 0
             if rows:
