@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import groups, text_bytes
+from .textkit import beside, groups, text_bytes
 
 DIM = 4096
 #: Labelled texts that the centroids are fitted on, at most, over all languages; centroids per language.
@@ -169,7 +169,6 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", names
     Texts that are null or hold no letter get ``und``, score 0 and are rejected, as does every text
     when there was nothing to learn from.  Texts are read whole; repeated rows get the same answer.
     """
-    flat = docs.select(F.col(text_col).cast("string"), *[F.col(c) for c in docs.columns]).toDF("_text", *docs.columns)
-    schema = T.StructType(list(docs.schema.fields)).add("_lang_pred", "string").add("_score", "double").add("_rejected", "boolean")
-    out = flat.mapInArrow(_predict(model), schema)
-    return out.withColumnsRenamed(dict(zip(("_lang_pred", "_score", "_rejected"), names, strict=True)))
+    flat, fields = beside(docs, text_col, "string")
+    schema = T.StructType(fields).add("_lang_pred", "string").add("_score", "double").add("_rejected", "boolean")
+    return flat.mapInArrow(_predict(model), schema).toDF(*docs.columns, *names)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, pii, toxicity
+from . import langid, line_dedup, mixing, pieces, pii, toxicity
 from .near_dedup import near_duplicates
 
 
@@ -52,8 +52,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix(_table(spark, sf_dir, "documents"), name="op9")).withColumnRenamed("id", "doc_id")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document's text, and whether they decode to exactly that text."""
+    coded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), name="op10")
+    back = pieces.decode(coded)
+    return back.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op5_toxicity, op6_pii, op9_mixing)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op5_toxicity, op6_pii, op9_mixing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,6 +10,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text handled at once inside a task; a longer single text forms a group of its own.
 GROUP_BYTES = 1 << 20
@@ -130,3 +133,9 @@ def sorted_overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = len(b) - 1
     return int(np.count_nonzero(b[at] == a))
+
+
+def beside(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, list[T.StructField]]:
+    """``df`` with ``column`` once more in front, as ``_in``, and the others under names that clash with nothing."""
+    fields = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema.fields)]
+    return df.select(df[column].cast(kind), *[df[c] for c in df.columns]).toDF("_in", *[f.name for f in fields]), fields

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import MARKS, groups, text_bytes, word_hashes, word_spans
+from .textkit import MARKS, beside, groups, text_bytes, word_hashes, word_spans
 
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 8000
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", at: float = THR
     Null and wordless texts score 0 and have no sentences.  Whole texts are read; repeated rows get
     the same answer.
     """
-    flat = docs.select(F.col(text_col).cast("string"), *[F.col(c) for c in docs.columns]).toDF("_text", *docs.columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())])
+    flat, fields = beside(docs, text_col, "string")
+    schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
     schema = schema.add("_found", T.ArrayType(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("score", T.DoubleType())])))
-    return flat.mapInArrow(_score(model, at), schema).withColumnsRenamed(dict(zip(("_score", "_found"), names, strict=True)))
+    return flat.mapInArrow(_score(model, at), schema).toDF(*docs.columns, *names)
