@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .prefix import running_start
 from .scratch import Scratch
@@ -149,12 +150,12 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, off, _ = text_bytes(batch.column(2))
         n = [np.diff(word_spans(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])[2]) for lo, hi in groups(off)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(n or [np.zeros(0)]).astype(np.int64))], names=["id", "source", "size"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.concatenate(n or [np.zeros(0)]).astype(np.int64))], names=["id", "source", "key", "size"])
 
 
 @dataclass
 class Mix:
-    """A mix: ``documents(id, source, s, size, start)``, ``slots(s, slot, shard, block, words)`` and ``sources(s, source, source_size, target)``."""
+    """A mix: ``documents(id, source, key, s, size, start)``, ``slots(s, slot, shard, block, words)`` and ``sources(s, source, source_size, target)``."""
 
     documents: DataFrame
     slots: DataFrame
@@ -175,21 +176,21 @@ class Mix:
         parts = self.documents.where("size > 0").select("*", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")).alias("block"))
         parts = parts.withColumn("a", F.expr(f"greatest(start, block * {b}) - start")).withColumn("b", F.expr(f"least(start + size, (block + 1) * {b}) - start"))
         parts = parts.withColumn("at", F.expr(f"start + a - block * {b}"))
-        return parts.join(taken, ["s", "block"], "left").select("id", "row", "source", "s", "size", "a", "b", "at", F.coalesce("full", F.lit(0)).alias("full"), F.coalesce("words", F.lit(0)).alias("words"))
+        return parts.join(taken, ["s", "block"], "left").select("id", "row", "key", "source", "s", "size", "a", "b", "at", F.coalesce("full", F.lit(0)).alias("full"), F.coalesce("words", F.lit(0)).alias("words"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard: int = SHARD, seed: int = 7, name: str = "mix") -> Mix:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block: int = BLOCK, shard: int = SHARD, seed: int = 7, name: str = "mix", key_col: str | None = None) -> Mix:
     """Mix all documents of ``docs`` to target weights.
 
     Sources in the order of their code points, null last, get ``weights`` in turn.  A null text has no
     words and is never taken; repeated rows are documents of their own; an empty table gives an empty
     mix.  The same input gives the same mix, however it is partitioned.  Only one row for each source
-    comes to the driver.
+    comes to the driver.  ``key_col`` names a column of row numbers to carry along.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
-    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
-    told = scratch.save(told.mapInArrow(_count_words, "id long, source string, size long"))
+    told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key"))
+    told = scratch.save(told.mapInArrow(_count_words, "id long, source string, key long, size long"))
     totals = told.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -229,3 +230,54 @@ def taken_words(m: Mix) -> DataFrame:
     same = d["id"].eqNullSafe(taken["id"]) & (d["s"] == taken["s"]) & (d["row"] == taken["row"]) & (d["size"] > 0)
     out = d.join(taken, same, "left").join(F.broadcast(m.sources.select(F.col("s").alias("_s"), "source_size", "target")), F.col("_s") == d["s"])
     return out.select(d["id"], d["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def _segments(parts: list[dict]) -> list[list[int]]:
+    """[a, b, times] runs of a document's words that the mix takes equally often, from its pieces."""
+    out: list[list[int]] = []
+    for p in sorted(parts, key=lambda x: x["a"]):
+        head = p["a"] + max(0, min(p["b"] - p["a"], p["words"] - p["at"]))
+        for a, b, times in ((p["a"], head, p["full"] + 1), (head, p["b"], p["full"])):
+            if a < b and out and out[-1][1] == a and out[-1][2] == times:
+                out[-1][1] = b
+            elif a < b:
+                out.append([a, b, times])
+    return out
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, parts, other columns) to (other columns, text): one row each time the mix takes a run of words, with the white space that follows them."""
+    for batch in batches:
+        rows, texts, held = [], [], 0
+        for i, parts in enumerate(batch.column(1).to_pylist()):
+            data, off, _ = text_bytes(batch.column(0).slice(i, 1))
+            starts, _, _ = word_spans(data, off)
+            edge = np.concatenate([[0], starts[1:], [len(data)]])
+            for a, b, times in _segments(parts):
+                text = data[edge[a] : edge[b]].tobytes().decode()
+                for _ in range(times):
+                    rows.append(i)
+                    texts.append(text)
+                    held += len(text)
+                    if held > 8 << 20:
+                        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[2:]), pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "_text"])
+                        rows, texts, held = [], [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[2:]), pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "_text"])
+
+
+def mixed_documents(docs: DataFrame, text_col: str = "text", name: str = "mixed", **options) -> DataFrame:
+    """``docs`` as the mix takes them: a row for each run of a document's words, as often as it is taken.
+
+    A document whose blocks are all taken equally often stays in one piece, once or twice; one that the
+    end of a source's quota cuts comes in parts; one that is not taken, or has no words, goes.
+    """
+    scratch = Scratch(docs.sparkSession, name)
+    kept = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()))
+    m = mix(kept, text_col=text_col, name=name, key_col="_row", **options)
+    parts = m.pieces().where("full > 0 or words > at").groupBy("key").agg(F.collect_list(F.struct("a", "b", "at", "full", "words")).alias("_parts"))
+    rows = kept.join(scratch.save(parts), F.col("_row") == F.col("key"))
+    other = [c for c in docs.columns if c != text_col]
+    out = rows.select(F.col(text_col).cast("string").alias("_in"), "_parts", *[kept[c] for c in other])
+    schema = T.StructType([*(docs.schema[c] for c in other), T.StructField("_text", T.StringType())])
+    return out.mapInArrow(_cut, schema).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
