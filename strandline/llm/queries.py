@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, pieces, pii, toxicity
+from . import langid, line_dedup, mixing, nearest, pieces, pii, toxicity
 from .near_dedup import near_duplicates
 
 
@@ -47,6 +47,12 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 vectors with the largest inner product for every twentieth one."""
+    vecs = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.nearest(vecs, vecs.where("vec_id % 20 = 0"), name="op8")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix of all documents takes of each."""
     return mixing.taken_words(mixing.mix(_table(spark, sf_dir, "documents"), name="op9")).withColumnRenamed("id", "doc_id")
@@ -60,7 +66,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op5_toxicity, op6_pii, op9_mixing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op5_toxicity, op6_pii, op8_cross_polytope, op9_mixing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
