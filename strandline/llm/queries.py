@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, line_dedup, mixing, nearest, pieces, pii, toxicity
+from . import graph_dedup, langid, line_dedup, mixing, nearest, pieces, pii, toxicity
 from .near_dedup import near_duplicates
 
 
@@ -47,6 +47,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_pii(_table(spark, sf_dir, "documents")))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors at a cosine of 0.95."""
+    return graph_dedup.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), name="op7")
+
+
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 vectors with the largest inner product for every twentieth one."""
     vecs = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -66,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op5_toxicity, op6_pii, op8_cross_polytope, op9_mixing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op5_toxicity, op6_pii, op7_embedding_near_dedup, op8_cross_polytope, op9_mixing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
