@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_dedup, langid, line_dedup, mixing, nearest, pieces, pii, toxicity
+from . import graph_dedup, langid, line_dedup, mixing, nearest, pieces, pii, toxicity, warc
 from .near_dedup import near_duplicates
 
 
@@ -33,6 +33,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), percent=85, name="op3")
 
 
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revisits among the captures of all pages, resolved to the latest earlier response."""
+    found = warc.resolve_revisits(warc.captures(_table(spark, sf_dir, "pages")), name="op4")
+    return found.withColumn("headers", warc.header_text(F.col("headers"))).drop("url")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learnt from the labels that are not held out."""
     docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
@@ -71,8 +77,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op5_toxicity, op6_pii, op7_embedding_near_dedup, op8_cross_polytope, op9_mixing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_warc_revisits, op5_toxicity, op6_pii, op7_embedding_near_dedup, op8_cross_polytope, op9_mixing, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op4_warc_revisits": warc.ORACLE}
