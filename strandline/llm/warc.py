@@ -114,7 +114,7 @@ WITH c AS (
     CASE WHEN page_id % 5 <> 0 THEN '"v' || (page_id % 2)::VARCHAR || '"' END AS etag,
     CASE WHEN page_id % 7 <> 0 THEN (page_id % 2)::VARCHAR END AS lm,
     regexp_extract(url, '{_URL}', 1) AS host, regexp_extract(url, '{_URL}', 2) AS port, regexp_extract(url, '{_URL}', 3) AS path,
-    list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), p -> p <> '' AND NOT regexp_matches(p, '{TRACKING}'))) AS q
+    list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}'))) AS q
   FROM pages),
 k AS (SELECT *, lower(host) || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key FROM c),
 r AS (SELECT k.*, (SELECT max(o.page_id) FROM k o WHERE o.key = k.key AND NOT o.revisit AND o.page_id < k.page_id) AS ref FROM k WHERE revisit),
