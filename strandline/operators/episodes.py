@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def islands(spans: DataFrame, keys: list[str], lo: str, hi: str, gap: int) -> DataFrame:
@@ -63,7 +64,7 @@ def clusters(spans: DataFrame, keys: list[str], least: float, kind: str | None =
     bring two specific kinds together (null: unspecific).
     """
     cut = islands(spans, keys, "lo", "hi", -1)
-    schema = cut.schema.add("cluster", "long")
+    schema = T.StructType([*cut.schema.fields, T.StructField("cluster", T.LongType())])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
