@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import beside, groups, text_bytes
+from .textkit import beside, groups, lean, text_bytes
 
 DIM = 4096
 #: Labelled texts that the centroids are fitted on, at most, over all languages; centroids per language.
@@ -123,14 +123,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(10_000).collect()}
     if not sizes:
         return None
-    told = {r.feature: r.n for r in rows.select("text").mapInArrow(_frequencies, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    told = {r.feature: r.n for r in rows.select("text").mapInArrow(lean(_frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     n = np.array([told.get(i, 0) for i in range(DIM)], np.float64)
     idf = (np.log((1 + told[-1]) / (1 + n)) + 1).astype(np.float32)
     each = max(1, sample // len(sizes))
     share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 0.9 * each / size))) for lang, size in sorted(sizes.items())])
     key = F.xxhash64(F.col("id").cast("string"))
     drawn = rows.withColumn("k", key).where(F.pmod("k", F.lit(1 << 30)) < share * (1 << 30))
-    got = sorted(map(tuple, drawn.select("k", "lang", "text").mapInArrow(_sampled, "k long, lang string, tf binary").limit(2 * sample).collect()))
+    got = sorted(map(tuple, drawn.select("k", "lang", "text").mapInArrow(lean(_sampled), "k long, lang string, tf binary").limit(2 * sample).collect()))
     centroids, langs, least, model = [], [], 1.0, Model(idf, np.zeros((0, DIM)), [], 0.0)
     for lang in sorted(sizes):
         own = [np.frombuffer(t, np.float32) for _, x, t in got if x == lang][:each]
@@ -171,4 +171,4 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", names
     """
     flat, fields = beside(docs, text_col, "string")
     schema = T.StructType(fields).add("_lang_pred", "string").add("_score", "double").add("_rejected", "boolean")
-    return flat.mapInArrow(_predict(model), schema).toDF(*docs.columns, *names)
+    return flat.mapInArrow(lean(_predict(model)), schema).toDF(*docs.columns, *names)

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from .prefix import running_start
 from .scratch import Scratch
-from .textkit import groups, mix64, text_bytes, word_spans
+from .textkit import groups, lean, mix64, text_bytes, word_spans
 
 #: Words in a block, blocks in an output shard.
 BLOCK, SHARD = 512, 4096
@@ -190,7 +190,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key"))
-    told = scratch.save(told.mapInArrow(_count_words, "id long, source string, key long, size long"))
+    told = scratch.save(told.mapInArrow(lean(_count_words), "id long, source string, key long, size long"))
     totals = told.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -280,4 +280,4 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", name: str = "mixed"
     other = [c for c in docs.columns if c != text_col]
     out = rows.select(F.col(text_col).cast("string").alias("_in"), "_parts", *[kept[c] for c in other])
     schema = T.StructType([*(docs.schema[c] for c in other), T.StructField("_text", T.StringType())])
-    return out.mapInArrow(_cut, schema).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return out.mapInArrow(lean(_cut), schema).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])

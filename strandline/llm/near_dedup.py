@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .textkit import groups, mix64, shingles, sorted_overlap, text_bytes, word_hashes, word_spans
+from .textkit import groups, lean, mix64, shingles, sorted_overlap, text_bytes, word_hashes, word_spans
 
 BANDS, ROWS = 25, 5
 _RNG = np.random.default_rng(20240601)
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    told = scratch.save(texts.mapInArrow(_describe(shingle), "id long, n long, fp1 long, fp2 long, bands array<long>"))
+    told = scratch.save(texts.mapInArrow(lean(_describe(shingle)), "id long, n long, fp1 long, fp2 long, bands array<long>"))
 
     copies = told.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("fp1", "fp2", "rep")
     copies = scratch.save(copies)
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = family.groupBy("family").agg(F.count("*").alias("members"))
     sizes = scratch.save(sizes.select("family", F.ceil(F.col("members") / F.least(F.greatest(F.lit(BLOCK), F.col("members") / SPLIT), F.lit(MOST))).alias("blocks")))
     placed = family.join(sizes, "family").select("id", "family", "blocks")
-    rows = texts.join(scratch.save(placed), "id").select("id", "text", "family", "blocks").mapInArrow(_full_sets(shingle), "id long, family long, i long, j long, own long, set binary")
+    rows = texts.join(scratch.save(placed), "id").select("id", "text", "family", "blocks").mapInArrow(lean(_full_sets(shingle)), "id long, family long, i long, j long, own long, set binary")
     links = rows.groupBy("family", "i", "j").applyInArrow(_confirm(percent), "u long, v long")
     tied = scratch.save(components(links, scratch))
     out = told.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))

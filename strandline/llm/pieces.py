@@ -27,13 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import Scratch
-from .textkit import beside
+from .textkit import beside, groups, lean, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk of a giant text, and how far past that a cut may look for a segment's start.
 CHUNK, SEEK = 1 << 16, 1 << 10
 #: Segments whose pieces a task remembers.
-MEMORY = 300_000
+MEMORY = 100_000
 NONE = -(1 << 60)
 
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
@@ -274,11 +274,13 @@ def _encode_small(vocab: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         for batch in batches:
-            parts = [v.plain(" " + t) if t else b"" for t in (x.as_py() for x in batch.column(0))]
-            ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
-            mask = batch.column(0).is_null()
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)), mask=mask)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], names=[*batch.schema.names[1:], "_ids"])
+            for lo, hi in groups(text_bytes(batch.column(0))[1]):
+                some = batch.slice(lo, hi - lo)
+                parts = [v.plain(" " + t) if t else b"" for t in (x.as_py() for x in some.column(0))]
+                ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
+                mask = some.column(0).is_null()
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)), mask=mask)
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], ids], names=[*batch.schema.names[1:], "_ids"])
 
     return run
 
@@ -296,14 +298,14 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "tokens", model:
     flat, fields = beside(docs, text_col, "string")
     schema = T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
     long = F.length("_in") > chunk
-    small = flat.where(F.col("_in").isNull() | ~long).mapInArrow(_encode_small(vocab), schema)
+    small = flat.where(F.col("_in").isNull() | ~long).mapInArrow(lean(_encode_small(vocab)), schema)
 
     giant = scratch.save(flat.where(long).withColumn("_key", F.monotonically_increasing_id()))
-    pieces = giant.select("_key", "_in").mapInArrow(_chunks(vocab, chunk, seek), "key long, chunk long, size long, whole boolean, text string")
+    pieces = giant.select("_key", "_in").mapInArrow(lean(_chunks(vocab, chunk, seek)), "key long, chunk long, size long, whole boolean, text string")
     pieces = scratch.save(pieces.repartition("key", "chunk"))
-    matrices = pieces.mapInArrow(_matrices(vocab), "key long, chunk long, matrix binary")
+    matrices = pieces.mapInArrow(lean(_matrices(vocab)), "key long, chunk long, matrix binary")
     alpha = matrices.groupBy("key").applyInArrow(_scan(vocab.value.longest), "key long, chunk long, alpha array<long>")
-    answers = scratch.save(pieces.join(scratch.save(alpha), ["key", "chunk"]).select("key", "chunk", "size", "whole", "text", "alpha").mapInArrow(_answers(vocab), "key long, chunk long, exit long, entry long, ids array<int>"))
+    answers = scratch.save(pieces.join(scratch.save(alpha), ["key", "chunk"]).select("key", "chunk", "size", "whole", "text", "alpha").mapInArrow(lean(_answers(vocab)), "key long, chunk long, exit long, entry long, ids array<int>"))
     taken = scratch.save(answers.select("key", "chunk", "exit", "entry").groupBy("key").applyInArrow(_links, "key long, chunk long, exit long"))
     ids = answers.join(taken, ["key", "chunk", "exit"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     ids = ids.select("key", F.flatten("parts.ids").alias("_ids"))
@@ -323,4 +325,4 @@ def decode(tokens: DataFrame, ids_col: str = "tokens", out: str = "decoded", mod
             texts = [None if not ok else vocab.value.decode(flat_ids[a:b]) for ok, a, b in zip(np.asarray(ids.is_valid()), ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "_out"])
 
-    return flat.mapInArrow(run, T.StructType([*fields, T.StructField("_out", T.StringType())])).toDF(*tokens.columns, out)
+    return flat.mapInArrow(lean(run), T.StructType([*fields, T.StructField("_out", T.StringType())])).toDF(*tokens.columns, out)

@@ -6,7 +6,8 @@ numpy array, with the offsets of each text.  Nothing keeps state between batches
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +52,19 @@ def groups(offsets: np.ndarray, limit: int = GROUP_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task function that hands free memory back when its task is over: Python workers wait for the next task with all they hold."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return task
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser on 64-bit integers (splitmix)."""
     x = x.astype(np.uint64, copy=True)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkit import MARKS, beside, groups, text_bytes, word_hashes, word_spans
+from .textkit import MARKS, beside, groups, lean, text_bytes, word_hashes, word_spans
 
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 8000
@@ -143,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, 0.95 * sample / max(1, known.count()))
     drawn = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    rows = texts.join(F.broadcast(drawn), "id").select("id", "label", "text").mapInArrow(_tokens, "id long, label int, h binary, s binary")
+    rows = texts.join(F.broadcast(drawn), "id").select("id", "label", "text").mapInArrow(lean(_tokens), "id long, label int, h binary, s binary")
     got = sorted((r.id, r.label, bytes(r.h), bytes(r.s)) for r in rows.limit(2 * sample).collect())[:sample]
     return train([(y, np.frombuffer(h, np.uint64), np.frombuffer(s, np.int32).astype(np.int64)) for _, y, h, s in got])
 
@@ -185,4 +185,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", at: float = THR
     flat, fields = beside(docs, text_col, "string")
     schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
     schema = schema.add("_found", T.ArrayType(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("score", T.DoubleType())])))
-    return flat.mapInArrow(_score(model, at), schema).toDF(*docs.columns, *names)
+    return flat.mapInArrow(lean(_score(model, at)), schema).toDF(*docs.columns, *names)
