@@ -16,6 +16,7 @@ places a text falls into segments with a single state, and a cut is put at such
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from math import log
 
@@ -33,7 +34,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk of a giant text, and how far past that a cut may look for a segment's start.
 CHUNK, SEEK = 1 << 16, 1 << 10
 #: Segments whose pieces a task remembers.
-MEMORY = 100_000
+MEMORY = 200_000
 NONE = -(1 << 60)
 
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
@@ -45,7 +46,8 @@ class Vocabulary:
     def __init__(self, pieces: list[tuple[int, str]], bytes_: list[int], size: int) -> None:
         self.ids = {p: i for i, p in pieces}
         self.scores = {p: -round(1e6 * log(rank + 2)) for rank, (_, p) in enumerate(pieces)}
-        self.prefixes = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        #: Score of every piece, and 1 for every start of a piece that is none itself.
+        self.table = {p[:n]: 1 for p in self.ids for n in range(1, len(p))} | self.scores
         self.longest = max(map(len, self.ids), default=1)
         self.byte_score = min(self.scores.values(), default=0) - 10_000_000
         self.byte_ids = bytes_
@@ -78,11 +80,10 @@ class Vocabulary:
         """(length, score) of every piece at ``i``; a character that is no piece goes by its bytes."""
         single = False
         for n in range(1, min(self.longest, len(s) - i) + 1):
-            part = s[i : i + n]
-            if part not in self.prefixes:
+            score = self.table.get(s[i : i + n])
+            if score is None:
                 break
-            score = self.scores.get(part)
-            if score is not None:
+            if score <= 0:
                 single |= n == 1
                 yield n, score
         if not single:
@@ -96,12 +97,24 @@ class Vocabulary:
         """
         score, back = [NONE] * (len(s) + 1), [-1] * (len(s) + 1)
         score[: len(start or [0])] = start or [0]
-        for i in range(len(s) if stop is None else stop):
+        table, longest, size = self.table, self.longest, len(s)
+        for i in range(size if stop is None else stop):  # the loop of ``steps`` written out: every new segment goes through it
             here = score[i]
-            if here > NONE // 2:
-                for n, add in self.steps(s, i):
-                    if here + add > score[i + n]:
-                        score[i + n], back[i + n] = here + add, i
+            if here <= NONE // 2:
+                continue
+            single = False
+            for j in range(i + 1, min(i + longest, size) + 1):
+                add = table.get(s[i:j])
+                if add is None:
+                    break
+                if add <= 0:
+                    single = single or j == i + 1
+                    if here + add > score[j]:
+                        score[j], back[j] = here + add, i
+            if not single:
+                add = self.byte_score * len(s[i].encode())
+                if here + add > score[i + 1]:
+                    score[i + 1], back[i + 1] = here + add, i
         return score, back
 
     def cut(self, s: str, back: list[int], end: int) -> tuple[list[int], int]:
@@ -120,7 +133,7 @@ class Vocabulary:
         got = self.memo.get(s)
         if got is None:
             _, back = self.best(s)
-            got = np.array(self.cut(s, back, len(s))[0], np.int32).tobytes()
+            got = array("i", self.cut(s, back, len(s))[0]).tobytes()
             if len(s) <= 64:
                 if len(self.memo) >= MEMORY:
                     self.memo.clear()
