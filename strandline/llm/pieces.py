@@ -56,7 +56,9 @@ class Vocabulary:
             self.strings[i] = p.encode()
         for b, i in enumerate(bytes_):
             self.strings[i] = bytes([b])
+        #: Ids of segments seen lately, and of those seen before them: what is used again moves to the first.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -132,11 +134,13 @@ class Vocabulary:
     def segment(self, s: str) -> bytes:
         got = self.memo.get(s)
         if got is None:
-            _, back = self.best(s)
-            got = array("i", self.cut(s, back, len(s))[0]).tobytes()
+            got = self.older.get(s)
+            if got is None:
+                _, back = self.best(s)
+                got = array("i", self.cut(s, back, len(s))[0]).tobytes()
             if len(s) <= 64:
-                if len(self.memo) >= MEMORY:
-                    self.memo.clear()
+                if len(self.memo) >= MEMORY // 2:
+                    self.older, self.memo = self.memo, {}
                 self.memo[s] = got
         return got
 
