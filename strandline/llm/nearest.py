@@ -4,7 +4,8 @@ Fast pseudo-rotations (three rounds of random signs and a Hadamard transform) tu
 cell is the signed axis with the largest coordinate.  A table concatenates as many such hashes as the
 number of rows asks for; there are several tables.  A query probes, in each table, the cells that its
 own coordinates rank first; all rows of a probed cell are candidates and are ranked by their exact
-inner product.  How many cells to probe is read from audited queries whose nearest rows are known.
+inner product.  How many cells to probe, of how many tables, is read from audited queries whose nearest
+rows are known; where no number of tables reaches the recall, every query is answered by a scan of all rows.
 
 For vectors of unequal length the largest inner product becomes the largest cosine by one more
 coordinate that fills every row up to the longest.
@@ -23,11 +24,14 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .vectors import best_of, main_width, matrix, scan_nearest, valid_vectors
 
-TABLES = 4
+#: Tables at first and at most.
+TABLES, TABLES_MOST = 4, 16
 #: Audited queries at most, and the share of their nearest rows that the probed cells must hold.
 AUDIT, RECALL = 128, 0.96
 #: Rows of a cell that one task compares with its queries; larger cells are split.
 BLOCK = 512
+#: Queries that one task compares with a block; more are split.
+ASKS = 1024
 #: A table gets one more hash when its cells would hold more rows than this on average.
 CELL = 8192
 
@@ -159,8 +163,8 @@ def _exact(rows: DataFrame, ask: list, k: int) -> DataFrame:
     return _top(rows.select("id", "vec").mapInArrow(scan_nearest(ids, vecs, k), _FOUND), k)
 
 
-def _probes_needed(hasher: Hasher, ask: list, truth: list, rows: DataFrame, recall: float) -> int:
-    """Least number of cells per table whose rows hold ``recall`` of the known nearest rows."""
+def _probes_needed(hasher: Hasher, ask: list, truth: list, recall: float) -> int | None:
+    """Least number of cells per table whose rows hold ``recall`` of the known nearest rows; none if as many as are probed at most don't."""
     most = 2 * hasher.padded if hasher.hashes == 1 else 4 * hasher.padded
     vecs = {r.id: r.vec for r in ask}
     near = {r.id: r.vec for r in truth}
@@ -170,17 +174,18 @@ def _probes_needed(hasher: Hasher, ask: list, truth: list, rows: DataFrame, reca
     for r in truth:
         hit = order[r.query] == cell[r.id][:, None]
         first.append(min((int(h.argmax()) for h in hit if h.any()), default=most))
-    first = np.sort(first)
-    return int(min(most, first[int(np.ceil(recall * len(first))) - 1] + 1))
+    need = int(np.sort(first)[int(np.ceil(recall * len(first))) - 1])
+    return need + 1 if need < most else None
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, name: str = "nearest") -> DataFrame:
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, name: str = "nearest", cell: int = CELL) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of ``df`` with the largest inner product for each row of ``queries`` but itself.
 
     A query whose probed cells hold too few rows gets its answer from a scan of all rows.  Vectors that
     are null, zero, of another length than most, or hold null or non-finite components take no part.
     Rows repeating an id count once.  Every row is indexed; up to ``AUDIT`` queries, drawn by a hash of
-    their id, are answered exactly to choose how many cells are probed.
+    their id, are answered exactly to choose how many cells of how many tables are probed, so that ``recall`` of their
+    answers is among them; if ``TABLES_MOST`` tables don't hold it, all queries are answered by scans.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, name)
@@ -194,35 +199,54 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     stats = rows.agg(F.count("*").alias("n"), F.max(norm).alias("high"), F.min(norm).alias("low")).first()
     level = stats.low is not None and stats.high - stats.low <= 1e-5 * stats.high
     hasher = Hasher(width, 0.0 if level or stats.high is None else float(stats.high) * (1 + 1e-12), 1, tables)
-    while stats.n > CELL * (2 * hasher.padded) ** hasher.hashes:
+    while stats.n > cell * (2 * hasher.padded) ** hasher.hashes:
         hasher.hashes += 1
     ask = asked.orderBy(F.xxhash64("id")).limit(AUDIT).collect()
     if not ask or stats.n < 2:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     truth = _exact(rows, ask, k).join(rows, "id").select("query", "id", "vec").collect()
-    count = _probes_needed(hasher, ask, truth, rows, recall) if truth else 1
+    count = _probes_needed(hasher, ask, truth, recall) if truth else 1
+    while count is None and hasher.tables < TABLES_MOST:
+        hasher.tables = min(2 * hasher.tables, TABLES_MOST)
+        count = _probes_needed(hasher, ask, truth, recall)
+    if count is None:
+        best = _scan(rows, asked, k, scratch)
+    else:
+        best = _probed(rows, asked, stats.n, k, hasher, count, scratch)
+    return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
+def _scan(rows: DataFrame, asked: DataFrame, k: int, scratch: Scratch) -> DataFrame | None:
+    """The ``k`` nearest rows of all of ``asked``, a few at a time; none if there are none."""
+    found = None
+    while True:
+        part = asked.orderBy("id").limit(AUDIT).collect()
+        if not part:
+            return found
+        done = scratch.save(_exact(rows, part, k))
+        found = done if found is None else found.union(done)
+        asked = asked.where(F.col("id") > part[-1].id)
 
+
+def _probed(rows: DataFrame, asked: DataFrame, n: int, k: int, hasher: Hasher, count: int, scratch: Scratch) -> DataFrame:
+    """The ``k`` nearest rows in ``count`` cells of each table, or in all rows for a query whose cells hold too few."""
     index = scratch.save(rows.mapInArrow(_index(hasher), "tab long, cell long, id long, vec array<double>"))
     cells = scratch.save(index.groupBy("tab", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")))
-    held = index.join(cells, ["tab", "cell"]).select("tab", "cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), "id", "vec", F.lit(False).alias("asks"))
-    probes = asked.mapInArrow(_probe(hasher, count), "tab long, cell long, id long, vec array<double>")
-    probes = probes.join(cells, ["tab", "cell"]).select("tab", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "vec", F.lit(True).alias("asks"))
-    found = held.union(probes).groupBy("tab", "cell", "block").applyInArrow(_rank(k), _FOUND)
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    probes = scratch.save(asked.mapInArrow(_probe(hasher, count), "tab long, cell long, id long, vec array<double>"))
+    parts = probes.groupBy("tab", "cell").agg(F.ceil(F.count("*") / ASKS).cast("long").alias("parts"))
+    cells = scratch.save(cells.join(parts, ["tab", "cell"]))  # the others are asked for nothing
+    held = index.join(cells, ["tab", "cell"]).select("tab", "cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), upto("parts").alias("part"), "id", "vec", F.lit(False).alias("asks"))
+    probes = probes.join(cells, ["tab", "cell"]).select("tab", "cell", upto("blocks").alias("block"), F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "vec", F.lit(True).alias("asks"))
+    found = held.union(probes).groupBy("tab", "cell", "block", "part").applyInArrow(_rank(k), _FOUND)
     best = scratch.save(_top(found, k))
 
-    want = F.least(F.lit(k), F.lit(stats.n) - F.coalesce("inside", F.lit(0)))
+    want = F.least(F.lit(k), F.lit(n) - F.coalesce("inside", F.lit(0)))
     inside = rows.select("id", F.lit(1).alias("inside"))
     got = best.groupBy("query").agg(F.count("*").alias("n"))
     short = asked.join(inside, "id", "left").join(got, asked["id"] == got["query"], "left").where(F.coalesce("n", F.lit(0)) < want).select(asked["id"], "vec")
     short = scratch.save(short)
-    more = None
-    while True:  # a few at a time
-        part = short.orderBy("id").limit(AUDIT).collect()
-        if not part:
-            break
-        done = scratch.save(_exact(rows, part, k))
-        more = done if more is None else more.union(done)
-        short = short.where(F.col("id") > part[-1].id)
+    more = _scan(rows, short, k, scratch)
     if more is not None:
         best = best.join(more.select("query").distinct(), "query", "left_anti").unionByName(more)
-    return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+    return best

@@ -1,4 +1,5 @@
 import numpy as np
+from strandline.llm import nearest as module
 from strandline.llm.nearest import Hasher, hadamard, nearest
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score string"
@@ -56,3 +57,14 @@ def test_few_and_odd_rows(spark):
     got = run(spark, odd)
     assert got == {0: [(1, 0.5), (20, -1.0)], 20: [(1, -0.5), (0, -1.0)]}
     assert run(spark, {}) == {} and run(spark, {20: [1, 2]}) == {}
+
+
+def test_recall_with_two_hashes(spark, monkeypatch):
+    """Cells of 8 rows force a second hash; neighbours of random vectors are in no cell near by, whatever the tables."""
+    monkeypatch.setattr(module, "ASKS", 8)
+    rng = np.random.default_rng(6)
+    vecs = dict(enumerate(rng.normal(size=(1200, 24)).astype(np.float32).tolist()))
+    want = brute(vecs, 20)
+    assert recall(run(spark, vecs, cell=8), want) >= 0.96
+    monkeypatch.setattr(module, "TABLES_MOST", 1)
+    assert recall(run(spark, vecs, cell=8, tables=1), want) == 1
