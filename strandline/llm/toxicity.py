@@ -20,9 +20,10 @@ from .textkit import MARKS, beside, groups, lean, text_bytes, word_hashes, word_
 
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 8000
-#: A token takes part if it is in so many documents of the sample, in toxic ones so many standard errors
-#: more often than chance: without that, rare tokens explain the toxic documents of the sample by heart.
-LEAST_DOCUMENTS, LEAST_LIFT = 5, 6.0
+#: A token takes part if it is in so many documents of the sample and in toxic ones more often than chance: by so many
+#: standard errors, or so that of the tokens taken this share at most is expected by chance, given their number and the
+#: label rate.  Without that, rare tokens explain the toxic documents of the sample by heart.
+LEAST_DOCUMENTS, LEAST_LIFT, BY_CHANCE = 5, 6.0, 0.01
 #: Documents and sentences from this score on are called toxic.
 THRESHOLD = 0.3
 _ROUNDS, _RATE, _RIDGE = 80, 0.25, 2e-3
@@ -72,6 +73,20 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
+def chosen(df: np.ndarray, held: np.ndarray, rate: float) -> np.ndarray:
+    """Which tokens, in ``df`` documents of which ``held`` are toxic, take part where a share ``rate`` of all is toxic."""
+    lift = (held - df * rate) / np.sqrt(df * rate * (1 - rate))
+    share = held / df
+    with np.errstate(divide="ignore", invalid="ignore"):
+        gain = share * np.log(share / rate) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0)
+    chance = np.where(share > rate, -df * gain, 0.0)  # log of a bound of the binomial tail, exact for tokens in toxic documents only
+    tried = df >= LEAST_DOCUMENTS
+    order = np.sort(chance[tried])
+    below = order <= np.log(BY_CHANCE * np.arange(1, len(order) + 1) / max(1, len(order)))
+    limit = order[below][-1] if below.any() else -np.inf
+    return tried & ((lift >= LEAST_LIFT) | (chance <= limit))
+
+
 def train(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
     """Weights from (label, token hashes, sentence numbers) of documents, by Adam on the noisy-or likelihood."""
     label = np.array([y for y, h, _ in docs if len(h)], np.float64)
@@ -84,8 +99,7 @@ def train(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
         if y:
             held[np.searchsorted(tokens, np.unique(h))] += 1
     rate = label.mean()
-    lift = (held - df * rate) / np.sqrt(df * rate * (1 - rate))
-    tokens = tokens[(df >= LEAST_DOCUMENTS) & (lift >= LEAST_LIFT)]
+    tokens = tokens[chosen(df, held, rate)]
     if not len(tokens):
         tokens = np.zeros(1, np.uint64)
     feature, row, doc_of, base = [], [], [], 0

@@ -33,3 +33,13 @@ def test_sentences_are_located(spark):
     assert got[1].s == got[2].s == 0 and got[1].found == [] and got[3].s < 0.3
     assert score(df.limit(0), fit(df.limit(0), df), names=("s", "found")).count() == 0
     assert score(df, fit(df, df.limit(0)), names=("s", "found")).where("s >= 0.3").count() == 0
+
+
+def test_sentences_are_located_where_half_is_toxic(spark):
+    rows = [(i, f"a calm day w{i}. you are an idiot. more text" if i % 2 else f"a calm day w{i}. more text", i % 2, "x") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
+    model = fit(df, df)
+    odd = [(1, "fine. YOU are an Idiot! fine", 0, "x"), (2, None, 1, "x"), (4, "a calm day. " * 20000, 0, "x")]
+    got = score(spark.createDataFrame(odd, df.schema), model, names=("s", "found")).collect()
+    assert [f.sentence for f in got[0].found] == ["YOU are an Idiot"] and got[0].s > 0.3
+    assert got[1].s == 0 and got[2].s < 0.3
