@@ -9,6 +9,10 @@ from strandline.llm.scratch import Scratch
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: A line goes if it is in more than this share of its source's documents, and in ``line_dedup.LEAST_PAGES`` at least.  Sources
+#: are far wider than web hosts: lines that they repeat are in 1 to 10 % of their documents.
+SOURCE_RATIO = 0.005
+
 
 def _documents(df: DataFrame) -> DataFrame:
     """The columns of documents, with the length of the text as it is now."""
@@ -24,7 +28,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents less the lines that their source repeats."""
-    return _documents(line_dedup.drop_boilerplate(docs, "source", "text", name="stage2"))
+    return _documents(line_dedup.drop_boilerplate(docs, "source", "text", ratio=SOURCE_RATIO, name="stage2"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,10 @@ def test_run_and_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_lines_in_a_twentieth_of_a_source_go(spark):
+    rows = [(i, f"own line {i}\n" + ("said again" if i % 20 == 0 else "four times" if i < 5 else f"other {i}"), "en", "s", 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in cp.line_frequency(spark, docs, SF).collect()}
+    assert got == {i: f"own line {i}" if i % 20 == 0 else t for i, t, *_ in rows}
