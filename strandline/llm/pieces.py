@@ -4,20 +4,26 @@ The pieces of a published vocabulary get integer scores that fall with the logar
 and a text is cut into the pieces whose scores sum to the most: a product of max-plus matrices, one
 factor for each character.  A giant text is split into chunks.  Every chunk yields the transfer matrix
 between the states of its two ends, the state being how far a piece reaches over a chunk's end; the
-matrices are combined associatively into the best score of every state at every cut; then each chunk
+matrices are combined associatively, blocks of chunks at a time in as many tasks as there are blocks,
+up to the whole text and down again, into the best score of every state at every cut; then each chunk
 finds its own pieces from those scores, and knows for every state at its end the state at its start.
-Following these links from the end of the text picks one answer for each chunk.  Scores are integers,
-so that sums are exact and the answer doesn't depend on where a text was cut.
+These maps from state to state are combined in the same way, from the end of the text, and pick one
+answer for each chunk.  Scores are integers, so that sums are exact and the answer doesn't depend on
+where a text was cut.
 
 No piece reaches over the start of a run of blanks or over an unknown character, so that between those
 places a text falls into segments with a single state, and a cut is put at such a place if one is near.
+The distinct segments that a task meets for the first time are cut together: a walk down the trie of
+pieces from every character of all of them at once, then one step for each position in all of them.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 from math import log
 
 import numpy as np
@@ -33,8 +39,10 @@ from .textkit import beside, groups, lean, text_bytes
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk of a giant text, and how far past that a cut may look for a segment's start.
 CHUNK, SEEK = 1 << 16, 1 << 10
-#: Segments whose pieces a task remembers.
-MEMORY = 200_000
+#: Segments whose pieces a task remembers, characters in one that is, characters of segments cut together.
+MEMORY, SHORT, LOT = 200_000, 64, 1 << 15
+#: Chunks, or blocks of them, that one task combines.
+FAN = 64
 NONE = -(1 << 60)
 
 _SEGMENT = re.compile(r" *[^ \n]+| +|\n")
@@ -59,6 +67,7 @@ class Vocabulary:
         #: Ids of segments seen lately, and of those seen before them: what is used again moves to the first.
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.trie: Trie | None = None
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -131,29 +140,173 @@ class Vocabulary:
             out += [i] if i is not None else [self.byte_ids[x] for x in s[a:b].encode()]
         return out, end
 
-    def segment(self, s: str) -> bytes:
-        got = self.memo.get(s)
-        if got is None:
-            got = self.older.get(s)
-            if got is None:
+    def segments(self, new: list[str]) -> None:
+        """Put the ids of segments into the memory."""
+        if self.trie is None:
+            self.trie = Trie(self)
+        short = [s for s in new if len(s) <= SHORT]
+        for lo, hi in _lots([len(s) for s in short]):
+            self.memo.update(zip(short[lo:hi], self.trie.cut(short[lo:hi]), strict=True))
+        for s in new:
+            if len(s) > SHORT:
                 _, back = self.best(s)
-                got = array("i", self.cut(s, back, len(s))[0]).tobytes()
-            if len(s) <= 64:
-                if len(self.memo) >= MEMORY // 2:
-                    self.older, self.memo = self.memo, {}
-                self.memo[s] = got
-        return got
-
-    def plain(self, s: str) -> bytes:
-        """Ids, as bytes of 32-bit integers, of a text that starts and ends at segments' ends."""
+                self.memo[s] = array("i", self.cut(s, back, len(s))[0]).tobytes()
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        """Ids, as bytes of 32-bit integers, of texts that start and end at segments' ends."""
+        parts = [_SEGMENT.findall(t) for t in texts]
+        new, older = [], self.older
+        for s in sorted(set(chain.from_iterable(parts)).difference(self.memo), key=len):
+            if s in older:
+                self.memo[s] = older[s]
+            else:
+                new.append(s)
+        self.segments(new)
         memo = self.memo
-        return b"".join([memo.get(x) or self.segment(x) for x in _SEGMENT.findall(s)])
+        out = [b"".join([memo[s] for s in p]) for p in parts]
+        for s in reversed(new):  # long ones are not worth their place
+            if len(s) <= SHORT:
+                break
+            del memo[s]
+        if len(memo) >= MEMORY // 2:
+            self.older, self.memo = memo, {}
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         out = b"".join([self.strings[i] for i in ids.tolist()]).decode("utf-8", errors="replace")
         return out[1:] if out[:1] == " " else out
 
 
+def _lots(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of segments, in order of length, that fill ``LOT`` characters when all are as long as the last one."""
+    lo = 0
+    for hi, n in enumerate(lengths):
+        if (hi + 1 - lo) * n > LOT and hi > lo:
+            yield lo, hi
+            lo = hi
+    if lo < len(lengths):
+        yield lo, len(lengths)
+
+
+class Trie:
+    """Starts of pieces as numbered nodes, and best paths through many segments at once."""
+
+    def __init__(self, vocab: Vocabulary) -> None:
+        starts = sorted(vocab.table, key=len)
+        node = {p: i + 1 for i, p in enumerate(starts)}
+        node[""] = 0
+        keys = np.array([node[p[:-1]] << 21 | ord(p[-1]) for p in starts], np.int64)
+        self.width = 4 * (1 << max(4, len(keys).bit_length()))
+        #: Open addressing: (parent node, character) to child node, keys kept whole so that a hit is exact.
+        self.keys, self.nodes = np.full(self.width, -1, np.int64), np.zeros(self.width, np.int32)
+        left = np.arange(len(keys))
+        slot = self._slot(keys)
+        while len(left):
+            at = slot[left]
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, first = np.unique(at[free], return_index=True)
+            take = left[free[first]]
+            self.keys[slot[take]], self.nodes[slot[take]] = keys[take], take + 1
+            left = np.setdiff1d(left, take, assume_unique=True)
+            slot[left] = (slot[left] + 1) % self.width
+        self.score = np.array([NONE] + [vocab.scores.get(p, NONE) for p in starts], np.int64)
+        self.ids = np.array([-1] + [vocab.ids.get(p, -1) for p in starts], np.int64)
+        self.longest, self.byte_score, self.byte_ids = vocab.longest, vocab.byte_score, np.array(vocab.byte_ids, np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % self.width
+
+    def children(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Node below each of ``node`` by a character, 0 if there is none."""
+        keys = node.astype(np.int64) << 21 | char
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.nodes[slot], 0)
+        more = np.flatnonzero((held != keys) & (held >= 0))
+        while len(more):
+            slot[more] = (slot[more] + 1) % self.width
+            held = self.keys[slot[more]]
+            hit = held == keys[more]
+            out[more[hit]] = self.nodes[slot[more[hit]]]
+            more = more[~hit & (held >= 0)]
+        return out
+
+    def cut(self, segments: list[str]) -> list[bytes]:
+        """Ids of each segment, which come by length; of equal scores the longest last piece."""
+        segments = segments[::-1]  # longest first, so that those still going on are always the first ones
+        size = np.array([len(s) for s in segments])
+        n, longest = len(segments), int(size[0])
+        chars = np.zeros((n, longest), np.int64)
+        inside = np.arange(longest)[None, :] < size[:, None]
+        chars[inside] = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
+        flat, row, col = chars.ravel(), *np.nonzero(inside)
+        left = size[row] - col
+        # nodes[k]: where pieces of k + 1 characters start, and the node of each
+        steps, at, node = [], np.arange(len(row)), np.zeros(len(row), np.int32)
+        for k in range(self.longest):
+            node = self.children(node, flat[row[at] * longest + col[at] + k])
+            on = node > 0
+            at, node = at[on], node[on]
+            steps.append((at, node))
+            on = left[at] > k + 1
+            at, node = at[on], node[on]
+            if not len(at):
+                break
+        wide = len(steps)
+        # add[end, segment, wide - k]: score of the piece of k characters that ends there
+        add = np.full((longest + 1, n, wide), NONE, np.int64)
+        piece = np.full((longest + 1, n, wide), -1, np.int32)
+        for k, (at, node) in enumerate(steps, 1):
+            score = self.score[node]
+            on = score > NONE
+            at, node = at[on], node[on]
+            add[col[at] + k, row[at], wide - k] = score[on]
+            piece[col[at] + k, row[at], wide - k] = self.ids[node]
+        alone = np.ones(len(row), bool)
+        if steps:
+            at, node = steps[0]
+            alone[at[self.score[node] > NONE]] = False
+        alone = np.flatnonzero(alone)
+        bytes_of = lambda c: 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
+        add[col[alone] + 1, row[alone], wide - 1] = self.byte_score * bytes_of(chars[row[alone], col[alone]])
+        best = np.full((n, wide + longest + 1), NONE, np.int64)
+        best[:, wide] = 0
+        back = np.zeros((longest + 1, n), np.int32)
+        active = np.searchsorted(-size, -np.arange(longest + 1), side="right")
+        for j in range(1, longest + 1):
+            m = active[j]
+            total = best[:m, j : j + wide] + add[j, :m]
+            pick = total.argmax(1)  # the first of equals starts first
+            back[j, :m] = wide - pick
+            best[:m, wide + j] = total[np.arange(m), pick]
+        # back along all paths at once
+        rows, ends, order = [], [], []
+        live, end, step = np.arange(n), size.copy(), 0
+        while len(live):
+            rows.append(live)
+            ends.append(end)
+            order.append(np.full(len(live), step))
+            end = end - back[end, live]
+            live, end, step = live[end > 0], end[end > 0], step + 1
+        rows, ends, order = np.concatenate(rows), np.concatenate(ends), np.concatenate(order)
+        sort = np.lexsort((-order, rows))
+        rows, ends = rows[sort], ends[sort]
+        length = back[ends, rows]
+        ids = piece[ends, rows, wide - length]
+        odd = np.flatnonzero(ids < 0)
+        if len(odd):  # characters that go by their bytes
+            count = np.ones(len(ids), np.int64)
+            count[odd] = bytes_of(chars[rows[odd], ends[odd] - 1])
+            first = np.cumsum(count) - count
+            out = np.repeat(ids, count)
+            raw = "".join(map(chr, chars[rows[odd], ends[odd] - 1].tolist())).encode("utf-8", "surrogatepass")
+            out[np.repeat(first[odd], count[odd]) + np.arange(len(raw)) - np.repeat(np.cumsum(count[odd]) - count[odd], count[odd])] = self.byte_ids[np.frombuffer(raw, np.uint8)]
+            rows, ids = np.repeat(rows, count), out
+        cuts_ = (4 * np.searchsorted(rows, np.arange(n + 1))).tolist()
+        raw = ids.astype(np.int32).tobytes()
+        return [raw[a:b] for a, b in zip(cuts_[:-1], cuts_[1:], strict=True)][::-1]
+
+
 def cuts(s: str, chunk: int, seek: int, longest: int) -> list[int]:
     """Where to cut a text: at the first start of a segment past each full chunk, or right there if none is near."""
     out = [0]
@@ -179,7 +332,7 @@ def transfer(vocab: Vocabulary, s: str, size: int, whole: bool) -> np.ndarray:
     k = vocab.longest
     out = np.full((k, k), NONE, np.int64)
     if whole:
-        out[0, 0] = vocab_scores(vocab)[np.frombuffer(vocab.plain(s[:size]), np.int32)].sum()
+        out[0, 0] = vocab_scores(vocab)[np.frombuffer(vocab.plain([s[:size]])[0], np.int32)].sum()
         return out
     row = np.full((len(s) + k + 1, k), NONE, np.int64)
     for i in range(min(k, size)):
@@ -235,65 +388,106 @@ def _matrices(vocab: Broadcast):
     return run
 
 
-def _scan(longest: int):
-    """Group function of a text: best score of each state at the start of each chunk."""
+@dataclass
+class Fold:
+    """An associative operation on items stored as bytes, and how a state goes through an item."""
 
-    def run(chunks: pa.Table) -> pa.Table:
-        order = np.argsort(np.asarray(chunks.column("chunk")))
-        state = np.full((1, longest), NONE, np.int64)
-        state[0, 0] = 0
-        out = []
-        for i in order.tolist():
-            out.append(state[0].tolist())
-            m = np.frombuffer(chunks.column("matrix")[i].as_py(), np.int64).reshape(longest, longest)
-            state = combine(state, m)
-        return pa.table({"key": chunks.column("key").take(pa.array(order)), "chunk": chunks.column("chunk").take(pa.array(order)), "alpha": pa.array(out, pa.list_(pa.int64()))})
+    join: Callable[[bytes, bytes], bytes]
+    go: Callable[[bytes, bytes], bytes]
+    start: bytes
+
+
+def best_paths(longest: int) -> Fold:
+    """Max-plus products of matrices; a state is the best score of each way into a chunk."""
+    square = lambda m: np.frombuffer(m, np.int64).reshape(-1, longest)
+    start = np.full((1, longest), NONE, np.int64)
+    start[0, 0] = 0
+    join = lambda a, b: combine(square(a), square(b)).tobytes()
+    return Fold(join, join, start.tobytes())
 
-    return run
+
+def entries() -> Fold:
+    """Compositions of maps from the state at a chunk's end to that at its start, last chunk first; a state is one number."""
+    row = lambda m: np.frombuffer(m, ">i4")
+    join = lambda a, b: np.where(row(a) < 0, -1, row(b)[np.maximum(row(a), 0)]).astype(">i4").tobytes()
+    return Fold(join, join, np.zeros(1, ">i4").tobytes())
+
+
+def scan(items: DataFrame, fold: Fold, scratch: Scratch, fan: int = FAN) -> DataFrame:
+    """``(key, chunk, state)``: the state before each of ``items(key, chunk, item)``, whose chunks count from 0 in every key.
+
+    ``fan`` items after each other are joined into one of the next level, until one is left of each key;
+    then the states go down through the same levels.  No task holds more than ``fan`` items of a key.
+    """
+
+    def up(block: pa.Table) -> pa.Table:
+        out = None
+        for i in np.argsort(np.asarray(block.column("chunk"))).tolist():
+            m = block.column("item")[i].as_py()
+            out = m if out is None else fold.join(out, m)
+        return pa.table({"key": pa.array([block.column("key")[0].as_py()], pa.int64()), "chunk": pa.array([block.column("block")[0].as_py()], pa.int64()), "item": pa.array([out], pa.binary())})
+
+    def down(block: pa.Table) -> pa.Table:
+        order = np.argsort(np.asarray(block.column("chunk"))).tolist()
+        state, out = block.column("state")[0].as_py(), []
+        for i in order:
+            out.append(state)
+            state = fold.go(state, block.column("item")[i].as_py())
+        at = pa.array(order)
+        return pa.table({"key": block.column("key").take(at), "chunk": block.column("chunk").take(at), "state": pa.array(out, pa.binary())})
+
+    levels = [items.withColumn("block", F.expr(f"chunk div {fan}"))]
+    most = items.agg(F.max("chunk")).first()[0] or 0
+    while most >= fan:
+        most //= fan
+        above = scratch.save(levels[-1].groupBy("key", "block").applyInArrow(up, "key long, chunk long, item binary"))
+        levels.append(above.withColumn("block", F.expr(f"chunk div {fan}")))
+    states = levels[-1].select("key", "block").distinct().withColumn("state", F.lit(fold.start))
+    while levels:
+        level = levels.pop().join(states, ["key", "block"])
+        states = scratch.save(level.groupBy("key", "block").applyInArrow(down, "key long, chunk long, state binary"))
+        if levels:
+            states = states.withColumnRenamed("chunk", "block")
+    return states
 
 
 def _answers(vocab: Broadcast):
-    """Task function: (key, chunk, size, whole, text, alpha) to (key, chunk, exit, entry, ids), one row for each state that the chunk can end in."""
+    """Task function: (key, chunk, size, whole, text, state) to (key, chunk, exit, map, ids), one row for each state that the chunk can end in.
+
+    ``map``, in the first row of a chunk, holds the state at the chunk's start for every state at its end.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         for batch in batches:
             rows = []
-            for key, chunk, size, whole, s, alpha in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, chunk, size, whole, s, state in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                starts, found = np.full(v.longest, -1, ">i4"), []
                 if whole:
-                    rows.append((key, chunk, 0, 0, np.frombuffer(v.plain(s[:size]), np.int32)))
-                    continue
-                score, back = v.best(s, [a if a > NONE // 2 else NONE for a in alpha[: size + 1]], size)
-                for e in range(min(v.longest, len(s) - size + 1)):
-                    if score[size + e] > NONE // 2:
-                        ids, at = v.cut(s, back, size + e)
-                        rows.append((key, chunk, e, at, np.array(ids, np.int32)))
+                    starts[0] = 0
+                    found.append((0, np.frombuffer(v.plain([s[:size]])[0], np.int32)))
+                else:
+                    alpha = np.frombuffer(state, np.int64).tolist()
+                    score, back = v.best(s, [a if a > NONE // 2 else NONE for a in alpha[: size + 1]], size)
+                    for e in range(min(v.longest, len(s) - size + 1)):
+                        if score[size + e] > NONE // 2:
+                            ids, starts[e] = v.cut(s, back, size + e)
+                            found.append((e, np.array(ids, np.int32)))
+                rows += [(key, chunk, e, None if i else starts.tobytes(), ids) for i, (e, ids) in enumerate(found)]
             if rows:
-                key, chunk, exit_, entry, ids = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, chunk, exit_, entry)), pa.array(ids, pa.list_(pa.int32()))], names=["key", "chunk", "exit", "entry", "ids"])
+                key, chunk, exit_, map_, ids = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in (key, chunk, exit_)), pa.array(map_, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], names=["key", "chunk", "exit", "map", "ids"])
 
     return run
 
 
-def _links(links: pa.Table) -> pa.Table:
-    """Group function of a text: the state that each chunk ends in, followed back from the end of the text."""
-    entry = {(c, e): a for c, e, a in zip(*(links.column(n).to_pylist() for n in ("chunk", "exit", "entry")), strict=True)}
-    last = max(c for c, _ in entry)
-    state, out = 0, []
-    for c in range(last, -1, -1):
-        out.append((c, state))
-        state = entry[c, state]
-    key = links.column("key")[0].as_py()
-    return pa.table({"key": pa.array([key] * len(out), pa.int64()), "chunk": pa.array([c for c, _ in out], pa.int64()), "exit": pa.array([e for _, e in out], pa.int64())})
-
-
 def _encode_small(vocab: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         for batch in batches:
             for lo, hi in groups(text_bytes(batch.column(0))[1]):
                 some = batch.slice(lo, hi - lo)
-                parts = [v.plain(" " + t) if t else b"" for t in (x.as_py() for x in some.column(0))]
+                parts = v.plain([" " + t if t else "" for t in some.column(0).to_pylist()])
                 ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
                 mask = some.column(0).is_null()
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)), mask=mask)
@@ -302,13 +496,17 @@ def _encode_small(vocab: Broadcast):
     return run
 
 
-def encode(docs: DataFrame, text_col: str = "text", out: str = "tokens", model: str = MODEL, chunk: int = CHUNK, seek: int = SEEK, name: str = "pieces") -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out: str = "tokens", model: str = MODEL, chunk: int = CHUNK, seek: int = SEEK, fan: int = FAN, name: str = "pieces") -> DataFrame:
     """``docs`` with the ids of each text added as ``out array<int>``.
 
     A null text has null ids and an empty one none.  Texts are encoded whole.  Texts within a chunk
     need no shuffle; chunks of longer ones are spread over tasks of their own.  Repeated rows get the
-    same ids.
+    same ids; of paths with equal scores the one with the longest last piece counts, whatever the cuts.
+    An empty table gives an empty one.  Other columns, whatever their names, stay; one named as ``out``
+    would be there twice and is an error.
     """
+    if out in docs.columns:
+        raise ValueError(f"there is a column {out} already")
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(Vocabulary.load(model))
     scratch = Scratch(spark, name)
@@ -320,10 +518,13 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "tokens", model:
     giant = scratch.save(flat.where(long).withColumn("_key", F.monotonically_increasing_id()))
     pieces = giant.select("_key", "_in").mapInArrow(lean(_chunks(vocab, chunk, seek)), "key long, chunk long, size long, whole boolean, text string")
     pieces = scratch.save(pieces.repartition("key", "chunk"))
-    matrices = pieces.mapInArrow(lean(_matrices(vocab)), "key long, chunk long, matrix binary")
-    alpha = matrices.groupBy("key").applyInArrow(_scan(vocab.value.longest), "key long, chunk long, alpha array<long>")
-    answers = scratch.save(pieces.join(scratch.save(alpha), ["key", "chunk"]).select("key", "chunk", "size", "whole", "text", "alpha").mapInArrow(lean(_answers(vocab)), "key long, chunk long, exit long, entry long, ids array<int>"))
-    taken = scratch.save(answers.select("key", "chunk", "exit", "entry").groupBy("key").applyInArrow(_links, "key long, chunk long, exit long"))
+    matrices = scratch.save(pieces.mapInArrow(lean(_matrices(vocab)), "key long, chunk long, item binary"))
+    states = scan(matrices, best_paths(vocab.value.longest), scratch, fan)
+    answers = scratch.save(pieces.join(states, ["key", "chunk"]).select("key", "chunk", "size", "whole", "text", "state").mapInArrow(lean(_answers(vocab)), "key long, chunk long, exit long, map binary, ids array<int>"))
+    last = answers.groupBy("key").agg(F.max("chunk").alias("last"))
+    turned = answers.where("map is not null").join(last, "key").select("key", (F.col("last") - F.col("chunk")).alias("chunk"), F.col("map").alias("item"))
+    taken = scan(scratch.save(turned), entries(), scratch, fan).join(last, "key")
+    taken = taken.select("key", (F.col("last") - F.col("chunk")).alias("chunk"), F.conv(F.hex("state"), 16, 10).cast("long").alias("exit"))
     ids = answers.join(taken, ["key", "chunk", "exit"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     ids = ids.select("key", F.flatten("parts.ids").alias("_ids"))
     whole = giant.join(ids, F.col("_key") == F.col("key")).select(*[f.name for f in fields], "_ids")
@@ -336,10 +537,11 @@ def decode(tokens: DataFrame, ids_col: str = "tokens", out: str = "decoded", mod
     flat, fields = beside(tokens, ids_col, "array<int>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = vocab.value
         for batch in batches:
             ids = batch.column(0)
             flat_ids, ends = np.asarray(ids.values), np.asarray(ids.offsets)
-            texts = [None if not ok else vocab.value.decode(flat_ids[a:b]) for ok, a, b in zip(np.asarray(ids.is_valid()), ends[:-1], ends[1:], strict=True)]
+            texts = [None if not ok else decoder.decode(flat_ids[a:b]) for ok, a, b in zip(np.asarray(ids.is_valid()), ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "_out"])
 
     return flat.mapInArrow(lean(run), T.StructType([*fields, T.StructField("_out", T.StringType())])).toDF(*tokens.columns, out)

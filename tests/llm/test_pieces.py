@@ -34,7 +34,7 @@ TEXT = st.text(alphabet="ab the\n▁éß漢<s>0x41-=/", max_size=80) | st.text(m
 @settings(max_examples=200, deadline=None)
 @given(TEXT)
 def test_equals_the_best_path_and_round_trips(text):
-    ids = np.frombuffer(VOCAB.plain(" " + text) if text else b"", np.int32)
+    ids = np.frombuffer(VOCAB.plain([" " + text if text else ""])[0], np.int32)
     assert ids.tolist() == brute(text)
     assert VOCAB.decode(ids) == text
 
@@ -58,7 +58,7 @@ def test_giants_equal_whole_texts(spark):
     rows = ["".join(rnd.choice(list("aabcdehst  \n=é漢"), n)) for n in (900, 3000, 501)] + ["".join(rnd.choice(list("aabcdehst="), n)) for n in (700, 2500)]
     rows += ["=" * 1300, "a" * 999, " " * 800, "word " * 300, "\n" * 600, None, "", "short", "short", "▁ x <s>"]
     df = spark.createDataFrame([(i, t, 5, "c") for i, t in enumerate(rows)], SCHEMA)
-    got = decode(encode(df, chunk=120, seek=9)).collect()
+    got = decode(encode(df, chunk=120, seek=9, fan=3)).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.text == rows[r.doc_id] and r.decoded == r.text and r.key == 5
@@ -74,3 +74,27 @@ def test_empty_table_and_other_sizes(spark):
     assert a == b and len(a) < len(t)
     with pytest.raises(Exception):  # noqa: B017  no such model
         Vocabulary.load("/nowhere.model")
+
+
+def test_many_segments_at_once_equal_one_at_a_time():
+    rnd = np.random.default_rng(3)
+    new = sorted({"".join(rnd.choice(list(" abcdehilnorst=é漢\u0001"), rnd.integers(1, 64))) for _ in range(3000)} | {"a", " ", "漢", "\n"}, key=len)
+    fresh = Vocabulary.load()
+    fresh.segments(new)
+    for s in new[::7]:
+        _, back = VOCAB.best(s)
+        assert np.frombuffer(fresh.memo[s], np.int32).tolist() == VOCAB.cut(s, back, len(s))[0]
+
+
+def test_a_giant_without_blanks_at_the_real_chunk_size(spark):
+    rnd = np.random.default_rng(5)
+    text = "".join(rnd.choice(list("abcdefghijklmnop=漢"), 200_000))
+    one = spark.createDataFrame([(1, text, 1, "")], SCHEMA)
+    got = decode(encode(one)).first()
+    _, back = VOCAB.best(" " + text)
+    assert got.decoded == text and got.tokens == VOCAB.cut(" " + text, back, len(text) + 1)[0]
+
+
+def test_an_output_column_that_is_there_already(spark):
+    with pytest.raises(ValueError):
+        encode(spark.createDataFrame([("a", 1)], "text string, tokens int"))
