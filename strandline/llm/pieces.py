@@ -40,7 +40,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters in a chunk of a giant text, and how far past that a cut may look for a segment's start.
 CHUNK, SEEK = 1 << 16, 1 << 10
 #: Segments whose pieces a task remembers, characters in one that is, characters of segments cut together.
-MEMORY, SHORT, LOT = 200_000, 64, 1 << 15
+MEMORY, SHORT, LOT = 120_000, 64, 1 << 15
+#: Bytes of text whose segments are looked up together.
+GROUP = 1 << 18
 #: Chunks, or blocks of them, that one task combines.
 FAN = 64
 NONE = -(1 << 60)
@@ -481,39 +483,51 @@ def _answers(vocab: Broadcast):
     return run
 
 
-def _encode_small(vocab: Broadcast):
+def _encode_small(vocab: Broadcast, verify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocab.value
         for batch in batches:
-            for lo, hi in groups(text_bytes(batch.column(0))[1]):
+            for lo, hi in groups(text_bytes(batch.column(0))[1], GROUP):
                 some = batch.slice(lo, hi - lo)
-                parts = v.plain([" " + t if t else "" for t in some.column(0).to_pylist()])
+                texts = some.column(0).to_pylist()
+                parts = v.plain([" " + t if t else "" for t in texts])
                 ends = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int32)
                 mask = some.column(0).is_null()
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), np.int32)), mask=mask)
-                yield pa.RecordBatch.from_arrays([*some.columns[1:], ids], names=[*batch.schema.names[1:], "_ids"])
+                same = [pa.array([t is None or v.decode(np.frombuffer(p, np.int32)) == t for t, p in zip(texts, parts, strict=True)])] if verify else []
+                yield pa.RecordBatch.from_arrays([*some.columns[1:], ids, *same], names=[*batch.schema.names[1:], "_ids", *["_same"][: len(same)]])
 
     return run
 
 
-def encode(docs: DataFrame, text_col: str = "text", out: str = "tokens", model: str = MODEL, chunk: int = CHUNK, seek: int = SEEK, fan: int = FAN, name: str = "pieces") -> DataFrame:
-    """``docs`` with the ids of each text added as ``out array<int>``.
+def _verify(vocab: Broadcast):
+    """Task function: (text, ids, other columns) to (other columns, ids, whether they decode to the text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocab.value
+        for batch in batches:
+            same = [v.decode(np.asarray(i.values)) == t.as_py() for t, i in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), pa.array(same)], names=[*batch.schema.names[2:], "_ids", "_same"])
+
+    return run
+
+
+def encode(docs: DataFrame, text_col: str = "text", out: str = "tokens", model: str = MODEL, chunk: int = CHUNK, seek: int = SEEK, fan: int = FAN, name: str = "pieces", verify: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each text added as ``out array<int>``, and under ``verify`` whether they decode to exactly the text.
 
     A null text has null ids and an empty one none.  Texts are encoded whole.  Texts within a chunk
     need no shuffle; chunks of longer ones are spread over tasks of their own.  Repeated rows get the
     same ids; of paths with equal scores the one with the longest last piece counts, whatever the cuts.
-    An empty table gives an empty one.  Other columns, whatever their names, stay; one named as ``out``
-    would be there twice and is an error.
+    An empty table gives an empty one.  Other columns, whatever their names, stay, but for one named as
+    a new column, which takes its place.
     """
-    if out in docs.columns:
-        raise ValueError(f"there is a column {out} already")
     spark = docs.sparkSession
     vocab = spark.sparkContext.broadcast(Vocabulary.load(model))
     scratch = Scratch(spark, name)
-    flat, fields = beside(docs, text_col, "string")
-    schema = T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
+    flat, fields, names = beside(docs, text_col, "string", (out, verify))
+    schema = T.StructType([*fields, T.StructField("_ids", T.ArrayType(T.IntegerType())), *[T.StructField("_same", T.BooleanType())][: verify is not None]])
     long = F.length("_in") > chunk
-    small = flat.where(F.col("_in").isNull() | ~long).mapInArrow(lean(_encode_small(vocab)), schema)
+    small = flat.where(F.col("_in").isNull() | ~long).mapInArrow(lean(_encode_small(vocab, verify is not None)), schema)
 
     giant = scratch.save(flat.where(long).withColumn("_key", F.monotonically_increasing_id()))
     pieces = giant.select("_key", "_in").mapInArrow(lean(_chunks(vocab, chunk, seek)), "key long, chunk long, size long, whole boolean, text string")
@@ -527,14 +541,16 @@ def encode(docs: DataFrame, text_col: str = "text", out: str = "tokens", model:
     taken = taken.select("key", (F.col("last") - F.col("chunk")).alias("chunk"), F.conv(F.hex("state"), 16, 10).cast("long").alias("exit"))
     ids = answers.join(taken, ["key", "chunk", "exit"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     ids = ids.select("key", F.flatten("parts.ids").alias("_ids"))
-    whole = giant.join(ids, F.col("_key") == F.col("key")).select(*[f.name for f in fields], "_ids")
-    return small.union(whole).toDF(*docs.columns, out)
+    whole = giant.join(ids, F.col("_key") == F.col("key"))
+    if verify is not None:
+        whole = whole.select("_in", "_ids", *[f.name for f in fields]).mapInArrow(lean(_verify(vocab)), schema)
+    return small.union(whole.select(*schema.names)).toDF(*names, out, *[verify][: verify is not None])
 
 
 def decode(tokens: DataFrame, ids_col: str = "tokens", out: str = "decoded", model: str = MODEL) -> DataFrame:
     """``tokens`` with the text of the ids added under ``out``: null for null ids, and exactly the encoded text otherwise."""
     vocab = tokens.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
-    flat, fields = beside(tokens, ids_col, "array<int>")
+    flat, fields, names = beside(tokens, ids_col, "array<int>", (out,))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = vocab.value
@@ -544,4 +560,4 @@ def decode(tokens: DataFrame, ids_col: str = "tokens", out: str = "decoded", mod
             texts = [None if not ok else decoder.decode(flat_ids[a:b]) for ok, a, b in zip(np.asarray(ids.is_valid()), ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], names=[*batch.schema.names[1:], "_out"])
 
-    return flat.mapInArrow(lean(run), T.StructType([*fields, T.StructField("_out", T.StringType())])).toDF(*tokens.columns, out)
+    return flat.mapInArrow(lean(run), T.StructType([*fields, T.StructField("_out", T.StringType())])).toDF(*names, out)

@@ -45,7 +45,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     trained = langid.in_training(F.col("doc_id"))
     model = toxicity.fit(docs.where(trained), labels.where(trained))
     scored = toxicity.score(docs.select("doc_id", (~trained).alias("held_out"), "text"), model)
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending"), F.col("offending.sentence").alias("offending"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,9 +71,8 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document's text, and whether they decode to exactly that text."""
-    coded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), name="op10")
-    back = pieces.decode(coded)
-    return back.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), "tokens", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    coded = pieces.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), name="op10", verify="round_trip")
+    return coded.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), "tokens", "round_trip")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

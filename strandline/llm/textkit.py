@@ -149,7 +149,11 @@ def sorted_overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def beside(df: DataFrame, column: str, kind: str) -> tuple[DataFrame, list[T.StructField]]:
-    """``df`` with ``column`` once more in front, as ``_in``, and the others under names that clash with nothing."""
-    fields = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(df.schema.fields)]
-    return df.select(df[column].cast(kind), *[df[c] for c in df.columns]).toDF("_in", *[f.name for f in fields]), fields
+def beside(df: DataFrame, column: str, kind: str, new: tuple[str | None, ...] = ()) -> tuple[DataFrame, list[T.StructField], list[str]]:
+    """``df`` with ``column`` once more in front, as ``_in``, and the others under names that clash with nothing; and the names that they had.
+
+    Columns that are named as one of the ``new`` ones are left out: those take their place.
+    """
+    names = [c for c in df.columns if c not in new]
+    fields = [T.StructField(f"c{i}", df.schema[c].dataType, df.schema[c].nullable) for i, c in enumerate(names)]
+    return df.select(df[column].cast(kind), *[df[c] for c in names]).toDF("_in", *[f.name for f in fields]), fields, names

@@ -95,6 +95,7 @@ def test_a_giant_without_blanks_at_the_real_chunk_size(spark):
     assert got.decoded == text and got.tokens == VOCAB.cut(" " + text, back, len(text) + 1)[0]
 
 
-def test_an_output_column_that_is_there_already(spark):
-    with pytest.raises(ValueError):
-        encode(spark.createDataFrame([("a", 1)], "text string, tokens int"))
+def test_a_column_named_as_a_new_one_is_replaced(spark):
+    df = spark.createDataFrame([("a b", 1, "x"), (None, 2, "y"), ("é" * 300, 3, "z")], "text string, tokens int, _ids string")
+    got = encode(df, chunk=100, seek=9, verify="same").collect()
+    assert [(r.text, r._ids, r.same, r.tokens is None) for r in sorted(got, key=lambda r: r._ids)] == [("a b", "x", True, False), (None, "y", True, True), ("é" * 300, "z", True, False)]
