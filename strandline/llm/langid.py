@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,8 +22,8 @@ from .textkit import beside, groups, lean, text_bytes
 DIM = 4096
 #: Labelled texts that the centroids are fitted on, at most, over all languages; centroids per language.
 SAMPLE, CENTROIDS = 2048, 4
-#: A text is rejected under this share of the least cosine seen in the sample.
-REJECT = 0.5
+#: A text is rejected under this share of a low quantile of the cosines that its language has in the sample.
+REJECT, LOW = 0.5, 0.02
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -61,12 +61,12 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
-    """``idf[DIM]``, ``centroids[k, DIM]`` with the language of each, and the cosine under which a text is rejected."""
+    """``idf[DIM]``, ``centroids[k, DIM]`` with the language of each, and the cosine under which each rejects a text."""
 
     idf: np.ndarray
     centroids: np.ndarray
     langs: list[str]
-    least: float
+    least: np.ndarray
 
     def vectors(self, tf: np.ndarray) -> np.ndarray:
         v = np.log1p(tf) * self.idf
@@ -74,8 +74,8 @@ class Model:
 
 
 def in_training(id_col: Column) -> Column:
-    """Rows that labels may be learnt from."""
-    return F.crc32(id_col.cast("string").cast("binary")) % 4 != 2
+    """Rows that labels may be learnt from; a row without an id is one of them."""
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 != 2, F.lit(True))
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,21 +117,25 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Centroids from the labelled rows of ``docs``; None if there are none.
 
     Document frequencies come from all labelled texts.  ``sample`` bounds the texts that come to the
-    driver, drawn evenly from each language by a hash of the id.
+    driver, drawn evenly from each language by a hash of the id; with more languages than that, one text
+    of each comes.  Null texts and labels are left out; repeated rows count as often as they come.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(10_000).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not sizes:
         return None
     told = {r.feature: r.n for r in rows.select("text").mapInArrow(lean(_frequencies), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
     n = np.array([told.get(i, 0) for i in range(DIM)], np.float64)
     idf = (np.log((1 + told[-1]) / (1 + n)) + 1).astype(np.float32)
     each = max(1, sample // len(sizes))
-    share = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(1.0, 0.9 * each / size))) for lang, size in sorted(sizes.items())])
-    key = F.xxhash64(F.col("id").cast("string"))
-    drawn = rows.withColumn("k", key).where(F.pmod("k", F.lit(1 << 30)) < share * (1 << 30))
-    got = sorted(map(tuple, drawn.select("k", "lang", "text").mapInArrow(lean(_sampled), "k long, lang string, tf binary").limit(2 * sample).collect()))
-    centroids, langs, least, model = [], [], 1.0, Model(idf, np.zeros((0, DIM)), [], 0.0)
+    counted = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    key = F.xxhash64(F.coalesce(F.col("id").cast("string"), "text"))
+    # about twice as many as are taken, so that the ranking below sees no more than that of any language
+    drawn = rows.withColumn("k", key).join(counted, "lang").where(F.pmod("k", F.lit(1 << 30)) < (2 * each + 20) / F.col("size") * (1 << 30))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", F.xxhash64("text")))
+    drawn = drawn.select("k", "lang", "text", rank.alias("i")).where(F.col("i") <= each)
+    got = sorted(map(tuple, drawn.select("k", "lang", "text").mapInArrow(lean(_sampled), "k long, lang string, tf binary").collect()))
+    centroids, langs, least, model = [], [], [], Model(idf, np.zeros((0, DIM)), [], np.zeros(0))
     for lang in sorted(sizes):
         own = [np.frombuffer(t, np.float32) for _, x, t in got if x == lang][:each]
         if own:
@@ -139,16 +143,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             c = _kmeans(x, k)
             centroids.append(c)
             langs += [lang] * len(c)
-            least = min(least, float((x @ c.T).max(1).min()))
+            least += [REJECT * float(np.quantile((x @ c.T).max(1), LOW))] * len(c)
     if not langs:
         return None
-    return Model(idf, np.concatenate(centroids).astype(np.float32), langs, REJECT * least)
+    return Model(idf, np.concatenate(centroids).astype(np.float32), langs, np.array(least))
 
 
 def _predict(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
+            lang, score, far = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows), np.ones(batch.num_rows, bool)
             letters = np.array([has_letter(t.as_py()) for t in batch.column(0)], bool)
             data, off, _ = text_bytes(batch.column(0))
             if model is not None:
@@ -157,7 +161,8 @@ def _predict(model: Model | None):
                     best = cos.argmax(1)
                     for i in np.flatnonzero(letters[lo:hi]):
                         lang[lo + i], score[lo + i] = model.langs[best[i]], min(1.0, max(0.0, float(cos[i, best[i]])))
-            rejected = ~letters | (score < (model.least if model is not None else 2.0))
+                        far[lo + i] = score[lo + i] < model.least[best[i]]
+            rejected = ~letters | far
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(lang), pa.array(score), pa.array(rejected)], names=[*batch.schema.names[1:], "_lang_pred", "_score", "_rejected"])
 
     return run
@@ -167,8 +172,10 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text", names
     """``docs`` with predicted language, best cosine and rejection added under ``names``, without a shuffle.
 
     Texts that are null or hold no letter get ``und``, score 0 and are rejected, as does every text
-    when there was nothing to learn from.  Texts are read whole; repeated rows get the same answer.
+    when there was nothing to learn from.  Texts are read whole; repeated rows get the same answer; of
+    centroids at the same cosine the first language in order counts; an empty table gives an empty one.
+    Other columns stay, whatever their names, but for ones named as the new ones, which take their place.
     """
-    flat, fields = beside(docs, text_col, "string")
+    flat, fields, kept = beside(docs, text_col, "string", names)
     schema = T.StructType(fields).add("_lang_pred", "string").add("_score", "double").add("_rejected", "boolean")
-    return flat.mapInArrow(lean(_predict(model)), schema).toDF(*docs.columns, *names)
+    return flat.mapInArrow(lean(_predict(model)), schema).toDF(*kept, *names)

@@ -194,9 +194,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", at: float = THR
     """``docs`` with the score of each text and its offending sentences added under ``names``, without a shuffle.
 
     Null and wordless texts score 0 and have no sentences.  Whole texts are read; repeated rows get
-    the same answer.
+    the same answer; sentences come in the order of the text, whatever their scores; an empty table
+    gives an empty one.  Other columns stay, whatever their names, but for ones named as the new ones,
+    which take their place.
     """
-    flat, fields = beside(docs, text_col, "string")
+    flat, fields, kept = beside(docs, text_col, "string", names)
     schema = T.StructType([*fields, T.StructField("_score", T.DoubleType())])
     schema = schema.add("_found", T.ArrayType(T.StructType([T.StructField("sentence", T.StringType()), T.StructField("score", T.DoubleType())])))
-    return flat.mapInArrow(lean(_score(model, at)), schema).toDF(*docs.columns, *names)
+    return flat.mapInArrow(lean(_score(model, at)), schema).toDF(*kept, *names)
