@@ -25,9 +25,6 @@ from .textkit import groups, lean, mix64, text_bytes, word_spans
 
 #: Words in a block, blocks in an output shard.
 BLOCK, SHARD = 512, 4096
-#: Sources whose totals may come to the driver: a mix is configured source by source.
-MAX_SOURCES = 100_000
-
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
     """Words to take of each source: ``share`` of all words by weight, none above ``most`` times its size.
@@ -35,33 +32,38 @@ def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: fl
     What a limit cuts off goes to the sources below theirs, by weight, until none is above.
     """
     out = [0.0] * len(sizes)
-    open_, left = {i for i, n in enumerate(sizes) if n > 0}, share * sum(sizes)
-    while open_:
-        total = sum(weights[i] for i in sorted(open_))
-        full = [i for i in sorted(open_) if left * weights[i] / total > most * sizes[i]]
-        if not full:
-            for i in open_:
-                out[i] = left * weights[i] / total
+    left, total = share * sum(sizes), sum(w for w, n in zip(weights, sizes, strict=True) if n > 0)
+    # a source with fewer words for its weight reaches its limit first
+    order = sorted((i for i, n in enumerate(sizes) if n > 0), key=lambda i: (sizes[i] / weights[i], i))
+    for k, i in enumerate(order):
+        if left * weights[i] / total <= most * sizes[i]:
+            for j in order[k:]:
+                out[j] = left * weights[j] / total
             break
-        for i in full:
-            out[i] = float(most * sizes[i])
-            open_.discard(i)
-        left = share * sum(sizes) - sum(most * sizes[i] for i in range(len(sizes)) if i not in open_)
+        out[i] = float(most * sizes[i])
+        left, total = left - out[i], total - weights[i]
     return out
 
 
-def permute(i: np.ndarray, n: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """Pseudorandom permutation of ``range(n)`` at ``i``: four Feistel rounds over the next even power of two, walked until inside."""
-    half = np.array([max(1, (int(x - 1).bit_length() + 1) // 2) for x in n.ravel().tolist()], np.uint64).reshape(n.shape)
+def permute(i: np.ndarray, n: int, seed: np.ndarray, back: bool = False) -> np.ndarray:
+    """Pseudorandom permutation of ``range(n)`` at ``i``: four Feistel rounds over the next even power of two, walked until inside.
+
+    ``back``: the inverse, by the same rounds in reverse, so that a slot is found without a search.
+    """
+    half = np.uint64(max(1, ((n - 1).bit_length() + 1) // 2))
     mask = (np.uint64(1) << half) - np.uint64(1)
     out, todo = i.astype(np.uint64), np.ones(len(i), bool)
     while todo.any():
-        x, h, m, s = out[todo], half[todo], mask[todo], seed[todo]
-        left, right = x >> h, x & m
-        for r in range(4):
-            left, right = right, left ^ (mix64(right + s + np.uint64(0x9E37 * (r + 1))) & m)
-        out[todo] = left << h | right
-        todo &= out >= n.astype(np.uint64)
+        x, s = out[todo], seed[todo]
+        left, right = x >> half, x & mask
+        for r in reversed(range(4)) if back else range(4):
+            key = s + np.uint64(0x9E37 * (r + 1))
+            if back:
+                left, right = right ^ (mix64(left + key) & mask), left
+            else:
+                left, right = right, left ^ (mix64(right + key) & mask)
+        out[todo] = left << half | right
+        todo &= out >= np.uint64(n)
     return out.astype(np.int64)
 
 
@@ -87,7 +89,7 @@ def plan_source(size: int, target: float, seed: int, block: int) -> Plan:
     if not rest:
         return Plan(size, target, blocks, tail, passes * blocks, block)
     # Slot at which the short last block comes up in the last pass: the rest ends before, in or after it.
-    at = int(np.flatnonzero(slot_blocks(np.arange(blocks) + passes * blocks, blocks, seed) == blocks - 1)[0]) if blocks < 1 << 20 else _find(blocks, passes, seed)
+    at = slot_of(blocks - 1, passes, blocks, seed)
     before = at * block
     if rest <= before:
         used, last = -(-rest // block), rest - (-(-rest // block) - 1) * block
@@ -99,19 +101,17 @@ def plan_source(size: int, target: float, seed: int, block: int) -> Plan:
     return Plan(size, target, blocks, tail, passes * blocks + used, last)
 
 
-def _find(blocks: int, passes: int, seed: int, step: int = 1 << 20) -> int:
-    for lo in range(0, blocks, step):
-        hit = np.flatnonzero(slot_blocks(np.arange(lo, min(blocks, lo + step)) + passes * blocks, blocks, seed) == blocks - 1)
-        if len(hit):
-            return lo + int(hit[0])
-    raise AssertionError("a permutation reaches every block")
-
-
 def slot_blocks(slots: np.ndarray, blocks: int, seed: int) -> np.ndarray:
     """Block index of each slot of a source: one permutation of all its blocks per pass."""
     passes = slots // blocks
     keys = mix64(passes.astype(np.uint64) + np.uint64(seed))
-    return permute(slots % blocks, np.full(len(slots), blocks, np.int64), keys)
+    return permute(slots % blocks, blocks, keys)
+
+
+def slot_of(index: int, passes: int, blocks: int, seed: int) -> int:
+    """The slot, counted from the start of a pass, at which a block of a source comes up."""
+    key = mix64(np.array([passes], np.uint64) + np.uint64(seed))
+    return int(permute(np.array([index], np.int64), blocks, key, back=True)[0])
 
 
 def _draw(probabilities: list[float], total: int, shard: int, seed: int):
@@ -183,17 +183,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """Mix all documents of ``docs`` to target weights.
 
     Sources in the order of their code points, null last, get ``weights`` in turn.  A null text has no
-    words and is never taken; repeated rows are documents of their own; an empty table gives an empty
-    mix.  The same input gives the same mix, however it is partitioned.  Only one row for each source
-    comes to the driver.  ``key_col`` names a column of row numbers to carry along.
+    words and is never taken; repeated rows are documents of their own, in any order, for they are
+    alike; an empty table gives an empty mix; other columns are ignored.  The same input gives the same
+    mix, however it is partitioned.  One row for each source comes to the driver, however many there
+    are: a mix is configured source by source.  ``key_col`` names a column of row numbers to carry along.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     told = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"), (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("key"))
     told = scratch.save(told.mapInArrow(lean(_count_words), "id long, source string, key long, size long"))
-    totals = told.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals = told.groupBy("source").agg(F.sum("size").alias("size")).collect()  # a row for each source that is mixed
     totals.sort(key=lambda r: (r.source is None, (r.source or "").encode()))
     sizes = [r["size"] for r in totals]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, most)
@@ -213,8 +212,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     else:
         drawn = spark.createDataFrame([], "shard long, s long, first long, count long")
     slots = drawn.mapInArrow(_expand(plans, seeds, block), "s long, slot long, shard long, block long, words long")
-    slots = slots.join(F.broadcast(sources.select("s", "tail", "blocks")), "s").withColumn("tail", F.expr("if(block = blocks - 1, tail, -1)")).drop("blocks")
-    numbered = told.join(F.broadcast(sources.select("s", F.col("source").alias("_source"))), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    slots = slots.join(sources.select("s", "tail", "blocks"), "s").withColumn("tail", F.expr("if(block = blocks - 1, tail, -1)")).drop("blocks")
+    numbered = told.join(sources.select("s", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     numbered = running_start(numbered, ["s"], ["id", "size"], F.xxhash64("id", F.lit(seed)), "size", "start", scratch)
     # rows that agree in everything but their place are told apart by it
     numbered = numbered.withColumn("row", F.col("start"))
@@ -228,7 +227,7 @@ def taken_words(m: Mix) -> DataFrame:
     taken = m.scratch.save(taken)
     d = m.documents
     same = d["id"].eqNullSafe(taken["id"]) & (d["s"] == taken["s"]) & (d["row"] == taken["row"]) & (d["size"] > 0)
-    out = d.join(taken, same, "left").join(F.broadcast(m.sources.select(F.col("s").alias("_s"), "source_size", "target")), F.col("_s") == d["s"])
+    out = d.join(taken, same, "left").join(m.sources.select(F.col("s").alias("_s"), "source_size", "target"), F.col("_s") == d["s"])
     return out.select(d["id"], d["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -266,18 +265,21 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*(c.take(pa.array(rows)) for c in batch.columns[2:]), pa.array(texts, pa.string())], names=[*batch.schema.names[2:], "_text"])
 
 
-def mixed_documents(docs: DataFrame, text_col: str = "text", name: str = "mixed", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", name: str = "mixed", **options) -> DataFrame:
     """``docs`` as the mix takes them: a row for each run of a document's words, as often as it is taken.
 
     A document whose blocks are all taken equally often stays in one piece, once or twice; one that the
-    end of a source's quota cuts comes in parts; one that is not taken, or has no words, goes.
+    end of a source's quota cuts comes in parts; one that is not taken, or has no words, goes.  Other
+    columns stay, whatever their names; nulls, repeated rows and empty tables are as in ``mix``.
     """
     scratch = Scratch(docs.sparkSession, name)
-    kept = scratch.save(docs.withColumn("_row", F.monotonically_increasing_id()))
-    m = mix(kept, text_col=text_col, name=name, key_col="_row", **options)
-    parts = m.pieces().where("full > 0 or words > at").groupBy("key").agg(F.collect_list(F.struct("a", "b", "at", "full", "words")).alias("_parts"))
-    rows = kept.join(scratch.save(parts), F.col("_row") == F.col("key"))
-    other = [c for c in docs.columns if c != text_col]
-    out = rows.select(F.col(text_col).cast("string").alias("_in"), "_parts", *[kept[c] for c in other])
-    schema = T.StructType([*(docs.schema[c] for c in other), T.StructField("_text", T.StringType())])
-    return out.mapInArrow(lean(_cut), schema).select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = scratch.save(docs.toDF(*at.values()).withColumn("_row", F.monotonically_increasing_id()))
+    m = mix(kept, at[id_col], at[text_col], at[source_col], name=name, key_col="_row", **options)
+    parts = m.pieces().where("full > 0 or words > at").groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("a", "b", "at", "full", "words")).alias("_parts"))
+    rows = kept.join(scratch.save(parts), F.col("_row") == F.col("_key"))
+    other = [c for c in at.values() if c != at[text_col]]
+    out = rows.select(F.col(at[text_col]).cast("string").alias("_in"), "_parts", *other)
+    schema = T.StructType([*(kept.schema[c] for c in other), T.StructField("_text", T.StringType())])
+    done = out.mapInArrow(lean(_cut), schema)
+    return done.select(*["_text" if c == at[text_col] else c for c in at.values()]).toDF(*docs.columns)

@@ -46,3 +46,29 @@ def near(rows, percent: int) -> dict:
         links |= {(j, i) for j, c in count.items() if 100 * c >= percent * (len(s) + len(sets[j]) - c)}
     comp = components(sets, links)
     return {i: (len(s), comp[i]) for i, s in sets.items()}
+
+
+def fill(sizes, weights, share=1.5, most=2.0):
+    """Targets by pouring a little at a time: binary search for the level at which all of ``share`` is spent."""
+    goal = share * sum(sizes)
+    lo, hi = 0.0, 4.0 * sum(sizes) + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if sum(min(most * n, mid * w) for n, w in zip(sizes, weights)) < goal:
+            lo = mid
+        else:
+            hi = mid
+    return [min(most * n, hi * w) for n, w in zip(sizes, weights)]
+
+
+def walk(documents, slots, block):
+    """(id, size, words taken) of documents (s, start, size, id, row) under slots (s, block, words), one word after the other."""
+    held = {}
+    for k, (s, start, size, _, _) in enumerate(documents):
+        for w in range(start, start + size):
+            held[s, w] = k
+    taken = [0] * len(documents)
+    for s, b, words in slots:
+        for w in range(b * block, b * block + words):
+            taken[held[s, w]] += 1
+    return [(d[3], d[2], n) for d, n in zip(documents, taken)]

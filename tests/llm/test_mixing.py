@@ -3,10 +3,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-from brute import WORD
+from brute import WORD, fill, walk
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from strandline.llm.mixing import mix, permute, plan_source, slot_blocks, taken_words, targets
+from strandline.llm.mixing import mix, mixed_documents, permute, plan_source, slot_blocks, taken_words, targets
 
 SCHEMA = "doc_id long, text string, source string, size int, s string"
 
@@ -26,7 +26,8 @@ def test_targets_fill_up_to_the_limit(sizes):
 @given(st.integers(1, 3000), st.integers(0, 2**60))
 def test_permutation(n, seed):
     i = np.arange(n)
-    assert sorted(permute(i, np.full(n, n), np.full(n, seed, np.uint64))) == list(range(n))
+    assert sorted(to := permute(i, n, np.full(n, seed, np.uint64))) == list(range(n))
+    assert (permute(to, n, np.full(n, seed, np.uint64), back=True) == i).all()
 
 
 @settings(max_examples=200, deadline=None)
@@ -56,7 +57,7 @@ def test_every_source_meets_its_target(spark):
     for _, t, s, *_ in rows:
         total[s] += size(t)
     order = sorted(total, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, targets([total[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))]), strict=True))
+    want = dict(zip(order, fill([total[s] for s in order], [(3, 1, 2)[i % 3] for i in range(len(order))]), strict=True))
     of = {r[0]: r[2] for r in rows}
     taken = defaultdict(int)
     for r in got:
@@ -71,6 +72,25 @@ def test_every_source_meets_its_target(spark):
     # one slot is one block of one source, in a shard of the agreed size
     slots = one.slots.collect()
     assert len({(x.s, x.slot) for x in slots}) == len(slots)
+    # what every document gives, word by word
+    by_hand = walk([(d.s, d.start, d.size, d.id, d.key) for d in one.documents.collect()], [(x.s, x.block, x.words) for x in slots], 32)
+    assert Counter((r.id, r.size, r.taken) for r in got) == Counter((i, n, k) for i, n, k in by_hand)
+    # every pass goes through all blocks of a source before the next one begins
+    for s in {x.s for x in slots}:
+        own = [x.block for x in sorted(slots, key=lambda x: x.slot) if x.s == s]
+        n = one.sources.where(f"s = {s}").first().blocks
+        for lo in range(0, len(own), n):
+            assert len(set(own[lo : lo + n])) == len(own[lo : lo + n])
+
+
+def test_documents_with_clashing_columns(spark):
+    names = ["key", "_row", "_key", "_parts", "s", "start", "row", "size"]
+    df = spark.createDataFrame([(i, "a b c " * i, "x", *["keep"] * len(names)) for i in range(9)], "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    got = mixed_documents(df, block=4, shard=2)
+    assert got.columns == df.columns
+    rows = got.collect()
+    assert {tuple(r)[3:] for r in rows} == {("keep",) * len(names)}
+    assert sum(len(WORD.findall(r.text)) for r in rows) == int(1.5 * 3 * sum(range(9)) + 0.5)
 
 
 def test_empty_tables(spark):
