@@ -12,31 +12,39 @@ from __future__ import annotations
 
 import gzip
 import io
+import re
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
 #: Seconds in a bucket of time.
-BUCKET = 86_400
+BUCKET = 3_600
 # Headers of the stored response that a not-modified answer never replaces.
 KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
 # Query parameters that don't change a page.
-TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid|sessionid)(=|$)"
+TRACKING = "^(utm_[a-z]+|fbclid|gclid|sessionid)(=|$)"
 
-_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?([^/?#:]*)(:[0-9]+)?([^?#]*)"
+_URL = r"^[\x00-\x20]*(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?(?:[wW]{3}\.)?(\[[^\]/?#]*\]|[^/?#:\[]*)(:[0-9]+)?([^?#]*)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without scheme, user, ``www.`` and usual port; path without a last slash; other parameters in order; no fragment."""
+    """Host in lower case without scheme, user, ``www.`` and the usual port of the scheme; path without a last slash; other parameters in order; no fragment.
+
+    A URL without a host is its own canonical form, without spaces around it.
+    """
     part = lambda i: F.regexp_extract(url, _URL, i)
     query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
     kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))), "&")
-    path = F.regexp_replace(part(3), "/+$", "")
-    return F.when(url.isNotNull(), F.concat(F.lower(part(1)), F.when(part(2).isin(":80", ":443"), "").otherwise(part(2)), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")))
+    path = F.regexp_replace(F.trim(part(4)), "/+$", "")
+    usual = F.concat(F.lower(part(1)), part(3)).isin("http:80", "https:443")
+    whole = F.concat(F.lower(part(2)), F.when(usual, "").otherwise(part(3)), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""))
+    return F.when(url.isNotNull(), F.when(part(2) == "", F.trim(url)).otherwise(whole))
 
 
 def _strong(etag: Column) -> Column:
@@ -52,12 +60,14 @@ def resolve_revisits(records: DataFrame, bucket: int = BUCKET, name: str = "warc
     ``resolved``; ``mismatch`` (the first validator that the revisit has - entity tag, then date, then
     digest - differs from the response's); ``unvalidated`` (it has none: nothing is merged);
     ``missing`` (no earlier full response, or no URL).  Rows without id or time are left out; repeated
-    rows are resolved alike, each to an earlier record.
+    rows are resolved alike, each to an earlier record.  Values of any length are compared whole; an
+    empty table gives an empty one; other columns are left out, whatever their names.
     """
     scratch = Scratch(records.sparkSession, name)
     full = (F.col("kind") == "response") & (F.col("status") == 200)
     answer = F.struct("ts", "record_id", "etag", "last_modified", "digest", "headers")
-    rows = records.where("record_id is not null and ts is not null").withColumn("key", canonical_url(F.col("url")))
+    taken = ("record_id", "url", "ts", "kind", "status", "etag", "last_modified", "digest", "headers")
+    rows = records.where("record_id is not null and ts is not null").select(*taken, canonical_url(F.col("url")).alias("key"))
     known = rows.where("key is not null").withColumn("b", F.expr(f"ts div {bucket}")).withColumn("full", F.when(full, answer))
     before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
     ends = known.where("full is not null").groupBy("key", "b").agg(F.max_by("full", F.struct("ts", "record_id")).alias("end"))
@@ -113,10 +123,10 @@ WITH c AS (
   SELECT page_id, url, html, page_id * 60 AS ts, page_id % 3 = 1 AS revisit,
     CASE WHEN page_id % 5 <> 0 THEN '"v' || (page_id % 2)::VARCHAR || '"' END AS etag,
     CASE WHEN page_id % 7 <> 0 THEN (page_id % 2)::VARCHAR END AS lm,
-    regexp_extract(url, '{_URL}', 1) AS host, regexp_extract(url, '{_URL}', 2) AS port, regexp_extract(url, '{_URL}', 3) AS path,
+    lower(regexp_extract(url, '{_URL}', 1)) AS scheme, regexp_extract(url, '{_URL}', 2) AS host, regexp_extract(url, '{_URL}', 3) AS port, trim(regexp_extract(url, '{_URL}', 4), ' ') AS path,
     list_sort(list_filter(string_split(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}'))) AS q
   FROM pages),
-k AS (SELECT *, lower(host) || CASE WHEN port IN (':80', ':443') THEN '' ELSE port END || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS key FROM c),
+k AS (SELECT *, CASE WHEN host = '' THEN trim(url, ' ') ELSE lower(host) || CASE WHEN scheme || port IN ('http:80', 'https:443') THEN '' ELSE port END || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS key FROM c),
 r AS (SELECT k.*, (SELECT max(o.page_id) FROM k o WHERE o.key = k.key AND NOT o.revisit AND o.page_id < k.page_id) AS ref FROM k WHERE revisit),
 s AS (
   SELECT r.*, o.html AS body, o.page_id AS oid, CASE WHEN ref IS NULL THEN 'missing'
@@ -133,10 +143,10 @@ FROM s
 """
 
 
-def parse_warc(data: bytes) -> Iterator[dict]:
-    """Records of a WARC file, plain or gzipped by record; a damaged tail ends it."""
-    raw = gzip.open(io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
-    with io.BufferedReader(raw) as f:
+def parse_warc(data: bytes | BinaryIO) -> Iterator[dict]:
+    """Records of a WARC file, plain or gzipped by record, one after the other as the file is read; a damaged tail ends it."""
+    plain = io.BufferedReader(io.BytesIO(data) if isinstance(data, bytes) else data)
+    with io.BufferedReader(gzip.GzipFile(fileobj=plain)) if plain.peek(2)[:2] == b"\x1f\x8b" else plain as f:
         while line := f.readline():
             if not line.startswith(b"WARC/"):
                 continue
@@ -156,10 +166,12 @@ def parse_warc(data: bytes) -> Iterator[dict]:
 
 
 def _headers(f) -> dict[str, str]:
+    """Headers by their name in lower case; values of a repeated name stand one after the other, as in HTTP."""
     out: dict[str, str] = {}
     while (line := f.readline()) not in (b"\r\n", b"\n", b""):
         name, _, value = line.decode("utf-8", "replace").partition(":")
-        out[name.strip().lower()] = value.strip()
+        name, value = name.strip().lower(), value.strip()
+        out[name] = f"{out[name]}, {value}" if name in out else value
     return out
 
 
@@ -167,17 +179,20 @@ _TYPE = "record_id string, kind string, url string, date string, digest string,
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files under ``path``, a file a task."""
+    """Records of the WARC files under ``path``, a file a task; a file is read as a stream, so that only one record at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.string()] * 5 + [pa.int32(), pa.map_(pa.string(), pa.string()), pa.binary()]
         names = ["record_id", "kind", "url", "date", "digest", "status", "headers", "body"]
         for batch in batches:
-            for content in batch.column(0):
-                for r in parse_warc(content.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n]], k) for n, k in zip(names, kinds, strict=True)], names=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _TYPE)
+            for uri in batch.column(0).to_pylist():
+                store, inner = fs.FileSystem.from_uri(re.sub("^file:/*", "file:///", uri))
+                with store.open_input_stream(inner, compression=None) as stream:
+                    for r in parse_warc(stream):
+                        yield pa.RecordBatch.from_arrays([pa.array([list(r[n].items()) if n == "headers" else r[n]], k) for n, k in zip(names, kinds, strict=True)], names=names)
+
+    # the content column isn't read: pruned, so that no file has to fit a row
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, _TYPE)
 
 
 def records_of(warc: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ SCHEMA = "record_id long, url string, ts long, kind string, status int, etag str
 
 
 def test_canonical_urls(spark):
-    urls = ["HTTP://user@WWW.Ex.org:80/A/b/?utm_source=x&b=2&a=1#top", "https://ex.org/A/b?a=1&b=2", "//ex.org:8080/", "https://ex.org?ref=z", None]
+    urls = ["HTTP://user@WWW.Ex.org:80/A/b/?utm_source=x&b=2&a=1#top", "https://ex.org/A/b?a=1&b=2", "//ex.org:8080/", "https://ex.org?ref=z", None, "example.org/a", " dns:x ", "http://h:443/", "https://h:443/", "http://[::1]:80/x", "mailto:a@b", ""]
     got = [r.k for r in spark.createDataFrame([(u,) for u in urls], "u string").select(canonical_url(F.col("u")).alias("k")).collect()]
-    assert got == ["ex.org/A/b?a=1&b=2", "ex.org/A/b?a=1&b=2", "ex.org:8080", "ex.org", None]
+    assert got == ["ex.org/A/b?a=1&b=2", "ex.org/A/b?a=1&b=2", "ex.org:8080", "ex.org?ref=z", None, "example.org/a", "dns:x", "h:443", "h", "[::1]/x", "mailto:a@b", ""]
 
 
 def brute(rows):
@@ -46,6 +46,14 @@ def test_equals_a_search_of_all_earlier_records(spark):
         key = lambda r: (r[0], r[1], r[2], sorted(r[3].items()) if r[3] is not None else None)
         assert sorted(map(repr, map(key, got))) == sorted(map(repr, map(key, brute(rows))))
     assert resolve_revisits(df.limit(0)).count() == 0
+    clash = df.select("*", *[F.lit(1).alias(c) for c in ("key", "b", "full", "near", "carried", "end", "state", "refers_to", "canonical_url")])
+    assert resolve_revisits(clash).count() == len(brute(rows))
+
+
+def test_urls_without_a_host_are_kept_apart(spark):
+    rows = [(1, "example.org/a", 1, "response", 200, '"e"', None, None, None, "x"), (2, "example.org/b", 2, "revisit", 304, '"e"', None, None, None, "x"), (3, "example.org/a", 3, "revisit", 304, '"e"', None, None, None, "x")]
+    got = {r.record_id: (r.state, r.refers_to) for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {2: ("missing", None), 3: ("resolved", 1)}
 
 
 def record(kind, uri, date, http, i):
@@ -56,11 +64,11 @@ def record(kind, uri, date, http, i):
 
 def test_reading_files_and_resolving(spark, tmp_path):
     one = record("response", "http://a.org/x", "2024-01-01T00:00:00Z", 'HTTP/1.1 200 OK\r\nETag: "e"\r\nContent-Length: 4\r\n\r\nbody', 1)
-    two = record("revisit", "https://www.a.org/x#y", "2024-01-02T00:00:00Z", 'HTTP/1.1 304 Not Modified\r\nETag: "e"\r\nAge: 7\r\n\r\n', 2)
+    two = record("revisit", "https://www.a.org/x#y", "2024-01-02T00:00:00Z", 'HTTP/1.1 304 Not Modified\r\nETag: "e"\r\nAge: 7\r\nVary: a\r\nVary: b\r\n\r\n', 2)
     (tmp_path / "a.warc").write_bytes(one + two[:-30])
     (tmp_path / "b.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(two))
     assert read_warc(spark, str(tmp_path / "a.warc")).count() == 1
     got = read_warc(spark, str(tmp_path / "b.warc.gz"))
     assert [bytes(r.body) for r in got.collect()] == [b"body", b""]
     r = resolve_revisits(records_of(got)).first()
-    assert r.state == "resolved" and r.headers == {"etag": '"e"', "content-length": "4", "age": "7"}
+    assert r.state == "resolved" and r.headers == {"etag": '"e"', "content-length": "4", "age": "7", "vary": "a, b"}
