@@ -7,7 +7,9 @@ validator rejects is dropped and not retried at another start.  Spans of one kin
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 # The kinds in order, with context words that raise a score when they stand near.
 BASE_KINDS = ("email", "ip", "card", "phone")
-MORE_KINDS = ("iban", "ssn")
+MORE_KINDS = ("iban", "ssn", "secret")
 CONTEXT = {
     "email": ("mail", "e-mail", "contact", "write", "correo", "courriel"),
     "ip": ("ip", "address", "host", "server", "login", "adresse"),
@@ -23,12 +25,22 @@ CONTEXT = {
     "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "teléfono", "téléphone"),
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security"),
+    "secret": ("token", "secret", "password", "passwd", "key", "bearer", "credential"),
 }
 # Score of a match alone, what a checksum adds, what a context word adds, least score kept of the kinds beyond the base ones.
-ALONE = {"email": 0.7, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.3, "ssn": 0.2}
+ALONE = {"email": 0.7, "ip": 0.5, "card": 0.4, "phone": 0.5, "iban": 0.3, "ssn": 0.2, "secret": 0.4}
 CHECKED, NEAR, LEAST = 0.4, 0.3, 0.5
 #: Characters before and after a span that are searched for context words.
 REACH = 48
+# Characters of an account number (ISO 13616) by country.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
 
 # The patterns start at the head of a run and never give characters back, so that long runs of
 # digits or letters cost linear time; matches are the same as those of the plain patterns.
@@ -37,7 +49,13 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
+_MORE = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in sorted(set(IBAN_LENGTHS.values()))}
+_SECRET = re.compile(
+    r"""(?<![A-Za-z0-9])(?:(?:token|secret|password|passwd|pwd|bearer|api[_-]?key|access[_-]?key|secret[_-]?key)["']?[ \t]*(?:=|:)[ \t]*["']?(?P<value>[A-Za-z0-9+/_.=-]{12,256}+)"""
+    r"""|(?P<marked>AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----))""",
+    re.IGNORECASE,
+)
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
@@ -57,6 +75,24 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
 
 
+def dense(value: str) -> bool:
+    """Whether a value looks drawn at random: letters and digits, three bits a character at least."""
+    n = len(value)
+    bits = -sum(k / n * log2(k / n) for k in Counter(value).values())
+    return bits >= 3.0 and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers, as long as their country has them, whatever capitals follow."""
+    end = 0
+    for m in _IBAN.finditer(text):
+        size = IBAN_LENGTHS.get(m[1])
+        rest = _MORE[size].match(text, m.end()) if size and m.start() >= end else None
+        if rest and mod97(text[m.start() : rest.end()].replace(" ", "")):
+            end = rest.end()
+            yield m.start(), end
+
+
 def _emails(text: str) -> Iterator[tuple[int, int]]:
     end = 0
     at = text.find("@")
@@ -88,13 +124,17 @@ def _propose(text: str) -> Iterator[tuple[str, int, int, bool]]:
     for m in _PHONE.finditer(text):
         if 9 <= len(_digits(m[0])) <= 15:
             yield "phone", *m.span(), False
-    for m in _IBAN.finditer(text):
-        if 15 <= len(code := m[0].replace(" ", "")) <= 34 and mod97(code):
-            yield "iban", *m.span(), True
+    for start, end in _ibans(text):
+        yield "iban", start, end, True
     for m in _SSN.finditer(text):
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", *m.span(), False
+    for m in _SECRET.finditer(text):
+        if m["value"] is None:
+            yield "secret", *m.span(), True
+        elif dense(m["value"]):
+            yield "secret", *m.span("value"), True
 
 
 def find_spans(text: str | None) -> list[dict]:
@@ -124,7 +164,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``(id, spans)`` for every row of ``docs``, without a shuffle.
 
     Null and empty texts give an empty list; repeated rows and null ids give a row each; texts of any
-    length are searched whole; other columns are ignored.
+    length are searched whole; an empty table gives an empty one; other columns are ignored, whatever
+    their names.  Spans at one place come in the order of the kinds.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
@@ -152,7 +193,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts per base kind, the SHA-256 of the base spans, and all spans as text."""
+    """Counts per base kind, the SHA-256 of the base spans, all spans as text, their number, and the best score (0 without any)."""
 
     def told(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -161,4 +202,4 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("spans", lambda s: s["base"])
-    return found.select(id_col, *[count(k) for k in BASE_KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+    return found.select(id_col, *[count(k) for k in BASE_KINDS], F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.array_max("spans.score"), F.lit(0.0)).alias("best_score"))
