@@ -3,7 +3,7 @@
 Built-in DataFrame functions only.  A line's frequency is the number of pages of a host that hold it
 over the number of pages of that host.  Lines are counted by 128-bit hashes, once for each page and
 combined before the shuffle, so a line on every page of a host that holds a third of all pages costs
-one row for each task.  What is dropped for a host is at most (mean lines of a page / ratio) lines,
+one row for each task; pages look the dropped lines of their host up by the first 64 bits.  What is dropped for a host is at most (mean lines of a page / ratio) lines,
 whatever the size of the host, so it fits one array; pages themselves are not shuffled while the table
 of those arrays is small enough for Spark to broadcast, and are joined by host, in parts where a host
 is large, when it isn't.
@@ -56,21 +56,31 @@ def boilerplate(pages: DataFrame, host: str, text: str, scratch: Scratch, ratio:
 def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, least_pages: int = LEAST_PAGES, name: str = "lines") -> DataFrame:
     """``pages`` with ``text`` less its boilerplate lines, and ``n_lines``, ``n_dropped`` added.
 
+    A line goes if it is on more than the share ``ratio`` of its host's pages, and on ``least_pages`` of
+    them at least: hosts with fewer pages than that keep every line.
     Lines are compared without spaces around them; blank lines never count and never go.  A page that
     holds a line twice counts once and loses both.  Null texts and hosts stay as they are; a repeated
-    row is a page of its own; a page may end up empty but is never removed.
+    row is a page of its own; a page may end up empty but is never removed.  Texts of any length are
+    compared whole; an empty table gives an empty one.  Other columns stay, whatever their names, but
+    for ones named ``n_lines`` or ``n_dropped``, which the new ones replace.
     """
     scratch = Scratch(pages.sparkSession, name)
-    found = boilerplate(pages, host, text, scratch, ratio, least_pages).withColumnsRenamed({"host": "_found_host", "lines": "_found"})
-    marked = pages.join(found, F.col(host) == F.col("_found_host"), "left")
+    names = [c for c in pages.columns if c not in ("n_lines", "n_dropped")]
+    flat = pages.select(*names).toDF(*[f"c{i}" for i in range(len(names))])
+    host, text = (f"c{names.index(c)}" for c in (host, text))
+    found = boilerplate(flat, host, text, scratch, ratio, least_pages).withColumnsRenamed({"host": "_found_host", "lines": "_found"})
+    marked = flat.join(found, F.col(host) == F.col("_found_host"), "left")
     old = _lines(F.col(text))
-    kept = F.when(F.col("_found").isNull(), old).otherwise(F.filter(old, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_found"), F.xxhash64(F.trim(x)))))
+    # the few of the host's lines that this page has, so that its own lines aren't held against all of them
+    here = F.array_intersect(F.transform(old, lambda x: F.xxhash64(F.trim(x))), F.col("_found"))
+    marked = marked.withColumn("_here", here)
+    kept = F.when(F.col("_here").isNull() | (F.size("_here") == 0), old).otherwise(F.filter(old, lambda x: (F.trim(x) == "") | ~F.array_contains(F.col("_here"), F.xxhash64(F.trim(x)))))
     marked = marked.withColumn("_kept", kept)
     return marked.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == text else pages[c] for c in pages.columns],
-        F.coalesce(F.size(old), F.lit(0)).cast("long").alias("n_lines"),
-        (F.coalesce(F.size(old), F.lit(0)) - F.coalesce(F.size("_kept"), F.lit(0))).cast("long").alias("n_dropped"),
-    )
+        *[F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in flat.columns],
+        F.coalesce(F.size(old), F.lit(0)).cast("long"),
+        (F.coalesce(F.size(old), F.lit(0)) - F.coalesce(F.size("_kept"), F.lit(0))).cast("long"),
+    ).toDF(*names, "n_lines", "n_dropped")
 
 
 def page_lines(pages: DataFrame) -> DataFrame:

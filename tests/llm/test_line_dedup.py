@@ -40,6 +40,11 @@ def test_empty_table_and_clashing_columns(spark):
     assert drop_boilerplate(df, "host", "text").count() == 0
     got = drop_boilerplate(spark.createDataFrame([(1, "a", "x", 3, "keep")], SCHEMA), "host", "text").first()
     assert got.n_lines_old == 3 and got["lines"] == "keep"
+    names = ["c0", "c1", "_found", "_found_host", "_here", "_kept", "total", "line", "h1", "n_lines", "n_dropped"]
+    clash = spark.createDataFrame([(1, "a", "x\ny", *["keep"] * len(names))], "page_id int, host string, text string, " + ", ".join(f"{c} string" for c in names))
+    got = drop_boilerplate(clash, "host", "text")
+    assert got.columns == ["page_id", "host", "text", *names[:-2], "n_lines", "n_dropped"]
+    assert tuple(got.first()) == (1, "a", "x\ny", *["keep"] * (len(names) - 2), 2, 0)
 
 
 def test_hosts_and_html(spark):
