@@ -168,15 +168,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``percent``: link two documents when ``100 * |A and B| >= percent * |A or B|`` on their sets of
     ``shingle``-word shingles.  Null or wordless texts have an empty set and are linked with nothing;
-    shorter texts than a shingle count as one.  ``id_col`` holds distinct integers; rows without an id
-    are left out.  Other columns are ignored.  A pair at the threshold is missed by all bands with a
+    shorter texts than a shingle count as one.  Rows that repeat an id are one document with several
+    texts: each row is returned, and a link of any of them is a link of the document.  Rows without an
+    id are linked with nothing and kept: they get a row with a null ``component_id``.  An empty table
+    gives an empty one.  Other columns are ignored, whatever their names.  A pair at the threshold is missed by all bands with a
     probability under one in two million at 0.85 (under one in ten thousand at 0.8).
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     told = scratch.save(texts.mapInArrow(lean(_describe(shingle)), "id long, n long, fp1 long, fp2 long, bands array<long>"))
 
+    every, told = told, told.where("id is not null")
     copies = told.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("fp1", "fp2", "rep")
     copies = scratch.save(copies)
     member = told.select("id", "n", "fp1", "fp2").join(copies, ["fp1", "fp2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
@@ -189,10 +192,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = family.groupBy("family").agg(F.count("*").alias("members"))
     sizes = scratch.save(sizes.select("family", F.ceil(F.col("members") / F.least(F.greatest(F.lit(BLOCK), F.col("members") / SPLIT), F.lit(MOST))).alias("blocks")))
     placed = family.join(sizes, "family").select("id", "family", "blocks")
-    rows = texts.join(scratch.save(placed), "id").select("id", "text", "family", "blocks").mapInArrow(lean(_full_sets(shingle)), "id long, family long, i long, j long, own long, set binary")
+    rows = texts.where("id is not null").join(scratch.save(placed), "id").select("id", "text", "family", "blocks").mapInArrow(lean(_full_sets(shingle)), "id long, family long, i long, j long, own long, set binary")
     links = rows.groupBy("family", "i", "j").applyInArrow(_confirm(percent), "u long, v long")
     tied = scratch.save(components(links, scratch))
-    out = told.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    others = others.groupBy("id").agg(F.min("rep").alias("rep"))
+    out = every.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = out.join(tied.withColumnRenamed("node", "rep"), "rep", "left")
     group = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), (F.col("id") == group).alias("kept"))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), group.alias("component_id"), F.col("id").eqNullSafe(group).alias("kept"))

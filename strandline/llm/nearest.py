@@ -5,7 +5,8 @@ cell is the signed axis with the largest coordinate.  A table concatenates as ma
 number of rows asks for; there are several tables.  A query probes, in each table, the cells that its
 own coordinates rank first; all rows of a probed cell are candidates and are ranked by their exact
 inner product.  How many cells to probe, of how many tables, is read from audited queries whose nearest
-rows are known; where no number of tables reaches the recall, every query is answered by a scan of all rows.
+rows are known, and checked on others; where no number of tables reaches the recall, every query is
+compared with all rows, block by block.
 
 For vectors of unequal length the largest inner product becomes the largest cosine by one more
 coordinate that fills every row up to the longest.
@@ -13,6 +14,7 @@ coordinate that fills every row up to the longest.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,10 +28,11 @@ from .vectors import best_of, main_width, matrix, scan_nearest, valid_vectors
 
 #: Tables at first and at most.
 TABLES, TABLES_MOST = 4, 16
-#: Audited queries at most, and the share of their nearest rows that the probed cells must hold.
-AUDIT, RECALL = 128, 0.96
-#: Rows of a cell that one task compares with its queries; larger cells are split.
-BLOCK = 512
+#: Audited queries at most, the share of their nearest rows that the probed cells must hold, and the least share on those audited queries that the number wasn't read from.
+AUDIT, RECALL, LEAST = 192, 0.96, 0.94
+#: Rows of a cell that one task compares with its queries; larger cells are split.  Rows in a block when all are compared.
+BLOCK, WHOLE = 512, 4096
+_LOG = logging.getLogger(__name__)
 #: Queries that one task compares with a block; more are split.
 ASKS = 1024
 #: A table gets one more hash when its cells would hold more rows than this on average.
@@ -163,8 +166,8 @@ def _exact(rows: DataFrame, ask: list, k: int) -> DataFrame:
     return _top(rows.select("id", "vec").mapInArrow(scan_nearest(ids, vecs, k), _FOUND), k)
 
 
-def _probes_needed(hasher: Hasher, ask: list, truth: list, recall: float) -> int | None:
-    """Least number of cells per table whose rows hold ``recall`` of the known nearest rows; none if as many as are probed at most don't."""
+def _places(hasher: Hasher, ask: list, truth: list) -> np.ndarray:
+    """For every known nearest row of ``truth`` the place of its cell among those that its query probes in a table, the first of all tables; -1 if it is among none."""
     most = 2 * hasher.padded if hasher.hashes == 1 else 4 * hasher.padded
     vecs = {r.id: r.vec for r in ask}
     near = {r.id: r.vec for r in truth}
@@ -173,19 +176,36 @@ def _probes_needed(hasher: Hasher, ask: list, truth: list, recall: float) -> int
     first = []
     for r in truth:
         hit = order[r.query] == cell[r.id][:, None]
-        first.append(min((int(h.argmax()) for h in hit if h.any()), default=most))
-    need = int(np.sort(first)[int(np.ceil(recall * len(first))) - 1])
-    return need + 1 if need < most else None
+        first.append(min((int(h.argmax()) for h in hit if h.any()), default=-1))
+    return np.array(first)
 
 
-def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, name: str = "nearest", cell: int = CELL) -> DataFrame:
+def probes_needed(places: np.ndarray, fits: np.ndarray, recall: float, report: dict) -> int | None:
+    """Least number of cells per table that hold ``recall`` of the rows that ``fits`` marks, and ``LEAST`` of the others; none if there is no such number."""
+    at = np.where(places < 0, 1 << 40, places)
+    count = None
+    for part, share in ((fits, recall), (~fits, min(recall, LEAST))):
+        if part.any():
+            need = int(np.sort(at[part])[int(np.ceil(share * part.sum())) - 1])
+            if need >= 1 << 40:
+                return None
+            count = max(count or 1, need + 1)
+    report["recall"] = tuple(float((at[p] < count).mean()) if p.any() else None for p in (fits, ~fits))
+    return count
+
+
+def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", tables: int = TABLES, recall: float = RECALL, name: str = "nearest", cell: int = CELL, report: dict | None = None) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of ``df`` with the largest inner product for each row of ``queries`` but itself.
 
-    A query whose probed cells hold too few rows gets its answer from a scan of all rows.  Vectors that
-    are null, zero, of another length than most, or hold null or non-finite components take no part.
-    Rows repeating an id count once.  Every row is indexed; up to ``AUDIT`` queries, drawn by a hash of
-    their id, are answered exactly to choose how many cells of how many tables are probed, so that ``recall`` of their
-    answers is among them; if ``TABLES_MOST`` tables don't hold it, all queries are answered by scans.
+    A query whose probed cells hold too few rows is compared with all rows.  Vectors that are null, zero
+    or hold null or non-finite components take no part; those of another length than most are compared
+    with all of their own length.  Rows repeating an id count once, with the least of their vectors; of
+    equal scores the smaller id is nearer; an empty table gives an empty one; other columns are ignored.
+    Every row is indexed; up to ``AUDIT`` queries, drawn by a hash of their id, are answered exactly:
+    two thirds of them choose how many cells of how many tables are probed, so that ``recall`` of their
+    answers is among them, and the others check it.  If ``TABLES_MOST`` tables don't hold it, all
+    queries are compared with all rows.  What was measured is logged and put into ``report``: ``tables``,
+    ``probes`` (none: all rows), ``recall`` on the two parts of the audited queries.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, name)
@@ -193,8 +213,11 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
     width = main_width(rows)
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = scratch.save(rows.where(F.size("vec") == width).dropDuplicates(["id"]))
-    asked = scratch.save(valid_vectors(queries, id_col, vec_col).where(F.size("vec") == width).dropDuplicates(["id"]))
+    once = lambda df: scratch.save(df.groupBy("id").agg(F.min("vec").alias("vec")))
+    rows, asked = once(rows), once(valid_vectors(queries, id_col, vec_col))
+    others, odd = rows.where(F.size("vec") != width), asked.where(F.size("vec") != width)
+    rows, asked = rows.where(F.size("vec") == width), asked.where(F.size("vec") == width)
+    report = {} if report is None else report
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
     stats = rows.agg(F.count("*").alias("n"), F.max(norm).alias("high"), F.min(norm).alias("low")).first()
     level = stats.low is not None and stats.high - stats.low <= 1e-5 * stats.high
@@ -203,42 +226,46 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_i
         hasher.hashes += 1
     ask = asked.orderBy(F.xxhash64("id")).limit(AUDIT).collect()
     if not ask or stats.n < 2:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    truth = _exact(rows, ask, k).join(rows, "id").select("query", "id", "vec").collect()
-    count = _probes_needed(hasher, ask, truth, recall) if truth else 1
-    while count is None and hasher.tables < TABLES_MOST:
-        hasher.tables = min(2 * hasher.tables, TABLES_MOST)
-        count = _probes_needed(hasher, ask, truth, recall)
-    if count is None:
-        best = _scan(rows, asked, k, scratch)
+        best = spark.createDataFrame([], "query long, id long, score double, rank int")
     else:
-        best = _probed(rows, asked, stats.n, k, hasher, count, scratch)
+        truth = _exact(rows, ask, k).join(rows, "id").select("query", "id", "vec").collect()
+        third = {r.id for r in ask[2::3]}
+        fits = np.array([r.query not in third for r in truth], bool)
+        count = probes_needed(_places(hasher, ask, truth), fits, recall, report) if truth else 1
+        while count is None and hasher.tables < TABLES_MOST:
+            hasher.tables = min(2 * hasher.tables, TABLES_MOST)
+            count = probes_needed(_places(hasher, ask, truth), fits, recall, report)
+        report.update(tables=hasher.tables, probes=count, hashes=hasher.hashes)
+        _LOG.info("nearest: %s", report)
+        best = _scan(rows, asked, k, scratch) if count is None else _probed(rows, asked, stats.n, k, hasher, count, scratch)
+    if not odd.isEmpty():
+        best = best.select("query", "id", "score", "rank").union(_scan(others, odd, k, scratch).select("query", "id", "score", "rank"))
     return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
-def _scan(rows: DataFrame, asked: DataFrame, k: int, scratch: Scratch) -> DataFrame | None:
-    """The ``k`` nearest rows of all of ``asked``, a few at a time; none if there are none."""
-    found = None
-    while True:
-        part = asked.orderBy("id").limit(AUDIT).collect()
-        if not part:
-            return found
-        done = scratch.save(_exact(rows, part, k))
-        found = done if found is None else found.union(done)
-        asked = asked.where(F.col("id") > part[-1].id)
+def _scan(rows: DataFrame, asked: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """The ``k`` nearest of all rows of its length for each of ``asked``: blocks of rows meet parts of the queries."""
+    told = lambda df, per, out: df.groupBy(F.size("vec").alias("cell")).agg(F.ceil(F.count("*") / per).cast("long").alias(out))
+    cells = scratch.save(told(rows, WHOLE, "blocks").join(told(asked, ASKS, "parts"), "cell"))
+    return scratch.save(_top(_meet(rows.withColumn("cell", F.size("vec")), asked.withColumn("cell", F.size("vec")), ["cell"], cells).applyInArrow(_rank(k), _FOUND), k))
+
+
+def _meet(held: DataFrame, asks: DataFrame, keys: list[str], cells: DataFrame):
+    """Groups of one block of the rows and one part of the queries of a cell; ``cells(keys, blocks, parts)``."""
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    held = held.join(cells, keys).select(*keys, F.pmod(F.xxhash64("id"), "blocks").alias("block"), upto("parts").alias("part"), "id", "vec", F.lit(False).alias("asks"))
+    asks = asks.join(cells, keys).select(*keys, upto("blocks").alias("block"), F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "vec", F.lit(True).alias("asks"))
+    return held.union(asks).groupBy(*keys, "block", "part")
 
 
 def _probed(rows: DataFrame, asked: DataFrame, n: int, k: int, hasher: Hasher, count: int, scratch: Scratch) -> DataFrame:
     """The ``k`` nearest rows in ``count`` cells of each table, or in all rows for a query whose cells hold too few."""
     index = scratch.save(rows.mapInArrow(_index(hasher), "tab long, cell long, id long, vec array<double>"))
     cells = scratch.save(index.groupBy("tab", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")))
-    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     probes = scratch.save(asked.mapInArrow(_probe(hasher, count), "tab long, cell long, id long, vec array<double>"))
     parts = probes.groupBy("tab", "cell").agg(F.ceil(F.count("*") / ASKS).cast("long").alias("parts"))
     cells = scratch.save(cells.join(parts, ["tab", "cell"]))  # the others are asked for nothing
-    held = index.join(cells, ["tab", "cell"]).select("tab", "cell", F.pmod(F.xxhash64("id"), "blocks").alias("block"), upto("parts").alias("part"), "id", "vec", F.lit(False).alias("asks"))
-    probes = probes.join(cells, ["tab", "cell"]).select("tab", "cell", upto("blocks").alias("block"), F.pmod(F.xxhash64("id"), "parts").alias("part"), "id", "vec", F.lit(True).alias("asks"))
-    found = held.union(probes).groupBy("tab", "cell", "block", "part").applyInArrow(_rank(k), _FOUND)
+    found = _meet(index, probes, ["tab", "cell"], cells).applyInArrow(_rank(k), _FOUND)
     best = scratch.save(_top(found, k))
 
     want = F.least(F.lit(k), F.lit(n) - F.coalesce("inside", F.lit(0)))
@@ -246,7 +273,7 @@ def _probed(rows: DataFrame, asked: DataFrame, n: int, k: int, hasher: Hasher, c
     got = best.groupBy("query").agg(F.count("*").alias("n"))
     short = asked.join(inside, "id", "left").join(got, asked["id"] == got["query"], "left").where(F.coalesce("n", F.lit(0)) < want).select(asked["id"], "vec")
     short = scratch.save(short)
-    more = _scan(rows, short, k, scratch)
-    if more is not None:
+    if not short.isEmpty():
+        more = _scan(rows, short, k, scratch)
         best = best.join(more.select("query").distinct(), "query", "left_anti").unionByName(more)
     return best

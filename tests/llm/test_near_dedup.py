@@ -40,11 +40,19 @@ def test_equals_comparing_all_pairs(spark, seed, percent):
 
 def test_long_text_empty_table_and_null_id(spark):
     long = " ".join(f"t{i}" for i in range(60000))
-    got = rows_of(spark, [(1, long), (2, long + " tail"), (None, long)])
-    assert got == [(1, 59996, 1, True), (2, 59997, 1, False)]
+    df = spark.createDataFrame([(1, long, "x", 1), (2, long + " tail", "x", 1), (None, long, "x", 1)], SCHEMA)
+    got = {r.doc_id: tuple(r)[1:] for r in near_duplicates(df, percent=85).collect()}
+    assert got == {1: (59996, 1, True), 2: (59997, 1, False), None: (59996, None, True)}
     assert rows_of(spark, []) == []
 
 
+def test_repeated_ids(spark):
+    t = " ".join(f"t{i}" for i in range(40))
+    u = " ".join(f"u{i}" for i in range(40))
+    got = rows_of(spark, [(3, t), (3, t), (5, t), (5, u), (9, u), (7, "alone"), (7, "alone")])
+    assert got == [(3, 36, 3, True), (3, 36, 3, True), (5, 36, 3, False), (5, 36, 3, False), (7, 1, 7, True), (7, 1, 7, True), (9, 36, 3, False)]
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 1), (5, 2), (2, 9), (7, 7), (5, 1)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()))

@@ -56,9 +56,27 @@ def test_few_and_odd_rows(spark):
     odd = {0: [1, 0], 1: [0.5, 0.5], 2: None, 3: [0, 0], 4: [float("nan"), 1], 5: [1, None], 20: [-1, 0], 7: [1, 2, 3], 40: [float("inf"), 0]}
     got = run(spark, odd)
     assert got == {0: [(1, 0.5), (20, -1.0)], 20: [(1, -0.5), (0, -1.0)]}
+    three = run(spark, odd | {60: [1, 0, 0], 8: [2, 1, 0], 9: [2, 1, 0]})  # a length that is as common as the other, and ties
+    assert three[60] == [(8, 2.0), (9, 2.0), (7, 1.0)] and three[0] == got[0]
+    assert run(spark, {0: [1, 0], 20: [1, 2, 3]}) == {}
     assert run(spark, {}) == {} and run(spark, {20: [1, 2]}) == {}
 
 
+def test_repeated_ids_and_what_was_measured(spark):
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(900, 16)).astype(np.float32).tolist()
+    rows = [(i, v, 1, "x") for i, v in enumerate(vecs)]
+    df = spark.createDataFrame(rows + rows[:50] + [(7, [9.0] * 16, 1, "x")], SCHEMA)
+    report: dict = {}
+    got = nearest(df, df.where("vec_id % 20 = 0"), report=report).collect()
+    assert len({(r.query_id, r.vec_id) for r in got}) == len(got) == 45 * 20
+    want = dict(enumerate(vecs)) | {7: min(vecs[7], [9.0] * 16)}
+    mine: dict = {}
+    for r in got:
+        mine.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert recall(mine, brute(want, 20)) >= 0.9 and min(report["recall"]) >= 0.9
+
+
 def test_recall_with_two_hashes(spark, monkeypatch):
     """Cells of 8 rows force a second hash; neighbours of random vectors are in no cell near by, whatever the tables."""
     monkeypatch.setattr(module, "ASKS", 8)
