@@ -5,41 +5,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.operators import within
+from strandline.operators import windows, within
 
 HOUR = 3_600_000_000
 
 
-def hourly(df: DataFrame, keys: list[str], interval: Column) -> DataFrame:
-    """``(keys, hour, samples, buckets, bucket_mean_sum, min_value, max_value, interval_sum, first_at, last_at)`` per source and hour.
+def hourly(df: DataFrame, keys: list[str], interval: Column, zone: str = "zone") -> DataFrame:
+    """``(keys, local_date, hour_start, samples, buckets, bucket_mean_sum, min_value, max_value, interval_sum, first_at, last_at)`` per source and local hour.
 
     ``interval`` tells rows that last from samples.  A sample counts in its hour, an interval in every
     hour that it overlaps, by its share; ``buckets`` counts the five-minute buckets with a sample or a
-    part of an interval.  Instants are microseconds.
+    part of an interval.  Hours are those of the owner's wall clock; instants are microseconds.
+    One pass: rows become parts in buckets, these are summed by bucket and then by hour.
     """
+    s = F.unix_micros("start_at")
     lasts = interval & (F.col("end_at") > F.col("start_at"))
-    samples = df.where(~lasts)
-    each = samples.groupBy(*keys, within.bucket_of("start_at").alias("b")).agg(
-        F.count("*").alias("n"), F.avg("value").alias("m"), F.min("value").alias("low"), F.max("value").alias("high"), F.min(F.unix_micros("start_at")).alias("first"), F.max(F.unix_micros("start_at")).alias("last")
-    )
-    per_hour = HOUR // within.BASE
-    each = each.withColumn("hour", F.expr(f"b div {per_hour}"))
-    spans = df.where(lasts).withColumn("_from", F.unix_micros("start_at")).withColumn("_to", F.unix_micros("end_at"))
-    cut = within.parts(spans, HOUR).withColumnRenamed("b", "hour")
-    cut = cut.withColumn("_a", F.greatest("_from", F.col("hour") * HOUR)).withColumn("_z", F.least("_to", (F.col("hour") + 1) * HOUR))
-    null = F.lit(None)
-    a = each.groupBy(*keys, "hour").agg(F.sum("n").alias("samples"), null.cast("long").alias("buckets"), F.sum("m").alias("bucket_mean_sum"), F.min("low").alias("min_value"), F.max("high").alias("max_value"), F.lit(0.0).alias("interval_sum"), F.min("first").alias("first_at"), F.max("last").alias("last_at"))
-    b = cut.groupBy(*keys, "hour").agg(F.count("*").alias("samples"), null.cast("long").alias("buckets"), F.lit(0.0).alias("bucket_mean_sum"), F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.sum("part").alias("interval_sum"), F.min("_a").alias("first_at"), F.max("_z").alias("last_at"))
-    reached = cut.select(*keys, F.explode(F.expr(f"sequence(_a div {within.BASE}, (_z - 1) div {within.BASE})")).alias("b"))
-    seen = each.select(*keys, "b").union(reached).distinct().groupBy(*keys, F.expr(f"b div {per_hour}").alias("hour")).agg(F.count("*").alias("buckets"))
-    c = seen.select(*keys, "hour", F.lit(0).cast("long").alias("samples"), "buckets", F.lit(0.0).alias("bucket_mean_sum"), null.cast("double").alias("min_value"), null.cast("double").alias("max_value"), F.lit(0.0).alias("interval_sum"), null.cast("long").alias("first_at"), null.cast("long").alias("last_at"))
-    total = [F.sum(x).alias(x) for x in ("samples", "buckets", "bucket_mean_sum")] + [F.min("min_value").alias("min_value"), F.max("max_value").alias("max_value"), F.sum("interval_sum").alias("interval_sum"), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at")]
-    return a.unionByName(b).unionByName(c).groupBy(*keys, "hour").agg(*total)
+    rows = df.select(*keys, F.col(zone).alias("_zone"), "value", lasts.alias("_lasts"), s.alias("_s"), F.when(lasts, F.unix_micros("end_at")).otherwise(s).alias("_e"))
+    cut = windows.local_parts(rows, "_s", "_e", "_zone", HOUR)
+    # the part of an interval counts once, in the first of its buckets
+    b = F.sequence(F.expr(f"part_lo div {within.BASE}"), F.expr(f"greatest(part_hi - 1, part_lo) div {within.BASE}"))
+    cut = cut.select("*", F.posexplode(b).alias("_i", "b"))
+    head, sample = F.col("_lasts") & (F.col("_i") == 0), ~F.col("_lasts")
+    share = F.col("value") * (F.col("part_hi") - F.col("part_lo")) / (F.col("_e") - F.col("_s"))
+    hour = [*keys, "local_date", "hour_start"]
+    each = cut.groupBy(*hour, "b").agg(
+        F.count_if(sample | head).alias("n"), F.avg(F.when(sample, F.col("value"))).alias("m"), F.min(F.when(sample | head, F.col("value"))).alias("low"),
+        F.max(F.when(sample | head, F.col("value"))).alias("high"), F.sum(F.when(head, share)).alias("part"),
+        F.min(F.when(sample | head, F.col("part_lo"))).alias("first"), F.max(F.when(sample | head, F.col("part_hi"))).alias("last"),
+    )
+    return each.groupBy(*hour).agg(
+        F.sum("n").alias("samples"), F.count("*").alias("buckets"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("bucket_mean_sum"), F.min("low").alias("min_value"),
+        F.max("high").alias("max_value"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("interval_sum"), F.min("first").alias("first_at"), F.max("last").alias("last_at"),
+    )
 
 
 def series(hours: DataFrame, keys: list[str]) -> DataFrame:
-    """Means and sums over hourly rows: the mean of all bucket means, not of hours."""
-    return hours.groupBy(*keys).agg((F.sum("bucket_mean_sum") / F.sum("buckets")).alias("mean"), F.min("min_value").alias("min"), F.max("max_value").alias("max"), F.sum("interval_sum").alias("sum"), F.sum("samples").alias("samples"))
+    """Means and sums over hourly rows, from the first of their hours on: the mean of all bucket means, not of hours."""
+    return hours.groupBy(*keys).agg(F.min("hour_start").alias("hour_start"), (F.sum("bucket_mean_sum") / F.sum("buckets")).alias("mean"), F.min("min_value").alias("min"), F.max("max_value").alias("max"), F.sum("interval_sum").alias("sum"), F.sum("samples").alias("samples"))
 
 
 def spacing(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,15 +60,58 @@ def rollup(values: DataFrame, days: DataFrame, keys: list[str], additive: bool)
     return out.agg(n.alias("n"), F.count("*").alias("days"), (n / F.count("*")).alias("coverage"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), *extra)
 
 
-def compare_periods(values: DataFrame, keys: list[str], last: Column, lengths: tuple[int, ...]) -> DataFrame:
-    """Mean of the last days and of as many before them, for each length, in one pass."""
+def compare_periods(values: DataFrame, keys: list[str], last: Column, lengths: tuple[int, ...], spark_days: int = 0) -> DataFrame:
+    """Mean and number of the last days and mean of as many before them, for each length, and the last days as a series, in one pass."""
     age = F.datediff(last, F.col("local_date"))
     aggs = []
     for n in lengths:
-        aggs += [F.avg(F.when((age >= 0) & (age < n), F.col("value"))).alias(f"mean_{n}"), F.avg(F.when((age >= n) & (age < 2 * n), F.col("value"))).alias(f"before_{n}")]
+        now = (age >= 0) & (age < n)
+        aggs += [F.avg(F.when(now, F.col("value"))).alias(f"mean_{n}"), F.avg(F.when((age >= n) & (age < 2 * n), F.col("value"))).alias(f"before_{n}"), F.count_if(now).alias(f"days_{n}")]
+    if spark_days:
+        line = F.collect_list(F.when((age >= 0) & (age < spark_days), F.struct("local_date", "value")))
+        aggs.append(F.array_sort(line).alias("series"))
     return values.groupBy(*keys).agg(*aggs)
 
 
+def intraday(df: DataFrame, keys: list[str], interval: Column, size: int) -> DataFrame:
+    """``(keys, slot, mean, min, max, n, total)`` on a grid of ``size`` microseconds: means of samples, sums of intervals by their share of a slot."""
+    lasts = interval & (F.col("end_at") > F.col("start_at"))
+    cut = within.parts(df.select(*keys, "value", "start_at", F.when(lasts, F.col("end_at")).otherwise(F.col("start_at")).alias("end_at"), lasts.alias("_lasts")), size)
+    sample = F.when(~F.col("_lasts"), F.col("value"))
+    return cut.groupBy(*keys, F.col("b").alias("slot")).agg(F.avg(sample).alias("mean"), F.min(sample).alias("min"), F.max(sample).alias("max"), F.count(sample).alias("n"), F.sum(F.when(F.col("_lasts"), F.col("part"))).alias("total"))
+
+
+def decimate(df: DataFrame, keys: list[str], start: int, size: int) -> DataFrame:
+    """``(keys, col, low, high, first, last)``: a series thinned to columns of ``size`` microseconds from ``start`` on."""
+    order = F.struct("start_at", "id")
+    col = F.floor((F.unix_micros("start_at") - start) / F.lit(size)).alias("col")
+    return df.groupBy(*keys, col).agg(F.min("value").alias("low"), F.max("value").alias("high"), F.min_by("value", order).alias("first"), F.max_by("value", order).alias("last"))
+
+
+def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], cell: float) -> DataFrame:
+    """``(keys, ...)``: quantiles by linear interpolation, exact, without any group's values in one place.
+
+    Values are counted by cells of a width; the counts say in which cell a rank falls, and only equal
+    values of that cell, counted in turn, are ranked.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"), F.floor(F.col(value) / cell).alias("_c"))
+    held = rows.groupBy(*keys, "_c", "_v").agg(F.count("*").alias("_k"))
+    cells = held.groupBy(*keys, "_c").agg(F.sum("_k").alias("_k"))
+    upto = Window.partitionBy(*keys).orderBy("_c")
+    cells = cells.withColumn("_end", F.sum("_k").over(upto)).withColumn("_n", F.sum("_k").over(Window.partitionBy(*keys)))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.floor((F.col("_n") - 1) * q).alias("lo"), ((F.col("_n") - 1) * q - F.floor((F.col("_n") - 1) * q)).alias("w")) for name, q in shares.items()])
+    want = cells.withColumn("_r", F.explode(ranks)).withColumn("_from", F.col("_end") - F.col("_k"))
+    # the cell of a rank and the one of the rank after it
+    want = want.where("_r.lo + 1 >= _from and _r.lo < _end")
+    inner = held.join(want.select(*keys, "_c", "_r", "_from").withColumnRenamed("_from", "_base"), [*keys, "_c"])
+    place = F.col("_base") + F.sum("_k").over(Window.partitionBy(*keys, "_c", "_r.name").orderBy("_v"))
+    ranked = inner.withColumn("_to", place).withColumn("_at", F.col("_to") - F.col("_k"))
+    low = F.max(F.when((F.col("_at") <= F.col("_r.lo")) & (F.col("_r.lo") < F.col("_to")), F.col("_v")))
+    high = F.max(F.when((F.col("_at") <= F.col("_r.lo") + 1) & (F.col("_r.lo") + 1 < F.col("_to")), F.col("_v")))
+    each = ranked.groupBy(*keys, F.col("_r.name").alias("name")).agg((low + (F.coalesce(high, low) - low) * F.max("_r.w")).alias("q"))
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == name, F.col("q"))).alias(name) for name in shares])
+
+
 def trend(values: DataFrame, keys: list[str], date: str, unit: str) -> DataFrame:
     """Weeks from Monday, or months, with the first and last day that they hold."""
     return values.groupBy(*keys, F.to_date(F.date_trunc(unit, date)).alias("bucket")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.sum("value").alias("sum"), F.min(date).alias("first_day"), F.max(date).alias("last_day"))

@@ -29,11 +29,11 @@ def points_in_spans(points: DataFrame, spans: DataFrame, keys: list[str], at: st
 
 
 def fuzzy(incoming: DataFrame, known: DataFrame, keys: list[str], seconds: float = 1.0, tolerance: float = 1e-4) -> DataFrame:
-    """Rows of ``incoming`` that a row of ``known`` repeats: same keys, start and end (``s``, ``e``, microseconds) within a second, values within a relative tolerance; a NaN value agrees with any."""
+    """Rows of ``incoming`` that a row of ``known`` repeats: same keys, start and end (``s``, ``e``, microseconds) within a second, values within a tolerance relative to the incoming one (taken as a millionth at least); a NaN value agrees with any."""
     reach = int(seconds * 1_000_000)
     a = incoming.withColumn("_cell", F.explode(F.expr(f"sequence(floor(s / {reach}D) - 1, floor(s / {reach}D) + 1)")))
     b = known.select(*keys, F.col("s").alias("_s"), F.col("e").alias("_e"), F.col("value").alias("_v"), F.expr(f"floor(s / {reach}D)").alias("_cell"))
-    close = F.isnan("value") | (F.abs(F.col("value") - F.col("_v")) <= tolerance * F.greatest(F.abs("value"), F.abs("_v")))
+    close = F.isnan("value") | (F.abs(F.col("value") - F.col("_v")) <= tolerance * F.greatest(F.abs("value"), F.lit(1e-6)))
     met = (F.abs(F.col("s") - F.col("_s")) < reach) & (F.abs(F.col("e") - F.col("_e")) < reach) & close
     return a.join(b, [*keys, "_cell"]).where(met).select(*incoming.columns).distinct()
 
@@ -44,12 +44,16 @@ def top_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def any_like(rows: DataFrame, patterns: DataFrame, column: str, pattern: str, most: int = 10_000) -> DataFrame:
-    """Rows that match a pattern of a list; the list must be short, which is checked, for every row is held against all of it."""
-    found = [r[0] for r in patterns.select(pattern).distinct().limit(most + 1).collect()]
-    if len(found) > most:
-        raise ValueError(f"more than {most} patterns")
-    match = F.lit(False)
-    for p in found:
-        match = match | F.col(column).like(p)
-    return rows.where(match)
+def any_like(rows: DataFrame, patterns: DataFrame, column: str, pattern: str, head: int = 4) -> DataFrame:
+    """Rows that match a LIKE pattern of a list of any length.
+
+    Patterns that begin with ``head`` plain characters meet only rows that begin with them; the others
+    are few in any list that is meant to tell things apart, and Spark broadcasts them if their size allows.
+    """
+    plain = F.regexp_extract(pattern, rf"^([^%_\\]{{{head}}})", 1)
+    p = patterns.select(F.col(pattern).alias("_p"), plain.alias("_h")).where("_p is not null").distinct()
+    like = F.expr(f"`{column}` like _p")
+    few = p.where("_h = ''").select("_p")
+    rest = rows.join(few, like, "left_anti").withColumn("_k", F.substring(column, 1, head))
+    keyed = rest.join(p.where("_h <> ''"), (F.col("_k") == F.col("_h")) & like, "left_semi").drop("_k")
+    return rows.join(few, like, "left_semi").union(keyed)

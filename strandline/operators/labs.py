@@ -11,11 +11,11 @@ from strandline.functions.scalars import unit_key
 def canonical(rows: DataFrame, analytes: DataFrame, units: DataFrame) -> DataFrame:
     """``rows(code, value, unit)`` with ``state`` and ``result``.
 
-    ``analytes(code, canonical_unit)`` and ``units(code, unit_key, factor, offset)`` are lists of fixed
-    size: canonical, convertible, refused (a unit of another quantity), or unknown (no such analyte).
+    ``analytes(code, canonical_unit)`` and ``units(code, unit_key, factor, offset)`` are lists that
+    Spark broadcasts if their size allows: canonical, convertible, refused (a unit of another quantity), or unknown (no such analyte).
     """
-    a = rows.join(F.broadcast(analytes), "code", "left").withColumn("unit_key", unit_key(F.col("unit")))
-    a = a.join(F.broadcast(units), ["code", "unit_key"], "left")
+    a = rows.join(analytes, "code", "left").withColumn("unit_key", unit_key(F.col("unit")))
+    a = a.join(units, ["code", "unit_key"], "left")
     same = F.col("unit_key") == unit_key(F.col("canonical_unit"))
     state = F.when(F.col("canonical_unit").isNull(), "unknown").when(same, "canonical").when(F.col("factor").isNotNull(), "convertible").otherwise("refused")
     result = F.when(state == "canonical", F.col("value")).when(state == "convertible", F.col("value") * F.col("factor") + F.col("offset"))

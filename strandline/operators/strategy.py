@@ -13,41 +13,77 @@ def spine(windows: DataFrame, groups: int) -> DataFrame:
     return windows.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
 
-def gates(values: DataFrame, low: float | None = None, high: float | None = None, least_coverage: float | None = None, at: Column | None = None, not_before: Column | None = None) -> DataFrame:
-    """``values`` with ``reason`` (null: valid): no data, then range, then coverage, then age."""
-    reason = F.when(F.col("value").isNull(), "no_data")
-    if low is not None and high is not None and high > low:
-        reason = reason.when(~F.col("value").between(low, high), "implausible")
+def gates(values: DataFrame, low: float | None = None, high: float | None = None, least_coverage: float | None = None, at: Column | None = None, not_before: Column | None = None, additive: bool = True) -> DataFrame:
+    """``values`` with ``reason`` (null: valid): no rows, then the range of an additive sum, then coverage, then age.
+
+    Columns ``implausible`` and ``flagged``, if there are any, count the rows that the row gates took: a
+    group left with nothing by them says so.
+    """
+    lost = [F.when(F.col("value").isNull() & (F.col(c) > 0), c) for c in ("implausible", "flagged") if c in values.columns]
+    reason = F.coalesce(*lost, F.when(F.col("value").isNull(), "no_data"))
+    if additive and low is not None and high is not None and high > low:
+        reason = F.coalesce(reason, F.when(~F.col("value").between(low, high), "implausible"))
     if least_coverage is not None:
-        reason = reason.when(F.col("coverage") < least_coverage, "below_coverage")
+        reason = F.coalesce(reason, F.when(F.col("coverage") < least_coverage, "below_coverage"))
     if at is not None and not_before is not None:
-        reason = reason.when(at < not_before, "stale")
+        reason = F.coalesce(reason, F.when(at < not_before, "stale"))
     return values.withColumn("reason", reason)
 
 
+def group_status(reason: Column) -> Column:
+    """Status of a group from the reason of its gate."""
+    return F.when(reason.isNull(), "valid").when(reason == "no_data", "no_data").when(reason == "stale", "stale").otherwise("below_quality")
+
+
+def _valid() -> Column:
+    return F.col("reason").isNull()
+
+
 def first_available(values: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, value, selected, status, skipped)`` of the first valid group of each window."""
-    valid = F.col("reason").isNull()
-    picked = values.groupBy(*keys).agg(F.min(F.when(valid, F.col("pos"))).alias("selected"), F.min_by(F.when(valid, F.col("value")), F.when(valid, F.col("pos"))).alias("value"))
+    """``(keys, value, selected, status, skipped)`` of the first valid group of each window; the ``skipped`` ones stand before it."""
+    pos = F.when(_valid(), F.col("pos"))
+    picked = values.groupBy(*keys).agg(F.min(pos).alias("selected"), F.min_by(F.when(_valid(), F.col("value")), pos).alias("value"))
     status = F.when(F.col("selected").isNull(), "no_data").when(F.col("selected") == 0, "direct").otherwise("fallback")
     return picked.select(*keys, "value", "selected", status.alias("status"), F.coalesce("selected", F.lit(0)).alias("skipped"))
 
 
+def _newest(newest: bool) -> Column:
+    order = F.struct("at", -F.col("pos")) if newest else F.struct("first", "pos")
+    return (F.max_by if newest else F.min_by)(F.struct("value", "pos"), F.when(_valid(), order))
+
+
 def by_time(values: DataFrame, keys: list[str], newest: bool = True) -> DataFrame:
-    """``(keys, value, selected)`` of the group whose rows reach latest (or start earliest); ties stay with the earlier group."""
-    rows = values.where("reason is null")
-    best = F.max_by(F.struct("value", "pos"), F.struct("at", -F.col("pos"))) if newest else F.min_by(F.struct("value", "pos"), F.struct("first", "pos"))
-    return rows.groupBy(*keys).agg(best.alias("r")).select(*keys, "r.value", F.col("r.pos").alias("selected"))
+    """``(keys, value, selected)`` of the group whose rows reach latest (or start earliest); ties stay with the earlier group; null where no group is valid."""
+    return values.groupBy(*keys).agg(_newest(newest).alias("r")).select(*keys, "r.value", F.col("r.pos").alias("selected"))
 
 
-def pool(values: DataFrame, keys: list[str], how: str, least: int = 1, use_available: bool = True) -> DataFrame:
-    """``(keys, value, sources, status)`` over the valid groups; with fewer than ``least`` of them, what there is or nothing."""
-    fn = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[how]
-    out = values.where("reason is null").groupBy(*keys).agg(fn("value").alias("value"), F.count("*").alias("sources"))
-    few = F.col("sources") < least
+POOLS = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}
+
+
+def pools(values: DataFrame, keys: list[str], how: dict[str, str], least: int = 1, use_available: bool = True) -> DataFrame:
+    """``(keys, <name of each pool>, sources, status, warning)`` over the valid groups of every window, in one aggregation.
+
+    With fewer than ``least`` of them the warning is ``insufficient_sources``, and the value what there
+    is or, without ``use_available``, none.  A window without a valid group is listed without a value.
+    """
+    each = [POOLS[f](F.when(_valid(), F.col("value"))).alias(name) for name, f in how.items()]
+    out = values.groupBy(*keys).agg(*each, F.count_if(_valid()).alias("sources"))
+    few = (F.col("sources") > 0) & (F.col("sources") < least)
     if not use_available:
-        out = out.withColumn("value", F.when(~few, F.col("value")))
-    return out.withColumn("status", F.when(F.col("value").isNull(), "no_data").when(few, "insufficient").otherwise("calculated"))
+        out = out.withColumns({name: F.when(~few, F.col(name)) for name in how})
+    there = F.col("sources") > 0 if use_available else F.col("sources") >= least
+    return out.withColumn("status", F.when(there, "calculated").otherwise("no_data")).withColumn("warning", F.when(few, "insufficient_sources"))
+
+
+def pool(values: DataFrame, keys: list[str], how: str, least: int = 1, use_available: bool = True) -> DataFrame:
+    """``pools`` of one kind, as ``value``."""
+    return pools(values, keys, {"value": how}, least, use_available)
+
+
+def across(values: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, latest, latest_pos, earliest, earliest_pos)`` in one aggregation."""
+    out = values.groupBy(*keys).agg(_newest(True).alias("l"), _newest(False).alias("e"))
+    return out.select(*keys, F.col("l.value").alias("latest"), F.col("l.pos").alias("latest_pos"), F.col("e.value").alias("earliest"), F.col("e.pos").alias("earliest_pos"))
 
 
 def definition_changed(resolved: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -57,14 +93,18 @@ def definition_changed(resolved: DataFrame, keys: list[str], order: str) -> Data
 
 
 def follow(values: DataFrame, leader: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, value, selected, status)``: the leader's group where it is valid here, else the own ladder as a fallback."""
+    """``(keys, value, selected, status, warning)``: the leader's group where it is valid here, else the own ladder.
+
+    Where the leader's group can't be followed, or the leader selected none, the result is a fallback
+    whatever group it is from, with the warning ``follow_unavailable``.
+    """
     own = first_available(values, keys)
     led = leader.select(*keys, F.col("selected").alias("_led"))
     there = values.where("reason is null").select(*keys, F.col("pos").alias("_led"), F.col("value").alias("_v"))
     out = own.join(led, keys, "left").join(there, [*keys, "_led"], "left")
     ok = F.col("_v").isNotNull()
-    status = F.when(ok, "direct").when(F.col("selected").isNull(), "no_data").when(F.col("_led").isNotNull(), "fallback").otherwise(F.col("status"))
-    return out.select(*keys, F.when(ok, F.col("_v")).otherwise(F.col("value")).alias("value"), F.when(ok, F.col("_led")).otherwise(F.col("selected")).alias("selected"), status.alias("status"))
+    status = F.when(ok, "direct").when(F.col("selected").isNull(), "no_data").otherwise("fallback")
+    return out.select(*keys, F.when(ok, F.col("_v")).otherwise(F.col("value")).alias("value"), F.when(ok, F.col("_led")).otherwise(F.col("selected")).alias("selected"), status.alias("status"), F.when(~ok, "follow_unavailable").alias("warning"))
 
 
 def reorder(values: DataFrame, contexts: DataFrame, keys: list[str], orders: dict[str, list[int]]) -> DataFrame:
@@ -77,16 +117,56 @@ def reorder(values: DataFrame, contexts: DataFrame, keys: list[str], orders: dic
     return out.withColumn("ladder", place)
 
 
-def compose(hours: DataFrame, keys: list[str], single: DataFrame | None = None) -> DataFrame:
-    """``(keys, value, hours, groups, exceeds)``: resolved hours summed to days.
+RANKS = ("no_data", "stale", "below_quality", "unused", "selected")  # fixed values: a group's day has the best status of its hours
+
 
-    ``exceeds``: the sum is more than any one group (``single(keys, value)`` per group) would give.
+def compose(hours: DataFrame, keys: list[str], op: str = "first_available") -> DataFrame:
+    """Groups' hours ``(keys, hour, pos, value, reason, coverage, elapsed)`` composed to days, one row for each group.
+
+    Every hour picks its group: the first valid one, or the first of those with the largest value.  The
+    result has, for each key and group, ``group_status`` (the best of its hours), ``group_value`` (its own
+    day), ``group_coverage`` (by elapsed time), ``supplied``, and for the day ``value``, ``hours``,
+    ``groups``, ``selected``, ``status`` and ``exceeds``: several groups supplied hours, and the sum is more
+    than any one of them would give.
+    """
+    hour = [*keys, "hour"]
+    valid = F.when(_valid(), F.col("pos"))
+    order = F.struct("pos") if op == "first_available" else F.struct(-F.col("value"), "pos")
+    w = Window.partitionBy(*hour)
+    best = F.min_by("pos", F.when(_valid(), order)).over(w)
+    h = hours.withColumn("_sel", best).withColumn("_first", F.min(valid).over(w))
+    status = F.when(F.col("pos") == F.col("_sel"), 5).when(_valid(), 4).when(F.col("reason") == "no_data", 1).when(F.col("reason") == "stale", 2).otherwise(3)
+    own = h.groupBy(*keys, "pos").agg(
+        F.max(status).alias("_rank"), F.sum(F.when(_valid(), F.col("value"))).alias("group_value"), (F.sum(F.coalesce("coverage", F.lit(0.0)) * F.col("elapsed")) / F.sum("elapsed")).alias("group_coverage"),
+        F.count_if(F.col("pos") == F.col("_sel")).alias("supplied"), F.sum(F.when(F.col("pos") == F.col("_sel"), F.col("value"))).alias("_part"),
+        F.count_if((F.col("pos") == F.col("_sel")) & (F.col("pos") != (0 if op == "first_available" else -1))).alias("_later"),
+    )
+    d = Window.partitionBy(*keys)
+    supplied = F.col("supplied") > 0
+    own = own.withColumns({
+        "value": F.sum("_part").over(d), "hours": F.sum("supplied").over(d), "groups": F.sum(supplied.cast("int")).over(d), "_most": F.max(F.coalesce("group_value", F.lit(0.0))).over(d),
+        "_one": F.max(F.when(supplied, F.col("pos"))).over(d), "_fall": F.sum("_later").over(d),
+    })
+    direct = F.when(F.col("_fall") == 0, "direct").otherwise("fallback") if op == "first_available" else F.lit("fallback")
+    state = F.when(F.col("hours") == 0, "no_data").when(F.col("groups") == 1, direct).otherwise("calculated")
+    return own.select(
+        *keys, "pos", F.element_at(F.array(*[F.lit(r) for r in RANKS]), F.col("_rank")).alias("group_status"), "group_value", "group_coverage", supplied.alias("supplied"), "value", "hours", "groups",
+        F.when(F.col("groups") == 1, F.col("_one")).alias("selected"), state.alias("status"), F.coalesce((F.col("groups") > 1) & (F.col("value") > F.col("_most") + 1e-9), F.lit(False)).alias("exceeds"),
+    )
+
+
+def daily_fallback(composed: DataFrame, daily: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, value, selected, status, from_daily)``: a composed day, or the daily value of a group that has nothing else.
+
+    ``daily(keys, pos, value)`` holds the valid daily values of groups without other rows.  The first of
+    them counts if it stands before every group that supplied an hour; it is never added to hours.
     """
-    out = hours.where("selected is not null").groupBy(*keys).agg(F.sum("value").alias("value"), F.count("*").alias("hours"), F.countDistinct("selected").alias("groups"))
-    if single is not None:
-        most = single.groupBy(*keys).agg(F.max("value").alias("_most"))
-        out = out.join(most, keys, "left").withColumn("exceeds", F.coalesce(F.col("value") > F.col("_most") + 1e-9, F.lit(False))).drop("_most")
-    return out
+    day = composed.groupBy(*keys).agg(F.max("value").alias("_v"), F.max("selected").alias("_s"), F.max("status").alias("_st"), F.min(F.when(F.col("supplied"), F.col("pos"))).alias("_p"))
+    first = daily.groupBy(*keys).agg(F.min("pos").alias("_dp"), F.min_by("value", "pos").alias("_dv"))
+    out = day.join(first, keys, "full")
+    use = F.col("_dp").isNotNull() & (F.col("_p").isNull() | (F.col("_dp") < F.col("_p")))
+    status = F.when(use, F.when(F.col("_dp") == 0, "direct").otherwise("fallback")).otherwise(F.col("_st"))
+    return out.select(*keys, F.when(use, F.col("_dv")).otherwise(F.col("_v")).alias("value"), F.when(use, F.col("_dp")).otherwise(F.col("_s")).alias("selected"), status.alias("status"), use.alias("from_daily"))
 
 
 def exclude_inputs(rows: DataFrame, overrides: DataFrame, reading: list[str]) -> DataFrame:

@@ -22,6 +22,24 @@ def day_windows(days: DataFrame, minutes: int) -> DataFrame:
     return out.withColumn("start", F.timestamp_micros(start)).withColumn("end", F.timestamp_micros(F.least(start + size, micros("day_end"))))
 
 
+def local_parts(rows: DataFrame, lo: str, hi: str, zone: str = "zone", size: int = 3_600_000_000) -> DataFrame:
+    """``rows`` once for each local hour (window of ``size``) that their span [lo, hi) in microseconds reaches.
+
+    Adds ``local_date``, ``hour_start`` and the part [``part_lo``, ``part_hi``) in it.  Windows are counted
+    in absolute time from the owner's local midnight and the last one is cut at the next midnight, so
+    that half-hour zones and days of 23 or 25 hours come out right.  A span of no length is an instant.
+    """
+    at = lambda c: F.from_utc_timestamp(F.timestamp_micros(c), F.col(zone))
+    end = F.greatest(F.col(hi) - 1, F.col(lo))
+    days = rows.withColumn("local_date", F.explode(F.sequence(F.to_date(at(F.col(lo))), F.to_date(at(end)))))
+    days = day_bounds(days, zone=zone).withColumn("_d0", micros("day_start")).withColumn("_d1", micros("day_end"))
+    days = days.withColumn("_lo", F.greatest(lo, "_d0")).withColumn("_hi", F.greatest(F.least(hi, "_d1"), "_lo"))
+    slots = F.sequence(F.expr(f"(_lo - _d0) div {size}"), F.expr(f"(greatest(_hi - 1, _lo) - _d0) div {size}"))
+    cut = days.withColumn("_slot", F.explode(slots)).withColumn("hour_start", F.col("_d0") + F.col("_slot") * size)
+    cut = cut.withColumn("part_lo", F.greatest("_lo", "hour_start")).withColumn("part_hi", F.least("_hi", F.col("hour_start") + size))
+    return cut.drop("day_start", "day_end", "_d0", "_d1", "_lo", "_hi", "_slot")
+
+
 def slot_of(at: str, day_start: str, minutes: int) -> Column:
     """Number of the window of its day that an instant is in."""
     return F.floor((micros(at) - micros(day_start)) / F.lit(minutes * 60_000_000)).cast("long")

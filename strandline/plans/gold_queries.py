@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import gold, joins
+from strandline.operators import gold, joins, windows
 from strandline.plans.registry import query
-from strandline.sources.tables import measurements, table
-
-_HOURLY = """, a AS (SELECT owner, source, s // 300000000 AS b, count(*) AS n, avg(value) AS mean, min(value) AS lo, max(value) AS hi, min(s) AS f, max(s) AS l FROM m WHERE NOT (source IN ('purchase', 'error') AND e > s) GROUP BY ALL),
-x AS (SELECT owner, source, id, s, e, value, unnest(range(s // 3600000000, (e - 1) // 3600000000 + 1)) AS hour FROM m WHERE source IN ('purchase', 'error') AND e > s),
-y AS (SELECT *, greatest(s, hour * 3600000000) AS lo, least(e, (hour + 1) * 3600000000) AS hi FROM x),
-z AS (SELECT owner, source, unnest(range(lo // 300000000, (hi - 1) // 300000000 + 1)) AS b FROM y),
-k AS (SELECT owner, source, b // 12 AS hour, count(*) AS buckets FROM (SELECT owner, source, b FROM a UNION SELECT owner, source, b FROM z) GROUP BY ALL),
-u AS (SELECT owner, source, b // 12 AS hour, sum(n) AS samples, sum(mean) AS bms, min(lo) AS mn, max(hi) AS mx, 0.0 AS isum, min(f) AS f, max(l) AS l FROM a GROUP BY ALL
-  UNION ALL SELECT owner, source, hour, count(*), 0.0, min(value), max(value), sum(value * (hi - lo) / (e - s)), min(lo), max(hi) FROM y GROUP BY ALL),
-h AS (SELECT u.owner, u.source, u.hour, CAST(sum(samples) AS BIGINT) AS samples, any_value(k.buckets) AS buckets, sum(bms) AS bucket_mean_sum, min(mn) AS min_value, max(mx) AS max_value, sum(isum) AS interval_sum, min(f) AS first_at, max(l) AS last_at
-  FROM u JOIN k ON k.owner = u.owner AND k.source = u.source AND k.hour = u.hour GROUP BY u.owner, u.source, u.hour)"""
+from strandline.sources.tables import ZONES, measurements, table, zone_of
+
+# Local hours from the wall clock: every hour of every local day of a zone, then rows joined on them by range.
+LOCAL_HOURS = f""", days AS (SELECT z, CAST(g AS DATE) AS d FROM (SELECT unnest({list(ZONES)!r}) AS z), generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-02-04', INTERVAL 1 DAY) t(g)),
+bounds AS (SELECT z, d, epoch_us(CAST(d AS TIMESTAMP) AT TIME ZONE z) AS d0, epoch_us(CAST(d + 1 AS TIMESTAMP) AT TIME ZONE z) AS d1 FROM days),
+lh AS (SELECT z, d, hs, least(hs + 3600000000, d1) AS he FROM (SELECT z, d, d1, unnest(range(d0, d1, 3600000000)) AS hs FROM bounds))"""
+_HOURLY = LOCAL_HOURS + """, k1 AS (SELECT *, source IN ('purchase', 'error') AND e > s AS lasts FROM m),
+p AS (SELECT k1.owner, k1.source, k1.id, k1.s, k1.e, k1.value, k1.lasts, lh.d AS local_date, lh.hs, CASE WHEN lasts THEN greatest(s, hs) ELSE s END AS lo, CASE WHEN lasts THEN least(e, he) ELSE s END AS hi
+  FROM k1 JOIN lh ON lh.z = k1.zone AND CASE WHEN lasts THEN s < he AND e > hs ELSE s >= hs AND s < he END),
+means AS (SELECT owner, source, hs, sum(mean) AS bms FROM (SELECT owner, source, hs, s // 300000000, avg(value) AS mean FROM p WHERE NOT lasts GROUP BY ALL) GROUP BY ALL),
+touched AS (SELECT owner, source, hs, count(DISTINCT b) AS buckets FROM (SELECT owner, source, hs, unnest(CASE WHEN lasts THEN range(lo // 300000000, (hi - 1) // 300000000 + 1) ELSE [lo // 300000000] END) AS b FROM p) GROUP BY ALL),
+h AS (SELECT owner, source, local_date, hs AS hour_start, count(*) AS samples, any_value(buckets) AS buckets, coalesce(any_value(bms), 0) AS bucket_mean_sum, min(value) AS min_value, max(value) AS max_value,
+    coalesce(sum(CASE WHEN lasts THEN value * (hi - lo) / (e - s) END), 0) AS interval_sum, min(lo) AS first_at, max(hi) AS last_at
+  FROM p JOIN touched USING (owner, source, hs) LEFT JOIN means USING (owner, source, hs) GROUP BY owner, source, local_date, hs)"""
 
 
 def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,15 +30,15 @@ def hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("ag18_hourly_rebuild", _HOURLY + """
-SELECT owner, source, hour, samples, buckets, round(bucket_mean_sum, 4) AS bucket_mean_sum, min_value, max_value, round(interval_sum, 4) AS interval_sum, first_at, last_at FROM h""")
+SELECT owner, source, local_date, hour_start, samples, buckets, round(bucket_mean_sum, 4) AS bucket_mean_sum, min_value, max_value, round(interval_sum, 4) AS interval_sum, first_at, last_at FROM h""")
 def hourly_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours(spark, sf_dir).withColumns({c: F.round(c, 4) for c in ("bucket_mean_sum", "interval_sum")})
 
 
 @query("ag19_source_series", _HOURLY + """
-SELECT owner, source, hour // 24 AS day, round(sum(bucket_mean_sum) / sum(buckets), 4) AS mean, min(min_value) AS min, max(max_value) AS max, round(sum(interval_sum), 3) AS sum, CAST(sum(samples) AS BIGINT) AS samples FROM h GROUP BY ALL""")
+SELECT owner, source, local_date, min(hour_start) AS hour_start, round(sum(bucket_mean_sum) / sum(buckets), 4) AS mean, min(min_value) AS min, max(max_value) AS max, round(sum(interval_sum), 3) AS sum, CAST(sum(samples) AS BIGINT) AS samples FROM h GROUP BY owner, source, local_date""")
 def source_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_day = gold.series(hours(spark, sf_dir).withColumn("day", F.expr("hour div 24")), ["owner", "source", "day"])
+    by_day = gold.series(hours(spark, sf_dir), ["owner", "source", "local_date"])
     return by_day.withColumn("mean", F.round("mean", 4)).withColumn("sum", F.round("sum", 3))
 
 
@@ -44,23 +49,29 @@ def median_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.spacing(measurements(spark, sf_dir), ["owner", "local_date"])
 
 
-@query("ag20_intraday_minutes", """
-SELECT owner, source, s // 900000000 AS slot, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, count(*) AS n FROM m WHERE d = DATE '2024-01-15' GROUP BY ALL""")
+GRIDS = (300, 900, 1800)  # seconds; the operator takes any
+
+
+@query("ag20_intraday_minutes", f""", g AS (SELECT unnest({list(GRIDS)}) * 1000000 AS size), w AS (SELECT *, source IN ('purchase', 'error') AND e > s AS lasts FROM m),
+b AS (SELECT owner, source, size, s // size AS slot, avg(value) AS mean, min(value) AS min, max(value) AS max, count(*) AS n FROM w, g WHERE NOT lasts GROUP BY ALL),
+x AS (SELECT owner, source, size, s, e, value, unnest(range(s // size, (e - 1) // size + 1)) AS slot FROM w, g WHERE lasts),
+y AS (SELECT owner, source, size, slot, sum(value * (least(e, (slot + 1) * size) - greatest(s, slot * size)) / (e - s)) AS total FROM x GROUP BY ALL)
+SELECT coalesce(b.owner, y.owner) AS owner, coalesce(b.source, y.source) AS source, CAST(coalesce(b.size, y.size) // 1000000 AS INTEGER) AS seconds, coalesce(b.slot, y.slot) AS slot, round(mean, 6) AS mean, min, max, coalesce(n, 0) AS n, round(total + 0.0000001, 3) AS total
+FROM b FULL JOIN y ON b.owner = y.owner AND b.source = y.source AND b.size = y.size AND b.slot = y.slot""")
 def intraday(spark: SparkSession, sf_dir: str) -> DataFrame:
-    day = measurements(spark, sf_dir).where("local_date = date '2024-01-15'")
-    slot = F.floor(F.unix_micros("start_at") / F.lit(900_000_000)).alias("slot")
-    return day.groupBy("owner", "source", slot).agg(F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("*").alias("n"))
+    """Every day of every source at all grids: means of samples, sums of intervals by their share."""
+    m = measurements(spark, sf_dir)
+    parts = [gold.intraday(m, ["owner", "source"], F.col("source").isin("purchase", "error"), g * 1_000_000).withColumn("seconds", F.lit(g)) for g in GRIDS]
+    return reduce(DataFrame.union, parts).select("owner", "source", "seconds", "slot", F.round("mean", 6).alias("mean"), "min", "max", "n", F.round(F.col("total") + 0.0000001, 3).alias("total"))
 
 
-@query("ag21_coverage", """
-SELECT owner, source, d AS local_date, round(CAST(count(DISTINCT s // 3600000000) AS DOUBLE) / ((epoch_us(CAST(d + 1 AS TIMESTAMP) AT TIME ZONE zone) - epoch_us(CAST(d AS TIMESTAMP) AT TIME ZONE zone)) / 3600000000.0), 6) AS coverage FROM m GROUP BY owner, source, d, zone""")
+@query("ag21_coverage", _HOURLY + """
+SELECT owner, source, local_date, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM lh WHERE lh.d = h.local_date AND lh.z = any_value(m2.zone)), 6) AS coverage FROM h JOIN (SELECT DISTINCT owner, zone FROM m) m2 USING (owner) GROUP BY owner, source, local_date""")
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strandline.operators.windows import day_bounds
-
-    m = day_bounds(measurements(spark, sf_dir))
-    span = (F.unix_seconds("day_end") - F.unix_seconds("day_start")) / 3600
-    held = F.countDistinct(F.expr("unix_micros(start_at) div 3600000000"))
-    return m.groupBy("owner", "source", "local_date", span.alias("_span")).agg(held.alias("_n")).select("owner", "source", "local_date", F.round(F.col("_n") / F.col("_span"), 6).alias("coverage"))
+    """Share of the hours of a local day (23, 24 or 25) in which a source has data."""
+    held = hours(spark, sf_dir).groupBy("owner", "source", "local_date").agg(F.count("*").alias("n")).withColumn("zone", zone_of(F.col("owner")))
+    span = F.ceil((F.unix_seconds("day_end") - F.unix_seconds("day_start")) / 3600)
+    return windows.day_bounds(held).select("owner", "source", "local_date", F.round(F.col("n") / span, 6).alias("coverage"))
 
 
 @query("ag22_inventory_bounds", """
@@ -101,12 +112,19 @@ def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.rollup(values, days, ["owner"], True).select("owner", "n", "days", *[F.round(c, 8).alias(c) for c in ("coverage", "mean", "min", "max", "sum")])
 
 
-@query("ag28_periods", """, v AS (SELECT owner, d, avg(value) AS value, DATE '2024-01-30' - d AS age FROM m GROUP BY ALL)
-SELECT owner, round(avg(value) FILTER (age >= 0 AND age < 7), 6) AS mean_7, round(avg(value) FILTER (age >= 7 AND age < 14), 6) AS before_7, round(avg(value) FILTER (age >= 0 AND age < 14), 6) AS mean_14, round(avg(value) FILTER (age >= 14 AND age < 28), 6) AS before_14 FROM v GROUP BY ALL""")
+PERIODS = (7, 30, 90, 365)  # days, fixed values
+
+
+@query("ag28_periods", "WITH v AS (SELECT o_custkey AS owner, CAST(o_orderdate AS DATE) AS d, sum(o_totalprice) AS value FROM orders GROUP BY ALL), a AS (SELECT owner, value, DATE '1998-08-02' - d AS age FROM v) SELECT owner, " + ", ".join(
+    f"round(avg(value) FILTER (age >= 0 AND age < {n}), 4) AS mean_{n}, round(avg(value) FILTER (age >= {n} AND age < {2 * n}), 4) AS before_{n}, count(*) FILTER (age >= 0 AND age < {n}) AS days_{n}" for n in PERIODS
+) + ", coalesce(string_agg(CAST(age AS VARCHAR), ',' ORDER BY age DESC) FILTER (age >= 0 AND age < 30), '') AS spark FROM a GROUP BY owner", events=False)
 def periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = measurements(spark, sf_dir).groupBy("owner", "local_date").agg(F.avg("value").alias("value"))
-    out = gold.compare_periods(values, ["owner"], F.to_date(F.lit("2024-01-30")), (7, 14))
-    return out.select("owner", *[F.round(c, 6).alias(c) for c in out.columns if c != "owner"])
+    """Resolved daily values of the last days against as many before them, and the last thirty days as a small series."""
+    orders = table(spark, sf_dir, "orders")
+    values = orders.groupBy(F.col("o_custkey").alias("owner"), F.to_date("o_orderdate").alias("local_date")).agg(F.sum("o_totalprice").alias("value"))
+    out = gold.compare_periods(values, ["owner"], F.to_date(F.lit("1998-08-02")), PERIODS, 30)
+    line = F.array_join(F.transform("series", lambda x: F.datediff(F.to_date(F.lit("1998-08-02")), x["local_date"]).cast("string")), ",")
+    return out.select("owner", *[F.round(c, 4).alias(c) if c[0] in "mb" else c for c in out.columns if c not in ("owner", "series")], line.alias("spark"))
 
 
 def _trend(unit: str) -> str:
@@ -148,7 +166,16 @@ def all_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("ag35_quantiles", """
 SELECT source, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90, CAST(count(*) FILTER (value >= 50) AS BIGINT) AS n_high FROM m GROUP BY ALL""")
 def quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return measurements(spark, sf_dir).groupBy("source").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"), F.count_if(F.col("value") >= 50).alias("n_high"))
+    m = measurements(spark, sf_dir)
+    q = gold.quantiles(m, ["source"], "value", {"median": 0.5, "p90": 0.9}, 0.5)
+    return m.groupBy("source").agg(F.count_if(F.col("value") >= 50).alias("n_high")).join(q, "source").select("source", F.round("median", 6).alias("median"), F.round("p90", 6).alias("p90"), "n_high")
+
+
+@query("ag35_decimated_series", """, c AS (SELECT owner, source, value, s, id, CAST((s - 1704067200000000) // 86400000000 AS BIGINT) AS col FROM m)
+SELECT owner, source, col, min(value) AS low, max(value) AS high, min_by(value, (s, id)) AS first, max_by(value, (s, id)) AS last FROM c GROUP BY ALL""")
+def decimated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series thinned to one column a day for a chart: extremes and ends of each column stay."""
+    return gold.decimate(measurements(spark, sf_dir), ["owner", "source"], 1_704_067_200_000_000, 86_400_000_000)
 
 
 @query("jn1_jn2_dimension_joins", """
@@ -167,9 +194,9 @@ def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").join(large, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey", "o_custkey")
 
 
-@query("jn4_anti", """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""", events=False)
+@query("jn4_anti", """SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 350000)""", events=False)
 def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").where("o_totalprice > 350000"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("jn6_top_one", """SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS i FROM orders) WHERE i = 1""", events=False)
@@ -198,7 +225,7 @@ def points_in_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn9_fuzzy_join", """, a AS (SELECT id, owner, source, s + (id % 5) * 300000 AS s, e + (id % 7) * 250000 AS e, value * (1 + (id % 3) * 0.00007) AS value FROM m)
-SELECT DISTINCT a.id FROM a JOIN m ON a.owner = m.owner AND a.source = m.source AND abs(a.s - m.s) < 1000000 AND abs(a.e - m.e) < 1000000 AND abs(a.value - m.value) <= 0.0001 * greatest(abs(a.value), abs(m.value))""")
+SELECT DISTINCT a.id FROM a JOIN m ON a.owner = m.owner AND a.source = m.source AND abs(a.s - m.s) < 1000000 AND abs(a.e - m.e) < 1000000 AND abs(a.value - m.value) <= 0.0001 * greatest(abs(a.value), 0.000001)""")
 def fuzzy_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measurements(spark, sf_dir).select("id", "owner", "source", F.unix_micros("start_at").alias("s"), F.unix_micros("end_at").alias("e"), "value")
     a = m.withColumn("s", F.col("s") + (F.col("id") % 5) * 300_000).withColumn("e", F.col("e") + (F.col("id") % 7) * 250_000).withColumn("value", F.col("value") * (1 + (F.col("id") % 3) * 0.00007))
@@ -216,7 +243,7 @@ def null_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("jn15_like", """SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%1' OR p_name LIKE 'Part#%7%' OR p_name LIKE '%a_e%'""", events=False)
 def like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    patterns = spark.createDataFrame([("%1",), ("Part#%7%",), ("%a_e%",)], "pattern string")
+    patterns = spark.createDataFrame([("%1",), ("Part#%7%",), ("%a_e%",), ("",)], "pattern string")
     return joins.any_like(table(spark, sf_dir, "part").select("p_partkey", "p_name"), patterns, "p_name", "pattern")
 
 

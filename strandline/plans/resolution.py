@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import assign, episodes, strategy, windows, within
+from strandline.plans.gold_queries import LOCAL_HOURS
 from strandline.plans.registry import query
 from strandline.sources.tables import ZONES, measurements, zone_of
 
@@ -184,29 +185,39 @@ SELECT owner, d AS local_date, round(max_by(value, (t_at, -pos)), 6) AS latest,
   round(min_by(value, (t_first, pos)), 6) AS earliest, CAST(min_by(pos, (t_first, pos)) AS INTEGER) AS earliest_pos FROM v GROUP BY ALL""")
 def latest_and_earliest(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = strategy.gates(timed_values(spark, sf_dir))
-    a = strategy.by_time(v, DAY).select(*DAY, F.round("value", 6).alias("latest"), F.col("selected").alias("latest_pos"))
-    return a.join(strategy.by_time(v, DAY, False).select(*DAY, F.round("value", 6).alias("earliest"), F.col("selected").alias("earliest_pos")), DAY)
+    return strategy.across(v, DAY).select(*DAY, _r("latest"), "latest_pos", _r("earliest"), "earliest_pos")
 
 
-@query("st3_pools", _AT + """
-SELECT owner, d AS local_date, round(CASE WHEN count(*) >= 2 THEN avg(value) END, 6) AS mean, round(max(value), 6) AS high, round(min(value), 6) AS low, round(sum(value), 6) AS total,
-  count(*) AS sources, CASE WHEN count(*) < 2 THEN 'no_data' ELSE 'calculated' END AS status FROM v GROUP BY ALL""")
+_POOLED = _AT + """, x AS (SELECT *, value BETWEEN 20 AND 80 AS ok FROM v), n AS (SELECT owner, d, count(*) FILTER (ok) AS k, avg(value) FILTER (ok) AS a, max(value) FILTER (ok) AS h, min(value) FILTER (ok) AS l, sum(value) FILTER (ok) AS t FROM x GROUP BY ALL)"""
+
+
+@query("st3_pools", _POOLED + """
+SELECT owner, d AS local_date, round(a, 6) AS mean, round(h, 6) AS high, round(l, 6) AS low, round(t, 6) AS total, k AS sources, CASE WHEN k = 0 THEN 'no_data' ELSE 'calculated' END AS status, CASE WHEN k = 1 THEN 'insufficient_sources' END AS warning FROM n""")
 def pools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = strategy.gates(timed_values(spark, sf_dir))
-    out = strategy.pool(v, DAY, "mean", 2, use_available=False).select(*DAY, F.round("value", 6).alias("mean"), "sources", "status")
-    for how, name in (("max", "high"), ("min", "low"), ("sum", "total")):
-        out = out.join(strategy.pool(v, DAY, how).select(*DAY, F.round("value", 6).alias(name)), DAY)
-    return out
+    """Pools over valid groups; too few of them are used with a warning, and a day without any is listed."""
+    v = strategy.gates(timed_values(spark, sf_dir), 20, 80)
+    out = strategy.pools(v, DAY, {"mean": "mean", "high": "max", "low": "min", "total": "sum"}, 2)
+    return out.select(*DAY, *[_r(c) for c in ("mean", "high", "low", "total")], "sources", "status", "warning")
 
 
-_GATED = """CASE WHEN value NOT BETWEEN 2 AND 120 THEN 'implausible' WHEN least(1.0, n / 3.0) < 0.5 THEN 'below_coverage' WHEN t_at < 1704412800000000 THEN 'stale' END"""
+@query("st3_pools_without_value", _POOLED + """
+SELECT owner, d AS local_date, round(CASE WHEN k >= 2 THEN a END, 6) AS value, k AS sources, CASE WHEN k < 2 THEN 'no_data' ELSE 'calculated' END AS status, CASE WHEN k = 1 THEN 'insufficient_sources' END AS warning FROM n""")
+def pools_without_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strategy.pool(strategy.gates(timed_values(spark, sf_dir), 20, 80), DAY, "mean", 2, use_available=False).select(*DAY, _r("value"), "sources", "status", "warning")
 
 
-@query("st5_group_gates", _AT + f"""
-SELECT owner, d AS local_date, CAST(pos AS INTEGER) AS pos, {_GATED} AS reason FROM v""")
+@query("st5_group_gates", f""", r AS (SELECT owner, d, {_POS3} AS pos, value, s, CASE WHEN flags & 1 <> 0 THEN 'flagged' WHEN value NOT BETWEEN 2 AND 90 THEN 'implausible' END AS gone FROM m WHERE {_POS3} IS NOT NULL),
+w AS (SELECT DISTINCT owner, d FROM r), sp AS (SELECT owner, d, unnest([0, 1, 2]) AS pos FROM w),
+v AS (SELECT owner, d, pos, sum(value) FILTER (gone IS NULL) AS value, count(*) FILTER (gone IS NULL) AS n, max(s) FILTER (gone IS NULL) AS t_at, count(*) FILTER (gone = 'flagged') AS fl, count(*) FILTER (gone = 'implausible') AS im FROM r GROUP BY ALL)
+SELECT owner, d AS local_date, CAST(pos AS INTEGER) AS pos, CASE WHEN value IS NULL THEN CASE WHEN im > 0 THEN 'implausible' WHEN fl > 0 THEN 'flagged' ELSE 'no_data' END WHEN value NOT BETWEEN 5 AND 150 THEN 'implausible'
+  WHEN least(1.0, n / 3.0) < 0.5 THEN 'below_coverage' WHEN t_at < 1704412800000000 THEN 'stale' END AS reason FROM sp LEFT JOIN v USING (owner, d, pos)""")
 def group_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = timed_values(spark, sf_dir).withColumn("coverage", F.least(F.lit(1.0), F.col("n") / 3.0))
-    return strategy.gates(v, 2, 120, 0.5, F.col("at"), F.lit(1_704_412_800_000_000)).select(*GROUPED, "reason")
+    """Gates of groups in order; a group that the row gates emptied says which one did."""
+    g = grouped(measurements(spark, sf_dir), POOL).withColumn("gone", assign.row_gate(1, 2.0, 90.0))
+    left = F.col("gone").isNull()
+    v = g.groupBy(*GROUPED).agg(F.sum(F.when(left, F.col("value"))).alias("value"), F.count_if(left).alias("n"), F.max(F.when(left, F.unix_micros("start_at"))).alias("at"), F.count_if(F.col("gone") == "flagged").alias("flagged"), F.count_if(F.col("gone") == "implausible").alias("implausible"))
+    listed = strategy.spine(g.select(*DAY).distinct(), len(POOL)).join(v, GROUPED, "left").withColumn("coverage", F.least(F.lit(1.0), F.col("n") / 3.0))
+    return strategy.gates(listed, 5, 150, 0.5, F.col("at"), F.lit(1_704_412_800_000_000)).select(*GROUPED, "reason")
 
 
 _FIRST = """, f AS (SELECT owner, d, min(pos) AS selected, min_by(value, pos) AS value FROM v GROUP BY ALL)"""
@@ -231,22 +242,52 @@ def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("st12_follow", _AT + f""", l AS (SELECT owner, d, min(pos) AS led FROM (SELECT owner, d, 2 - {_POS3} AS p, {_POS3} AS pos FROM m WHERE k >= 50 AND {_POS3} IS NOT NULL) GROUP BY ALL), f AS (SELECT owner, d, min(pos) AS own, min_by(value, pos) AS value FROM v GROUP BY ALL)
 SELECT f.owner, f.d AS local_date, round(coalesce(v.value, f.value), 6) AS value, CAST(CASE WHEN v.value IS NOT NULL THEN led ELSE own END AS INTEGER) AS selected,
-  CASE WHEN v.value IS NOT NULL THEN 'direct' WHEN led IS NOT NULL THEN 'fallback' WHEN own = 0 THEN 'direct' ELSE 'fallback' END AS status
+  CASE WHEN v.value IS NOT NULL THEN 'direct' ELSE 'fallback' END AS status, CASE WHEN v.value IS NULL THEN 'follow_unavailable' END AS warning
 FROM f LEFT JOIN l ON l.owner = f.owner AND l.d = f.d LEFT JOIN v ON v.owner = f.owner AND v.d = f.d AND v.pos = l.led""")
 def follow(spark: SparkSession, sf_dir: str) -> DataFrame:
     leader = grouped(measurements(spark, sf_dir).where("k >= 50"), POOL).groupBy(*DAY).agg(F.min("pos").alias("selected"))
-    return strategy.follow(strategy.gates(timed_values(spark, sf_dir)), leader, DAY).select(*DAY, _r("value"), "selected", "status")
+    return strategy.follow(strategy.gates(timed_values(spark, sf_dir)), leader, DAY).select(*DAY, _r("value"), "selected", "status", "warning")
 
 
-@query("st13_compose_hours", f""", v AS (SELECT owner, d, s // 3600000000 AS h, {_POS3} AS pos, sum(value) AS value FROM m WHERE {_POS3} IS NOT NULL GROUP BY ALL),
-f AS (SELECT owner, d, h, min(pos) AS selected, min_by(value, pos) AS value FROM v GROUP BY ALL), o AS (SELECT owner, d, pos, sum(value) AS value FROM v GROUP BY ALL), x AS (SELECT owner, d, max(value) AS most FROM o GROUP BY ALL)
-SELECT f.owner, f.d AS local_date, round(sum(value), 6) AS value, count(*) AS hours, count(DISTINCT selected) AS groups, sum(value) > any_value(most) + 1e-9 AS exceeds FROM f JOIN x USING (owner, d) GROUP BY f.owner, f.d""")
+_COMPOSE = LOCAL_HOURS + f""", g AS (SELECT *, {_POS3} AS pos FROM m WHERE {_POS3} IS NOT NULL),
+hv AS (SELECT owner, lh.d AS d, hs, pos, sum(value) AS value, count(*) AS n FROM g JOIN lh ON lh.z = zone AND s >= hs AND s < he GROUP BY ALL),
+gv AS (SELECT *, CASE WHEN value < 10 THEN 'below_quality' END AS bad, least(1.0, n / 2.0) AS cov FROM hv),
+cd AS (SELECT DISTINCT owner, d FROM gv), hrs AS (SELECT owner, cd.d, hs, (he - hs) AS len FROM cd JOIN (SELECT DISTINCT owner, zone FROM m) USING (owner) JOIN lh ON lh.z = zone AND lh.d = cd.d),
+full_ AS (SELECT hrs.owner, hrs.d, hrs.hs, p.pos, gv.value, gv.cov, len, CASE WHEN gv.value IS NULL THEN 'no_data' ELSE bad END AS reason FROM hrs CROSS JOIN (SELECT unnest([0, 1, 2]) AS pos) p LEFT JOIN gv ON gv.owner = hrs.owner AND gv.d = hrs.d AND gv.hs = hrs.hs AND gv.pos = p.pos),
+pick AS (SELECT owner, d, hs, min(pos) AS sel, min_by(value, pos) AS value FROM full_ WHERE reason IS NULL GROUP BY ALL),
+grp AS (SELECT f.owner, f.d, f.pos, max(CASE WHEN f.pos = sel THEN 5 WHEN reason IS NULL THEN 4 WHEN reason = 'no_data' THEN 1 ELSE 3 END) AS rk, sum(f.value) FILTER (reason IS NULL) AS own, sum(coalesce(cov, 0) * len) / sum(len) AS cov, count(*) FILTER (f.pos = sel) AS sup FROM full_ f LEFT JOIN pick p ON p.owner = f.owner AND p.d = f.d AND p.hs = f.hs GROUP BY ALL),
+day AS (SELECT owner, d, sum(value) AS value, count(*) AS hours, count(DISTINCT sel) AS groups, max(sel) AS one, bool_and(sel = 0) AS direct FROM pick GROUP BY ALL), most AS (SELECT owner, d, max(coalesce(own, 0)) AS most FROM grp GROUP BY ALL)"""
+
+
+@query("st13_compose_hours", _COMPOSE + """
+SELECT grp.owner, grp.d AS local_date, CAST(pos AS INTEGER) AS pos, ['no_data', 'stale', 'below_quality', 'unused', 'selected'][rk] AS group_status, round(own, 6) AS group_value, round(cov, 6) AS group_coverage, sup > 0 AS supplied, round(value, 6) AS value, coalesce(hours, 0) AS hours, coalesce(groups, 0) AS groups,
+  CAST(CASE WHEN groups = 1 THEN one END AS INTEGER) AS selected, CASE WHEN hours IS NULL THEN 'no_data' WHEN groups = 1 THEN CASE WHEN direct THEN 'direct' ELSE 'fallback' END ELSE 'calculated' END AS status, coalesce(groups > 1 AND value > most + 1e-9, false) AS exceeds
+FROM grp LEFT JOIN day ON day.owner = grp.owner AND day.d = grp.d JOIN most ON most.owner = grp.owner AND most.d = grp.d""")
 def compose_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = grouped(measurements(spark, sf_dir), POOL).withColumn("h", within.bucket_of("start_at", 3_600_000_000))
-    v = g.groupBy(*GROUPED, "h").agg(F.sum("value").alias("value"))
-    hours = strategy.first_available(strategy.gates(v), [*DAY, "h"])
-    single = v.groupBy(*GROUPED).agg(F.sum("value").alias("value"))
-    return strategy.compose(hours, DAY, single).select(*DAY, _r("value"), "hours", "groups", "exceeds")
+    """Days composed of their local hours, with what each group did in them."""
+    return composed(spark, sf_dir).select(*GROUPED, "group_status", _r("group_value"), _r("group_coverage"), "supplied", _r("value"), "hours", "groups", "selected", "status", "exceeds")
+
+
+def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = grouped(measurements(spark, sf_dir), POOL).withColumn("t", F.unix_micros("start_at"))
+    v = windows.local_parts(g.drop("local_date"), "t", "t").groupBy("owner", "local_date", F.col("hour_start").alias("hour"), "pos").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
+    days = windows.day_bounds(v.select("owner", "local_date").distinct().withColumn("zone", zone_of(F.col("owner"))))
+    hours = windows.day_windows(days, 60).select("owner", "local_date", F.unix_micros("start").alias("hour"), (F.unix_micros("end") - F.unix_micros("start")).alias("elapsed"))
+    listed = strategy.spine(hours, len(POOL)).join(v, ["owner", "local_date", "hour", "pos"], "left").withColumn("coverage", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 2.0))
+    return strategy.compose(strategy.gates(listed, 10, 1e9), DAY)
+
+
+@query("st14_daily_fallback", _COMPOSE + f""", lone AS (SELECT owner, d, pos FROM (SELECT owner, d, {_POS3} AS pos, k FROM m WHERE {_POS3} IS NOT NULL) GROUP BY ALL HAVING min(k) >= 40),
+dv AS (SELECT g.owner, g.d, g.pos, max_by(value, (s, id)) AS value FROM g JOIN lone ON lone.owner = g.owner AND lone.d = g.d AND lone.pos = g.pos GROUP BY ALL), dd AS (SELECT owner, d, min(pos) AS dp, min_by(value, pos) AS dv FROM dv GROUP BY ALL),
+lead_ AS (SELECT owner, d, min(pos) AS p FROM grp WHERE sup > 0 GROUP BY ALL), base AS (SELECT owner, d FROM cd),
+o AS (SELECT base.owner, base.d, day.value, day.hours, groups, one, direct, p, dp, dd.dv, dp IS NOT NULL AND (p IS NULL OR dp < p) AS use FROM base LEFT JOIN day ON day.owner = base.owner AND day.d = base.d LEFT JOIN lead_ ON lead_.owner = base.owner AND lead_.d = base.d LEFT JOIN dd ON dd.owner = base.owner AND dd.d = base.d)
+SELECT owner, d AS local_date, round(CASE WHEN use THEN dv ELSE value END, 6) AS value, CAST(CASE WHEN use THEN dp WHEN groups = 1 THEN one END AS INTEGER) AS selected,
+  CASE WHEN use THEN CASE WHEN dp = 0 THEN 'direct' ELSE 'fallback' END WHEN hours IS NULL THEN 'no_data' WHEN groups = 1 THEN CASE WHEN direct THEN 'direct' ELSE 'fallback' END ELSE 'calculated' END AS status, use AS from_daily FROM o""")
+def daily_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A composed day is the daily value of a group with nothing else that stands before all suppliers; rows of long kind stand for daily values."""
+    g = grouped(measurements(spark, sf_dir), POOL)
+    only = g.groupBy(*GROUPED).agg(F.min("k").alias("least"), F.max_by("value", F.struct("start_at", "id")).alias("value")).where("least >= 40")
+    return strategy.daily_fallback(composed(spark, sf_dir), only, DAY).select(*DAY, _r("value"), "selected", "status", "from_daily")
 
 
 @query("st15_overrides", _AT.replace("FROM m WHERE", "FROM m WHERE id % 50 <> 0 AND") + """, f AS (SELECT owner, d, min_by(value, pos) AS computed FROM v GROUP BY ALL)
