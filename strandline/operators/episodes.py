@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from strandline.operators.components import components
+from strandline.operators.joins import overlap
+from strandline.sources.scratch import Scratch
 
 
 def islands(spans: DataFrame, keys: list[str], lo: str, hi: str, gap: int) -> DataFrame:
@@ -30,48 +32,53 @@ def covered(spans: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -
     return islands(spans, keys, lo, hi, 0).groupBy(*keys, "island").agg(F.min(lo).alias("_l"), F.max(hi).alias("_h")).groupBy(*keys).agg(F.sum(F.col("_h") - F.col("_l")).alias("length"))
 
 
-def _clusters(spans: pd.DataFrame, least: float, kind: str | None) -> list[int]:
-    """Cluster of each span: links by falling overlap; a cluster holds at most one specific kind if ``kind`` names their column."""
-    n, lo, hi = len(spans), spans["lo"].to_numpy(), spans["hi"].to_numpy()
-    kinds = [{k} - {None} for k in spans[kind]] if kind else [set()] * n
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    links = []
-    for a in range(n):
-        for b in range(a + 1, n):
-            shared = min(hi[a], hi[b]) - max(lo[a], lo[b])
-            short = min(hi[a] - lo[a], hi[b] - lo[b])
-            if short > 0 and shared / short >= least:
-                links.append((-shared / short, a, b))
-    for _, a, b in sorted(links):
-        ra, rb = root(a), root(b)
-        if ra != rb and len(kinds[ra] | kinds[rb]) <= 1:
-            parent[max(ra, rb)] = min(ra, rb)
-            kinds[min(ra, rb)] = kinds[ra] | kinds[rb]
-    return [root(i) for i in range(n)]
-
-
-def clusters(spans: DataFrame, keys: list[str], least: float, kind: str | None = None) -> DataFrame:
-    """``spans(keys, id, lo, hi)`` with ``cluster``, the least id among spans that overlap by ``least`` of the shorter, directly or through others.
-
-    Spans of a key are first cut into islands by a sort, so that a Python group is one stretch of
-    overlapping spans, a few rows.  With ``kind`` the links are taken by falling overlap, and none may
-    bring two specific kinds together (null: unspecific).
+def links(spans: DataFrame, keys: list[str], least: float, size: int = 3_600_000_000) -> DataFrame:
+    """``(keys, a, b, ratio, ...)``: pairs of ``spans(keys, id, lo, hi)`` of equal keys that overlap by ``least`` of the shorter.
+
+    ``a`` starts first, or has the smaller id of two that start together.  Spans are cut at a grid and
+    meet by equal cells, so that no task holds all spans of a key.
     """
-    cut = islands(spans, keys, "lo", "hi", -1)
-    schema = T.StructType([*cut.schema.fields, T.StructField("cluster", T.LongType())])
+    rest = [c for c in spans.columns if c not in keys]
+    left, right = (spans.withColumnsRenamed({c: f"{s}_{c}" for c in rest}) for s in "ab")
+    both = overlap(left, right, keys, ("a_lo", "a_hi"), ("b_lo", "b_hi"), size).where("struct(a_lo, a_id) < struct(b_lo, b_id)")
+    ratio = overlap_ratio(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi"))
+    return both.withColumn("ratio", ratio).where(F.col("ratio") >= least).withColumnsRenamed({"a_id": "a", "b_id": "b"})
+
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        at = _clusters(pdf.assign(**({kind: pdf[kind].astype(object).where(pdf[kind].notna(), None)} if kind else {})), least, kind)
-        return pdf.assign(cluster=pdf["id"].to_numpy()[at])
+def clusters(spans: DataFrame, keys: list[str], least: float, name: str = "clusters") -> DataFrame:
+    """``spans(keys, id, lo, hi)`` with ``cluster``, the least id among spans that overlap by ``least`` of the shorter, directly or through others."""
+    scratch = Scratch(spans.sparkSession, name)
+    found = components(links(spans, keys, least).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
+    found = scratch.save(found.groupBy("node").agg(F.min("component").alias("cluster")))
+    return spans.join(found, F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("cluster", "id")).drop("node")
 
-    return cut.groupBy(*keys, "island").applyInPandas(run, schema).drop("island")
+
+def best_first_clusters(spans: DataFrame, keys: list[str], least: float, kind: str, name: str = "best_first") -> DataFrame:
+    """``spans`` with ``cluster`` (its least id), where links count by falling overlap and a cluster holds one specific ``kind`` at most.
+
+    Of equal overlaps the pair that starts first counts first; a null kind is unspecific.  In each round
+    every link that is the best of all that either of its clusters has is settled; none that is settled
+    later could come before it, so the result is that of taking all links one by one.
+    """
+    scratch = Scratch(spans.sparkSession, name)
+    order = F.struct((-F.col("ratio")).alias("r"), "a_lo", "a", "b_lo", "b")
+    left = scratch.save(links(spans.select(*keys, "id", "lo", "hi"), keys, least).select("a", "b", order.alias("rank")))
+    state = scratch.save(spans.select("id", F.col("id").alias("cluster"), F.col(kind).alias("kind")))
+    while True:
+        ends = left.select("a", "b", "rank")
+        for end in ("a", "b"):
+            ends = ends.join(state.select(F.col("id").alias(end), F.col("cluster").alias(f"c{end}"), F.col("kind").alias(f"k{end}")), end)
+        # two clusters with two kinds never join, now or later
+        left = scratch.save(ends.where("ca <> cb and (ka is null or kb is null or ka = kb)"))
+        if left.isEmpty():
+            break
+        best = scratch.save(left.select(F.explode(F.array("ca", "cb")).alias("c"), "rank").groupBy("c").agg(F.min("rank").alias("best")))
+        top = left.join(best.select(F.col("c").alias("ca"), F.col("best").alias("ba")), "ca").join(best.select(F.col("c").alias("cb"), F.col("best").alias("bb")), "cb").where("rank = ba and rank = bb")
+        pairs = scratch.save(top.select("ca", "cb", F.coalesce("ka", "kb").alias("k")))
+        into = pairs.select(F.col("ca").alias("cluster"), F.least("ca", "cb").alias("new"), "k").union(pairs.select("cb", F.least("ca", "cb"), "k"))
+        state = scratch.save(state.join(into, "cluster", "left").select("id", F.coalesce("new", "cluster").alias("cluster"), F.coalesce("k", "kind").alias("kind")))
+        left = left.select("a", "b", "rank")
+    return spans.join(state.select("id", "cluster"), "id")
 
 
 def main_episode(episodes: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ def query(name: str, sql: str | None = None, events: bool = True) -> Callable[[Q
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            ORACLES[name] = f"WITH {MEASUREMENTS}{sql}" if events else sql
+            ORACLES[name] = f"WITH RECURSIVE {MEASUREMENTS}{sql}" if events else sql
         return f
 
     return add

@@ -364,21 +364,6 @@ def covered_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return episodes.covered(spans(spark, sf_dir), ["owner"])
 
 
-@query("ev3_episodes")
-def sleep_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans that overlap by half of the shorter, directly or through others."""
-    rows = spans(spark, sf_dir).where("source in ('view', 'click') and hi > lo")
-    return episodes.clusters(rows, ["owner"], 0.5).select("owner", "id", "cluster")
-
-
-@query("ev7_workouts")
-def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Workouts by falling overlap, with one specific kind in a cluster, and the one that is shown of each."""
-    rows = spans(spark, sf_dir).where("hi > lo").withColumn("sport", F.when(F.col("source") != "view", F.col("source"))).withColumn("place", F.when(F.col("source") == "view", 1).otherwise(0))
-    found = episodes.clusters(rows, ["owner"], 0.6, "sport")
-    return episodes.pick(found.drop("island"), ["owner", "cluster"], "place").select("owner", "cluster", "id", "lo", "hi")
-
-
 def zones_of_owners(m: DataFrame) -> DataFrame:
     """Each owner lives in their zone, and from the tenth of January on in the next one."""
     owners = m.select("owner").distinct()
