@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR = 3_600_000_000
@@ -57,3 +57,26 @@ def any_like(rows: DataFrame, patterns: DataFrame, column: str, pattern: str, he
     rest = rows.join(few, like, "left_anti").withColumn("_k", F.substring(column, 1, head))
     keyed = rest.join(p.where("_h <> ''"), (F.col("_k") == F.col("_h")) & like, "left_semi").drop("_k")
     return rows.join(few, like, "left_semi").union(keyed)
+
+
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: list[str], bucket: int = HOUR * 24, lookback: int | None = None) -> DataFrame:
+    """``left`` with ``found``, the row of ``right`` with the same keys that is the latest at or before ``at`` (microseconds).
+
+    ``order`` are the columns of ``right`` that it is ordered by, its instant first; ``lookback``: rows
+    older than that don't count.  The last row of each bucket of time is carried to the later ones, so
+    that no window holds all rows of a key.
+    """
+    when, rest = order[0], [c for c in right.columns if c not in keys]
+    r = right.select(*keys, F.expr(f"`{when}` div {bucket}").alias("_b"), F.col(when).alias("_t"), F.struct(*order).alias("_o"), F.struct(*rest).alias("_row"))
+    own = left.withColumn("_b", F.expr(f"`{at}` div {bucket}"))
+    ends = r.groupBy(*keys, "_b").agg(F.max_by("_row", "_o").alias("_end"))
+    every = ends.select(*keys, "_b").union(own.select(*keys, "_b")).distinct().join(ends, [*keys, "_b"], "left")
+    upto = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    carried = every.select(*keys, "_b", F.last("_end", ignorenulls=True).over(upto(*keys).orderBy("_b")).alias("_far"))
+    marks = own.select(*keys, "_b", F.col(at).alias("_t"), F.lit(None).cast(r.schema["_o"].dataType).alias("_o"), F.lit(None).cast(r.schema["_row"].dataType).alias("_row"), F.struct(*left.columns).alias("_l"))
+    both = r.withColumn("_l", F.lit(None).cast(marks.schema["_l"].dataType)).select(marks.columns).union(marks)
+    near = F.last("_row", ignorenulls=True).over(upto(*keys, "_b").orderBy("_t", F.col("_l").isNotNull(), "_o"))
+    out = both.withColumn("_near", near).where("_l is not null").join(carried, [*keys, "_b"], "left").withColumn("found", F.coalesce("_near", "_far"))
+    if lookback is not None:
+        out = out.withColumn("found", F.when(F.col(f"found.{when}") >= F.col("_t") - lookback, F.col("found")))
+    return out.select("_l.*", "found")

@@ -187,3 +187,32 @@ def apply_overrides(resolved: DataFrame, values: DataFrame, forced: DataFrame, f
 def differences(stored: DataFrame, live: DataFrame) -> DataFrame:
     """Rows of either side that the other lacks, as often as they differ."""
     return stored.exceptAll(live).withColumn("side", F.lit("stored")).union(live.exceptAll(stored).withColumn("side", F.lit("live")))
+
+
+def result_coverage(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, coverage)``: mean coverage of the groups that the value came from, 0 where there is none."""
+    return groups.groupBy(*keys).agg(F.coalesce(F.avg(F.when(F.col("group_status") == "selected", F.col("coverage"))), F.lit(0.0)).alias("coverage"))
+
+
+def hours_coverage(hours: DataFrame, keys: list[str], start: Column, now: Column) -> DataFrame:
+    """``(keys, coverage)`` of a composed day: mean over the hours that have begun."""
+    return hours.groupBy(*keys).agg(F.coalesce(F.avg(F.when(start < now, F.col("coverage"))), F.lit(0.0)).alias("coverage"))
+
+
+def sources_used(resolved: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``(keys, used)``: groups that values came from, in the order of their first use."""
+    first = resolved.where("selected is not null").groupBy(*keys, "selected").agg(F.min(order).alias("_f"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_f", "selected"))), lambda x: x["selected"]).alias("used"))
+
+
+def preview(active: DataFrame, draft: DataFrame, keys: list[str]) -> DataFrame:
+    """Two resolutions beside each other, with what a change of rule would do: same, changed, appears or vanishes."""
+    a, b = active.select(*keys, F.col("value").alias("old"), F.col("selected").alias("old_selected")), draft.select(*keys, F.col("value").alias("new"), F.col("selected").alias("new_selected"))
+    change = F.when(F.col("old").isNull() & F.col("new").isNull(), "same").when(F.col("old").isNull(), "appears").when(F.col("new").isNull(), "vanishes").when((F.abs(F.col("old") - F.col("new")) <= 1e-9) & F.col("old_selected").eqNullSafe(F.col("new_selected")), "same").otherwise("changed")
+    return a.join(b, keys, "full").withColumn("change", change)
+
+
+def warnings(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, warnings)``: for each group that stands before the selected one, that it was not available."""
+    skipped = F.when(F.col("pos") < F.col("selected"), F.struct(F.col("pos").alias("pos"), F.lit("preferred_source_unavailable").alias("code")))
+    return groups.groupBy(*keys).agg(F.array_sort(F.collect_list(skipped)).alias("warnings"))

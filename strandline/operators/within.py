@@ -124,3 +124,44 @@ def worn(df: DataFrame, wear: DataFrame, keys: list[str], size: int = BASE) -> D
 def coverage(covered: Column, seconds: Column, size: int = BASE) -> Column:
     """Share of the buckets of a window that are covered, 1 at most."""
     return F.least(F.lit(1.0), covered / F.ceil(seconds * MICROS / F.lit(size)))
+
+
+def contributions(df: DataFrame, keys: list[str], start: str, end: str, now: Column, size: int = BASE) -> DataFrame:
+    """``(keys, count, refs, sources, first, last, covered, elapsed, coverage)`` of the rows of a group in a window.
+
+    Instants are microseconds.  Buckets are counted from the window's start, cut to whole ones, up to its
+    end or now; ``sources`` come in the order of their first rows.
+    """
+    s = micros("start_at")
+    stop = F.least(F.col(end), now)
+    first = F.expr(f"`{start}` - pmod(`{start}`, {size})")
+    b = F.expr(f"unix_micros(start_at) div {size}")
+    rows = df.withColumn("_b", F.when((s >= first) & (b * size < stop), b)).withColumn("_n", F.when(stop > F.col(start), F.ceil((stop - first) / F.lit(size))).otherwise(0))
+    # one row for each source and bucket, then one for each source
+    each = rows.groupBy(*keys, "source", "_b").agg(F.count("*").alias("_k"), F.sort_array(F.collect_list("id")).alias("_ids"), F.min(F.struct(s.alias("t"), F.col("id"))).alias("_f"), F.max(s).alias("_l"), F.max("_n").alias("_n"))
+    total = each.groupBy(*keys).agg(
+        F.sum("_k").alias("count"), F.array_sort(F.flatten(F.collect_list("_ids"))).alias("refs"), F.array_sort(F.collect_set(F.struct("_f", "source"))).alias("_s"),
+        F.min("_f.t").alias("first"), F.max("_l").alias("last"), F.count_distinct("_b").alias("covered"), F.max("_n").alias("elapsed"),
+    )
+    share = F.when(F.col("elapsed") > 0, F.least(F.lit(1.0), F.col("covered") / F.col("elapsed"))).otherwise(0.0)
+    return total.select(*keys, "count", "refs", F.array_distinct(F.transform("_s", lambda x: x["source"])).alias("sources"), "first", "last", "covered", "elapsed", share.alias("coverage"))
+
+
+def coverage_gated(basis: Column, agg: Column, requires_wear: Column, exempt: Column) -> Column:
+    """Whether the coverage gate applies: to values of bucket means, and to additive ones that the wear gate covers."""
+    return basis.isin("bucket_means", "min_rolling_mean", "min") | ((agg == "additive") & requires_wear & ~exempt)
+
+
+def worn_additive(values: DataFrame, wear: DataFrame, keys: list[str], elapsed: Column) -> DataFrame:
+    """``values(keys, value, gated)`` under the wear gate: ``worn`` buckets, ``coverage``, ``status`` and ``reason``.
+
+    ``wear(keys, worn)`` counts the buckets in which a device of the group was worn; a group without a row
+    there reports no wear and is exempt.  Worn without rows is a measured 0; rows in unworn buckets only
+    (``gated`` counts them) leave a group that was not worn.
+    """
+    df = values.join(wear, keys, "full").withColumn("exempt", F.col("worn").isNull())
+    has, gone = F.col("value").isNotNull(), F.coalesce("gated", F.lit(0)) > 0
+    status = F.when(F.col("exempt"), F.when(has, "valid").otherwise("no_data")).when((F.col("worn") == 0) & (has | gone), "below_quality").when(F.col("worn") == 0, "no_data").otherwise("valid")
+    df = df.withColumn("status", status).withColumn("reason", F.when((status == "below_quality"), "not_worn"))
+    zero = (F.col("status") == "valid") & ~has
+    return df.withColumn("coverage", F.when(~F.col("exempt") & (F.col("worn") > 0), F.least(F.lit(1.0), F.col("worn") / elapsed))).withColumn("value", F.when(zero, F.lit(0.0)).when(F.col("status") == "valid", F.col("value")))
