@@ -1,6 +1,6 @@
 """Named queries over the shared tables, and the rules behind them."""
 
-from strandline.plans import gold_queries, ingest_queries, resolution, sleep_queries, window_queries  # noqa: F401
+from strandline.plans import gold_queries, ingest_queries, normalize_queries, resolution, sleep_queries, window_queries  # noqa: F401
 from strandline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
