@@ -23,9 +23,11 @@ def canonical(rows: DataFrame, analytes: DataFrame, units: DataFrame) -> DataFra
 
 
 def suggest(labels: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The analyte that a label names: an owner's alias beats one that all share."""
-    best = aliases.groupBy("label_key").agg(F.min_by("code", F.struct(F.col("owner").isNull(), "code")).alias("code"))
-    return labels.join(best, F.lower(F.trim("label")) == F.col("label_key"), "left").drop("label_key")
+    """``labels(owner, label)`` with the ``code`` of the analyte that a label names: the owner's alias beats one that all share."""
+    key = F.lower(F.trim("label"))
+    met = labels.withColumn("_k", key).select("owner", "_k").distinct().join(aliases.withColumnRenamed("owner", "_o"), (F.col("_k") == F.col("label_key")) & (F.col("_o").isNull() | (F.col("_o") == F.col("owner"))))
+    best = met.groupBy("owner", "_k").agg(F.min_by("code", F.struct(F.col("_o").isNull(), "code")).alias("code"))
+    return labels.withColumn("_k", key).join(best, ["owner", "_k"], "left").drop("_k")
 
 
 def warnings(rows: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -39,3 +41,23 @@ def warnings(rows: DataFrame, confirmed: DataFrame) -> DataFrame:
         F.when(F.col("_twice") & F.col("code").isNotNull(), "repeated_in_run"), F.when(F.col("_known"), "already_confirmed"),
     ))
     return out.withColumn("warnings", found).drop("_twice", "_known")
+
+
+def confirm(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows(id, keys, value, factor)`` as results: of rows that say the same thing twice the first is confirmed; ``result`` is in the canonical unit."""
+    first = rows.groupBy(*keys).agg(F.min("id").alias("id"))
+    return rows.join(first, ["id", *keys]).withColumn("result", F.col("value") / F.col("factor")).withColumn("revision", F.lit(1)).withColumn("active", F.lit(True))
+
+
+def unconfirm(results: DataFrame, taken_back: DataFrame) -> DataFrame:
+    """``results`` with another revision for those that are taken back; nothing is deleted."""
+    gone = taken_back.select("id").distinct().withColumn("_gone", F.lit(True))
+    out = results.join(gone, "id", "left")
+    return out.withColumn("revision", F.when(F.col("_gone"), F.col("revision") + 1).otherwise(F.col("revision"))).withColumn("active", F.col("active") & F.col("_gone").isNull()).drop("_gone")
+
+
+def inventory(results: DataFrame) -> DataFrame:
+    """``(code, n, first, last, latest, days)`` of confirmed results, the most recent analyte first."""
+    by_day = results.groupBy("code", "date").agg(F.count("*").alias("_n"), F.max_by("result", "id").alias("_v"))
+    out = by_day.groupBy("code").agg(F.sum("_n").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("_v", "date").alias("latest"), F.count("date").alias("days"))
+    return out.orderBy(F.col("last").desc_nulls_last(), "code")
