@@ -20,13 +20,12 @@ from .textkit import MARKS, beside, groups, lean, text_bytes, word_hashes, word_
 
 #: Labelled documents that the weights are fitted on, at most.
 SAMPLE = 8000
-#: A token takes part if it is in so many documents of the sample and in toxic ones more often than chance: by so many
-#: standard errors, or so that of the tokens taken this share at most is expected by chance, given their number and the
-#: label rate.  Without that, rare tokens explain the toxic documents of the sample by heart.
-LEAST_DOCUMENTS, LEAST_LIFT, BY_CHANCE = 5, 6.0, 0.01
+#: A token takes part if it is in two documents of the sample at least, and in toxic ones more often than chance by so many
+#: standard errors.  Which of these levels serves best, an inner split of the sample tells, whatever its size and label rate.
+LEVELS, FOLDS = (6.0, 4.0, 3.0, 2.0), 3
 #: Documents and sentences from this score on are called toxic.
 THRESHOLD = 0.3
-_ROUNDS, _RATE, _RIDGE = 80, 0.25, 2e-3
+_ROUNDS, _RATE, _RIDGE = 80, 0.25, 0.3
 
 _STOP = np.zeros(256, bool)
 _STOP[[0x21, 0x2E, 0x3F, 0x0A, 0x7C]] = True  # ! . ? line end |
@@ -73,62 +72,99 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def chosen(df: np.ndarray, held: np.ndarray, rate: float) -> np.ndarray:
-    """Which tokens, in ``df`` documents of which ``held`` are toxic, take part where a share ``rate`` of all is toxic."""
-    lift = (held - df * rate) / np.sqrt(df * rate * (1 - rate))
-    share = held / df
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = share * np.log(share / rate) + np.where(share < 1, (1 - share) * np.log((1 - share) / (1 - rate)), 0)
-    chance = np.where(share > rate, -df * gain, 0.0)  # log of a bound of the binomial tail, exact for tokens in toxic documents only
-    tried = df >= LEAST_DOCUMENTS
-    order = np.sort(chance[tried])
-    below = order <= np.log(BY_CHANCE * np.arange(1, len(order) + 1) / max(1, len(order)))
-    limit = order[below][-1] if below.any() else -np.inf
-    return tried & ((lift >= LEAST_LIFT) | (chance <= limit))
+class Sample:
+    """Labelled documents as pairs: (document, token) and (sentence, token), over the tokens that two documents hold."""
+
+    def __init__(self, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        self.label = np.array([y for y, _, _ in docs], np.float64)
+        own = [np.unique(h) for _, h, _ in docs]
+        all_ = np.concatenate([*own, np.zeros(0, np.uint64)])
+        self.tokens, df = np.unique(all_, return_counts=True)
+        self.tokens = self.tokens[df >= 2]
+        self.doc, self.tok = self._known(all_, np.repeat(np.arange(len(docs)), [len(h) for h in own]))
+        hashes = np.concatenate([*(h for _, h, _ in docs), np.zeros(0, np.uint64)])
+        base = np.cumsum([0] + [int(s[-1]) + 1 if len(s) else 0 for _, _, s in docs])
+        rows = np.concatenate([*(s + b for (_, _, s), b in zip(docs, base, strict=False)), np.zeros(0, np.int64)])
+        self.row, self.row_tok = self._known(hashes, rows)
+        pair = np.unique(self.row * max(1, len(self.tokens)) + self.row_tok)
+        self.row, self.row_tok = pair // max(1, len(self.tokens)), pair % max(1, len(self.tokens))
+        self.row_doc = np.searchsorted(base, self.row, side="right") - 1
+
+    def _known(self, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.tokens):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.searchsorted(self.tokens, hashes)
+        at[at == len(self.tokens)] = 0
+        known = self.tokens[at] == hashes
+        return of[known].astype(np.int64), at[known]
+
+    def chosen(self, inside: np.ndarray, level: float) -> np.ndarray:
+        """Which tokens are in toxic documents of ``inside`` by ``level`` standard errors more often than chance."""
+        use = inside[self.doc]
+        df = np.bincount(self.tok[use], minlength=len(self.tokens))
+        held = np.bincount(self.tok[use], self.label[self.doc[use]], len(self.tokens))
+        rate = self.label[inside].mean()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            lift = (held - df * rate) / np.sqrt(df * rate * (1 - rate))
+        return (df >= 2) & (np.nan_to_num(lift) >= level)
+
+    def sentences(self, inside: np.ndarray, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token and sentence of each pair, numbered afresh, and the document of each sentence; sentences without any of the tokens are none."""
+        use = inside[self.row_doc] & tokens[self.row_tok]
+        place = np.cumsum(tokens) - 1
+        rows, at = np.unique(self.row[use], return_inverse=True)
+        first = np.searchsorted(self.row[use], rows)
+        return place[self.row_tok[use]], at, self.row_doc[use][first]
+
+    def weights(self, inside: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """Weight of each token and the bias, by Adam on the noisy-or likelihood."""
+        feature, row, doc_of = self.sentences(inside, tokens)
+        names = np.flatnonzero(inside)
+        doc_of, label, n = np.searchsorted(names, doc_of), self.label[inside], int(tokens.sum())
+        theta = np.zeros(n + 1)
+        theta[-1] = -2.0
+        m, v, share = np.zeros_like(theta), np.zeros_like(theta), 1 / len(label)
+        for t in range(1, _ROUNDS + 1 if n else 1):
+            z = theta[-1] + np.bincount(row, theta[feature], len(doc_of))
+            total = np.bincount(doc_of, _softplus(z), len(label))
+            p = 1 / (1 + np.exp(-z))
+            pull = np.where(label[doc_of] > 0, -1 / np.expm1(np.clip(total, 1e-9, 500))[doc_of], 1.0) * p
+            grad = np.append(np.bincount(feature, pull[row], n), pull.sum()) * share
+            grad[:-1] += _RIDGE * theta[:-1] * share
+            m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
+            theta -= _RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        return theta
+
+    def likelihood(self, inside: np.ndarray, tokens: np.ndarray, theta: np.ndarray) -> float:
+        """Log-likelihood of the labels of ``inside``."""
+        feature, row, doc_of = self.sentences(inside, tokens)
+        z = theta[-1] + np.bincount(row, theta[feature], len(doc_of))
+        p = -np.expm1(-np.bincount(doc_of, _softplus(z), len(self.label)))[inside]
+        p, y = np.clip(p, 1e-3, 1 - 1e-3), self.label[inside]
+        return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
 
 
 def train(docs: list[tuple[int, np.ndarray, np.ndarray]]) -> Model:
-    """Weights from (label, token hashes, sentence numbers) of documents, by Adam on the noisy-or likelihood."""
-    label = np.array([y for y, h, _ in docs if len(h)], np.float64)
+    """Weights from (label, token hashes, sentence numbers) of documents; the level of evidence is the one that foretells labels of documents left out best, the strictest of equals."""
     docs = [d for d in docs if len(d[1])]
-    if not len(label) or label.min() == label.max():
+    held = Sample(docs)
+    every = np.ones(len(docs), bool)
+    if not len(docs) or held.label.min() == held.label.max():
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
-    tokens, df = np.unique(np.concatenate([np.unique(h) for _, h, _ in docs]), return_counts=True)
-    held = np.zeros(len(tokens))
-    for y, h, _ in docs:
-        if y:
-            held[np.searchsorted(tokens, np.unique(h))] += 1
-    rate = label.mean()
-    tokens = tokens[chosen(df, held, rate)]
-    if not len(tokens):
-        tokens = np.zeros(1, np.uint64)
-    feature, row, doc_of, base = [], [], [], 0
-    for d, (_, h, s) in enumerate(docs):
-        at = np.searchsorted(tokens, h)
-        at[at == len(tokens)] = 0
-        known = np.flatnonzero(tokens[at] == h)
-        pair = np.unique(s[known] * len(tokens) + at[known])
-        held, at = np.unique(pair // len(tokens), return_inverse=True)
-        feature.append(pair % len(tokens))
-        row.append(at + base)
-        doc_of.append(np.full(len(held), d))
-        base += len(held)
-    feature, row, doc_of = (np.concatenate(x) for x in (feature, row, doc_of))
-    theta = np.zeros(len(tokens) + 1)
-    theta[-1] = -2.0
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    share = 1 / len(label)
-    for t in range(1, _ROUNDS + 1):
-        z = theta[-1] + np.bincount(row, theta[feature], base)
-        total = np.bincount(doc_of, _softplus(z), len(label))
-        p = 1 / (1 + np.exp(-z))
-        pull = np.where(label[doc_of] > 0, -1 / np.expm1(np.clip(total, 1e-9, 500))[doc_of], 1.0) * p
-        grad = np.append(np.bincount(feature, pull[row], len(tokens)), pull.sum()) * share
-        grad[:-1] += _RIDGE * theta[:-1] * share * 10
-        m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        theta -= _RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-    keep = np.abs(theta[:-1]) > 0.02
-    return Model(tokens[keep], theta[:-1][keep], float(theta[-1]))
+    fold, best, level = np.arange(len(docs)) % FOLDS, -np.inf, LEVELS[0]
+    for candidate in LEVELS:
+        total = 0.0
+        for f in range(FOLDS):
+            inside = fold != f
+            if not inside.any() or inside.all() or held.label[inside].min() == held.label[inside].max():
+                continue
+            tokens = held.chosen(inside, candidate)
+            total += held.likelihood(~inside, tokens, held.weights(inside, tokens))
+        if total > best + 1e-9:
+            best, level = total, candidate
+    tokens = held.chosen(every, level)
+    theta = held.weights(every, tokens)
+    return Model(held.tokens[tokens], theta[:-1], float(theta[-1]))
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Weights from the labelled rows of ``docs``.
 
     ``sample`` bounds the documents that come to the driver, drawn evenly by a hash of the id.  Null
-    labels and texts are left out; a document labelled twice is toxic if any label says so.  With
-    nothing to learn from every score is near 0.
+    labels and texts are left out; a document labelled twice is toxic if any label says so; repeated
+    rows count as often as they come; other columns are ignored.  With nothing to learn from every score is 0.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label"))

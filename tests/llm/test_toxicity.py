@@ -1,6 +1,10 @@
+import math
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 from strandline.llm.langid import in_training
+from strandline.llm.textkit import word_hashes
 from strandline.llm.toxicity import fit, score
 
 DATA = "/root/testdata/sf0.1/"
@@ -23,6 +27,35 @@ def test_held_out_documents(spark):
     assert all(r.offending for r in got if r.score > 0.9)
 
 
+def test_scores_equal_the_formula_word_by_word(spark):
+    """The noisy-or once more with regular expressions and dictionaries, from the weights of the model."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = fit(docs, labels)
+    weight = dict(zip(model.tokens.tolist(), model.weights.tolist(), strict=True))
+
+    def hashed(word):
+        data = np.frombuffer(word.encode(), np.uint8)
+        return int(word_hashes(data, np.array([0]), np.array([len(data)]))[0])
+
+    for r in score(docs.select("doc_id", "text").where("doc_id % 10 = 0"), model).collect():
+        none = 1.0
+        for part in re.split(r"[.!?\n|]", r.text or ""):
+            known = {h for h in map(hashed, re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", part)) if h in weight}
+            if known:
+                none *= 1 - 1 / (1 + math.exp(-model.bias - sum(weight[h] for h in known)))
+        assert abs(r.score - (1 - none)) < 1e-9
+
+
+def test_few_and_balanced_labels_give_a_model(spark):
+    """No size of the label set switches the classifier off."""
+    for n, step in ((12, 2), (24, 3), (40, 8)):
+        rows = [(i, f"plain day {i}. awful fool" if i % step == 0 else f"plain day {i}. good friend", int(i % step == 0)) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        new = spark.createDataFrame([(1, "what a fool", 0), (2, "my friend", 0)], df.schema)
+        a, b = (r.score for r in score(new, fit(df, df)).orderBy("doc_id").collect())
+        assert a > 0.3 > b
+
+
 def test_sentences_are_located(spark):
     rows = [(i, f"a calm day w{i}. you are an idiot. more text" if i % 6 == 0 else f"a calm day w{i}. more text", int(i % 6 == 0), "x") for i in range(180)]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, score string")
