@@ -36,15 +36,16 @@ def last_of_batch(batch: DataFrame) -> DataFrame:
 def merged(stored: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``stored`` rows after a batch, and the ``(owner, source, local_date)`` marks of what changed, old dates and new ones.
 
-    A row older (by ``seq``) than the stored one, or equal to it, changes nothing; a deleted one goes.
+    A row older (by ``seq``) than the stored one, or equal to it, changes nothing; a deleted one stays as a
+    deleted row, so that an older version that comes later doesn't bring it back.
     """
     new = last_of_batch(batch)
     content = [c for c in new.columns if c not in ("key", "seq")]
     old = stored.select("key", F.struct(*content).alias("_old"), F.col("seq").alias("_s"))
     both = new.join(old, "key", "left").where("_s is null or (seq > _s and not (struct(" + ", ".join(content) + ") <=> _old))")
-    changed = both.where("_s is not null or not deleted")
-    marks = changed.select(*DAY).union(changed.where("_old is not null").select("_old.owner", "_old.source", "_old.local_date")).distinct()
-    after = stored.join(changed.select("key"), "key", "left_anti").unionByName(changed.where("not deleted").select(stored.columns))
+    seen = both.where("not deleted or not _old.deleted")
+    marks = seen.select(*DAY).union(seen.where("_old is not null").select("_old.owner", "_old.source", "_old.local_date")).distinct()
+    after = stored.join(both.select("key"), "key", "left_anti").unionByName(both.select(stored.columns))
     return after, marks
 
 
@@ -57,7 +58,7 @@ def rebuilt(hours: DataFrame, rows: DataFrame, marks: DataFrame, interval: Colum
     """``hours`` with those of marked days and their neighbours built again from ``rows``; the others stay as they are."""
     days = widened(marks)
     near = widened(days)  # rows that reach into a day may have started on the one before
-    fresh = gold.hourly(rows.join(near, DAY, "left_semi"), ["owner", "source"], interval).join(days, DAY, "left_semi")
+    fresh = gold.hourly(rows.where("not deleted").join(near, DAY, "left_semi"), ["owner", "source"], interval).join(days, DAY, "left_semi")
     return hours.join(days, DAY, "left_anti").unionByName(fresh.select(hours.columns))
 
 
@@ -94,40 +95,59 @@ def due_units(cursors: DataFrame, now: Column, lookback: int, unit: int) -> Data
 
 
 class Store:
-    """Rows and hours in two folders, replaced by one batch after the other; a list of done batches makes replays harmless."""
+    """Rows and hours by local date in two folders; a batch replaces the dates that it touches and no others.
+
+    What a batch will write is first written beside the tables.  From then on it can be given again as
+    often as need be: the same dates are replaced by the same rows until the batch is marked as done.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, interval: Column) -> None:
         self.spark, self.folder, self.interval = spark, folder.rstrip("/"), interval
-        self.hours_schema = gold.hourly(self._empty(), ["owner", "source"], interval).schema
+        self.rows_schema = spark.createDataFrame([], ROW + ", local_date date").schema
+        self.hours_schema = gold.hourly(spark.createDataFrame([], self.rows_schema), ["owner", "source"], interval).schema
 
-    def _empty(self) -> DataFrame:
-        return self.spark.createDataFrame([], ROW + ", local_date date")
+    def _there(self, name: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")  # noqa: SLF001
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)  # noqa: SLF001
 
-    def _current(self) -> int:
-        """Number of the last batch that is done, -1 before the first; its folder holds the tables."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)  # noqa: SLF001
-        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
-        found = [s.getPath().getName() for s in (fs.listStatus(path) if fs.exists(path) else [])]
-        done = [int(n[5:]) for n in found if n.startswith("done-")]
-        return max(done, default=-1)
+    def _read(self, name: str) -> DataFrame:
+        schema = self.hours_schema if name == "hours" else self.rows_schema
+        if not self._there(name):
+            return self.spark.createDataFrame([], schema)
+        # a date that lost all its rows is kept by a row of nulls
+        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").where("owner is not null").select(schema.names)
 
     def table(self, name: str) -> DataFrame:
-        at = self._current()
-        if at < 0:
-            return self._empty() if name == "rows" else self.spark.createDataFrame([], self.hours_schema)
-        return self.spark.read.parquet(f"{self.folder}/batch-{at}/{name}")
+        """``rows`` that count, or ``hours``."""
+        return self._read(name).where("not deleted") if name == "rows" else self._read(name)
+
+    def _replace(self, name: str, df: DataFrame, dates: DataFrame) -> None:
+        """Replace the partitions of ``dates`` by the rows of ``df`` on them."""
+        nulls = dates.select(*[F.col(c) if c == "local_date" else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+        whole = df.join(dates, "local_date", "left_semi").select(df.columns).union(nulls).repartition("local_date")
+        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date").parquet(f"{self.folder}/{name}")
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """One batch: versions, marks, hours; the tables count once the batch is marked as done, so that a batch cut short is simply run again."""
-        if number <= self._current():
+        """One batch: versions and marks beside the tables, then rows, then hours, then done."""
+        if self._there(f"done/{number}"):
             return
-        scratch = Scratch(self.spark, "marks")
-        after, marks = merged(self.table("rows"), scratch.save(batch))
-        marks = scratch.save(marks)
-        after.write.mode("overwrite").parquet(f"{self.folder}/batch-{number}/rows")
-        rows = self.spark.read.parquet(f"{self.folder}/batch-{number}/rows")
-        rebuilt(self.table("hours"), rows, marks, self.interval).write.mode("overwrite").parquet(f"{self.folder}/batch-{number}/hours")
-        self.spark.createDataFrame([(number,)], "batch long").write.mode("overwrite").parquet(f"{self.folder}/done-{number}")
+        plan = f"{self.folder}/plan/{number}"
+        if not self._there(f"plan/{number}/marks/_SUCCESS"):
+            scratch = Scratch(self.spark, "marks")
+            after, marks = merged(self._read("rows"), scratch.save(batch))
+            marks = scratch.save(marks)
+            dates = marks.select("local_date").union(last_of_batch(batch).select("local_date")).distinct()
+            after.join(dates, "local_date", "left_semi").select(self.rows_schema.names).write.mode("overwrite").parquet(f"{plan}/rows")
+            dates.write.mode("overwrite").parquet(f"{plan}/dates")
+            marks.write.mode("overwrite").parquet(f"{plan}/marks")
+        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{plan}/{name}")
+        marks = read("marks", "owner long, source string, local_date date")
+        self._replace("rows", read("rows", self.rows_schema), read("dates", "local_date date"))
+        scratch = Scratch(self.spark, "hours")
+        days = scratch.save(widened(marks).select("local_date").distinct())
+        hours = rebuilt(self._read("hours").join(days, "local_date", "left_semi").select(self.hours_schema.names), self._read("rows"), marks, self.interval)
+        self._replace("hours", scratch.save(hours), days)
+        self.spark.createDataFrame([(number,)], "batch long").write.mode("overwrite").parquet(f"{self.folder}/done/{number}")
 
 
 def run(store: Store, inbox: str, checkpoint: str, per_batch: int = 1) -> StreamingQuery:

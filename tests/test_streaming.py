@@ -2,6 +2,7 @@
 
 import datetime
 import json
+import shutil
 
 from pyspark.sql import functions as F
 
@@ -42,9 +43,14 @@ def test_a_stream_ends_where_a_rebuild_would(spark, tmp_path):
 
     # the same batches again change nothing, nor does a batch cut short before it was done
     before = plain(store.table("hours"))
+    shutil.rmtree(tmp_path / "store" / "done" / "1")
     store.apply(spark.read.schema(ROW).json(str(inbox / "1.json")), 1)
+    assert len(list((tmp_path / "store" / "done").iterdir())) == 3
+    store.apply(spark.read.schema(ROW).json(str(inbox / "2.json")), 2)
+    assert plain(store.table("hours")) != [] and {r.key for r in store.table("rows").collect()} >= {"a1"}
     run(store, str(inbox), str(tmp_path / "cp")).awaitTermination()
     store.apply(spark.read.schema(ROW).json(str(inbox / "2.json")), 9)
+    store.apply(spark.read.schema(ROW).json(str(inbox / "0.json")), 10)  # all older than what is stored
     assert plain(store.table("hours")) == before
 
 
