@@ -73,3 +73,38 @@ def comparator(text: Column) -> Column:
 def raw_status(failed: Column, stored: Column) -> Column:
     """Status of a batch from counts of its payloads: failed beats pending beats done."""
     return F.when(failed > 0, "failed").when(stored > 0, "pending").otherwise("done")
+
+
+def label_key(text: Column) -> Column:
+    """Spelling of a label without case, marks and doubled blanks."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[\s\p{Punct}]+", " "))
+
+
+def match_key(text: Column) -> Column:
+    """Text without case, blanks and commas for points: what a printed value is looked for by."""
+    return F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), ",", "."), r"\s+", "")
+
+
+def range_of(text: Column) -> tuple[Column, Column]:
+    """Bounds of a printed range: ``a - b``, ``< b``, ``> a``; null where there is none."""
+    t = F.regexp_replace(F.translate(F.trim(text), ",–", ".-"), r"\s+", "")
+    low = F.coalesce(F.nullif(F.regexp_extract(t, r"^([0-9.]+)-[0-9.]+$", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"^[>≥]=?([0-9.]+)$", 1), F.lit("")))
+    high = F.coalesce(F.nullif(F.regexp_extract(t, r"^[0-9.]+-([0-9.]+)$", 1), F.lit("")), F.nullif(F.regexp_extract(t, r"^[<≤]=?([0-9.]+)$", 1), F.lit("")))
+    return low.try_cast("double"), high.try_cast("double")
+
+
+def ambiguous_date(text: Column) -> Column:
+    """Whether a printed date reads both day before month and month before day."""
+    a = F.regexp_extract(text, r"^\s*(\d{1,2})[./-](\d{1,2})[./-]\d{2,4}\s*$", 1).try_cast("int")
+    b = F.regexp_extract(text, r"^\s*(\d{1,2})[./-](\d{1,2})[./-]\d{2,4}\s*$", 2).try_cast("int")
+    return F.coalesce(a.between(1, 12) & b.between(1, 12) & (a != b), F.lit(False))
+
+
+def rounded(value: Column, places: int = 6) -> Column:
+    """Half away from zero, as results are shown."""
+    return F.round(value, places)
+
+
+def key_of(kind: Column, start: Column, date: Column, as_of: Column, reading: Column) -> Column:
+    """Key of a window within its kind: the date, the UTC start, the instant it is as of, or the reading."""
+    return F.when(kind.isin("local_day", "local_night"), F.date_format(date, "yyyy-MM-dd")).when(kind == "latest", window_key(as_of)).when(kind == "reading", reading).otherwise(window_key(start))

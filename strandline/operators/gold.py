@@ -115,3 +115,19 @@ def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, floa
 def trend(values: DataFrame, keys: list[str], date: str, unit: str) -> DataFrame:
     """Weeks from Monday, or months, with the first and last day that they hold."""
     return values.groupBy(*keys, F.to_date(F.date_trunc(unit, date)).alias("bucket")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.sum("value").alias("sum"), F.min(date).alias("first_day"), F.max(date).alias("last_day"))
+
+
+def inventory(parts: dict[str, DataFrame]) -> DataFrame:
+    """``(kind, n, first_at, last_at, days, newest)`` over ``(id, at, day)`` of each kind of record; days first, so that no distinct count is kept whole."""
+    out = None
+    for kind, df in parts.items():
+        by_day = df.groupBy("day").agg(F.count("*").alias("n"), F.min("at").alias("a"), F.max("at").alias("z"), F.max(F.struct("at", "id")).alias("l"))
+        one = by_day.agg(F.lit(kind).alias("kind"), F.sum("n").alias("n"), F.min("a").alias("first_at"), F.max("z").alias("last_at"), F.count("day").alias("days"), F.max("l")["id"].alias("newest"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def ordered_sum(df: DataFrame, keys: list, value: str, order: list[str]) -> DataFrame:
+    """``(keys, total)`` added up in an order, one after the other; groups must be small, such as a bucket of one source."""
+    items = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
+    return df.groupBy(*keys).agg(F.aggregate(items, F.lit(0.0), lambda a, x: a + x["_v"]).alias("total"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import unit_key
+from strandline.functions.scalars import ambiguous_date, comparator, match_key, numbers_of, range_of, unit_key
 
 
 def canonical(rows: DataFrame, analytes: DataFrame, units: DataFrame) -> DataFrame:
@@ -61,3 +61,34 @@ def inventory(results: DataFrame) -> DataFrame:
     by_day = results.groupBy("code", "date").agg(F.count("*").alias("_n"), F.max_by("result", "id").alias("_v"))
     out = by_day.groupBy("code").agg(F.sum("_n").alias("n"), F.min("date").alias("first"), F.max("date").alias("last"), F.max_by("_v", "date").alias("latest"), F.count("date").alias("days"))
     return out.orderBy(F.col("last").desc_nulls_last(), "code")
+
+
+#: Warnings in the order in which they are listed.
+WARNINGS = (
+    "value_mismatch", "comparator_mismatch", "range_mismatch", "evidence_unverified", "value_not_in_evidence", "unknown_unit", "unit_not_convertible", "unit_missing", "date_missing", "date_in_future",
+    "date_ambiguous", "reported_before_collected", "duplicate_in_run", "already_confirmed", "unknown_analyte",
+)
+
+
+def transcription_warnings(rows: DataFrame, confirmed: DataFrame, now: Column) -> DataFrame:
+    """``rows`` with an array of what is odd about how a row was read, never about the value itself.
+
+    ``rows(id, analyte, value, value_text, comparator, low, high, range_text, evidence, page_text, unit_state,
+    collected, reported, date_text, rejected)``; ``unit_state`` as of ``canonical``, null where there is no unit.
+    """
+    key = ["analyte", "collected"]
+    twice = F.count_if(~F.col("rejected")).over(Window.partitionBy(*key))
+    known = confirmed.select(*key).distinct().withColumn("_known", F.lit(True))
+    out = rows.withColumn("_twice", twice).join(known, key, "left")
+    low, high = range_of(F.col("range_text"))
+    close = lambda a, b: F.abs(a - b) <= 1e-9 * F.greatest(F.abs(a), F.lit(1.0))
+    read = numbers_of(F.col("value_text"))
+    c = F.col
+    found = F.array_compact(F.array(
+        F.when(c("value").isNotNull() & (F.size(read) > 0) & ~F.exists(read, lambda x: close(x, c("value"))), WARNINGS[0]), F.when(c("value_text").isNotNull() & ~c("comparator").eqNullSafe(comparator(c("value_text"))), WARNINGS[1]),
+        F.when(c("range_text").isNotNull() & ~(c("low").eqNullSafe(low) & c("high").eqNullSafe(high)), WARNINGS[2]), F.when((match_key(c("page_text")) != "") & ~F.contains(match_key(c("page_text")), match_key(c("evidence"))), WARNINGS[3]),
+        F.when((match_key(c("value_text")) != "") & ~F.contains(match_key(c("evidence")), match_key(c("value_text"))), WARNINGS[4]), F.when(c("analyte").isNotNull() & (c("unit_state") == "unknown"), WARNINGS[5]), F.when(c("analyte").isNotNull() & (c("unit_state") == "refused"), WARNINGS[6]),
+        F.when(c("analyte").isNotNull() & c("value").isNotNull() & c("unit_state").isNull(), WARNINGS[7]), F.when(c("collected").isNull(), WARNINGS[8]), F.when((c("collected") > F.date_add(now, 1)) | (c("reported") > F.date_add(now, 1)), WARNINGS[9]),
+        F.when(ambiguous_date(c("date_text")), WARNINGS[10]), F.when(c("reported") < c("collected"), WARNINGS[11]), F.when(c("analyte").isNotNull() & ~c("rejected") & (c("_twice") > 1), WARNINGS[12]), F.when(c("analyte").isNotNull() & c("_known"), WARNINGS[13]), F.when(c("analyte").isNull(), WARNINGS[14]),
+    ))
+    return out.withColumn("warnings", found).drop("_twice", "_known")

@@ -216,3 +216,9 @@ def warnings(groups: DataFrame, keys: list[str]) -> DataFrame:
     """``(keys, warnings)``: for each group that stands before the selected one, that it was not available."""
     skipped = F.when(F.col("pos") < F.col("selected"), F.struct(F.col("pos").alias("pos"), F.lit("preferred_source_unavailable").alias("code")))
     return groups.groupBy(*keys).agg(F.array_sort(F.collect_list(skipped)).alias("warnings"))
+
+
+def recorded_first(values: DataFrame, events: DataFrame, keys: list[str]) -> DataFrame:
+    """``values`` with ``ladder``: in a window with an event the group that ``recorded`` it stands first, the others keep their order."""
+    out = values.join(events, keys, "left")
+    return out.withColumn("ladder", F.when(F.col("pos") == F.col("recorded"), -1).otherwise(F.col("pos"))).drop("recorded")

@@ -165,3 +165,9 @@ def worn_additive(values: DataFrame, wear: DataFrame, keys: list[str], elapsed:
     df = df.withColumn("status", status).withColumn("reason", F.when((status == "below_quality"), "not_worn"))
     zero = (F.col("status") == "valid") & ~has
     return df.withColumn("coverage", F.when(~F.col("exempt") & (F.col("worn") > 0), F.least(F.lit(1.0), F.col("worn") / elapsed))).withColumn("value", F.when(zero, F.lit(0.0)).when(F.col("status") == "valid", F.col("value")))
+
+
+def mean_of_readings(df: DataFrame, keys: list[str], reading: str, code: str) -> DataFrame:
+    """``(keys, code, value, readings)``: mean of each component over the readings of a window, every reading weighing the same."""
+    each = df.groupBy(*keys, code, reading).agg(F.avg("value").alias("v"))
+    return each.groupBy(*keys, code).agg(F.avg("v").alias("value"), F.count("*").alias("readings"))
