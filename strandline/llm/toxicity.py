@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .textkit import MARKS, beside, groups, lean, text_bytes, word_hashes, word_spans
 
 #: Labelled documents that the weights are fitted on, at most.
-SAMPLE = 8000
+SAMPLE = 5000
 #: A token takes part if it is in two documents of the sample at least, and in toxic ones more often than chance by so many
 #: standard errors.  Which of these levels serves best, an inner split of the sample tells, whatever its size and label rate.
 LEVELS, FOLDS = (6.0, 4.0, 3.0, 2.0), 3
@@ -78,17 +78,23 @@ class Sample:
     def __init__(self, docs: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
         self.label = np.array([y for y, _, _ in docs], np.float64)
         own = [np.unique(h) for _, h, _ in docs]
+        of = np.repeat(np.arange(len(docs), dtype=np.int32), [len(h) for h in own])
         all_ = np.concatenate([*own, np.zeros(0, np.uint64)])
+        del own
         self.tokens, df = np.unique(all_, return_counts=True)
         self.tokens = self.tokens[df >= 2]
-        self.doc, self.tok = self._known(all_, np.repeat(np.arange(len(docs)), [len(h) for h in own]))
-        hashes = np.concatenate([*(h for _, h, _ in docs), np.zeros(0, np.uint64)])
+        self.doc, self.tok = self._known(all_, of)
+        del all_, of, df
         base = np.cumsum([0] + [int(s[-1]) + 1 if len(s) else 0 for _, _, s in docs])
-        rows = np.concatenate([*(s + b for (_, _, s), b in zip(docs, base, strict=False)), np.zeros(0, np.int64)])
-        self.row, self.row_tok = self._known(hashes, rows)
-        pair = np.unique(self.row * max(1, len(self.tokens)) + self.row_tok)
-        self.row, self.row_tok = pair // max(1, len(self.tokens)), pair % max(1, len(self.tokens))
-        self.row_doc = np.searchsorted(base, self.row, side="right") - 1
+        width, pairs = max(1, len(self.tokens)), [np.zeros(0, np.int64)]
+        for lo in range(0, len(docs), 256):  # a few documents at a time, so that nothing of all tokens is held twice
+            some = docs[lo : lo + 256]
+            row, tok = self._known(np.concatenate([h for _, h, _ in some]), np.concatenate([s + base[lo + i] for i, (_, _, s) in enumerate(some)]))
+            pairs.append(np.unique(row * width + tok))
+        pair = np.concatenate(pairs)
+        del pairs
+        self.row, self.row_tok = pair // width, (pair % width).astype(np.int32)
+        self.row_doc = (np.searchsorted(base, self.row, side="right") - 1).astype(np.int32)
 
     def _known(self, hashes: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.tokens):
@@ -195,8 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(drawn), "id").select("id", "label", "text").mapInArrow(lean(_tokens), "id long, label int, h binary, s binary")
-    got = sorted((r.id, r.label, bytes(r.h), bytes(r.s)) for r in rows.limit(2 * sample).collect())[:sample]
-    return train([(y, np.frombuffer(h, np.uint64), np.frombuffer(s, np.int32).astype(np.int64)) for _, y, h, s in got])
+    got = sorted((r.id, r.label, r.h, r.s) for r in rows.limit(2 * sample).collect())[:sample]
+    return train([(y, np.frombuffer(h, np.uint64), np.frombuffer(s, np.int32)) for _, y, h, s in got])
 
 
 
