@@ -3,9 +3,10 @@
 1.  One pass over the texts gives each document the size of its shingle set, a 128-bit print of the
     set, and band keys over many universal hash minima.
 2.  Documents with equal sets form a class, represented by its least id; only representatives go on.
-3.  Documents that share a band bucket, directly or through others, form a family: every member of a
-    bucket is tied to the bucket's least member, and components of these ties are the families.  A
-    linked pair shares a bucket, so no link leaves a family.
+3.  Within each band bucket the signatures are compared, large buckets block by block, and those that
+    agree well enough for a link are tied together; of the ties of a task a spanning forest is kept.
+    Components of the ties are the families.  A linked pair shares a bucket and agrees there, so no link
+    leaves a family, and documents that share a bucket by chance don't chain families together.
 4.  A family is cut into blocks, and each pair of blocks is one small task: signatures rule most
     pairs out, the full sets confirm the rest, and the task returns a forest that spans its links.
     Pairs are never rows of a table; a family of any size spreads over many tasks.
@@ -32,8 +33,10 @@ _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _STEP = 512
 #: Agreement of signatures under which a pair is not compared in full: more than five standard errors under a similarity of 0.8.
 _SLACK = 0.2
-#: A family has blocks of ``BLOCK`` members, of more beyond ``SPLIT`` blocks, and of ``MOST`` at most.
-BLOCK, SPLIT, MOST = 64, 32, 4096
+#: A family has blocks of ``BLOCK`` members, of more beyond ``SPLIT`` blocks, and of ``MOST`` at most; a block holds sets of ``HASHES`` shingles on average at most.
+BLOCK, SPLIT, MOST, HASHES = 64, 32, 4096, 1 << 23
+#: Members of a bucket that are compared in one piece, and rows of small buckets that one task takes at once on average.
+BUCKET, ROWS_AT_ONCE = 1024, 16384
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -70,29 +73,86 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _describe(size: int):
-    """Task function: (id, text) to (id, n, print, bands)."""
+    """Task function: (id, text) to (id, n, print, bands, low bytes of the signature)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.zeros(batch.num_rows, np.int64)
             fp = np.zeros((2, batch.num_rows), np.int64)
             bands = np.zeros((batch.num_rows, BANDS), np.int64)
+            signs = np.zeros((batch.num_rows, BANDS * ROWS), np.uint8)
             for i, s in _sets(batch, size):
                 n[i] = len(s)
                 if len(s):
                     fp[0, i] = np.bitwise_xor.reduce(mix64(s)).view(np.int64)
                     fp[1, i] = (mix64(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)).view(np.int64)
-                    bands[i] = band_keys(signature(s))
+                    sig = signature(s)
+                    bands[i], signs[i] = band_keys(sig), sig.astype(np.uint8)
             empty = n == 0
             ends = np.concatenate([[0], np.cumsum(np.where(empty, 0, BANDS))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array(fp[0], mask=empty), pa.array(fp[1], mask=empty), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel()))],
-                names=["id", "n", "fp1", "fp2", "bands"],
+                [batch.column(0), pa.array(n), pa.array(fp[0], mask=empty), pa.array(fp[1], mask=empty), pa.ListArray.from_arrays(pa.array(ends), pa.array(bands[~empty].ravel())), pa.array([x.tobytes() for x in signs], pa.binary())],
+                names=["id", "n", "fp1", "fp2", "bands", "signs"],
             )
 
     return run
 
 
+def _plausible(percent: int):
+    """Group function of whole buckets, or of a pair of blocks of one: a forest (u, v) of the pairs whose sizes and signatures allow a link."""
+    least = (percent / 100 - _SLACK) * BANDS * ROWS
+
+    def run(rows: pa.Table) -> pa.Table:
+        key, ids, own, n = (np.asarray(rows.column(c)) for c in ("key", "id", "own", "n"))
+        order = np.lexsort((ids, own, key))
+        key, ids, own, n = key[order], ids[order], own[order], n[order]
+        signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(heads, len(key)))
+        u, v = [], []
+
+        def near(a, b):
+            fits = 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
+            return fits & ((signs[a] == signs[b]).sum(1) >= least)
+
+        two = heads[sizes == 2]
+        two = two[near(two, two + 1)]
+        u.append(ids[two])
+        v.append(ids[two + 1])
+        for lo, size in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            at = np.arange(lo, lo + size)
+            left, right = (at, at) if own[lo] == own[lo + size - 1] else (at[own[at] == own[lo]], at[own[at] != own[lo]])
+            label = np.arange(size)
+            for a in left.tolist():
+                rest = right[(right > a) & (label[right - lo] != label[a - lo])]
+                if not len(rest):
+                    continue
+                rest = rest[near(np.full(len(rest), a), rest)]
+                if len(rest):
+                    tied, first = np.unique(label[rest - lo], return_index=True)
+                    u.append(np.full(len(tied), ids[a]))
+                    v.append(ids[rest[first]])
+                    label[np.isin(label, tied)] = label[a - lo]
+        return pa.table({"u": pa.array(np.concatenate(u), pa.int64()), "v": pa.array(np.concatenate(v), pa.int64())})
+
+    return run
+
+
+def _families(told: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """``(id, family)`` of documents that may have a link."""
+    bands = told.select("id", "n", "signs", F.explode("bands").alias("key"))
+    sizes = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    sizes = scratch.save(sizes.select("key", F.ceil(F.col("members") / BUCKET).cast("long").alias("blocks"), "members"))
+    total = sizes.agg(F.sum("members")).first()[0] or 0
+    rows = bands.join(sizes.select("key", "blocks"), "key")
+    own = F.pmod(F.xxhash64("id"), "blocks")
+    small = rows.where("blocks = 1").select("key", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // ROWS_AT_ONCE)))).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).cast("long").alias("own"), "id", "n", "signs")
+    large = rows.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "signs")
+    ties = small.groupBy("i").applyInArrow(_plausible(percent), "u long, v long").union(large.groupBy("key", "i", "j").applyInArrow(_plausible(percent), "u long, v long"))
+    return scratch.save(components(ties, scratch).withColumnsRenamed({"node": "id", "component": "family"}))
+
+
 def _full_sets(size: int):
     """Task function: (id, text, family, blocks) to (id, family, i, j, own, set): the set once for each pair of blocks that it takes part in."""
 
@@ -177,23 +237,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    told = scratch.save(texts.mapInArrow(lean(_describe(shingle)), "id long, n long, fp1 long, fp2 long, bands array<long>"))
+    told = scratch.save(texts.mapInArrow(lean(_describe(shingle)), "id long, n long, fp1 long, fp2 long, bands array<long>, signs binary"))
 
     every, told = told, told.where("id is not null")
     copies = told.where("fp1 is not null").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").select("fp1", "fp2", "rep")
     copies = scratch.save(copies)
-    member = told.select("id", "n", "fp1", "fp2").join(copies, ["fp1", "fp2"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
+    member = told.join(copies, ["fp1", "fp2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     others = scratch.save(member.where("id <> rep").select("id", "rep"))
 
-    bands = told.join(others.select("id"), "id", "left_anti").select("id", F.explode("bands").alias("key"))
-    hubs = scratch.save(bands.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("most")).where("hub < most").select("key", "hub"))
-    ties = bands.join(hubs, "key").where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v"))
-    family = scratch.save(components(ties, scratch).withColumnsRenamed({"node": "id", "component": "family"}))
-    sizes = family.groupBy("family").agg(F.count("*").alias("members"))
-    sizes = scratch.save(sizes.select("family", F.ceil(F.col("members") / F.least(F.greatest(F.lit(BLOCK), F.col("members") / SPLIT), F.lit(MOST))).alias("blocks")))
+    family = _families(member.where("id = rep and n > 0"), percent, scratch)
+    sizes = family.join(told.groupBy("id").agg(F.max("n").alias("n")), "id").groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"))
+    # by members, and by the size of their sets where these are large
+    blocks = F.greatest(F.ceil(F.col("members") / F.least(F.greatest(F.lit(BLOCK), F.col("members") / SPLIT), F.lit(MOST))), F.ceil(F.col("hashes") / HASHES))
+    sizes = scratch.save(sizes.select("family", blocks.alias("blocks")))
     placed = family.join(sizes, "family").select("id", "family", "blocks")
     rows = texts.where("id is not null").join(scratch.save(placed), "id").select("id", "text", "family", "blocks").mapInArrow(lean(_full_sets(shingle)), "id long, family long, i long, j long, own long, set binary")
     links = rows.groupBy("family", "i", "j").applyInArrow(_confirm(percent), "u long, v long")
+    # an id with several texts ties what these are copies of
+    again = told.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
+    links = links.union(others.join(again, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")))
     tied = scratch.save(components(links, scratch))
     others = others.groupBy("id").agg(F.min("rep").alias("rep"))
     out = every.select("id", "n").join(others, "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))

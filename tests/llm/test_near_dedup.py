@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import near
+from strandline.llm import near_dedup
 from strandline.llm.components import components
 from strandline.llm.near_dedup import near_duplicates
 from strandline.llm.scratch import Scratch
@@ -53,6 +54,16 @@ def test_repeated_ids(spark):
     assert got == [(3, 36, 3, True), (3, 36, 3, True), (5, 36, 3, False), (5, 36, 3, False), (7, 1, 7, True), (7, 1, 7, True), (9, 36, 3, False)]
 
 
+@pytest.mark.parametrize("bucket,at_once", [(4, 64), (2, 10**6)])
+def test_large_buckets_are_compared_block_by_block(spark, monkeypatch, bucket, at_once):
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(near_dedup, "ROWS_AT_ONCE", at_once)
+    monkeypatch.setattr(near_dedup, "HASHES", 400)
+    rows = corpus(5)
+    want = near(rows, 85)
+    assert rows_of(spark, rows) == sorted((i, n, c, i == c) for i, (n, c) in want.items())
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 1), (5, 2), (2, 9), (7, 7), (5, 1)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()))
