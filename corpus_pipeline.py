@@ -1,4 +1,8 @@
-"""A corpus pipeline over ``documents``: five stages, each one operator over all that its predecessor kept."""
+"""A corpus pipeline over ``documents``: five stages, each one operator over all that its predecessor kept.
+
+In every stage an empty table gives an empty one, texts are read whole whatever their length, and columns beyond those of
+documents are left behind, whatever their names.  What each stage does with nulls, ties and repeated rows, its docstring says.
+"""
 
 from __future__ import annotations
 
@@ -20,19 +24,28 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labelled documents are in; texts without letters or far from every language go."""
+    """Documents in one of the languages that the labelled documents are in; texts without letters or far from every language go.
+
+    A null text goes; a null id or label stays as it is.  Repeated rows fare alike; of languages at the same distance the first in order counts.
+    """
     model = langid.fit(docs.where(langid.in_training(F.col("doc_id"))))
     told = langid.identify(docs, model, names=("_lang_pred", "_lang_score", "_lang_rejected"))
     return told.where(~F.col("_lang_rejected")).select(*COLUMNS)
 
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less the lines that their source repeats."""
+    """Documents less the lines that their source repeats.
+
+    Null texts and documents of a null source stay as they are.  A repeated row is a document of its own; a line at exactly the ratio stays.
+    """
     return _documents(line_dedup.drop_boilerplate(docs, "source", "text", ratio=SOURCE_RATIO, name="stage2"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least id; rows that repeat an id count as one document."""
+    """One document of each group of near-duplicates, the one with the least id; rows that repeat an id count as one document.
+
+    Null and wordless texts and rows without an id are like nothing else and stay.
+    """
     classes = near_dedup.near_duplicates(docs, percent=80, name="stage3")
     scratch = Scratch(spark, "stage3rows")
     gone = scratch.save(classes.where("not kept").select("doc_id").distinct())
@@ -43,12 +56,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often, and as far, as the mix of sources takes them."""
+    """Documents as often, and as far, as the mix of sources takes them.
+
+    A null source is one more source, the last; null and wordless texts are never taken.  A repeated row is a document of its own.
+    """
     return _documents(mixing.mixed_documents(docs, name="stage4"))
 
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every text."""
+    """Ids of every text, null for a null one; repeated rows get the same ids, and of equal paths the one with the longest last piece counts."""
     coded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), name="stage5")
     return coded.select("doc_id", "lang", "source", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), "tokens")
 
