@@ -23,7 +23,7 @@ DIM = 4096
 #: Labelled texts that the centroids are fitted on, at most, over all languages; centroids per language.
 SAMPLE, CENTROIDS = 2048, 4
 #: A text is rejected under this share of a low quantile of the cosines that its language has in the sample.
-REJECT, LOW = 0.5, 0.02
+REJECT, LOW = 0.25, 0.02
 UNKNOWN = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -128,10 +128,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     n = np.array([told.get(i, 0) for i in range(DIM)], np.float64)
     idf = (np.log((1 + told[-1]) / (1 + n)) + 1).astype(np.float32)
     each = max(1, sample // len(sizes))
-    counted = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    size = F.create_map(*[x for lang, n in sorted(sizes.items()) for x in (F.lit(lang), F.lit(n))])[F.col("lang")]
     key = F.xxhash64(F.coalesce(F.col("id").cast("string"), "text"))
     # about twice as many as are taken, so that the ranking below sees no more than that of any language
-    drawn = rows.withColumn("k", key).join(counted, "lang").where(F.pmod("k", F.lit(1 << 30)) < (2 * each + 20) / F.col("size") * (1 << 30))
+    drawn = rows.withColumn("k", key).where(F.pmod("k", F.lit(1 << 30)) < (2 * each + 20) / size * (1 << 30))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("k", F.xxhash64("text")))
     drawn = drawn.select("k", "lang", "text", rank.alias("i")).where(F.col("i") <= each)
     got = sorted(map(tuple, drawn.select("k", "lang", "text").mapInArrow(lean(_sampled), "k long, lang string, tf binary").collect()))
