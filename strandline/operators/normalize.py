@@ -255,3 +255,18 @@ def checked_batches(batches: DataFrame) -> DataFrame:
         F.flatten(items),
     ))
     return r.withColumn("errors", whole).drop("_b")
+
+
+# Kinds of a watch's activities, and what an activity's summary measures.
+SPORTS = {"running": "running", "trail_running": "running", "cycling": "cycling", "indoor_cycling": "cycling", "walking": "walking", "hiking": "hiking", "lap_swimming": "swimming"}
+SUMMARY = {"distance": ("distance_walk_run", "m"), "calories": ("active_energy", "kcal"), "averageHR": ("heart_rate_average", "bpm")}
+
+
+def watch_activities(raw: DataFrame) -> DataFrame:
+    """``(raw_id, external_id, sport, lo, hi, values map)`` of a watch's activity summaries; an unknown kind is ``other``, and a summary without a time or length is none."""
+    df = _parsed(raw, "activityId long, startTimeGMT string, duration double, type string, summary map<string,double>").select("raw_id", "r.*")
+    lo = F.unix_micros(F.try_to_timestamp("startTimeGMT", F.lit("yyyy-MM-dd HH:mm:ss")))
+    values = F.map_filter(F.coalesce("summary", F.create_map().cast("map<string,double>")), lambda k, v: k.isin(*SUMMARY) & v.isNotNull())
+    named = F.transform_keys(values, lambda k, _: _map({k_: v[0] for k_, v in SUMMARY.items()})[k])
+    df = df.withColumn("lo", lo).where("activityId is not null and lo is not null and duration > 0")
+    return df.select("raw_id", F.col("activityId").cast("string").alias("external_id"), F.coalesce(_map(SPORTS)[F.col("type")], F.lit("other")).alias("sport"), "lo", (F.col("lo") + F.round(F.col("duration") * SECOND).cast("long")).alias("hi"), named.alias("values"))

@@ -169,3 +169,16 @@ def prunable_raw(raw: DataFrame, rows: DataFrame, cutoff: Column) -> DataFrame:
     older = raw.where("supersedes is not null").select(F.col("raw_id").alias("_newer"), F.col("supersedes").alias("raw_id"))
     replaced = older.select("raw_id").distinct()
     return raw.where((F.col("stored_at") < cutoff) & F.col("supersedes").isNull()).join(replaced, "raw_id", "left_semi").join(active(rows).select("raw_id"), "raw_id", "left_anti")
+
+
+def requests(df: DataFrame, key: str, digest: str, order: str) -> DataFrame:
+    """``df`` with ``outcome``: the first request of a key is ``stored``, the same body again a ``replay``, another body under the key a ``conflict``; requests without a key are all stored."""
+    first = F.first(digest).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return df.withColumn("outcome", F.when(F.col(key).isNull() | (n == 1), "stored").when(F.col(digest) == first, "replay").otherwise("conflict"))
+
+
+def silent(heartbeats: DataFrame, keys: list[str], at: str, now: Column, limit: int) -> DataFrame:
+    """``(keys, last_at, silent)``: clients whose last sign of life is older than ``limit``."""
+    out = heartbeats.groupBy(*keys).agg(F.max(at).alias("last_at"))
+    return out.withColumn("silent", F.col("last_at") < now - limit)

@@ -171,3 +171,20 @@ def mean_of_readings(df: DataFrame, keys: list[str], reading: str, code: str) ->
     """``(keys, code, value, readings)``: mean of each component over the readings of a window, every reading weighing the same."""
     each = df.groupBy(*keys, code, reading).agg(F.avg("value").alias("v"))
     return each.groupBy(*keys, code).agg(F.avg("v").alias("value"), F.count("*").alias("readings"))
+
+
+def aggregate(df: DataFrame, keys: list[str], agg: str = "agg", kind: str = "kind") -> DataFrame:
+    """``(keys, value, basis)`` of rows of many metrics at once, each by the step that its class ``agg`` asks for.
+
+    Intensive metrics are means of bucket means of their samples, additive ones a reported daily value or
+    else the sum of intervals, daily summaries the latest daily value or else the latest sample, and the
+    others the latest row.  Rows carry ``kind``: sample, interval or daily_value.
+    """
+    of = lambda name: df.where(F.col(agg) == name)
+    daily_ = F.col(kind) == "daily_value"
+    means = intensive(of("intensive").where(~daily_), keys).select(*keys, "value", F.lit("bucket_means").alias("basis"))
+    sums = prefer_reported(daily(of("additive").where(daily_), keys), additive(of("additive").where(~daily_), keys), keys)
+    summary = of("daily_summary").withColumn("_d", daily_).groupBy(*keys).agg(F.max_by(F.struct("value", "_d"), F.struct("_d", "start_at", "id")).alias("r"))
+    summary = summary.select(*keys, "r.value", F.when(F.col("r._d"), "daily_value").otherwise("latest").alias("basis"))
+    last = latest(of("latest"), keys).select(*keys, "value", F.lit("latest").alias("basis"))
+    return means.union(sums.select(*keys, "value", "basis")).union(summary).union(last)

@@ -138,3 +138,18 @@ def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = scalars.range_of(text)
     date = F.concat_ws("/", (F.col("p_size") % 14).cast("string"), (F.col("p_size") % 13).cast("string"), F.lit("2024"))
     return p.select("p_partkey", low.alias("low"), high.alias("high"), scalars.ambiguous_date(date).alias("ambiguous"))
+
+
+@query("ag1_classes_together", """, k AS (SELECT id, owner, d, source, s, e, value, CASE source WHEN 'view' THEN 'intensive' WHEN 'purchase' THEN 'additive' WHEN 'error' THEN 'additive' WHEN 'click' THEN 'daily_summary' ELSE 'latest' END AS agg, CASE WHEN k >= 80 THEN 'daily_value' WHEN e > s AND source IN ('purchase', 'error') THEN 'interval' ELSE 'sample' END AS kind FROM m),
+i AS (SELECT owner, d, source, avg(v) AS value, 'bucket_means' AS basis FROM (SELECT owner, d, source, s // 300000000 AS b, avg(value) AS v FROM k WHERE agg = 'intensive' AND kind <> 'daily_value' GROUP BY ALL) GROUP BY owner, d, source),
+ad AS (SELECT owner, d, source, max_by(value, (s, id)) AS value FROM k WHERE agg = 'additive' AND kind = 'daily_value' GROUP BY ALL), ai AS (SELECT owner, d, source, sum(value) AS value FROM k WHERE agg = 'additive' AND kind <> 'daily_value' GROUP BY ALL),
+a AS (SELECT coalesce(ad.owner, ai.owner) AS owner, coalesce(ad.d, ai.d) AS d, coalesce(ad.source, ai.source) AS source, coalesce(ad.value, ai.value) AS value, CASE WHEN ad.value IS NOT NULL THEN 'daily_value' ELSE 'intervals' END AS basis FROM ad FULL JOIN ai ON ad.owner = ai.owner AND ad.d = ai.d AND ad.source = ai.source),
+s AS (SELECT owner, d, source, max_by(value, (kind = 'daily_value', s, id)) AS value, CASE WHEN bool_or(kind = 'daily_value') THEN 'daily_value' ELSE 'latest' END AS basis FROM k WHERE agg = 'daily_summary' GROUP BY ALL), l AS (SELECT owner, d, source, max_by(value, (s, id)) AS value, 'latest' AS basis FROM k WHERE agg = 'latest' GROUP BY ALL)
+SELECT owner, d AS local_date, source AS metric, round(value, 4) AS value, basis FROM (SELECT * FROM i UNION ALL SELECT * FROM a UNION ALL SELECT * FROM s UNION ALL SELECT * FROM l)""")
+def classes_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of all classes in one table, each aggregated as its class asks."""
+    m = measurements(spark, sf_dir)
+    agg = F.when(F.col("source") == "view", "intensive").when(F.col("source").isin("purchase", "error"), "additive").when(F.col("source") == "click", "daily_summary").otherwise("latest")
+    kind = F.when(F.col("k") >= 80, "daily_value").when((F.col("end_at") > F.col("start_at")) & F.col("source").isin("purchase", "error"), "interval").otherwise("sample")
+    rows = m.select("id", *DAY, F.col("source").alias("metric"), F.lit("one").alias("source"), "start_at", F.when(kind == "interval", F.col("end_at")).otherwise(F.col("start_at")).alias("end_at"), "value", agg.alias("agg"), kind.alias("kind"))
+    return within.aggregate(rows, [*DAY, "metric"]).withColumn("value", F.round("value", 4))

@@ -194,3 +194,13 @@ def checked_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = _json(F.when(i == 3, "ingest.v9").otherwise("ingest.v1").alias("schema"), _S(F.when(i == 1, "robot").otherwise("device").alias("kind"), F.lit("app-1").alias("name"), F.lit("1.0").alias("version")).alias("client"), F.lit("scale.measures").alias("stream"), F.array(item).alias("items"), F.when(i == 3, 1).alias("extra"))
     got = nz.checked_batches(table(spark, sf_dir, "part").select("p_partkey", F.when(i == 4, "[1, 2").otherwise(body).alias("body")))
     return got.select("p_partkey", F.array_join(F.array_sort(F.transform("errors", lambda e: F.when(e["pointer"] == "", "(body)").otherwise(e["pointer"]))), ",").alias("pointers"))
+
+
+@query("nz8_watch_activities", """SELECT id AS raw_id, ['running', 'cycling', 'other', 'swimming', 'running'][1 + id % 5] AS sport, s // 1000000 * 1000000 AS lo, s // 1000000 * 1000000 + k * 30500000 AS hi, value AS distance, CASE WHEN id % 2 = 0 THEN 99.0 END AS calories FROM m WHERE k > 0 AND id % 7 <> 0""")
+def watch_activities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = measurements(spark, sf_dir)
+    kind = F.element_at(F.array(*[F.lit(t) for t in ("running", "indoor_cycling", "juggling", "lap_swimming", "trail_running")]), (F.col("id") % 5 + 1).cast("int"))
+    summary = F.create_map(F.lit("distance"), F.col("value"), F.lit("calories"), F.when(F.col("id") % 2 == 0, 99.0), F.lit("mood"), F.lit(1.0))
+    body = _json((F.col("id") + 1).alias("activityId"), F.when(F.col("id") % 7 == 0, "soon").otherwise(F.date_format("start_at", "yyyy-MM-dd HH:mm:ss")).alias("startTimeGMT"), (F.col("k") * 30.5).alias("duration"), kind.alias("type"), summary.alias("summary"))
+    got = nz.watch_activities(m.select(F.col("id").alias("raw_id"), body.alias("body")))
+    return got.select("raw_id", "sport", "lo", "hi", F.col("values")["distance_walk_run"].alias("distance"), F.col("values")["active_energy"].alias("calories"))

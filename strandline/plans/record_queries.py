@@ -189,3 +189,18 @@ def confirmed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lab_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = measurements(spark, sf_dir).where("id % 10 <> 0").select("id", F.col("source").alias("code"), F.col("local_date").alias("date"), F.col("value").alias("result"))
     return labs.inventory(m)
+
+
+@query("ig5_request_outcomes", """, r AS (SELECT id, CASE WHEN id % 10 <> 0 THEN CAST(owner AS VARCHAR) || '-' || CAST(k % 20 AS VARCHAR) END AS key, source FROM m), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS i, first(source) OVER (PARTITION BY key ORDER BY id) AS f FROM r)
+SELECT id, CASE WHEN key IS NULL OR i = 1 THEN 'stored' WHEN source = f THEN 'replay' ELSE 'conflict' END AS outcome FROM n""")
+def request_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests under an idempotency key: the first is stored, the same again answered, another refused."""
+    m = measurements(spark, sf_dir)
+    key = F.when(F.col("id") % 10 != 0, F.concat_ws("-", F.col("owner").cast("string"), (F.col("k") % 20).cast("string")))
+    return records.requests(m.select("id", key.alias("key"), F.sha2("source", 256).alias("digest")), "key", "digest", "id").select("id", "outcome")
+
+
+@query("ig5_silent_clients", """SELECT owner, source, max(s) AS last_at, max(s) < 1706400000000000 - 86400000000 AS silent FROM m GROUP BY ALL""")
+def silent_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = measurements(spark, sf_dir).withColumn("s", F.unix_micros("start_at"))
+    return records.silent(m, ["owner", "source"], "s", F.lit(1_706_400_000_000_000), 86_400_000_000)

@@ -35,7 +35,7 @@ FAULTS = (
 )
 
 
-@query("st16_ag1_st4_checked_rules", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, (_, p) in enumerate(FAULTS)) + f", ({len(FAULTS)}, '(document)')) t(id, pointers)", events=False)
+@query("st16_st4_checked_rules", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, (_, p) in enumerate(FAULTS)) + f", ({len(FAULTS)}, '(document)')) t(id, pointers)", events=False)
 def checked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with one fault each, and where it is."""
     docs = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(FAULTS)] + [(len(FAULTS), "{not a rule")], "id int, doc string")
