@@ -1,59 +1,5 @@
-"""Connected components by alternating large-star and small-star steps on an edge table."""
+"""Connected components, shared with the rest of the library."""
 
-from __future__ import annotations
+from strandline.operators.components import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .scratch import Scratch
-
-
-def _least(edges: DataFrame, node: str) -> DataFrame:
-    return edges.groupBy(node).agg(F.min("other").alias("least"))
-
-
-def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """Every neighbour above a node is tied to the least of the node and its neighbours."""
-    both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
-    least = scratch.save(_least(both, "node").select("node", F.least("node", "least").alias("least")))
-    out = both.join(least, "node").where("other > node").select(F.col("other").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-    return out, least
-
-
-def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """A node and its neighbours below it are tied to the least of them."""
-    down = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("other"))
-    least = scratch.save(_least(down, "node"))
-    joined = down.join(least, "node")
-    out = joined.select(F.col("other").alias("u"), F.col("least").alias("v")).union(least.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    return out.where("u <> v").distinct(), least
-
-
-def _mark(edges: DataFrame) -> tuple:
-    """Count and order-free hash of an edge table: equal marks mean that nothing changed."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
-    return tuple(row)
-
-
-def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, component)`` for every node of ``edges(u, v)``; a component is named by its least node.
-
-    Edges may repeat, point either way or tie a node to itself (such a node alone stays out).  The
-    steps alternate until the edge table is a set of stars; each step keeps one row per edge at most,
-    aggregates before it shuffles, and writes its result to the shared folder, so that lineage and
-    memory stay bounded whatever the size of a component.  An empty table gives an empty result.
-    """
-    edges = scratch.save(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct())
-    mark = _mark(edges)
-    while True:
-        large, least1 = _large_star(edges, scratch)
-        large = scratch.save(large)
-        small, least2 = _small_star(large, scratch)
-        small = scratch.save(small)
-        scratch.drop(edges, large, least1, least2)
-        new = _mark(small)
-        edges = small
-        if new == mark:
-            break
-        mark = new
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+__all__ = ["components"]
