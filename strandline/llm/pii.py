@@ -57,6 +57,8 @@ _SECRET = re.compile(
     re.IGNORECASE,
 )
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+#: Every secret's pattern holds one of these, in any case; texts without them aren't searched.
+_HINTS = ("token", "secret", "passw", "pwd", "bearer", "key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
 _WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
 
@@ -130,7 +132,8 @@ def _propose(text: str) -> Iterator[tuple[str, int, int, bool]]:
         area, group, serial = m[0].split("-")
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", *m.span(), False
-    for m in _SECRET.finditer(text):
+    low = text.lower()
+    for m in _SECRET.finditer(text) if any(h in low for h in _HINTS) else ():
         if m["value"] is None:
             yield "secret", *m.span(), True
         elif dense(m["value"]):
