@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from strandline.llm import langid, line_dedup, mixing, near_dedup, pieces
-from strandline.llm.scratch import Scratch
+from strandline.sources.scratch import Scratch, released
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -84,7 +84,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``, each result written and read again as the next one's input."""
     scratch = Scratch(spark, "pipeline")
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    first = docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with released():
+            new = scratch.save(stage(spark, docs, sf_dir))
+        if docs is not first:
+            scratch.drop(docs)
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)

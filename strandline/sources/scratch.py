@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,6 +54,16 @@ class Scratch:
             _delete(self.spark, t._scratch_path)  # noqa: SLF001
 
 
+@contextmanager
+def released() -> Iterator[None]:
+    """Drop on the way out all tables that scratches made inside have written: for a step whose result has been written elsewhere by then."""
+    before = len(_MADE)
+    yield
+    for spark, root in _MADE[before:]:
+        _delete(spark, root)
+    del _MADE[before:]
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)  # noqa: SLF001

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators import gold
-from strandline.sources.scratch import Scratch
+from strandline.sources.scratch import Scratch, released
 
 ROW = "key string, owner long, source string, zone string, start_at timestamp, end_at timestamp, value double, deleted boolean, seq long"
 DAY = ["owner", "source", "local_date"]
@@ -131,6 +131,10 @@ class Store:
         """One batch: versions and marks beside the tables, then rows, then hours, then done."""
         if self._there(f"done/{number}"):
             return
+        with released():
+            self._steps(batch, number)
+
+    def _steps(self, batch: DataFrame, number: int) -> None:
         plan = f"{self.folder}/plan/{number}"
         if not self._there(f"plan/{number}/marks/_SUCCESS"):
             scratch = Scratch(self.spark, "marks")
