@@ -140,11 +140,13 @@ def _plausible(percent: int):
 
 def _families(told: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """``(id, family)`` of documents that may have a link."""
-    bands = told.select("id", "n", "signs", F.explode("bands").alias("key"))
+    bands = told.select("id", F.explode("bands").alias("key"))
     sizes = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     sizes = scratch.save(sizes.select("key", F.ceil(F.col("members") / BUCKET).cast("long").alias("blocks"), "members"))
     total = sizes.agg(F.sum("members")).first()[0] or 0
-    rows = bands.join(sizes.select("key", "blocks"), "key")
+    # signatures join what is left of the buckets, which is little: they aren't sent through the join of all bands
+    shared = scratch.save(bands.join(sizes.select("key", "blocks"), "key"))
+    rows = shared.join(told.select("id", "n", "signs"), "id")
     own = F.pmod(F.xxhash64("id"), "blocks")
     small = rows.where("blocks = 1").select("key", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // ROWS_AT_ONCE)))).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).cast("long").alias("own"), "id", "n", "signs")
     large = rows.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
