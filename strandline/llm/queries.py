@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import graph_dedup, langid, line_dedup, mixing, nearest, pieces, pii, toxicity, warc
+from . import conversations, divergence, graph_dedup, langid, line_dedup, mixing, nearest, pieces, pii, quality, toxicity, warc
 from .near_dedup import near_duplicates
+from .scratch import Scratch
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,9 +76,28 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.coalesce(F.size("tokens"), F.lit(0)).cast("long").alias("n_tokens"), "tokens", "round_trip")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, and whether the base and the rules learnt from the labels that are not held out keep it."""
+    stats = Scratch(spark, "op11").save(quality.statistics(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    rules = quality.fit(stats.where(langid.in_training(F.col("doc_id"))), _table(spark, sf_dir, "labels"), name="op11")
+    shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"]
+    return quality.judge(stats, rules).select(*shown)
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the terms of each source are from the other sources of its language, and which terms stand out."""
+    return divergence.audit(_table(spark, sf_dir, "documents"), name="op12")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a fixed rule and repaired by the cheapest edits."""
+    table = _table(spark, sf_dir, "conversations")
+    return conversations.report(table.select("conv_id").distinct(), conversations.repair(conversations.damaged(table), name="op13"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_warc_revisits, op5_toxicity, op6_pii, op7_embedding_near_dedup, op8_cross_polytope, op9_mixing, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_language_id, op2_line_dedup, op3_minhash_near_dedup, op4_warc_revisits, op5_toxicity, op6_pii, op7_embedding_near_dedup, op8_cross_polytope, op9_mixing, op10_sentencepiece, op11_quality_rules, op12_source_divergence, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op4_warc_revisits": warc.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op4_warc_revisits": warc.ORACLE, "op12_source_divergence": divergence.ORACLE, "op13_conversation_repair": conversations.ORACLE}
