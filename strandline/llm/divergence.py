@@ -129,7 +129,7 @@ def sketch(docs: DataFrame, least: int = LEAST, width: int = WIDTH, size: int =
     parts = parts.repartition("block", "salt").mapInArrow(_merged(least), kind).repartition("block").mapInArrow(_merged(least), kind)
     out = np.zeros(DEPTH * width, np.uint8)
     step = min(BLOCK, len(out))
-    for r in parts.toLocalIterator():  # one block at a time, DEPTH * width / BLOCK of them
+    for r in parts.collect():  # DEPTH * width bytes at most, before they are compressed
         out[r.block * step : (r.block + 1) * step] = np.frombuffer(zlib.decompress(bytes(r.cells)), np.uint8)
     return out.reshape(DEPTH, width)
 
