@@ -54,101 +54,130 @@ def _if(bad: Column, pointer: str, detail: str) -> Column:
 
 
 def _selector(s: Column, at: Column) -> Column:
-    bad = F.array_except(F.map_keys(s), F.array(*[F.lit(f) for f in SELECTOR]))
-    return F.concat(
-        F.transform(bad, lambda k: _err(F.concat(at, F.lit("/"), k), "unknown field")),
-        F.array_compact(F.array(
-            F.when(F.size(s) == 0, _err(at, "must set at least one field")), F.when(s["origin_key"].isNotNull() & s["origin_key_prefix"].isNotNull(), _err(F.concat(at, F.lit("/origin_key_prefix")), "set origin_key or origin_key_prefix, not both")),
-            F.when(~s["entry"].isin("device", "manual"), _err(F.concat(at, F.lit("/entry")), "must be device or manual")), F.when(~s["provider"].rlike("^[a-z][a-z0-9_]{0,63}$"), _err(F.concat(at, F.lit("/provider")), "must be a provider code")),
-        )),
+    below = lambda f: F.concat(at, F.lit(f"/{f}"))
+    one = F.array(
+        F.when(F.size(s) == 0, _err(at, "empty_selector")), F.when(s["origin_key"].isNotNull() & s["origin_key_prefix"].isNotNull(), _err(below("origin_key_prefix"), "excludes_origin_key")),
+        F.when(~s["entry"].isin("device", "manual"), _err(below("entry"), "not_an_entry")), F.when(~s["provider"].rlike("^[a-z][a-z0-9_]{0,63}$"), _err(below("provider"), "not_a_code")),
     )
+    strange = F.array_except(F.map_keys(s), F.array(*[F.lit(f) for f in SELECTOR]))
+    return F.concat(F.array_compact(one), F.transform(strange, lambda k: _err(F.concat(at, F.lit("/"), k), "unknown_field")))
 
 
 def _n(i: Column) -> Column:
     return i.cast("string")
 
 
+_SELECTORS = "array<map<string,string>>"
+
+
 def _groups() -> Column:
-    groups = F.coalesce("r.groups", F.array().cast("array<struct<id:string,match:array<map<string,string>>>>"))
+    """Faults of the ladder: its length, then each group's name and selectors."""
+    groups = F.coalesce("r.groups", F.array().cast(f"array<struct<id:string,match:{_SELECTORS}>>"))
     ids = F.transform(groups, lambda g: g["id"])
-    at = lambda i: F.concat(F.lit("/groups/"), _n(i))
-    each = F.transform(groups, lambda g, i: F.concat(
-        F.array_compact(F.array(
-            F.when(~F.coalesce(g["id"], F.lit("")).rlike("^[a-z][a-z0-9_]{0,31}$"), _err(F.concat(at(i), F.lit("/id")), "must be a short lowercase name")),
-            F.when(F.array_position(ids, g["id"]) <= i, _err(F.concat(at(i), F.lit("/id")), "duplicate group id")), F.when(F.coalesce(F.size(g["match"]), F.lit(0)) < 1, _err(F.concat(at(i), F.lit("/match")), "at least one selector is required")),
-        )),
-        F.flatten(F.transform(F.coalesce(g["match"], F.array().cast("array<map<string,string>>")), lambda s, j: _selector(s, F.concat(at(i), F.lit("/match/"), _n(j))))),
-    ))
-    return F.concat(F.array_compact(F.array(_if(F.size(groups) < 1, "/groups", "at least one group is required"), _if(F.size(groups) > 32, "/groups", "at most 32 groups"))), F.flatten(each))
+
+    def of(g: Column, i: Column) -> Column:
+        at = F.concat(F.lit("/groups/"), _n(i))
+        match = F.coalesce(g["match"], F.array().cast(_SELECTORS))
+        name = F.when(~F.coalesce(g["id"], F.lit("")).rlike("^[a-z][a-z0-9_]{0,31}$"), "not_a_name").when(F.array_position(ids, g["id"]) <= i, "repeated_name")
+        own = F.array(F.when(name.isNotNull(), F.struct(F.concat(at, F.lit("/id")).alias("pointer"), name.alias("detail"))), F.when(F.size(match) == 0, _err(F.concat(at, F.lit("/match")), "no_selector")))
+        return F.concat(F.array_compact(own), F.flatten(F.transform(match, lambda s, j: _selector(s, F.concat(at, F.lit("/match/"), _n(j))))))
+
+    return F.concat(F.array_compact(F.array(_if(~F.size(groups).between(1, 32), "/groups", "not_1_to_32"))), F.flatten(F.transform(groups, of)))
 
 
 def _contexts() -> Column:
-    ids = F.transform("r.groups", lambda g: g["id"])
-    one = lambda e: F.when(~e["key"].isin("workout", "sleep"), F.array(_err(F.concat(F.lit("/contexts/"), e["key"]), "unknown context"))).otherwise(
-        F.array_compact(F.transform(e["value"], lambda g, i: F.when((g == "@workout_source") & (e["key"] != "workout"), _err(F.concat_ws("/", F.lit("/contexts"), e["key"], _n(i)), "only in a workout context")).when((g != "@workout_source") & ~F.coalesce(F.array_contains(ids, g), F.lit(False)), _err(F.concat_ws("/", F.lit("/contexts"), e["key"], _n(i)), "names no group of this rule")))))
-    return F.flatten(F.transform(F.map_entries(F.coalesce("r.contexts", F.create_map().cast("map<string,array<string>>"))), one))
+    """Faults of contexts: their names, and groups that the rule doesn't have."""
+    ids = F.coalesce(F.transform("r.groups", lambda g: g["id"]), F.array().cast("array<string>"))
+
+    def of(e: Column) -> Column:
+        at = F.concat(F.lit("/contexts/"), e["key"])
+        wrong = lambda g: F.when(g == "@workout_source", F.when(e["key"] != "workout", "workout_only")).when(~F.array_contains(ids, g), "unknown_group")
+        each = F.transform(e["value"], lambda g, i: F.when(wrong(g).isNotNull(), F.struct(F.concat(at, F.lit("/"), _n(i)).alias("pointer"), wrong(g).alias("detail"))))
+        return F.when(e["key"].isin("workout", "sleep"), F.array_compact(each)).otherwise(F.array(_err(at, "unknown_context")))
+
+    return F.flatten(F.transform(F.map_entries(F.coalesce("r.contexts", F.create_map().cast("map<string,array<string>>"))), of))
+
+
+def _allowed(agg: Column, kind: Column, derived: Column, reading: Column) -> Column:
+    """Whether a metric may be resolved by a window kind."""
+    own = F.lit(False)
+    for a, kinds in ALLOWED.items():
+        own = own | ((agg == a) & kind.isin(*kinds))
+    return F.when(derived, kind.isin("local_night", "sleep_episode")).otherwise(own) | (reading & (kind == "reading"))
+
+
+def _fields() -> list[Column]:
+    """Faults that a field has by itself: not one of its values, or out of its range."""
+    q, w, s = "r.quality.", "r.within_source.", "r.strategy."
+    one = lambda field, values: F.col(field).isNotNull() & ~F.col(field).isin(*values)
+    share = lambda field: F.col(field).isNotNull() & ~((F.col(field) > 0) & (F.col(field) <= 1))
+    low, high = F.get(F.col(f"{q}plausible_range"), F.lit(0)), F.get(F.col(f"{q}plausible_range"), F.lit(1))
+    return [
+        _if(~F.col("r.schema").eqNullSafe(F.lit(VERSION)), "/schema", "other_version"), _if(~F.coalesce(F.col("r.window.kind").isin(*WINDOWS), F.lit(False)), "/window/kind", "not_a_window"), _if(~F.coalesce(F.col(f"{s}op").isin(*POOLS, *PICKS), F.lit(False)), "/strategy/op", "not_a_strategy"),
+        _if(one(f"{s}on_insufficient", ("use_available", "no_value")), "/strategy/on_insufficient", "not_a_choice"), _if(one(f"{w}intra_group", ("auto", "mean", "max", "sum")), "/within_source/intra_group", "not_a_choice"),
+        _if(one(f"{w}daily_value_policy", ("prefer_reported", "intervals_only")), "/within_source/daily_value_policy", "not_a_choice"), _if(one(f"{w}statistic", ("min_rolling_mean", "min", "latest", "mean")), "/within_source/statistic", "not_a_choice"),
+        _if(share(f"{q}min_coverage"), "/quality/min_coverage", "not_a_share"), _if(share(f"{q}sleep.match_overlap"), "/quality/sleep/match_overlap", "not_a_share"), _if(~F.col(f"{q}sleep.night_anchor").rlike("^(1[2-9]|2[0-3]):[0-5][0-9]$"), "/quality/sleep/night_anchor", "not_an_evening"),
+        _if(F.col(f"{q}max_staleness").isNotNull() & seconds(F.col(f"{q}max_staleness")).isNull(), "/quality/max_staleness", "not_a_duration"), _if(F.col(f"{q}plausible_range").isNotNull() & ((F.size(f"{q}plausible_range") != 2) | (low >= high)), "/quality/plausible_range", "not_a_range"),
+        _if(F.col("r.compose").isNotNull() & ~F.col("r.compose.from").eqNullSafe(F.lit("hour")), "/compose/from", "hours_only"), _if(one("r.compose.op", ("first_available", "max")), "/compose/op", "not_a_choice"),
+    ]
+
+
+def _references() -> list[Column]:
+    """Faults of names: metrics that aren't there, members of a family by themselves, leaders and wear that can't be asked."""
+    fam, metric, follow, wear = F.col("_fam"), F.col("r.metric"), F.col("r.follow"), F.col("r.quality.require_wear")
+    worn = F.coalesce((F.col("w.agg") == "intensive") & F.col("w.derived_from").isNull(), F.lit(False))
+    return [
+        _if(metric.isNull(), "/metric", "missing"), _if(metric.isNotNull() & F.col("m").isNull(), "/metric", "unknown_metric"), _if(~fam & ((F.col("m.agg") == "sleep_derived") | F.coalesce(F.col("m.reading") == "bp_reading", F.lit(False))), "/metric", "family_only"),
+        _if(follow.isNotNull() & F.col("l").isNull(), "/follow", "unknown_metric"), _if(follow == metric, "/follow", "leads_itself"), _if((F.col("l.agg") == "sleep_derived") | (F.col("l.reading") == "bp_reading"), "/follow", "family_leader"), _if(follow.isNotNull() & fam, "/follow", "family_follows"),
+        _if(wear.isNotNull() & ~worn, "/quality/require_wear", "not_worn"),
+    ]
+
+
+def _together() -> list[Column]:
+    """Faults of fields that don't go together, or not with the metric's class."""
+    c = F.col
+    kind, op, agg, stat, size = c("r.window.kind"), c("r.strategy.op"), c("m.agg"), c("r.within_source.statistic"), c("r.window.size")
+    known, fam, derived = c("m").isNotNull(), c("_fam"), c("m.derived_from").isNotNull()
+    q, ws, least = (lambda f: c(f"r.quality.{f}")), (lambda f: c(f"r.within_source.{f}")), c("r.strategy.min_sources")
+    pooling, bucketed = op.isin(*POOLS), agg.isin(*BUCKETED) | derived
+    acked = F.coalesce(F.array_contains("r.acknowledged_warnings", "cross_source_sum"), F.lit(False))
+    poolable = ~c("m.provider_scoped") & ~c("m.selection_only")
+    may = op.isin("single_source", "first_available", "latest", "earliest") | (poolable & op.isin(*POOLS[:3])) | ((agg == "additive") & (op == POOLS[3])) | ((agg == "sleep_derived") & (op == "event_priority"))
+    nightly, span = kind.isin("local_day", "local_night", "sleep_episode"), seconds(ws("span"))
+    rolling = stat.eqNullSafe(F.lit("min_rolling_mean"))
+    return [
+        _if(known & kind.isin(*WINDOWS) & ~_allowed(agg, kind, derived, c("m.reading").isNotNull()), "/window/kind", "not_of_class"), _if(known & op.isin(*POOLS, *PICKS) & ~may, "/strategy/op", "not_of_class"), _if(fam & c("m.reading").isNotNull() & pooling, "/strategy/op", "parts_stay_together"),
+        _if(F.when(kind == "bucket", ~F.coalesce(size.isin(*SIZES), F.lit(False))).otherwise(size.isNotNull()), "/window/size", "buckets_only"), _if((op == "single_source") & (F.size("r.groups") > 1), "/groups", "one_group_only"),
+        _if(least.isNotNull() & ~F.coalesce(pooling & least.between(1, F.size("r.groups")), F.lit(False)), "/strategy/min_sources", "not_in_pool"), _if(c("r.strategy.on_insufficient").isNotNull() & ~F.coalesce(pooling, F.lit(False)), "/strategy/on_insufficient", "pools_only"),
+        _if(((op == POOLS[3]) | F.coalesce(ws("intra_group") == "sum", F.lit(False))) & ~acked, "/acknowledged_warnings", "sum_not_acknowledged"), _if((op == POOLS[3]).isNull() & (ws("intra_group") == "sum") & ~acked, "/acknowledged_warnings", "sum_not_acknowledged"),
+        _if(derived & ~F.coalesce(stat.isin("min_rolling_mean", "min"), F.lit(False)), "/within_source/statistic", "lowest_only"), _if(stat.isin("min_rolling_mean", "min") & (agg != "intensive"), "/within_source/statistic", "not_of_class"), _if(stat.isin("latest", "mean") & ((agg != "latest") | (kind != "local_day")), "/within_source/statistic", "not_of_class"),
+        _if(rolling & ~nightly, "/within_source/statistic", "not_of_window"), _if((stat == "min") & ~(nightly | (kind == "hour")), "/within_source/statistic", "not_of_window"), _if(F.when(rolling, span.isNull() | (span % 300 != 0) | (span > 43200)).otherwise(ws("span").isNotNull()), "/within_source/span", "not_of_statistic"),
+        _if(ws("intra_group").isin("mean", "max", "sum") & ~bucketed, "/within_source/intra_group", "not_of_class"), _if((ws("intra_group") == "sum") & (agg != "additive"), "/within_source/intra_group", "not_of_class"), _if(ws("daily_value_policy").isNotNull() & (agg != "additive"), "/within_source/daily_value_policy", "not_of_class"),
+        _if(q("min_coverage").isNotNull() & ~bucketed, "/quality/min_coverage", "not_of_class"), _if(q("require_wear").isNotNull() & ~bucketed, "/quality/require_wear", "not_of_class"), _if(q("plausible_range").isNotNull() & fam, "/quality/plausible_range", "family_has_none"),
+        _if(c("r.compose").isNotNull() & ((agg != "additive") | (kind != "local_day") | c("r.follow").isNotNull()), "/compose", "not_of_class"),
+    ]
 
 
 def checked(docs: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``docs(id, doc)`` with ``metric``, ``follow``, ``window`` and ``errors array<struct<pointer,detail>>``, empty for a rule that may be used.
 
     ``catalogue(code, agg, reading, provider_scoped, selection_only, derived_from)`` describes the metrics.
-    A family of metrics counts as its representative.
+    A family of metrics counts as its representative.  ``detail`` is a code: what is wrong at the pointer.
     """
     family = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
-    df = parsed(docs).withColumn("_code", F.coalesce(family[F.col("r.metric")], F.col("r.metric"))).withColumn("_fam", family[F.col("r.metric")].isNotNull())
-    m = catalogue.select(F.col("code").alias("_code"), F.struct("agg", "reading", "provider_scoped", "selection_only", "derived_from").alias("m"))
-    lead = catalogue.select(F.col("code").alias("_lead"), F.struct("agg", "reading").alias("l"))
-    worn = catalogue.select(F.col("code").alias("_worn"), F.struct("agg", "derived_from").alias("w"))
-    df = df.join(m, "_code", "left").join(lead, F.col("r.follow") == F.col("_lead"), "left").join(worn, F.col("r.quality.require_wear") == F.col("_worn"), "left")
-    c = F.col
-    kind, op, agg, stat = c("r.window.kind"), c("r.strategy.op"), c("m.agg"), c("r.within_source.statistic")
-    known, fam = c("m").isNotNull(), c("_fam")
-    pooling = op.isin(*POOLS)
-    acked = F.coalesce(F.array_contains("r.acknowledged_warnings", "cross_source_sum"), F.lit(False))
-    pools = ~c("m.provider_scoped") & ~c("m.selection_only")
-    allowed = F.lit(False)
-    for a, kinds in ALLOWED.items():
-        allowed = allowed | ((agg == a) & c("m.derived_from").isNull() & kind.isin(*kinds))
-    allowed = allowed | (c("m.derived_from").isNotNull() & kind.isin("local_night", "sleep_episode")) | (c("m.reading").isNotNull() & (kind == "reading"))
-    may = op.isin("single_source", "first_available", "latest", "earliest") | (pools & op.isin(*POOLS[:3])) | ((agg == "additive") & (op == POOLS[3])) | ((agg == "sleep_derived") & (op == "event_priority"))
-    nightly, span = kind.isin("local_day", "local_night", "sleep_episode"), seconds(c("r.within_source.span"))
-    bucketed = agg.isin(*BUCKETED) & c("m.derived_from").isNull() | (c("m.derived_from").isNotNull())
-    q, ws = (lambda f: c(f"r.quality.{f}")), (lambda f: c(f"r.within_source.{f}"))
-    each = [
-        _if(~(c("r.schema").eqNullSafe(F.lit(VERSION))), "/schema", f"must be {VERSION}"), _if(c("r.metric").isNull(), "/metric", "required"), _if(c("r.metric").isNotNull() & ~known, "/metric", "unknown metric code"),
-        _if(~fam & (agg == "sleep_derived"), "/metric", "sleep codes are resolved together"), _if(~fam & (c("m.reading") == "bp_reading"), "/metric", "components of one reading are resolved together"),
-        _if(kind.isNull() | ~kind.isin(*WINDOWS), "/window/kind", "must be a window kind"), _if(known & kind.isin(*WINDOWS) & ~allowed, "/window/kind", "not allowed for this metric"),
-        _if((kind == "bucket") & ~F.coalesce(c("r.window.size").isin(*SIZES), F.lit(False)), "/window/size", "must be a bucket size"), _if((kind != "bucket") & c("r.window.size").isNotNull(), "/window/size", "only buckets take a size"),
-        _if(op.isNull() | ~op.isin(*POOLS, *PICKS), "/strategy/op", "must be a strategy"), _if(known & op.isin(*POOLS, *PICKS) & ~may, "/strategy/op", "not allowed for this metric"),
-        _if(fam & c("m.reading").isNotNull() & pooling, "/strategy/op", "components of one reading never mix sources"), _if((op == "single_source") & (F.size("r.groups") > 1), "/groups", "single_source takes one group"),
-        _if(c("r.strategy.min_sources").isNotNull() & ~pooling, "/strategy/min_sources", "applies to pools only"), _if(pooling & ((c("r.strategy.min_sources") < 1) | (c("r.strategy.min_sources") > F.size("r.groups"))), "/strategy/min_sources", "must be 1 to the number of groups"),
-        _if(c("r.strategy.on_insufficient").isNotNull() & ~pooling, "/strategy/on_insufficient", "applies to pools only"), _if(pooling & ~c("r.strategy.on_insufficient").isin("use_available", "no_value"), "/strategy/on_insufficient", "must be use_available or no_value"),
-        _if((op == POOLS[3]) & ~acked, "/acknowledged_warnings", "a sum over sources must be acknowledged"), _if((ws("intra_group") == "sum") & ~acked, "/acknowledged_warnings", "a sum within a group must be acknowledged"),
-        _if(c("m.derived_from").isNotNull() & ~F.coalesce(stat.isin("min_rolling_mean", "min"), F.lit(False)), "/within_source/statistic", "a derived code needs a lowest value"),
-        _if(~ws("intra_group").isin("auto", "mean", "max", "sum"), "/within_source/intra_group", "must be auto, mean, max or sum"), _if(ws("intra_group").isin("mean", "max", "sum") & ~bucketed, "/within_source/intra_group", "needs buckets"), _if((ws("intra_group") == "sum") & (agg != "additive"), "/within_source/intra_group", "a sum needs an additive metric"),
-        _if(~ws("daily_value_policy").isin("prefer_reported", "intervals_only"), "/within_source/daily_value_policy", "must be prefer_reported or intervals_only"), _if(ws("daily_value_policy").isNotNull() & (agg != "additive"), "/within_source/daily_value_policy", "needs an additive metric"),
-        _if(~stat.isin("min_rolling_mean", "min", "latest", "mean"), "/within_source/statistic", "must be a statistic"), _if(stat.isin("min_rolling_mean", "min") & (agg != "intensive"), "/within_source/statistic", "needs an intensive metric"),
-        _if((stat == "min_rolling_mean") & ~nightly, "/within_source/statistic", "needs a day, night or episode"), _if((stat == "min_rolling_mean") & (span.isNull() | (span % 300 != 0) | (span > 43200)), "/within_source/span", "must be a multiple of five minutes, at most 12h"),
-        _if((stat == "min") & ~(nightly | (kind == "hour")), "/within_source/statistic", "needs an hour, day, night or episode"), _if(stat.isin("latest", "mean") & ((agg != "latest") | (kind != "local_day")), "/within_source/statistic", "needs a latest-type metric by day"),
-        _if(ws("span").isNotNull() & ~stat.eqNullSafe(F.lit("min_rolling_mean")), "/within_source/span", "only with min_rolling_mean"),
-        _if(~((q("min_coverage") > 0) & (q("min_coverage") <= 1)), "/quality/min_coverage", "must be in (0, 1]"), _if(q("min_coverage").isNotNull() & ~bucketed, "/quality/min_coverage", "needs buckets"),
-        _if(q("plausible_range").isNotNull() & fam, "/quality/plausible_range", "a family has no single unit"), _if((F.size(q("plausible_range")) != 2) & q("plausible_range").isNotNull(), "/quality/plausible_range", "must be [low, high]"), _if(F.get(q("plausible_range"), F.lit(0)) >= F.get(q("plausible_range"), F.lit(1)), "/quality/plausible_range", "low must be below high"),
-        _if(q("max_staleness").isNotNull() & seconds(q("max_staleness")).isNull(), "/quality/max_staleness", "must be a duration"), _if(q("require_wear").isNotNull() & ~bucketed, "/quality/require_wear", "needs buckets"),
-        _if(q("require_wear").isNotNull() & ~F.coalesce((c("w.agg") == "intensive") & c("w.derived_from").isNull(), F.lit(False)), "/quality/require_wear", "must name an intensive metric"),
-        _if(~((q("sleep.match_overlap") > 0) & (q("sleep.match_overlap") <= 1)), "/quality/sleep/match_overlap", "must be in (0, 1]"), _if(~q("sleep.night_anchor").rlike("^(1[2-9]|2[0-3]):[0-5][0-9]$"), "/quality/sleep/night_anchor", "must be 12:00 to 23:59"),
-        _if(c("r.follow").isNotNull() & fam, "/follow", "a family can't follow"), _if(c("r.follow") == c("r.metric"), "/follow", "a rule can't follow itself"), _if(c("r.follow").isNotNull() & c("l").isNull(), "/follow", "unknown metric code"),
-        _if((c("l.agg") == "sleep_derived") | (c("l.reading") == "bp_reading"), "/follow", "can't follow a member of a family"),
-        _if(~c("r.compose.from").eqNullSafe(F.lit("hour")) & c("r.compose").isNotNull(), "/compose/from", "must be hour"), _if(~c("r.compose.op").isin("first_available", "max"), "/compose/op", "must be first_available or max"), _if(c("r.compose").isNotNull() & ((agg != "additive") | (kind != "local_day") | c("r.follow").isNotNull()), "/compose", "needs an additive metric by day, without a leader"),
-    ]
-    listed = lambda col, names, pointer, detail: F.array_compact(F.transform(F.coalesce(col, F.array().cast("array<string>")), lambda x, i: F.when(~x.isin(*names) | (F.array_position(col, x) <= i), _err(F.concat(F.lit(pointer), _n(i)), detail))))
+    df = parsed(docs.drop("metric", "follow", "window")).withColumn("_code", F.coalesce(family[F.col("r.metric")], F.col("r.metric"))).withColumn("_fam", family[F.col("r.metric")].isNotNull())
+    part = lambda code, name, *fields: catalogue.select(F.col("code").alias(code), F.struct(*fields).alias(name))
+    df = df.join(part("_code", "m", "agg", "reading", "provider_scoped", "selection_only", "derived_from"), "_code", "left")
+    df = df.join(part("_lead", "l", "agg", "reading"), F.col("r.follow") == F.col("_lead"), "left").join(part("_worn", "w", "agg", "derived_from"), F.col("r.quality.require_wear") == F.col("_worn"), "left")
+    listed = lambda c, names, pointer: F.array_compact(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x, i: F.when(~x.isin(*names) | (F.array_position(c, x) <= i), _err(F.concat(F.lit(pointer), _n(i)), "unknown_or_repeated"))))
     errors = F.concat(
-        F.transform("unknown", lambda k: _err(F.concat(F.lit("/"), k), "unknown field")), F.array_compact(F.array(*each)), _groups(), _contexts(),
-        F.flatten(F.transform(F.coalesce("r.exclude", F.array().cast("array<map<string,string>>")), lambda s, i: _selector(s, F.concat(F.lit("/exclude/"), _n(i))))),
-        listed(q("exclude_flags"), FLAGS, "/quality/exclude_flags/", "unknown or repeated flag"), listed(c("r.acknowledged_warnings"), WARNINGS, "/acknowledged_warnings/", "unknown or repeated warning"),
+        F.transform("unknown", lambda k: _err(F.concat(F.lit("/"), k), "unknown_field")), F.array_compact(F.array(*_fields(), *_references(), *_together())), _groups(), _contexts(),
+        F.flatten(F.transform(F.coalesce("r.exclude", F.array().cast(_SELECTORS)), lambda s, i: _selector(s, F.concat(F.lit("/exclude/"), _n(i))))),
+        listed(F.col("r.quality.exclude_flags"), FLAGS, "/quality/exclude_flags/"), listed(F.col("r.acknowledged_warnings"), WARNINGS, "/acknowledged_warnings/"),
     )
-    errors = F.when(c("unknown").isNull() | c("r").isNull(), F.array(_err(F.lit(""), "invalid JSON"))).otherwise(errors)
-    return df.select(*docs.columns, c("r.metric").alias("metric"), c("r.follow").alias("follow"), c("r.window").alias("window"), errors.alias("errors"))
+    errors = F.when(F.col("unknown").isNull() | F.col("r").isNull(), F.array(_err(F.lit(""), "not_an_object"))).otherwise(errors)
+    kept = [c for c in docs.columns if c not in ("metric", "follow", "window")]
+    return df.select(*kept, F.col("r.metric").alias("metric"), F.col("r.follow").alias("follow"), F.col("r.window").alias("window"), errors.alias("errors"))
 
 
 def leaders(rules: DataFrame, name: str = "leaders") -> DataFrame:
@@ -182,9 +211,8 @@ def activation_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def defaults(catalogue: DataFrame, ruled: DataFrame, order: list[str]) -> DataFrame:
-    """``(metric, window, groups)`` for metrics without a rule: the provider of a score that only it gives, else the owner's providers in order and then a general ladder."""
-    generic = ["watch", "watch_relayed", "band", "band_relayed", "ring", "ring_relayed", "chest_strap", "arm_band", "phone", "device", "manual"]
-    own = F.array(*[F.lit(g) for g in [*[p for p in order if p not in generic], *generic]])
+    """``(metric, window, groups)`` for metrics without a rule: the provider of a score that only it gives, else the owner's providers in order, then any device, then entries by hand."""
+    own = F.array(*[F.lit(g) for g in dict.fromkeys([*order, "device", "manual"])])
     groups = F.when(F.col("provider_scoped"), F.array(F.split_part("code", F.lit("_"), F.lit(1)))).otherwise(own)
     day = F.lit(False)
     for a, kinds in ALLOWED.items():

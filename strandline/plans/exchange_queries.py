@@ -128,11 +128,22 @@ def touched_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES = (("rest", ["heart"], None, None, "local_night"), ("steps", ["steps"], None, "heart", "local_day"), ("energy", ["energy"], ["steps"], None, "local_day"), ("weight", ["weight"], None, None, "latest"))
 
 
-@query("sr5_reach", """SELECT * FROM (VALUES ('rest', 'rest', 3, 2), ('rest', 'heart', 3, 2), ('rest', 'sleep', 3, 2), ('steps', 'steps', 30, 2), ('steps', 'heart', 30, 2), ('energy', 'energy', 3, 2), ('energy', 'steps', 3, 2), ('weight', 'weight', 366, 2)) t(metric, dep, before, after)""", events=False)
-def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reaches(spark: SparkSession) -> DataFrame:
     return marks.reach(spark.createDataFrame(list(_RULES), "metric string, codes array<string>, leader_codes array<string>, wear string, kind string"))
 
 
+@query("sr5_reach", """WITH r AS (SELECT p_partkey AS k, 'm' || CAST(p_partkey AS VARCHAR) AS metric, ['local_day', 'local_night', 'latest', 'sleep_episode', 'hour'][1 + p_partkey % 5] AS kind FROM part),
+d AS (SELECT metric, k, kind, unnest(list_distinct(list_filter([metric, 'c' || CAST(k % 7 AS VARCHAR), 'c' || CAST(k % 3 AS VARCHAR), CASE WHEN k % 4 = 0 THEN 'c' || CAST(k % 5 AS VARCHAR) END, CASE WHEN k % 6 = 0 THEN 'pulse' END, CASE WHEN kind IN ('local_night', 'sleep_episode') THEN 'sleep' END], lambda x: x IS NOT NULL))) AS dep FROM r)
+SELECT metric, dep, CASE WHEN kind = 'latest' THEN 366 WHEN k % 6 = 0 THEN 30 ELSE 3 END AS before, 2 AS after FROM d""", events=False)
+def reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What rules of parts read: their codes, their leaders', wear and sleep, and how many days around a date."""
+    k = F.col("p_partkey")
+    code = lambda n: F.concat(F.lit("c"), (k % n).cast("string"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("local_day", "local_night", "latest", "sleep_episode", "hour")]), (k % 5 + 1).cast("int"))
+    rules = table(spark, sf_dir, "part").select(F.concat(F.lit("m"), k.cast("string")).alias("metric"), F.array(code(7), code(3)).alias("codes"), F.when(k % 4 == 0, F.array(code(5))).alias("leader_codes"), F.when(k % 6 == 0, "pulse").alias("wear"), kind.alias("kind"))
+    return marks.reach(rules)
+
+
 @query("sr4_sr6_invalidated", """, c AS (SELECT DISTINCT owner, d, unnest(['rest', 'steps', 'energy']) AS metric FROM m), k AS (SELECT DISTINCT owner, d FROM m WHERE id % 40 = 0)
 SELECT owner, d AS local_date, metric FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.owner = c.owner AND ((metric = 'rest' AND c.d BETWEEN k.d - 2 AND k.d + 3) OR (metric = 'steps' AND c.d BETWEEN k.d - 2 AND k.d + 30))) AND NOT (metric = 'energy' AND owner % 2 = 0)""")
 def invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +153,7 @@ def invalidated(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = m.select("owner", "local_date").distinct().withColumn("metric", F.explode(F.array(*[F.lit(x) for x in ("rest", "steps", "energy")]))).withColumn("kind", F.lit("local_day")).withColumn("rule_ref", ref)
     marked = m.where("id % 40 = 0").select("owner", F.lit("heart").alias("dep"), "local_date").distinct()
     active = spark.createDataFrame([("rest", "rest:2"), ("steps", "steps:2"), ("energy", "energy:2")], "metric string, rule_ref string")
-    return marks.invalidated(cache, marked, reach(spark, sf_dir), active).select("owner", "local_date", "metric")
+    return marks.invalidated(cache, marked, _reaches(spark), active).select("owner", "local_date", "metric")
 
 
 @query("sr4_cacheable", """, w AS (SELECT DISTINCT owner, d, epoch_us(CAST(d + 1 AS TIMESTAMP) AT TIME ZONE zone) AS e FROM m) SELECT owner, d AS local_date FROM w WHERE e <= 1705320000000000 AND (owner, d) NOT IN (SELECT (owner, d) FROM m WHERE id % 40 = 0)""")

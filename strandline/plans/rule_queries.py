@@ -1,73 +1,103 @@
-"""Rule documents: the ladders of the package, documents with one fault each, and values resolved by rules from a table."""
+"""Rule documents made of the tables' rows: checked, set against one another, and resolved."""
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.operators import rules, strategy, within
+from strandline.operators.windows import ALLOWED
 from strandline.plans.registry import query
 from strandline.plans.resolution import _DAYS, DAY
 from strandline.sources import catalogue
-from strandline.sources.tables import measurements
+from strandline.sources.tables import measurements, table
 
+# What the documents of parts are made of: every part picks by its key and size, so that most of them have several faults.
+METRICS, KINDS, OPS = ("pulse", "clicks", "level", "total", "nothing"), ("bucket", "hour", "local_day", "local_night", "latest", "week"), ("first_available", "single_source", "mean_across_sources", "sum_across_sources", "best")
+_AGG = {m[0]: m[1] for m in catalogue.METRICS}
+_ALLOWED = " OR ".join(f"(metric = '{m}' AND kind IN ({', '.join(repr(k) for k in ALLOWED[_AGG[m]])}))" for m in METRICS[:4])
 
-def _base(**more) -> dict:
-    return {"schema": rules.VERSION, "metric": "heart_rate", "window": {"kind": "local_day"}, "groups": [{"id": "a", "match": [{"provider": "p"}]}, {"id": "b", "match": [{"entry": "manual"}]}], "strategy": {"op": "first_available"}} | more
-
-
-# Documents worked out by hand: one fault each, with the place that must be named.
-FAULTS = (
-    (_base(), ""), (_base(schema="v9"), "/schema"), (_base(metric="nothing"), "/metric"), (_base(metric="sleep_deep", window={"kind": "local_night"}), "/metric"), (_base(metric="bp_pulse", window={"kind": "latest"}), "/metric"), (_base(extra=1), "/extra"),
-    (_base(groups=[]), "/groups"), (_base(groups=[{"id": "A!", "match": [{"provider": "p"}]}]), "/groups/0/id"), (_base(groups=[{"id": "a", "match": [{"provider": "p"}]}, {"id": "a", "match": [{"provider": "q"}]}]), "/groups/1/id"),
-    (_base(groups=[{"id": "a", "match": []}]), "/groups/0/match"), (_base(groups=[{"id": "a", "match": [{}]}]), "/groups/0/match/0"), (_base(groups=[{"id": "a", "match": [{"colour": "red"}]}]), "/groups/0/match/0/colour"),
-    (_base(exclude=[{"entry": "robot"}]), "/exclude/0/entry"), (_base(window={"kind": "week"}), "/window/kind"), (_base(metric="vo2max", window={"kind": "hour"}), "/window/kind"), (_base(window={"kind": "bucket", "size": "7m"}), "/window/size"), (_base(window={"kind": "hour", "size": "5m"}), "/window/size"),
-    (_base(strategy={"op": "best"}), "/strategy/op"), (_base(metric="resting_heart_rate", strategy={"op": "mean_across_sources"}), "/strategy/op"), (_base(strategy={"op": "sum_across_sources"}, acknowledged_warnings=["cross_source_sum"]), "/strategy/op"), (_base(strategy={"op": "event_priority"}), "/strategy/op"),
-    (_base(strategy={"op": "single_source"}), "/groups"), (_base(strategy={"op": "first_available", "min_sources": 2}), "/strategy/min_sources"), (_base(strategy={"op": "mean_across_sources", "min_sources": 3}), "/strategy/min_sources"), (_base(strategy={"op": "mean_across_sources", "on_insufficient": "guess"}), "/strategy/on_insufficient"),
-    (_base(metric="steps", strategy={"op": "sum_across_sources"}), "/acknowledged_warnings"), (_base(metric="steps", strategy={"op": "sum_across_sources"}, acknowledged_warnings=["cross_source_sum"]), ""), (_base(acknowledged_warnings=["hm"]), "/acknowledged_warnings/0"),
-    (_base(metric="spo2_night_min", window={"kind": "local_night"}), "/within_source/statistic"), (_base(within_source={"intra_group": "median"}), "/within_source/intra_group"), (_base(metric="vo2max", within_source={"intra_group": "max"}), "/within_source/intra_group"),
-    (_base(within_source={"daily_value_policy": "prefer_reported"}), "/within_source/daily_value_policy"), (_base(within_source={"statistic": "min_rolling_mean", "span": "7m"}), "/within_source/span"), (_base(within_source={"statistic": "min_rolling_mean", "span": "30m"}), ""), (_base(within_source={"statistic": "min", "span": "5m"}), "/within_source/span"),
-    (_base(within_source={"statistic": "mean"}), "/within_source/statistic"), (_base(quality={"min_coverage": 1.5}), "/quality/min_coverage"), (_base(quality={"plausible_range": [9, 3]}), "/quality/plausible_range"), (_base(quality={"exclude_flags": ["relayed", "relayed"]}), "/quality/exclude_flags/1"),
-    (_base(quality={"max_staleness": "0d"}), "/quality/max_staleness"), (_base(quality={"require_wear": "steps"}), "/quality/require_wear"), (_base(quality={"sleep": {"night_anchor": "11:00"}}), "/quality/sleep/night_anchor"), (_base(contexts={"rain": ["a"]}), "/contexts/rain"), (_base(contexts={"sleep": ["z"]}), "/contexts/sleep/0"),
-    (_base(contexts={"sleep": ["@workout_source"]}), "/contexts/sleep/0"), (_base(follow="heart_rate"), "/follow"), (_base(follow="nobody"), "/follow"), (_base(follow="bp_pulse"), "/follow"), (_base(compose={"from": "hour", "op": "max"}), "/compose"), (_base(metric="steps", compose={"from": "day", "op": "max"}), "/compose/from"),
-)
-
-
-@query("st16_st4_checked_rules", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{p}')" for i, (_, p) in enumerate(FAULTS)) + f", ({len(FAULTS)}, '(document)')) t(id, pointers)", events=False)
-def checked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with one fault each, and where it is."""
-    docs = spark.createDataFrame([(i, json.dumps(d)) for i, (d, _) in enumerate(FAULTS)] + [(len(FAULTS), "{not a rule")], "id int, doc string")
-    found = F.array_join(F.array_sort(F.array_distinct(F.transform("errors", lambda e: F.when(e["pointer"] == "", "(document)").otherwise(e["pointer"])))), ",")
-    return rules.checked(docs, catalogue.metrics(spark)).select("id", found.alias("pointers"))
+_FAULTS = f"""WITH d AS (SELECT p_partkey AS k, {list(METRICS)!r}[1 + p_partkey % 5] AS metric, {list(KINDS)!r}[1 + p_size % 6] AS kind, CASE p_size % 7 WHEN 0 THEN '5m' WHEN 1 THEN '7m' END AS size, {list(OPS)!r}[1 + p_partkey // 5 % 5] AS op,
+  CASE p_partkey % 13 WHEN 0 THEN 3 WHEN 1 THEN 2 END AS least FROM part),
+e AS (SELECT k, list_filter([
+  CASE WHEN k % 17 = 0 THEN '/extra' END, CASE WHEN metric = 'nothing' THEN '/metric' END, CASE WHEN kind = 'week' OR (metric <> 'nothing' AND NOT ({_ALLOWED})) THEN '/window/kind' END,
+  CASE WHEN CASE WHEN kind = 'bucket' THEN coalesce(size <> '5m', true) ELSE size IS NOT NULL END THEN '/window/size' END,
+  CASE WHEN op = 'best' OR (metric <> 'nothing' AND ((op = 'mean_across_sources' AND metric = 'total') OR (op = 'sum_across_sources' AND metric <> 'clicks'))) THEN '/strategy/op' END,
+  CASE WHEN op = 'single_source' THEN '/groups' END, CASE WHEN least IS NOT NULL AND (NOT ends_with(op, '_across_sources') OR least > 2) THEN '/strategy/min_sources' END, CASE WHEN op = 'sum_across_sources' THEN '/acknowledged_warnings' END,
+  CASE WHEN k % 11 IN (0, 1) THEN '/groups/1/id' END, CASE WHEN k % 19 = 0 THEN '/groups/1/match/0/entry' END], lambda x: x IS NOT NULL) AS p FROM d)
+SELECT k AS id, array_to_string(list_sort(list_distinct(p)), ',') AS pointers FROM e"""
 
 
-@query("st17_ladders", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{w}', {len(g)}, 0)" for m, w, _, g, _ in catalogue.LADDERS) + ") t(metric, kind, groups, errors)", events=False)
-def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every ladder of the package is a valid rule, and together they are a valid set."""
-    docs = catalogue.rules(spark)
-    got = rules.checked(docs, catalogue.metrics(spark)).withColumn("doc", F.from_json("doc", rules.RULE))
-    bad = rules.checked_set(got.select("id", "metric", "follow", "window")).groupBy("id").agg(F.count("*").alias("_bad"))
-    got = got.join(bad, "id", "left")
-    return got.select("metric", F.col("window.kind").alias("kind"), F.size("doc.groups").alias("groups"), (F.size("errors") + F.coalesce("_bad", F.lit(0))).cast("int").alias("errors"))
+def _pick(items: tuple[str, ...], n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(x) for x in items]), (n % len(items) + 1).cast("int"))
 
 
-@query("st17_default_rules", "SELECT * FROM (VALUES ('skin_temperature', 'local_day', 13), ('hrv_sdnn', 'local_day', 13), ('hrv_rmssd_nightly', 'local_day', 13), ('pulse_wave_velocity', 'local_day', 13), ('vascular_age', 'local_day', 13), ('respiratory_rate', 'local_day', 13), ('bp_systolic', 'local_day', 13), ('bp_diastolic', 'local_day', 13), ('bp_pulse', 'local_day', 13), ('sleep_total', 'local_night', 13), ('sleep_deep', 'local_night', 13), ('strap_recovery', 'local_day', 1), ('watch_stress', 'local_day', 1)) t(metric, \"window\", groups)", events=False)
+@query("st16_st4_checked_rules", _FAULTS, events=False)
+def checked_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each part, and the places of its faults: unknown fields and names, windows and strategies that the metric can't have."""
+    k, p = F.col("p_partkey"), table(spark, sf_dir, "part")
+    op = _pick(OPS, F.expr("p_partkey div 5"))
+    group = lambda i, **m: F.struct(i.alias("id"), F.array(F.create_map(*[x for f, v in m.items() for x in (F.lit(f), v)])).alias("match"))
+    groups = F.array(group(F.lit("a"), provider=F.concat(F.lit("p"), k.cast("string"))), group(F.when(k % 11 == 0, "a").when(k % 11 == 1, "B!").otherwise("b"), entry=F.when(k % 19 == 0, "robot").otherwise("manual")))
+    doc = F.to_json(F.struct(
+        F.lit(rules.VERSION).alias("schema"), _pick(METRICS, k).alias("metric"), F.struct(_pick(KINDS, F.col("p_size")).alias("kind"), F.when(F.col("p_size") % 7 == 0, "5m").when(F.col("p_size") % 7 == 1, "7m").alias("size")).alias("window"), groups.alias("groups"),
+        F.struct(op.alias("op"), F.when(k % 13 == 0, 3).when(k % 13 == 1, 2).alias("min_sources")).alias("strategy"), F.when(k % 17 == 0, "?").alias("extra"),
+    ))
+    found = F.array_join(F.array_sort(F.array_distinct(F.transform("errors", lambda e: e["pointer"]))), ",")
+    return rules.checked(p.select(k.alias("id"), doc.alias("doc")), catalogue.metrics(spark)).select("id", found.alias("pointers"))
+
+
+@query("st17_ladders", "SELECT n_nationkey AS rule, CAST(count(*) AS INTEGER) AS groups, CASE WHEN count(*) > 32 THEN '/groups' ELSE '' END AS pointers FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY ALL", events=False)
+def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ladder for each nation, its suppliers being the groups, made into documents and checked."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    key = F.col("s_suppkey").cast("string")
+    rows = s.select(
+        F.col("n_nationkey").alias("rule"), F.col("n_nationkey").alias("owner"), F.lit("pulse").alias("metric"), F.lit("local_day").alias("window"), F.lit("first_available").alias("op"), F.col("s_suppkey").alias("pos"), F.concat(F.lit("s"), key).alias("group"),
+        F.array(F.create_map(F.lit("provider"), F.concat(F.lit("s"), key)), F.create_map(F.lit("origin_name"), F.col("s_name"), F.lit("entry"), F.lit("device"))).alias("match"),
+    )
+    docs = catalogue.documents(rows).withColumnRenamed("rule", "id")
+    got = rules.checked(docs, catalogue.metrics(spark)).withColumn("r", F.from_json("doc", rules.RULE))
+    return got.select(F.col("id").alias("rule"), F.size("r.groups").alias("groups"), F.array_join(F.transform("errors", lambda e: e["pointer"]), ",").alias("pointers"))
+
+
+@query("st17_default_rules", """WITH c AS (SELECT p_partkey AS k, ['intensive', 'additive', 'latest', 'daily_summary', 'sleep_derived'][1 + p_partkey % 5] AS agg FROM part)
+SELECT 'm' || CAST(k AS VARCHAR) AS metric, CASE WHEN agg <> 'sleep_derived' AND k % 10 <> 9 THEN 'local_day' ELSE 'local_night' END AS "window", CASE WHEN k % 6 = 0 THEN 1 ELSE 4 END AS groups FROM c WHERE k % 3 <> 0 OR k % 6 = 0""", events=False)
 def default_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ruled = spark.createDataFrame([(m,) for m, _ in catalogue.documents()], "metric string")
-    return rules.defaults(catalogue.metrics(spark), ruled, ["strap", "phone", "scale"]).select("metric", "window", F.size("groups").alias("groups"))
+    """Rules for parts as metrics that have none of their own."""
+    k = F.col("p_partkey")
+    code = F.concat(F.lit("m"), k.cast("string"))
+    agg = _pick(("intensive", "additive", "latest", "daily_summary", "sleep_derived"), k)
+    known = table(spark, sf_dir, "part").select(code.alias("code"), agg.alias("agg"), F.lit(None).cast("string").alias("reading"), (k % 6 == 0).alias("provider_scoped"), F.lit(False).alias("selection_only"), F.when(k % 10 == 9, F.concat(F.lit("m"), (k - 1).cast("string"))).alias("derived_from"))
+    ruled = table(spark, sf_dir, "part").where("p_partkey % 3 = 0 and p_partkey % 6 <> 0").select(code.alias("metric"))
+    return rules.defaults(known, ruled, ["shop", "phone"]).select("metric", "window", F.size("groups").alias("groups"))
 
 
-SETS = (("a", "steps", None, "local_day"), ("b", "active_energy", "steps", "local_day"), ("c", "total_energy", "active_energy", "hour"), ("d", "weight", "fat_mass", "local_day"), ("e", "fat_mass", "bone_mass", "local_day"), ("f", "bone_mass", "weight", "local_day"), ("g", "steps", None, "local_day"))
+_SET = """, r AS (SELECT p_partkey AS id, 'm' || CAST(CASE WHEN p_partkey % 40 = 5 THEN p_partkey - 1 ELSE p_partkey END AS VARCHAR) AS metric,
+  'm' || CAST(CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 2 WHEN p_partkey % 50 = 9 THEN p_partkey - 2 WHEN p_partkey % 4 = 2 THEN p_partkey // 2 END AS VARCHAR) AS follow, p_partkey % 3 AS w FROM part),
+after_ AS (SELECT * FROM r), before_ AS (SELECT * FROM r WHERE id % 5 <> 0 AND id % 9 <> 0)"""
 
 
-@query("st18_activation_problems", "SELECT * FROM (VALUES ('g', 'duplicate_metric'), ('d', 'follow_cycle'), ('e', 'follow_cycle'), ('f', 'follow_cycle')) t(id, problem)", events=False)
+def _problems(s: str) -> str:
+    return f""", reach_{s}(metric, leader) AS (SELECT metric, follow FROM {s} WHERE follow IS NOT NULL UNION SELECT q.metric, {s}.follow FROM reach_{s} q JOIN {s} ON q.leader = {s}.metric WHERE {s}.follow IS NOT NULL),
+p_{s} AS (SELECT id, 'duplicate_metric' AS problem FROM {s} QUALIFY row_number() OVER (PARTITION BY metric ORDER BY id) > 1 UNION SELECT a.id, 'other_window' FROM {s} a JOIN {s} b ON a.follow = b.metric WHERE a.w <> b.w
+  UNION SELECT {s}.id, 'follow_cycle' FROM {s} JOIN reach_{s} q ON q.metric = {s}.metric AND q.leader = q.metric)"""
+
+
+@query("st18_activation_problems", "WITH RECURSIVE x AS (SELECT 1)" + _SET + _problems("after_") + _problems("before_") + " SELECT * FROM p_after_ EXCEPT SELECT * FROM p_before_", events=False)
 def activation_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What two more rules would break; the window that already differs isn't counted again."""
-    kinds = [(i, m, f, {"kind": w, "size": None}) for i, m, f, w in SETS]
-    after = spark.createDataFrame(kinds, "id string, metric string, follow string, window struct<kind:string,size:string>")
-    return rules.activation_diff(after.where("id not in ('f', 'g')"), after)
+    """What rules of parts would break that come into force beside the others: a metric twice, other windows than the leader's, cycles."""
+    k = F.col("p_partkey")
+    name = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    follow = F.when(k % 50 == 7, name(k + 2)).when(k % 50 == 9, name(k - 2)).when(k % 4 == 2, name(F.expr("p_partkey div 2")))
+    after = table(spark, sf_dir, "part").select(k.alias("id"), name(F.when(k % 40 == 5, k - 1).otherwise(k)).alias("metric"), follow.alias("follow"), F.struct((k % 3).cast("string").alias("kind"), F.lit(None).cast("string").alias("size")).alias("window"))
+    return rules.activation_diff(after.where("id % 5 <> 0 and id % 9 <> 0"), after)
+
+
+def _base(**more) -> dict:
+    return {"schema": rules.VERSION, "metric": "pulse", "window": {"kind": "local_day"}, "groups": [{"id": "a", "match": [{"provider": "p"}]}, {"id": "b", "match": [{"entry": "manual"}]}], "strategy": {"op": "first_available"}} | more
 
 
 # Rules of the stand-in metric by owner: two orders and a pool, as documents in a table.

@@ -1,64 +1,43 @@
-"""Metrics with what decides how they are resolved, and the ladders of rules that come with the package."""
+"""Metrics with what decides how they are resolved, and rule documents made of tables of ladders.
+
+Both are data of the user's: the metrics here are those of the shared tables' stand-ins, and a ladder is a
+table with a row for each group, which ``documents`` turns into rules.
+"""
 
 from __future__ import annotations
 
-import json
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from strandline.operators.rules import VERSION
 
+SCHEMA = "code string, agg string, reading string, provider_scoped boolean, selection_only boolean, derived_from string"
 # Code, class, kind of reading, whether a score of one provider, whether never pooled, metric that it is derived from.
 METRICS = (
-    ("steps", "additive", None, False, False, None), ("distance_walk_run", "additive", None, False, False, None), ("active_energy", "additive", None, False, False, None), ("total_energy", "daily_summary", None, False, False, None),
-    ("heart_rate", "intensive", None, False, False, None), ("resting_heart_rate", "daily_summary", None, False, True, None), ("hrv_sdnn", "intensive", None, False, False, None), ("hrv_rmssd", "intensive", None, False, False, None),
-    ("hrv_rmssd_nightly", "daily_summary", None, False, True, None), ("vo2max", "latest", None, False, False, None), ("pulse_wave_velocity", "latest", None, False, False, None), ("vascular_age", "latest", None, False, False, None),
-    ("bp_systolic", "latest", "bp_reading", False, False, None), ("bp_diastolic", "latest", "bp_reading", False, False, None), ("bp_pulse", "latest", "bp_reading", False, False, None), ("spo2", "intensive", None, False, False, None),
-    ("respiratory_rate", "intensive", None, False, False, None), ("body_temperature", "latest", None, False, False, None), ("skin_temperature", "intensive", None, False, False, None), ("weight", "latest", "body_composition", False, False, None),
-    ("height", "latest", None, False, False, None), ("body_fat_ratio", "latest", "body_composition", False, False, None), ("fat_mass", "latest", "body_composition", False, False, None), ("fat_free_mass", "latest", "body_composition", False, False, None),
-    ("muscle_mass", "latest", "body_composition", False, False, None), ("bone_mass", "latest", "body_composition", False, False, None), ("hydration", "latest", "body_composition", False, False, None),
-    ("resting_heart_rate_nocturnal", "intensive", None, False, False, "heart_rate"), ("spo2_night_min", "intensive", None, False, False, "spo2"), ("sleep_total", "sleep_derived", None, False, False, None), ("sleep_deep", "sleep_derived", None, False, False, None),
-    ("strap_recovery", "daily_summary", None, True, True, None), ("watch_stress", "intensive", None, True, True, None),
-)
-
-# Ladders of groups, by name, each group with its selectors.
-_WORN = lambda t: [(t, [{"device_type": t, "entry": "device", "relayed": "false"}]), (f"{t}_relayed", [{"device_type": t, "entry": "device", "relayed": "true"}])]
-_TYPE = lambda t: [(t, [{"device_type": t, "entry": "device"}])]
-_MANUAL = [("manual", [{"entry": "manual"}])]
-_SCALE = [*_TYPE("scale"), ("scale_apps", [{"provider": "phone_health", "entry": "device"}]), *_MANUAL]
-_HEART = [*_TYPE("chest_strap"), *_TYPE("arm_band"), *_TYPE("watch"), *_TYPE("band"), *_TYPE("ring")]
-# Metric, window, strategy, groups and what else a rule says.
-LADDERS = (
-    ("steps", "local_day", "first_available", [*_WORN("watch"), *_WORN("ring"), *_WORN("band"), *_TYPE("phone")], {"compose": {"from": "hour", "op": "first_available"}}),
-    ("distance_walk_run", "local_day", "first_available", [*_WORN("watch"), *_TYPE("phone"), *_WORN("ring")], {"compose": {"from": "hour", "op": "first_available"}, "contexts": {"workout": ["@workout_source"]}}),
-    ("active_energy", "local_day", "first_available", [*_WORN("watch"), *_WORN("band"), *_WORN("ring"), *_TYPE("phone")], {}),
-    ("total_energy", "local_day", "first_available", [*_WORN("watch"), *_WORN("band"), *_WORN("ring"), *_TYPE("phone")], {"follow": "active_energy"}),
-    ("heart_rate", "bucket", "first_available", _HEART, {"quality": {"plausible_range": [25, 230], "exclude_flags": ["manual_entry"]}, "contexts": {"workout": ["chest_strap", "arm_band", "@workout_source"]}}),
-    ("resting_heart_rate", "local_day", "first_available", [*_TYPE("ring"), *_TYPE("band"), *_TYPE("watch")], {"quality": {"max_staleness": "36h"}}),
-    ("hrv_rmssd", "local_night", "first_available", [*_TYPE("ring"), *_TYPE("band")], {}),
-    ("vo2max", "latest", "first_available", [*_TYPE("watch"), *_TYPE("phone")], {"quality": {"max_staleness": "30d"}}),
-    ("blood_pressure", "local_day", "first_available", [*_TYPE("bp_monitor"), ("watch_cuff", [{"device_type": "watch", "entry": "device"}]), *_MANUAL], {"within_source": {"statistic": "mean"}}),
-    ("spo2", "local_night", "first_available", [*_TYPE("watch"), *_TYPE("ring"), *_TYPE("band")], {}),
-    ("body_temperature", "latest", "latest", [("device", [{"entry": "device"}]), *_MANUAL], {}),
-    ("height", "latest", "latest", [("device", [{"entry": "device"}]), *_MANUAL], {}),
-    ("weight", "local_day", "first_available", _SCALE, {"within_source": {"statistic": "latest"}}),
-    *[(m[0], "local_day", "first_available", _SCALE, {"follow": "weight"}) for m in METRICS if m[2] == "body_composition" and m[0] != "weight"],
-    ("resting_heart_rate_nocturnal", "local_night", "first_available", _HEART, {"within_source": {"statistic": "min_rolling_mean", "span": "30m"}, "quality": {"plausible_range": [25, 230], "exclude_flags": ["manual_entry"]}}),
-    ("spo2_night_min", "local_night", "first_available", [*_TYPE("watch"), *_TYPE("ring")], {"within_source": {"statistic": "min"}}),
-    ("sleep", "local_night", "event_priority", [*_TYPE("ring"), *_TYPE("watch"), ("under_mattress", [{"device_type": "under_mattress"}, {"device_type": "sleep_monitor"}]), *_TYPE("band")], {"quality": {"max_staleness": "36h", "sleep": {"match_overlap": 0.5}}}),
-)
+    ("pulse", "intensive", None, False, False, None),
+    ("pulse_low", "intensive", None, False, False, "pulse"),
+    ("clicks", "additive", None, False, False, None),
+    ("level", "latest", None, False, False, None),
+    ("total", "daily_summary", None, False, True, None),
+    ("view_score", "intensive", None, True, True, None),
+    ("bp_systolic", "latest", "bp_reading", False, False, None),
+    ("bp_diastolic", "latest", "bp_reading", False, False, None),
+    ("sleep_total", "sleep_derived", None, False, False, None),
+    ("sleep_deep", "sleep_derived", None, False, False, None),
+)
 
 
 def metrics(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(METRICS, "code string, agg string, reading string, provider_scoped boolean, selection_only boolean, derived_from string")
-
+    return spark.createDataFrame(METRICS, SCHEMA)
 
-def documents() -> list[tuple[str, str]]:
-    """``(metric, JSON)`` of the rules that come with the package."""
-    out = []
-    for metric, window, op, groups, more in LADDERS:
-        w = {"kind": window, "size": "5m"} if window == "bucket" else {"kind": window}
-        out.append((metric, json.dumps({"schema": "resolution-rule.v1", "metric": metric, "window": w, "groups": [{"id": i, "match": s} for i, s in groups], "strategy": {"op": op}} | more)))
-    return out
 
+def documents(ladders: DataFrame, more: Column | None = None) -> DataFrame:
+    """``(rule, owner, metric, doc)`` of ``ladders(rule, owner, metric, window, op, pos, group, match array<map<string,string>>)``, a row for each group.
 
-def rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(documents(), "id string, doc string")
+    ``more``: a struct of further fields of a rule, over the columns of ``ladders``, the same for all rows of a rule.
+    """
+    group = F.struct("pos", F.struct(F.col("group").alias("id"), "match").alias("g"))
+    extra = more if more is not None else F.struct(F.lit(None).cast("string").alias("follow"))
+    one = ladders.groupBy("rule", "owner", "metric").agg(F.first("window").alias("w"), F.first("op").alias("op"), F.first(extra).alias("x"), F.transform(F.array_sort(F.collect_list(group), lambda a, b: F.signum(a["pos"] - b["pos"]).cast("int")), lambda s: s["g"]).alias("groups"))
+    body = F.struct(F.lit(VERSION).alias("schema"), "metric", F.struct(F.col("w").alias("kind")).alias("window"), "groups", F.struct("op").alias("strategy"), "x.*")
+    return one.select("rule", "owner", "metric", F.to_json(body).alias("doc"))
