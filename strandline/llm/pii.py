@@ -7,6 +7,7 @@ validator rejects is dropped and not retried at another start.  Spans of one kin
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from math import log2
@@ -52,10 +53,13 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
 _MORE = {n: re.compile(rf"(?: ?[A-Z0-9]){{{n - 4}}}(?![A-Za-z0-9])") for n in sorted(set(IBAN_LENGTHS.values()))}
 _SECRET = re.compile(
-    r"""(?<![A-Za-z0-9])(?:(?:token|secret|password|passwd|pwd|bearer|api[_-]?key|access[_-]?key|secret[_-]?key)["']?[ \t]*(?:=|:)[ \t]*["']?(?P<value>[A-Za-z0-9+/_.=-]{12,256}+)"""
-    r"""|(?P<marked>AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,255}+|-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----))""",
-    re.IGNORECASE,
+    r"""(?<![A-Za-z0-9])(?:(?:(?:token|secret|password|passwd|pwd|bearer|api[_-]?key|access[_-]?key|secret[_-]?key)["']?[ \t]*(?:=|:)[ \t]*["']?|bearer[ \t]+)(?P<value>[A-Za-z0-9+/_.=-]{12,}+)"""
+    r"""|(?P<marked>AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+)|(?P<block>-----BEGIN [A-Z0-9 ]{0,24}PRIVATE KEY-----))""",
+    re.IGNORECASE | re.ASCII,
 )
+_BLOCK_END = re.compile(r"-----END [A-Z0-9 ]{0,24}PRIVATE KEY-----", re.IGNORECASE | re.ASCII)
+#: Lines of a key whose last line is missing: its headers and long lines of its text.
+_BLOCK_LINES = re.compile(r"(?:[ \t]*+\r?\n(?:[A-Za-z0-9+/=]{16,}+|[A-Za-z-]++:[^\n]*+)?+)*+")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 #: Every secret's pattern holds one of these, in any case; texts without them aren't searched.
 _HINTS = ("token", "secret", "passw", "pwd", "bearer", "key", "akia", "ghp_", "gho_", "ghu_", "ghs_", "ghr_")
@@ -109,6 +113,26 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values to their end, and private keys from their first line to their last; without a last line, as far as lines of a key go."""
+    ends = [(m.start(), m.end()) for m in _BLOCK_END.finditer(text)]
+    found = list(_SECRET.finditer(text))
+    heads = [m.start() for m in found if m["block"] is not None] + [len(text)]
+    done = 0
+    for m in found:
+        if m.start() < done:
+            continue
+        if m["block"] is None:
+            if m["value"] is None or dense(m["value"]):
+                done = m.end()
+                yield m.span("value" if m["value"] is not None else "marked")
+            continue
+        at = bisect_left(ends, (m.end(), 0))
+        following = heads[bisect_right(heads, m.start())]
+        done = ends[at][1] if at < len(ends) and ends[at][0] < following else _BLOCK_LINES.match(text, m.end()).end()
+        yield m.start(), done
+
+
 def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
@@ -133,11 +157,8 @@ def _propose(text: str) -> Iterator[tuple[str, int, int, bool]]:
         if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield "ssn", *m.span(), False
     low = text.lower()
-    for m in _SECRET.finditer(text) if any(h in low for h in _HINTS) else ():
-        if m["value"] is None:
-            yield "secret", *m.span(), True
-        elif dense(m["value"]):
-            yield "secret", *m.span("value"), True
+    if any(h in low for h in _HINTS):
+        yield from (("secret", start, end, True) for start, end in _secrets(text))
 
 
 def find_spans(text: str | None) -> list[dict]:
@@ -189,7 +210,11 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, text)`` with every span replaced by its kind in brackets; of overlapping spans the first names the place."""
+    """``(id, text)`` with every span replaced by its kind in brackets; of overlapping spans the first names the place, up to the end of the last.
+
+    A null text stays null, an empty one empty; repeated rows and null ids give a row each; texts of any length are
+    masked whole; an empty table gives an empty one; other columns are left out, whatever their names.
+    """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
     return texts.mapInArrow(_mask, f"id {kind}, text string").toDF(id_col, text_col)

@@ -77,3 +77,26 @@ def test_rows_and_digest(spark):
     assert got == [one, (2, 0, 0, 0, 0, sha(""), ""), (3, 0, 0, 0, 0, sha(""), ""), one, (None, 0, 0, 0, 1, sha("phone:0:17"), "phone:0:17")]
     assert [r.text for r in redact(docs).collect()][:2] == ["mail [EMAIL], ip [IP]", None]
     assert digest(find_pii(docs.limit(0))).count() == 0
+
+
+def test_secrets_are_taken_whole(spark):
+    value = "aB3xY7kQ9mZ2pL5w" * 320
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n" + "\n".join("MIIEpAIBAAKCAQEA" * 4 for _ in range(30)) + "\n-----END RSA PRIVATE KEY-----"
+    texts = [f"token={value} end", f"x {key} y", f"Authorization: Bearer {value} z", key[: key.index("-----END")] + "and prose", f"ghp_{'a1B2' * 100}.", "-----BEGIN PRIVATE KEY----- " * 500, f"{key}{key}", None, ""]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    assert got[0] == "token=[SECRET] end" and got[1] == "x [SECRET] y" and got[2] == "Authorization: Bearer [SECRET] z" and got[3] == "[SECRET]and prose" and got[4] == "[SECRET]."
+    assert "BEGIN" not in got[5] and got[6] == "[SECRET][SECRET]" and got[7] is None and got[8] == ""
+    assert redact(df.limit(0)).count() == 0
+
+
+def test_overlapping_spans_are_masked_to_the_last_end(spark):
+    texts = {1: "password: +49301234567890abcDEF! and 4111 1111 1111 1111", 2: "token=a1b2c3d4e5f6g7h8@example.org."}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in redact(df).collect()}
+    for i, t in texts.items():
+        out, end = "", 0
+        for s in find_spans(t):
+            out += (t[end : s["start"]] + f"[{s['kind'].upper()}]") if s["start"] >= end else ""
+            end = max(end, s["end"])
+        assert got[i] == out + t[end:] and len(find_spans(t)) >= 2
