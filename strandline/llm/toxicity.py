@@ -191,22 +191,22 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Weights from the labelled rows of ``docs``.
 
-    ``sample`` bounds the documents that come to the driver, drawn evenly by a hash of the id.  Null
-    labels and texts are left out; a document labelled twice is toxic if any label says so; repeated
-    rows count as often as they come; other columns are ignored.  With nothing to learn from every score is 0.
+    ``sample`` bounds the documents that come to the driver: the first ones by a hash of the id, so that the same rows
+    give the same model in whatever order they come.  Null labels and texts are left out; a document labelled
+    twice is toxic if any label says so; a text that repeats under one id counts once; texts of any length are
+    read whole; other columns are ignored.  With nothing to learn from every score is 0.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label"))
-    share = min(1.0, 0.95 * sample / max(1, known.count()))
-    drawn = known.where(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * sample)
+    drawn = known.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(drawn), "id").select("id", "label", "text").mapInArrow(lean(_tokens), "id long, label int, h binary, s binary")
-    got = sorted((r.id, r.label, r.h, r.s) for r in rows.limit(2 * sample).collect())[:sample]
+    got = rows.distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "id", "h", "s").limit(sample).collect()
+    got = sorted((r.id, r.label, r.h, r.s) for r in got)
     return train([(y, np.frombuffer(h, np.uint64), np.frombuffer(s, np.int32)) for _, y, h, s in got])
 
 
 
-
 def _score(model: Model, at: float):
     kind = pa.list_(pa.struct([("sentence", pa.string()), ("score", pa.float64())]))
 

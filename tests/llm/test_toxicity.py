@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 from strandline.llm.langid import in_training
 from strandline.llm.textkit import word_hashes
+from strandline.llm import toxicity
 from strandline.llm.toxicity import fit, score
 
 DATA = "/root/testdata/sf0.1/"
@@ -76,3 +77,44 @@ def test_sentences_are_located_where_half_is_toxic(spark):
     got = score(spark.createDataFrame(odd, df.schema), model, names=("s", "found")).collect()
     assert [f.sentence for f in got[0].found] == ["YOU are an Idiot"] and got[0].s > 0.3
     assert got[1].s == 0 and got[2].s < 0.3
+
+
+def test_the_same_rows_give_the_same_sample(spark):
+    """A bounded sample doesn't depend on the order of rows, on repeated ones or on how they are cut."""
+    rows = [(i, f"word{i % 7} " + ("idiot fool" if i % 3 == 0 else "kind friend") + f" and more{i % 11}.") for i in range(90)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    models = []
+    for given in (rows, rows[::-1] + rows[:30]):
+        m = fit(spark.createDataFrame(given, "doc_id long, text string").repartition(5), labels, sample=40)
+        models.append((m.tokens.tolist(), m.weights.tolist(), m.bias))
+    assert models[0] == models[1] and models[0][0]
+
+
+def test_weights_are_those_of_a_plain_optimiser():
+    """Small steps of plain gradient descent on the penalised noisy-or likelihood, one document after the other, end where training does."""
+    rng = np.random.default_rng(3)
+    docs = []
+    for i in range(60):
+        y, bag = i % 2, [rng.integers(10, 15, 3) for _ in range(3)]
+        if y and i % 10 != 1:
+            bag[1] = np.append(bag[1], 1 + i % 3)
+        docs.append((y, np.concatenate(bag).astype(np.uint64), np.repeat(np.arange(3), [len(b) for b in bag])))
+    held = toxicity.Sample(docs)
+    every, tokens = np.ones(60, bool), np.isin(held.tokens, [1, 2, 3])
+    names = held.tokens[tokens].tolist()
+    theta = np.zeros(len(names) + 1)
+    theta[-1] = -2.0
+
+    def loss(t):
+        total = 0.5 * 0.3 * float((t[:-1] ** 2).sum())
+        for y, h, s in docs:
+            z = [t[-1] + sum(t[names.index(x)] for x in set(h[s == k].tolist()) if x in names) for k in range(3) if any(x in names for x in h[s == k].tolist())]
+            q = sum(math.log1p(math.exp(v)) for v in z)
+            total += q if not y else -math.log(max(1e-9, 1 - math.exp(-q)))
+        return total
+
+    for _ in range(400):
+        grad = np.array([(loss(theta + d) - loss(theta - d)) / 2e-5 for d in np.eye(len(theta)) * 1e-5])
+        theta -= 0.05 * np.clip(grad, -2, 2)
+    found = held.weights(every, tokens)
+    assert loss(found) <= loss(theta) * 1.02 + 0.01
