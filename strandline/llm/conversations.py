@@ -249,13 +249,16 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Repair:
-    """What ``repair`` found: ``rows`` (conv_id, pos, edit, role, text) are the repaired conversations; ``audits`` has one row for each conversation."""
+    """What ``repair`` found: ``rows`` (conv_id, pos, edit, role, text) are the repaired conversations; ``audits`` has one row for each conversation.
+
+    The rows of a conversation stand together and in order, as they were replayed: a digest takes them as they come.
+    """
 
     def __init__(self, rows: DataFrame, audits: DataFrame) -> None:
         self.rows, self.audits = rows, audits
 
     def digests(self) -> DataFrame:
-        return self.rows.select("conv_id", "pos", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "pos").mapInArrow(_hashed, "conv_id long, repaired_sha256 string")
+        return self.rows.select("conv_id", "role", "text").mapInArrow(_hashed, "conv_id long, repaired_sha256 string")
 
 
 def _fault(text: Column) -> Column:
