@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[tuple[SparkSession, str]] = []
+#: Folders that are there, for the end of the process; and, for each thread, those of the blocks that it is in.
+_MADE: dict[str, SparkSession] = {}
+_OPEN = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,7 +41,9 @@ class Scratch:
         self.count = 0
         if not _MADE:
             atexit.register(_sweep)
-        _MADE.append((spark, self.root))
+        _MADE[self.root] = spark
+        for block in getattr(_OPEN, "blocks", ()):
+            block.append(self.root)
 
     def save(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return it as read back from the written files."""
@@ -56,12 +61,17 @@ class Scratch:
 
 @contextmanager
 def released() -> Iterator[None]:
-    """Drop on the way out all tables that scratches made inside have written: for a step whose result has been written elsewhere by then."""
-    before = len(_MADE)
-    yield
-    for spark, root in _MADE[before:]:
-        _delete(spark, root)
-    del _MADE[before:]
+    """Drop on the way out, by an error too, all tables that scratches made inside by this thread have written: for a step whose result has been written elsewhere by then."""
+    mine: list[str] = []
+    _OPEN.blocks = [*getattr(_OPEN, "blocks", ()), mine]
+    try:
+        yield
+    finally:
+        _OPEN.blocks = _OPEN.blocks[:-1]
+        for root in mine:
+            spark = _MADE.pop(root, None)
+            if spark is not None:
+                _delete(spark, root)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -71,7 +81,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def _sweep() -> None:
     """At exit: remove what is left, where the session still answers."""
-    for spark, path in _MADE:
+    for path, spark in list(_MADE.items()):
         try:
             if spark._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():  # noqa: SLF001
                 _delete(spark, path)

@@ -3,14 +3,20 @@
 A batch of rows goes through the same steps whether it is the first of its day or comes a year late:
 versions are decided by key, the local dates before and after are marked, and the hours of the marked
 days and their neighbours are replaced.  A batch that is given twice changes nothing the second time.
+Marks wait in a queue until they have settled; they are taken in runs of days and go together with the
+hours that were built from them, while marks that come in between stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators import gold
@@ -95,63 +101,232 @@ def due_units(cursors: DataFrame, now: Column, lookback: int, unit: int) -> Data
 
 
 class Store:
-    """Rows and hours by local date in two folders; a batch replaces the dates that it touches and no others.
-
-    What a batch will write is first written beside the tables.  From then on it can be given again as
-    often as need be: the same dates are replaced by the same rows until the batch is marked as done.
+    """Rows, hours and marks in folders that are replaced in parts.
+
+    - ``rows`` and ``hours`` are cut by a bucket of owners and the local date, so that one late row rewrites
+      neither the date of other owners nor other dates;
+    - ``index`` tells the part that a key's row is in, cut by a bucket of keys: a batch meets the buckets of
+      its own keys, and then the parts that these are in, and reads nothing else;
+    - ``marks`` is the queue of marked days with the instant at which each arrived, ``consumed`` what was taken.
+
+    A step first writes all that it will change to ``plan/<name>``.  From then on it can be done again as
+    often as need be: whatever was cut short is finished before anything else is done.  Batches go by a
+    digest of their rows, not by a number, so that streams with other checkpoints, or several of them,
+    can feed one store; a lock file keeps their steps apart.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, interval: Column) -> None:
-        self.spark, self.folder, self.interval = spark, folder.rstrip("/"), interval
+    OWNERS, KEYS = 16, 256
+    #: Days that one rebuild takes from the queue, and seconds after which a lock counts as left behind.
+    RUN, LEASE = 31, 900
+
+    def __init__(self, spark: SparkSession, folder: str, interval: Column, settle: float = 0.0, clock: Callable[[], float] = time.time) -> None:
+        """``settle``: seconds that a mark waits; with 0 every batch rebuilds what it has marked at once."""
+        self.spark, self.folder, self.interval, self.settle, self.clock = spark, folder.rstrip("/"), interval, settle, clock
         self.rows_schema = spark.createDataFrame([], ROW + ", local_date date").schema
         self.hours_schema = gold.hourly(spark.createDataFrame([], self.rows_schema), ["owner", "source"], interval).schema
 
-    def _there(self, name: str) -> bool:
+    # files
+
+    def _path(self, name: str):  # noqa: ANN202
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")  # noqa: SLF001
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)  # noqa: SLF001
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
 
-    def _read(self, name: str) -> DataFrame:
-        schema = self.hours_schema if name == "hours" else self.rows_schema
-        if not self._there(name):
+    def _there(self, name: str) -> bool:
+        path, fs = self._path(name)
+        return fs.exists(path)
+
+    def _names(self, name: str) -> list[str]:
+        path, fs = self._path(name)
+        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
+
+    def _touch(self, name: str) -> bool:
+        path, fs = self._path(name)
+        fs.mkdirs(path.getParent())
+        return fs.createNewFile(path)
+
+    def _delete(self, name: str) -> None:
+        path, fs = self._path(name)
+        fs.delete(path, True)
+
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """One step at a time, over all processes that share the folder."""
+        path, fs = self._path("lock")
+        while not self._touch("lock"):
+            try:
+                if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > self.LEASE:
+                    fs.delete(path, False)
+                    continue
+            except Exception:  # noqa: BLE001, S110  the lock went meanwhile
+                continue
+            time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
+    # tables
+
+    def _schema(self, name: str):  # noqa: ANN202
+        return self.hours_schema if name == "hours" else self.rows_schema
+
+    def _bucket(self, owner: str = "owner") -> Column:
+        return F.pmod(F.xxhash64(owner), F.lit(self.OWNERS)).cast("int").alias("ob")
+
+    def _read(self, name: str, parts: list[tuple[int, str]] | None = None) -> DataFrame:
+        """A table, or the given parts of it; a part that lost all its rows is kept by a row of nulls."""
+        schema = self._schema(name)
+        paths = [f"{self.folder}/{name}"] if parts is None else [f"{self.folder}/{name}/ob={b}/local_date={d}" for b, d in parts]
+        paths = [p for p in paths if self._there(p[len(self.folder) + 1 :])]
+        if not paths:
             return self.spark.createDataFrame([], schema)
-        # a date that lost all its rows is kept by a row of nulls
-        return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}").where("owner is not null").select(schema.names)
+        found = self.spark.read.option("basePath", f"{self.folder}/{name}").schema(T.StructType([*schema.fields, T.StructField("ob", T.IntegerType())])).parquet(*paths)
+        return found.where("owner is not null").select(schema.names)
 
     def table(self, name: str) -> DataFrame:
         """``rows`` that count, or ``hours``."""
         return self._read(name).where("not deleted") if name == "rows" else self._read(name)
 
-    def _replace(self, name: str, df: DataFrame, dates: DataFrame) -> None:
-        """Replace the partitions of ``dates`` by the rows of ``df`` on them."""
-        nulls = dates.select(*[F.col(c) if c == "local_date" else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
-        whole = df.join(dates, "local_date", "left_semi").select(df.columns).union(nulls).repartition("local_date")
-        whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("local_date").parquet(f"{self.folder}/{name}")
-
-    def apply(self, batch: DataFrame, number: int) -> None:
-        """One batch: versions and marks beside the tables, then rows, then hours, then done."""
-        if self._there(f"done/{number}"):
+    def pending(self) -> DataFrame:
+        """``(owner, source, local_date, arrived)``: marks that no rebuild has taken yet."""
+        kind = "owner long, source string, local_date date, arrived double"
+        if not self._names("marks"):
+            return self.spark.createDataFrame([], kind)
+        marks = self.spark.read.schema(kind).parquet(f"{self.folder}/marks/*")
+        if not self._names("consumed"):
+            return marks
+        gone = self.spark.read.schema("owner long, source string, local_date date, upto double").parquet(f"{self.folder}/consumed/*").groupBy(*DAY).agg(F.max("upto").alias("upto"))
+        return marks.join(gone, DAY, "left").where("upto is null or arrived > upto").select(*DAY, "arrived")
+
+    def _parts(self, days: DataFrame) -> list[tuple[int, str]]:
+        """The parts of ``days(owner, local_date)``: as many as there are folders of them, at most."""
+        return sorted((r.ob, str(r.local_date)) for r in days.select(self._bucket(), "local_date").distinct().collect())
+
+    def _replace(self, name: str, df: DataFrame, parts: list[tuple[int, str]]) -> None:
+        """Replace ``parts`` by the rows of ``df``, all of which are in one of them."""
+        if not parts:
             return
-        with released():
-            self._steps(batch, number)
-
-    def _steps(self, batch: DataFrame, number: int) -> None:
-        plan = f"{self.folder}/plan/{number}"
-        if not self._there(f"plan/{number}/marks/_SUCCESS"):
-            scratch = Scratch(self.spark, "marks")
-            after, marks = merged(self._read("rows"), scratch.save(batch))
-            marks = scratch.save(marks)
-            dates = marks.select("local_date").union(last_of_batch(batch).select("local_date")).distinct()
-            after.join(dates, "local_date", "left_semi").select(self.rows_schema.names).write.mode("overwrite").parquet(f"{plan}/rows")
-            dates.write.mode("overwrite").parquet(f"{plan}/dates")
-            marks.write.mode("overwrite").parquet(f"{plan}/marks")
-        read = lambda name, schema: self.spark.read.schema(schema).parquet(f"{plan}/{name}")
-        marks = read("marks", "owner long, source string, local_date date")
-        self._replace("rows", read("rows", self.rows_schema), read("dates", "local_date date"))
+        schema = self._schema(name)
+        whole = df.select(*schema.names, self._bucket())
+        keep = self.spark.createDataFrame(parts, "ob int, _d string").select("ob", F.to_date("_d").alias("local_date"))
+        nulls = keep.select(*[F.col(c) if c == "local_date" else F.lit(None).cast(schema[c].dataType).alias(c) for c in schema.names], "ob")
+        both = whole.union(nulls).repartition("ob", "local_date")
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ob", "local_date").parquet(f"{self.folder}/{name}")
+
+    # batches
+
+    def _known(self, keys: DataFrame) -> DataFrame:
+        """``(key, owner, local_date)`` of the stored rows of ``keys(key, kb)``, from the buckets of the index that they are in."""
+        kind = "key string, owner long, local_date date"
+        buckets = sorted(r.kb for r in keys.select("kb").distinct().collect())  # KEYS at most
+        paths = [f"{self.folder}/index/kb={b}" for b in buckets if self._there(f"index/kb={b}")]
+        if not paths:
+            return self.spark.createDataFrame([], kind)
+        return self.spark.read.schema(kind).parquet(*paths)
+
+    def apply(self, batch: DataFrame, number: int | None = None) -> None:
+        """One batch: versions, index and marks; ``number`` is what a stream counts by, and isn't used."""
+        with self._alone(), released():
+            self._recover()
+            held = Scratch(self.spark, "batch").save(batch.select(*[f.split()[0] for f in ROW.split(", ")]))
+            line = F.struct(*held.columns)
+            told = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64(line).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), line).cast("decimal(38,0)")).alias("b")).first()
+            name = f"rows-{told.n}-{told.a or 0}-{told.b or 0}"
+            if self._there(f"done/{name}"):
+                return
+            self._plan_rows(held, name)
+            self._finish(name)
+        if not self.settle:
+            self.rebuild()
+
+    def _plan_rows(self, batch: DataFrame, name: str) -> None:
+        scratch = Scratch(self.spark, "plan")
+        kb = F.pmod(F.xxhash64("key"), F.lit(self.KEYS)).cast("int").alias("kb")
+        new = scratch.save(last_of_batch(batch).select("*", kb))
+        known = scratch.save(self._known(new))
+        met = known.join(new.select("key"), "key", "left_semi")
+        parts = self._parts(met.select("owner", "local_date").union(new.select("owner", "local_date")))
+        after, marks = merged(self._read("rows", parts), batch)
+        after, marks = scratch.save(after.select(self.rows_schema.names)), scratch.save(marks)
+        own = after.join(new.select("key"), "key", "left_semi").select("key", "owner", "local_date")
+        index = known.join(new.select("key"), "key", "left_anti").unionByName(own)
+        plan = f"{self.folder}/plan/{name}"
+        self._delete(f"plan/{name}")
+        after.write.parquet(f"{plan}/rows")
+        index.select("*", kb).write.parquet(f"{plan}/index")
+        marks.withColumn("arrived", F.lit(self.clock())).write.parquet(f"{plan}/marks")
+        self.spark.createDataFrame([(b, d) for b, d in parts], "ob int, local_date string").write.parquet(f"{plan}/parts")
+        self._touch(f"plan/{name}/ready")
+
+    # rebuilds
+
+    def rebuild(self, now: float | None = None) -> int:
+        """Hours of all marked days whose marks have settled; the number of runs of days that it took."""
+        runs = 0
+        while True:
+            with self._alone(), released():
+                self._recover()
+                name = self._plan_hours(self.clock() if now is None else now)
+            if name is None:
+                return runs
+            with self._alone():
+                self._recover()
+            runs += 1
+
+    def _plan_hours(self, now: float) -> str | None:
         scratch = Scratch(self.spark, "hours")
-        days = scratch.save(widened(marks).select("local_date").distinct())
-        hours = rebuilt(self._read("hours").join(days, "local_date", "left_semi").select(self.hours_schema.names), self._read("rows"), marks, self.interval)
-        self._replace("hours", scratch.save(hours), days)
-        self.spark.createDataFrame([(number,)], "batch long").write.mode("overwrite").parquet(f"{self.folder}/done/{number}")
+        due = scratch.save(self.pending().where(F.col("arrived") <= now - self.settle))
+        first = due.agg(F.min("local_date")).first()[0]
+        if first is None:
+            return None
+        taken = scratch.save(due.where(F.col("local_date") < F.date_add(F.lit(first), self.RUN)).groupBy(*DAY).agg(F.max("arrived").alias("upto")))
+        days = scratch.save(widened(taken))
+        parts = self._parts(days)
+        rows = self._read("rows", self._parts(widened(days)))
+        hours = rebuilt(self._read("hours", parts).select(self.hours_schema.names), rows, taken.select(*DAY), self.interval)
+        name = f"hours-{uuid.uuid4().hex}"
+        plan = f"{self.folder}/plan/{name}"
+        hours.write.parquet(f"{plan}/hours")
+        taken.write.parquet(f"{plan}/consumed")
+        self.spark.createDataFrame(parts, "ob int, local_date string").write.parquet(f"{plan}/parts")
+        self._touch(f"plan/{name}/ready")
+        return name
+
+    # what a plan does
+
+    def _recover(self) -> None:
+        """Finish plans that were cut short, in the order of their names: rows after hours, neither reads the other here."""
+        for name in self._names("plan"):
+            if self._there(f"plan/{name}/ready"):
+                self._finish(name)
+            else:
+                self._delete(f"plan/{name}")
+
+    def _finish(self, name: str) -> None:
+        plan = f"{self.folder}/plan/{name}"
+        read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{plan}/{part}")
+        parts = [(r.ob, r.local_date) for r in read("parts", "ob int, local_date string").collect()]
+        if name.startswith("rows"):
+            self._replace("rows", read("rows", self.rows_schema), parts)
+            index = read("index", "key string, owner long, local_date date, kb int")
+            index.repartition("kb").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kb").parquet(f"{self.folder}/index")
+            read("marks", "owner long, source string, local_date date, arrived double").write.mode("overwrite").parquet(f"{self.folder}/marks/{name}")
+            self._touch(f"done/{name}")
+        else:
+            self._replace("hours", read("hours", self.hours_schema), parts)
+            read("consumed", "owner long, source string, local_date date, upto double").write.mode("overwrite").parquet(f"{self.folder}/consumed/{name}")
+        self._delete(f"plan/{name}")
+
+    def compact(self) -> None:
+        """Marks that wait in one file, and those taken forgotten."""
+        with self._alone(), released():
+            self._recover()
+            old = [f"marks/{n}" for n in self._names("marks")] + [f"consumed/{n}" for n in self._names("consumed")]
+            left = Scratch(self.spark, "compact").save(self.pending())
+            left.coalesce(1).write.parquet(f"{self.folder}/marks/left-{uuid.uuid4().hex}")
+            # a mark that is read twice for a while is built twice; one that is lost would never be
+            for name in sorted(old, reverse=True):
+                self._delete(name)
 
 
 def run(store: Store, inbox: str, checkpoint: str, per_batch: int = 1) -> StreamingQuery:
