@@ -10,16 +10,40 @@ from strandline.operators.joins import overlap
 from strandline.sources.scratch import Scratch
 
 
-def islands(spans: DataFrame, keys: list[str], lo: str, hi: str, gap: int) -> DataFrame:
-    """``spans`` with ``island``: spans join while the next starts no later than ``gap`` after the furthest end so far."""
-    w = Window.partitionBy(*keys).orderBy(lo, hi)
-    reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return spans.withColumn("_new", (F.col(lo) - reach > gap).cast("int")).withColumn("island", F.sum(F.coalesce("_new", F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def islands(spans: DataFrame, keys: list[str], lo: str, hi: str, gap: int, bucket: int | None = None) -> DataFrame:
+    """``spans`` with ``island``: spans join while the next starts no later than ``gap`` after the furthest end so far.
+
+    With a ``bucket`` of time no window holds more than a key's rows of one bucket: the furthest end, and the
+    number of islands, of the buckets before are carried in.  Keys without an end (a source's whole history) take one.
+    """
+    if bucket is None:
+        w = Window.partitionBy(*keys).orderBy(lo, hi)
+        reach = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return spans.withColumn("_new", (F.col(lo) - reach > gap).cast("int")).withColumn("island", F.sum(F.coalesce("_new", F.lit(1))).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    own = spans.withColumn("_b", F.floor(F.col(lo) / F.lit(bucket)))
+    w, earlier = Window.partitionBy(*keys, "_b").orderBy(lo, hi), Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    far = own.groupBy(*keys, "_b").agg(F.max(hi).alias("_v")).withColumn("_far", F.max("_v").over(earlier))
+    reach = F.greatest(F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_far"))
+    cut = _carried(own, far, keys, "_far").withColumn("_new", F.coalesce((F.col(lo) - reach > gap).cast("int"), F.lit(1))).drop("_far")
+    begun = cut.groupBy(*keys, "_b").agg(F.sum("_new").alias("_v")).withColumn("_from", F.coalesce(F.sum("_v").over(earlier), F.lit(0)))
+    return _carried(cut, begun, keys, "_from").withColumn("island", F.col("_from") + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new", "_b", "_from")
+
+
+def _carried(rows: DataFrame, by_bucket: DataFrame, keys: list[str], column: str) -> DataFrame:
+    small = by_bucket.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_b").alias("_bb"), column)
+    same = F.col("_b") == F.col("_bb")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return rows.join(small, same).drop("_bb", *[f"_k_{k}" for k in keys])
+
+
+#: Buckets of time that a source's whole history is cut into.
+MONTH = 30 * 86_400_000_000
 
 
 def fragments(spans: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi", gap: int = 3_600_000_000) -> DataFrame:
     """``(keys, island, lo, hi, pieces)``: spans of one source merged over gaps of an hour at most."""
-    return islands(spans, keys, lo, hi, gap).groupBy(*keys, "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("pieces"))
+    return islands(spans, keys, lo, hi, gap, MONTH).groupBy(*keys, "island").agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"), F.count("*").alias("pieces"))
 
 
 def overlap_ratio(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
@@ -29,7 +53,7 @@ def overlap_ratio(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Col
 
 def covered(spans: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
     """``(keys, length)`` of the union of spans."""
-    return islands(spans, keys, lo, hi, 0).groupBy(*keys, "island").agg(F.min(lo).alias("_l"), F.max(hi).alias("_h")).groupBy(*keys).agg(F.sum(F.col("_h") - F.col("_l")).alias("length"))
+    return islands(spans, keys, lo, hi, 0, MONTH).groupBy(*keys, "island").agg(F.min(lo).alias("_l"), F.max(hi).alias("_h")).groupBy(*keys).agg(F.sum(F.col("_h") - F.col("_l")).alias("length"))
 
 
 def links(spans: DataFrame, keys: list[str], least: float, size: int = 3_600_000_000) -> DataFrame:
@@ -81,17 +105,13 @@ def best_first_clusters(spans: DataFrame, keys: list[str], least: float, kind: s
     return spans.join(state.select("id", "cluster"), "id")
 
 
-def main_episode(episodes: DataFrame, keys: list[str]) -> DataFrame:
-    """The longest episode of each key, the first of equals."""
-    return episodes.groupBy(*keys).agg(F.min_by(F.struct("cluster", "lo", "hi", "length"), F.struct(-F.col("length"), "lo", "cluster")).alias("r")).select(*keys, "r.*")
-
-
-def sum_or_missing(c: str) -> Column:
-    """A total over fragments, null if any fragment lacks it."""
-    return F.when(F.count(c) == F.count("*"), F.sum(c))
-
-
 def pick(spans: DataFrame, keys: list[str], position: str) -> DataFrame:
-    """One span of each cluster: the first group of the rule, then the longest, then the earliest."""
+    """One span of each cluster: the first group of the rule, then the longest, then the earliest; spans that the rule excludes (below 0) or doesn't match (null) are never picked.
+
+    ``alternates`` counts the others of the cluster that could be shown beside it, those that are never picked among
+    them; a cluster of none that can be picked has no span.
+    """
     rest = [c for c in spans.columns if c not in keys]
-    return spans.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(position, F.col("lo") - F.col("hi"), "lo", "id")).alias("r")).select(*keys, "r.*")
+    may = F.col(position) >= 0
+    out = spans.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.when(may, F.struct(position, F.col("lo") - F.col("hi"), "lo", "id"))).alias("r"), F.count("*").alias("_n"))
+    return out.select(*keys, "r.*", (F.col("_n") - F.when(F.col("r").isNull(), 0).otherwise(1)).alias("alternates"))

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def _digest(df: DataFrame) -> DataFrame:
-    """``(rows, digest)``: number of rows and a digest that doesn't depend on their order or on how files were cut."""
+    """``(rows, digest)``: number of rows and two sums of their hashes, which don't depend on their order or on how files were cut, but on how often each row is there."""
     line = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})
-    return df.agg(F.count("*").alias("rows"), F.hex(F.coalesce(F.bit_xor(F.xxhash64(line)), F.lit(0))).alias("digest"))
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string")
+    return df.agg(F.count("*").alias("rows"), F.concat_ws("/", total(F.xxhash64(line)), total(F.xxhash64(F.lit(1), line))).alias("digest"))
 
 
 def export(tables: dict[str, DataFrame], folder: str) -> None:
@@ -27,6 +28,14 @@ def load(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{folder}/{name}", mode="FAILFAST")
 
 
+def load_intact(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """``load``, refused unless the table is as the manifest of its export says."""
+    found = verified(spark, folder, {name: schema}).where(F.col("name") == name).first()
+    if found is None or not found.intact:
+        raise ValueError(f"{name} is not what its manifest says")
+    return load(spark, folder, name, schema)
+
+
 def verified(spark: SparkSession, folder: str, schemas: dict[str, str]) -> DataFrame:
     """``(name, rows, intact)`` of the tables of an export, held against its manifest."""
     told = spark.read.schema("name string, rows long, digest string").json(f"{folder}/manifest")
@@ -35,7 +44,7 @@ def verified(spark: SparkSession, folder: str, schemas: dict[str, str]) -> DataF
         one = _digest(load(spark, folder, name, schema)).select(F.lit(name).alias("name"), F.col("rows").alias("_rows"), F.col("digest").alias("_digest"))
         found = one if found is None else found.union(one)
     same = (F.col("rows") == F.col("_rows")) & (F.col("digest") == F.col("_digest"))
-    return told.join(found, "name", "full").select("name", F.coalesce("_rows", F.lit(0)).alias("rows"), F.coalesce(same, F.lit(False)).alias("intact"))
+    return told.where(F.col("name").isin(list(schemas))).join(found, "name", "full").select("name", F.coalesce("_rows", F.lit(0)).alias("rows"), F.coalesce(same, F.lit(False)).alias("intact"))
 
 
 def import_new(incoming: DataFrame, stored: DataFrame, key: str, refs: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -58,11 +67,6 @@ def export_csv(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").csv(folder, header=True, quoteAll=True, escape='"')
 
 
-def read_batches(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """Files of a folder, one JSON document each, with the ``file`` that each came from."""
-    return spark.read.schema(schema).json(folder, multiLine=True).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
-
-
 def read_health_xml(spark: SparkSession, path: str) -> DataFrame:
     """``(type, start, end, value, unit, source)`` of the records of a phone's XML export."""
     schema = "_type string, _startDate string, _endDate string, _value string, _unit string, _sourceName string"

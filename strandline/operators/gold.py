@@ -44,12 +44,31 @@ def series(hours: DataFrame, keys: list[str]) -> DataFrame:
     return hours.groupBy(*keys).agg(F.min("hour_start").alias("hour_start"), (F.sum("bucket_mean_sum") / F.sum("buckets")).alias("mean"), F.min("min_value").alias("min"), F.max("max_value").alias("max"), F.sum("interval_sum").alias("sum"), F.sum("samples").alias("samples"))
 
 
-def spacing(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, spacing)``: the median time between instants in microseconds, the upper one of two."""
-    gap = F.unix_micros("start_at") - F.lag(F.unix_micros("start_at")).over(Window.partitionBy(*keys).orderBy("start_at", "id"))
-    gaps = df.withColumn("gap", gap).where("gap is not null")
-    ranked = gaps.withColumn("_i", F.row_number().over(Window.partitionBy(*keys).orderBy("gap"))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return ranked.where(F.col("_i") == F.floor(F.col("_n") / 2) + 1).select(*keys, F.col("gap").alias("spacing"))
+def spacing(df: DataFrame, keys: list[str], bucket: int = 86_400_000_000, cell: int = 60_000_000) -> DataFrame:
+    """``(keys, spacing)``: the median time between instants in microseconds, the upper one of two.
+
+    Instants are put in order within buckets of time only, each knowing the last one of the buckets before;
+    gaps are counted by their length, and only the cell of lengths that holds the median is ranked.
+    """
+    t = F.unix_micros("start_at")
+    own = df.select(*keys, t.alias("_t"), F.floor(t / F.lit(bucket)).alias("_b"))
+    ends = own.groupBy(*keys, "_b").agg(F.max("_t").alias("_end"))
+    before = ends.withColumn("_far", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b"))).drop("_end").withColumnsRenamed({k: f"_k_{k}" for k in keys} | {"_b": "_bb"})
+    same = F.col("_b") == F.col("_bb")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    last = F.coalesce(F.lag("_t").over(Window.partitionBy(*keys, "_b").orderBy("_t")), F.col("_far"))
+    gaps = own.join(before, same).withColumn("gap", F.col("_t") - last).where("gap is not null")
+    held = gaps.groupBy(*keys, "gap").agg(F.count("*").alias("_n")).withColumn("_c", F.floor(F.col("gap") / F.lit(cell)))
+    cells = held.groupBy(*keys, "_c").agg(F.sum("_n").alias("_n"))
+    total = Window.partitionBy(*keys)
+    cells = cells.withColumn("_to", F.sum("_n").over(total.orderBy("_c"))).withColumn("_all", F.sum("_n").over(total)).withColumn("_rank", F.floor(F.col("_all") / 2))
+    cells = cells.where("_rank >= _to - _n and _rank < _to").select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_c").alias("_cc"), (F.col("_to") - F.col("_n")).alias("_from"), "_rank")
+    same = F.col("_c") == F.col("_cc")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    inner = held.join(cells, same).withColumn("_to", F.col("_from") + F.sum("_n").over(Window.partitionBy(*keys, "_c").orderBy("gap")))
+    return inner.where("_rank >= _to - _n and _rank < _to").select(*keys, F.col("gap").alias("spacing"))
 
 
 def rollup(values: DataFrame, days: DataFrame, keys: list[str], additive: bool) -> DataFrame:

@@ -44,19 +44,39 @@ def top_one(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(*keys, "_r.*")
 
 
-def any_like(rows: DataFrame, patterns: DataFrame, column: str, pattern: str, head: int = 4) -> DataFrame:
-    """Rows that match a LIKE pattern of a list of any length.
-
-    Patterns that begin with ``head`` plain characters meet only rows that begin with them; the others
-    are few in any list that is meant to tell things apart, and Spark broadcasts them if their size allows.
+#: Patterns that come to the driver at most, and patterns in one regular expression.
+PATTERNS, AT_ONCE = 10_000, 250
+
+
+def like_regex(pattern: str) -> str:
+    """A LIKE pattern (escape: backslash) as a regular expression of Java that the whole text has to match."""
+    out, plain, i = [], "", 0
+    quoted = lambda t: "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" if t else ""
+    while i < len(pattern):
+        c = pattern[i]
+        if c in "%_":
+            out.append(quoted(plain) + (".*" if c == "%" else "."))
+            plain = ""
+        else:
+            i += c == "\\" and i + 1 < len(pattern)
+            plain += pattern[i]
+        i += 1
+    return "".join([*out, quoted(plain)])
+
+
+def any_like(rows: DataFrame, patterns: DataFrame, column: str, pattern: str) -> DataFrame:
+    """Rows that match a LIKE pattern of a list: one filter over the rows, which are neither joined nor shuffled.
+
+    A list that people keep is short: up to ``PATTERNS`` distinct ones become regular expressions of
+    ``AT_ONCE`` alternatives each; a longer list is an error, never cut.  Null patterns and null texts match nothing.
     """
-    plain = F.regexp_extract(pattern, rf"^([^%_\\]{{{head}}})", 1)
-    p = patterns.select(F.col(pattern).alias("_p"), plain.alias("_h")).where("_p is not null").distinct()
-    like = F.expr(f"`{column}` like _p")
-    few = p.where("_h = ''").select("_p")
-    rest = rows.join(few, like, "left_anti").withColumn("_k", F.substring(column, 1, head))
-    keyed = rest.join(p.where("_h <> ''"), (F.col("_k") == F.col("_h")) & like, "left_semi").drop("_k")
-    return rows.join(few, like, "left_semi").union(keyed)
+    found = sorted(r[0] for r in patterns.select(pattern).where(F.col(pattern).isNotNull()).distinct().limit(PATTERNS + 1).collect())
+    if len(found) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns")
+    met = F.lit(False)
+    for i in range(0, len(found), AT_ONCE):
+        met = met | F.col(column).rlike("(?s)\\A(?:" + "|".join(map(like_regex, found[i : i + AT_ONCE])) + ")\\z")
+    return rows.where(met)
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, order: list[str], bucket: int = HOUR * 24, lookback: int | None = None) -> DataFrame:

@@ -32,7 +32,8 @@ def suggest(labels: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def warnings(rows: DataFrame, confirmed: DataFrame) -> DataFrame:
     """``rows(id, code, date, value, low, high)`` with an array of what to look at."""
-    twice = F.count("*").over(Window.partitionBy("code", "date")) > 1
+    # rows without a code never repeat one another, and don't meet in one window
+    twice = F.count("*").over(Window.partitionBy("code", "date", F.when(F.col("code").isNull(), F.col("id")))) > 1
     known = confirmed.select("code", "date").distinct().withColumn("_known", F.lit(True))
     out = rows.withColumn("_twice", twice).join(known, ["code", "date"], "left")
     found = F.array_compact(F.array(

@@ -173,9 +173,11 @@ def prunable_raw(raw: DataFrame, rows: DataFrame, cutoff: Column) -> DataFrame:
 
 def requests(df: DataFrame, key: str, digest: str, order: str) -> DataFrame:
     """``df`` with ``outcome``: the first request of a key is ``stored``, the same body again a ``replay``, another body under the key a ``conflict``; requests without a key are all stored."""
-    first = F.first(digest).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    n = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return df.withColumn("outcome", F.when(F.col(key).isNull() | (n == 1), "stored").when(F.col(digest) == first, "replay").otherwise("conflict"))
+    keyed = df.where(F.col(key).isNotNull())
+    first = keyed.groupBy(key).agg(F.min(F.struct(order, digest)).alias("_first"))
+    told = keyed.join(first, key)
+    outcome = F.when(F.col(order) == F.col(f"_first.{order}"), "stored").when(F.col(digest) == F.col(f"_first.{digest}"), "replay").otherwise("conflict")
+    return told.withColumn("outcome", outcome).select(*df.columns, "outcome").unionByName(df.where(F.col(key).isNull()).withColumn("outcome", F.lit("stored")))
 
 
 def silent(heartbeats: DataFrame, keys: list[str], at: str, now: Column, limit: int) -> DataFrame:

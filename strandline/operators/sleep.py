@@ -41,7 +41,7 @@ def aligned(sessions: DataFrame, keys: list[str], least: float = 0.5) -> tuple[D
 
 
 def captures(rows: DataFrame, spans: DataFrame, keys: list[str], pos: Column, least_coverage: float = 0.0) -> DataFrame:
-    """``(keys, episode, pos, source, coverage, reason)``: for each group the one of its sources that covers most of an episode.
+    """``(keys, episode, pos, source, coverage, first, last, reason)``: for each group the one of its sources that covers most of an episode, with the ends of its sessions.
 
     Sources of a group are never added up.  Coverage is the union of a source's sessions over the span
     of the episode; under ``least_coverage`` the group is ``partial_episode``.
@@ -50,8 +50,8 @@ def captures(rows: DataFrame, spans: DataFrame, keys: list[str], pos: Column, le
     where = [*keys, "episode", "pos", "source"]
     reach = F.max("hi").over(Window.partitionBy(*where).orderBy("lo", "hi", "id").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.least("hi", "end") - F.greatest("lo", F.coalesce(reach, "start")), F.lit(0))
-    held = own.withColumn("_new", new).groupBy(*where).agg((F.sum("_new") / F.max(F.col("end") - F.col("start"))).alias("coverage"), F.min(F.struct("lo", "id")).alias("_first"))
-    best = held.groupBy(*keys, "episode", "pos").agg(F.min_by(F.struct("source", "coverage"), F.struct(-F.col("coverage"), "_first")).alias("r"))
+    held = own.withColumn("_new", new).groupBy(*where).agg((F.sum("_new") / F.max(F.col("end") - F.col("start"))).alias("coverage"), F.min(F.struct("lo", "id")).alias("_first"), F.min("lo").alias("first"), F.max("hi").alias("last"))
+    best = held.groupBy(*keys, "episode", "pos").agg(F.min_by(F.struct("source", "coverage", "first", "last"), F.struct(-F.col("coverage"), "_first")).alias("r"))
     return best.select(*keys, "episode", "pos", "r.*").withColumn("reason", F.when(F.col("coverage") < least_coverage, "partial_episode"))
 
 
@@ -99,27 +99,32 @@ def _read(r: Column) -> list[Column]:
     return [have.alias("components"), F.map_from_arrays(lack, F.transform(lack, state)).alias("missing")]
 
 
-def select(valued: DataFrame, keys: list[str], forced: DataFrame | None = None) -> DataFrame:
-    """``(keys, episode, selected, status, components, missing)``: every code from the first valid group, or from a forced one.
+def select(valued: DataFrame, spans: DataFrame, keys: list[str], forced: DataFrame | None = None, op: str = "first_available") -> DataFrame:
+    """``(keys, episode, selected, status, warnings, components, missing)`` of every episode of ``spans``: all codes from the group that the rule selects.
 
-    A code that the selected group lacks is missing, never taken from another group.  ``forced(keys, pos)``
-    names a group that counts wherever it captured the episode, whatever its coverage.
+    The first valid group; or, as ``op`` says, the one whose sessions end latest or start earliest, ties staying with
+    the earlier group.  An episode that no group of the rule captured, or none well enough, is listed with
+    ``no_data``.  A code that the selected group lacks is missing, never taken from another group.
+    ``forced(keys, pos)`` names a group that counts wherever it captured the episode, whatever its coverage.
     """
-    ok = F.when(F.col("reason").isNull(), F.col("pos"))
     df = valued.withColumn("_f", F.lit(None).cast("int")) if forced is None else valued.join(forced.select(*keys, F.col("pos").alias("_f")), keys, "left")
     best = F.struct("pos", *CODES)
-    picked = df.groupBy(*keys, "episode").agg(F.min_by(best, ok).alias("r"), F.max(F.when(F.col("pos") == F.col("_f"), best)).alias("f"))
-    r = F.coalesce("f", "r")
-    picked = picked.withColumn("s", r)
-    status = F.when(F.col("f").isNotNull(), "overridden").when(F.col("s").isNull(), "no_data").when(F.col("s.pos") == 0, "direct").otherwise("fallback")
-    return picked.select(*keys, "episode", F.col("s.pos").alias("selected"), status.alias("status"), *[F.when(F.col("s").isNotNull(), c).alias(n) for c, n in zip(_read(F.col("s")), ("components", "missing"), strict=True)])
+    ok = F.col("reason").isNull()
+    order = {"latest": F.struct(-F.col("last"), "pos"), "earliest": F.struct("first", "pos")}.get(op, F.struct("pos"))
+    picked = df.groupBy(*keys, "episode").agg(F.min_by(best, F.when(ok, order)).alias("r"), F.max(F.when(F.col("pos") == F.col("_f"), best)).alias("f"))
+    picked = spans.select(*keys, "episode").join(picked, [*keys, "episode"], "left").withColumn("s", F.coalesce("f", "r"))
+    timed = F.lit(op in ("latest", "earliest"))
+    status = F.when(F.col("f").isNotNull(), "overridden").when(F.col("s").isNull(), "no_data").when(timed | (F.col("s.pos") == 0), "direct").otherwise("fallback")
+    warned = F.when(status == "fallback", F.array(F.lit("preferred_source_unavailable"))).otherwise(F.array().cast("array<string>"))
+    return picked.select(*keys, "episode", F.col("s.pos").alias("selected"), status.alias("status"), warned.alias("warnings"), *[F.when(F.col("s").isNotNull(), c).alias(n) for c, n in zip(_read(F.col("s")), ("components", "missing"), strict=True)])
 
 
-def pooled(valued: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """``(keys, episode, <codes>)``: each code over the valid groups that have it; null where none has."""
+def pooled(valued: DataFrame, spans: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``(keys, episode, <codes>)`` of every episode: each code over the valid groups that have it; null where none has."""
     fn = {"mean": F.avg, "min": F.min, "max": F.max, "sum": F.sum}[how]
     ok = F.col("reason").isNull()
-    return valued.groupBy(*keys, "episode").agg(*[fn(F.when(ok, F.col(c))).alias(c) for c in CODES])
+    own = valued.groupBy(*keys, "episode").agg(*[fn(F.when(ok, F.col(c))).alias(c) for c in CODES])
+    return spans.select(*keys, "episode").join(own, [*keys, "episode"], "left")
 
 
 def all_sources(sessions: DataFrame, spans: DataFrame, keys: list[str], membership: Column) -> DataFrame:

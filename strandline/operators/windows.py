@@ -46,12 +46,6 @@ def slot_of(at: str, day_start: str, minutes: int) -> Column:
     return F.floor((micros(at) - micros(day_start)) / F.lit(minutes * 60_000_000)).cast("long")
 
 
-def night_bounds(date: Column, zone: Column, anchor_minutes: int = 18 * 60) -> tuple[Column, Column]:
-    """Instants between which a night that is counted to ``date`` may end: from the anchor of the day before to that of the day."""
-    at = lambda d: F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(d.cast("timestamp")) + anchor_minutes * 60_000_000), zone)
-    return at(F.date_sub(date, 1)), at(date)
-
-
 def periods(timeline: DataFrame, keys: list[str]) -> DataFrame:
     """Zones of an owner as intervals [lo, hi) in microseconds; the first one also covers all that came before."""
     w = Window.partitionBy(*keys).orderBy("valid_from")

@@ -29,14 +29,6 @@ def upsert(active: DataFrame, incoming: DataFrame, key: str, content: list[str])
     return a.join(b, key, "full").select(key, action.alias("action"))
 
 
-def merge(active: DataFrame, incoming: DataFrame, key: str, content: list[str]) -> DataFrame:
-    """All rows after a batch: ``(key, content, live)``, replaced ones kept as history."""
-    acts = upsert(active, incoming, key, content)
-    old = active.join(acts.where("action = 'supersede'").select(key, F.lit(True).alias("_gone")), key, "left")
-    new = incoming.join(acts.where("action in ('insert', 'supersede')").select(key), key, "left_semi")
-    return old.select(key, *content, F.col("_gone").isNull().alias("live")).union(new.select(key, *content, F.lit(True).alias("live")))
-
-
 def successors(versions: DataFrame, keys: list[str], order: str, id_col: str = "id") -> DataFrame:
     """``versions`` with the id of the version that replaced each, its number, and the number of versions after it."""
     w = Window.partitionBy(*keys).orderBy(order, id_col)

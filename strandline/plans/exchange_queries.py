@@ -37,7 +37,7 @@ def import_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _orders(spark, sf_dir)
     nx = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
     exchange.export({"chain": o.select((F.col("o_orderkey") + 7).alias("id"), F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_totalprice").alias("value"), (nx + 7).alias("superseded_by"))}, folder)
-    incoming = exchange.load(spark, folder, "chain", "id bigint, key string, value double, superseded_by bigint")
+    incoming = exchange.load_intact(spark, folder, "chain", "id bigint, key string, value double, superseded_by bigint")
     stored = o.where("o_orderkey % 3 = 0").select(F.concat(F.lit("k"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderkey").alias("id"))
     new, ids = exchange.import_new(incoming, stored, "key", ["superseded_by"])
     names = incoming.select(F.col("id").alias("old_id"), "key").join(ids, "old_id").select("id", F.col("key").alias("_n"))
