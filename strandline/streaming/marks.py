@@ -11,8 +11,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators import gold
 from strandline.sources.scratch import Scratch, released
+from strandline.streaming.steps import Steps
 
 ROW = "key string, owner long, source string, zone string, start_at timestamp, end_at timestamp, value double, deleted boolean, seq long"
 DAY = ["owner", "source", "local_date"]
@@ -100,7 +100,7 @@ def due_units(cursors: DataFrame, now: Column, lookback: int, unit: int) -> Data
     return cursors.select("stream", F.explode(F.sequence(lo, F.floor((now - 1) / F.lit(unit)))).alias("_u")).select("stream", (F.col("_u") * unit).alias("lo"), F.least((F.col("_u") + 1) * unit, now).alias("hi"))
 
 
-class Store:
+class Store(Steps):
     """Rows, hours and marks in folders that are replaced in parts.
 
     - ``rows`` and ``hours`` are cut by a bucket of owners and the local date, so that one late row rewrites
@@ -116,55 +116,16 @@ class Store:
     """
 
     OWNERS, KEYS = 16, 256
-    #: Days that one rebuild takes from the queue, and seconds after which a lock counts as left behind.
-    RUN, LEASE = 31, 900
+    #: Days that one rebuild takes from the queue.
+    RUN = 31
 
     def __init__(self, spark: SparkSession, folder: str, interval: Column, settle: float = 0.0, clock: Callable[[], float] = time.time) -> None:
         """``settle``: seconds that a mark waits; with 0 every batch rebuilds what it has marked at once."""
-        self.spark, self.folder, self.interval, self.settle, self.clock = spark, folder.rstrip("/"), interval, settle, clock
+        super().__init__(spark, folder)
+        self.interval, self.settle, self.clock = interval, settle, clock
         self.rows_schema = spark.createDataFrame([], ROW + ", local_date date").schema
         self.hours_schema = gold.hourly(spark.createDataFrame([], self.rows_schema), ["owner", "source"], interval).schema
 
-    # files
-
-    def _path(self, name: str):  # noqa: ANN202
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")  # noqa: SLF001
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())  # noqa: SLF001
-
-    def _there(self, name: str) -> bool:
-        path, fs = self._path(name)
-        return fs.exists(path)
-
-    def _names(self, name: str) -> list[str]:
-        path, fs = self._path(name)
-        return sorted(x.getPath().getName() for x in fs.listStatus(path)) if fs.exists(path) else []
-
-    def _touch(self, name: str) -> bool:
-        path, fs = self._path(name)
-        fs.mkdirs(path.getParent())
-        return fs.createNewFile(path)
-
-    def _delete(self, name: str) -> None:
-        path, fs = self._path(name)
-        fs.delete(path, True)
-
-    @contextmanager
-    def _alone(self) -> Iterator[None]:
-        """One step at a time, over all processes that share the folder."""
-        path, fs = self._path("lock")
-        while not self._touch("lock"):
-            try:
-                if time.time() - fs.getFileStatus(path).getModificationTime() / 1000 > self.LEASE:
-                    fs.delete(path, False)
-                    continue
-            except Exception:  # noqa: BLE001, S110  the lock went meanwhile
-                continue
-            time.sleep(0.2)
-        try:
-            yield
-        finally:
-            fs.delete(path, False)
-
     # tables
 
     def _schema(self, name: str):  # noqa: ANN202
@@ -229,9 +190,7 @@ class Store:
         with self._alone(), released():
             self._recover()
             held = Scratch(self.spark, "batch").save(batch.select(*[f.split()[0] for f in ROW.split(", ")]))
-            line = F.struct(*held.columns)
-            told = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64(line).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit(1), line).cast("decimal(38,0)")).alias("b")).first()
-            name = f"rows-{told.n}-{told.a or 0}-{told.b or 0}"
+            name = self.name_of("rows", held)
             if self._there(f"done/{name}"):
                 return
             self._plan_rows(held, name)
@@ -294,14 +253,6 @@ class Store:
 
     # what a plan does
 
-    def _recover(self) -> None:
-        """Finish plans that were cut short, in the order of their names: rows after hours, neither reads the other here."""
-        for name in self._names("plan"):
-            if self._there(f"plan/{name}/ready"):
-                self._finish(name)
-            else:
-                self._delete(f"plan/{name}")
-
     def _finish(self, name: str) -> None:
         plan = f"{self.folder}/plan/{name}"
         read = lambda part, schema: self.spark.read.schema(schema).parquet(f"{plan}/{part}")
