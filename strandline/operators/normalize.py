@@ -12,6 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.functions.shape import shape_fingerprint
+from strandline.sources.scratch import Scratch
+
 COLUMNS = ("raw_id", "metric", "kind", "start", "end", "value", "unit", "device", "external_id", "component")
 KINDS = ("sample", "interval", "daily_value")
 SECOND = 1_000_000
@@ -181,9 +184,33 @@ STREAMS: dict[str, tuple[int, Normalizer]] = {
 }
 
 
-def normalize(raw: DataFrame) -> DataFrame:
-    """Rows of ``raw(raw_id, stream, body)`` by the normalizer of each stream; streams without one give none (see ``unreadable``)."""
-    parts = [f(raw.where(F.col("stream") == name).select("raw_id", "body")).withColumns({"normalizer": F.lit(name), "version": F.lit(v)}) for name, (v, f) in STREAMS.items()]
+def routed(raw: DataFrame, shapes: DataFrame | None = None, name: str = "routed") -> DataFrame:
+    """``raw(raw_id, stream, body)`` read once and written by ``route``: the stream whose normalizer takes it, or why none does.
+
+    ``shapes(stream, shape)`` lists the shapes that a stream's payloads may have; a stream of the list takes those
+    alone, and another shape is ``unknown_shape``.  Streams that aren't listed take any.  The fingerprint of a body
+    is computed in that one pass.
+    """
+    known = F.col("stream").isin(*STREAMS)
+    df = raw.select("raw_id", "stream", "body")
+    route = F.when(~F.coalesce(known, F.lit(False)), "no_normalizer").otherwise(F.col("stream"))
+    if shapes is not None:
+        listed = shapes.groupBy("stream").agg(F.collect_set("shape").alias("_shapes"))  # a row for each stream that there is
+        df = df.withColumn("_shape", shape_fingerprint("body")).join(listed, "stream", "left")
+        bad = F.col("_shapes").isNotNull() & ~F.coalesce(F.array_contains("_shapes", F.col("_shape")), F.lit(False))
+        route = F.when(~F.coalesce(known, F.lit(False)), "no_normalizer").when(bad, "unknown_shape").otherwise(F.col("stream"))
+    folder = f"{Scratch(raw.sparkSession, name).root}/raw"
+    df.select("raw_id", "stream", "body", route.alias("route")).write.partitionBy("route").parquet(folder)
+    return raw.sparkSession.read.schema("raw_id long, stream string, body string, route string").parquet(folder)
+
+
+def normalize(raw: DataFrame, shapes: DataFrame | None = None) -> DataFrame:
+    """Rows of ``raw(raw_id, stream, body)`` by the normalizer of each stream; payloads without one give none (see ``unreadable``).
+
+    ``raw`` is read once, and each normalizer reads its own part of what was routed.
+    """
+    held = routed(raw, shapes) if "route" not in raw.columns else raw
+    parts = [f(held.where(F.col("route") == name).select("raw_id", "body")).withColumns({"normalizer": F.lit(name), "version": F.lit(v)}) for name, (v, f) in STREAMS.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -199,11 +226,11 @@ def problem(metrics: tuple[str, ...]) -> Column:
     )
 
 
-def unreadable(raw: DataFrame, normalized: DataFrame) -> DataFrame:
-    """``(raw_id, stream, reason)`` of payloads that no normalizer takes, or that gave nothing: kept apart, never lost."""
-    known = F.col("stream").isin(*STREAMS)
-    silent = raw.where(known).join(normalized.select("raw_id"), "raw_id", "left_anti")
-    return raw.where(~known).select("raw_id", "stream", F.lit("no_normalizer").alias("reason")).union(silent.select("raw_id", "stream", F.lit("no_output").alias("reason")))
+def unreadable(held: DataFrame, normalized: DataFrame) -> DataFrame:
+    """``(raw_id, stream, reason)`` of payloads, ``routed``, that no normalizer takes, whose shape none knows, or that gave nothing: kept apart, never lost."""
+    stray = F.col("route").isin("no_normalizer", "unknown_shape")
+    silent = held.where(~stray).join(normalized.select("raw_id"), "raw_id", "left_anti")
+    return held.where(stray).select("raw_id", "stream", F.col("route").alias("reason")).union(silent.select("raw_id", "stream", F.lit("no_output").alias("reason")))
 
 
 def outdated(raw: DataFrame, stored: DataFrame) -> DataFrame:

@@ -92,18 +92,19 @@ def definition_changed(resolved: DataFrame, keys: list[str], order: str) -> Data
     return resolved.withColumn("changed", F.coalesce((before != F.col("selected")), F.lit(False)))
 
 
-def follow(values: DataFrame, leader: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, value, selected, status, warning)``: the leader's group where it is valid here, else the own ladder.
+def follow(values: DataFrame, leader: DataFrame, keys: list[str], own: DataFrame | None = None) -> DataFrame:
+    """``(keys, value, selected, status, warning)``: the leader's group where it is valid here, else the own strategy.
 
-    Where the leader's group can't be followed, or the leader selected none, the result is a fallback
-    whatever group it is from, with the warning ``follow_unavailable``.
+    ``own(keys, value, selected, status)`` is what the rule gives without a leader, the first available
+    group if not given.  Where the leader's group can't be followed, or the leader selected none, a result that
+    would be direct is a fallback, a pool stays calculated, and the warning is ``follow_unavailable``.
     """
-    own = first_available(values, keys)
+    own = (first_available(values, keys) if own is None else own).select(*keys, "value", "selected", F.col("status").alias("_own"))
     led = leader.select(*keys, F.col("selected").alias("_led"))
     there = values.where("reason is null").select(*keys, F.col("pos").alias("_led"), F.col("value").alias("_v"))
     out = own.join(led, keys, "left").join(there, [*keys, "_led"], "left")
     ok = F.col("_v").isNotNull()
-    status = F.when(ok, "direct").when(F.col("selected").isNull(), "no_data").otherwise("fallback")
+    status = F.when(ok, "direct").when(F.col("_own") == "direct", "fallback").otherwise(F.col("_own"))
     return out.select(*keys, F.when(ok, F.col("_v")).otherwise(F.col("value")).alias("value"), F.when(ok, F.col("_led")).otherwise(F.col("selected")).alias("selected"), status.alias("status"), F.when(~ok, "follow_unavailable").alias("warning"))
 
 
@@ -156,17 +157,26 @@ def compose(hours: DataFrame, keys: list[str], op: str = "first_available") -> D
 
 
 def daily_fallback(composed: DataFrame, daily: DataFrame, keys: list[str]) -> DataFrame:
-    """``(keys, value, selected, status, from_daily)``: a composed day, or the daily value of a group that has nothing else.
+    """``(keys, value, selected, status, from_daily, skipped)``: a composed day, or the daily value of a group that has nothing else.
 
     ``daily(keys, pos, value)`` holds the valid daily values of groups without other rows.  The first of
-    them counts if it stands before every group that supplied an hour; it is never added to hours.
+    them counts if it stands before every group that supplied an hour; it is never added to hours, and the
+    ``skipped`` groups before it were preferred and not available.
     """
     day = composed.groupBy(*keys).agg(F.max("value").alias("_v"), F.max("selected").alias("_s"), F.max("status").alias("_st"), F.min(F.when(F.col("supplied"), F.col("pos"))).alias("_p"))
     first = daily.groupBy(*keys).agg(F.min("pos").alias("_dp"), F.min_by("value", "pos").alias("_dv"))
     out = day.join(first, keys, "full")
     use = F.col("_dp").isNotNull() & (F.col("_p").isNull() | (F.col("_dp") < F.col("_p")))
     status = F.when(use, F.when(F.col("_dp") == 0, "direct").otherwise("fallback")).otherwise(F.col("_st"))
-    return out.select(*keys, F.when(use, F.col("_dv")).otherwise(F.col("_v")).alias("value"), F.when(use, F.col("_dp")).otherwise(F.col("_s")).alias("selected"), status.alias("status"), use.alias("from_daily"))
+    return out.select(*keys, F.when(use, F.col("_dv")).otherwise(F.col("_v")).alias("value"), F.when(use, F.col("_dp")).otherwise(F.col("_s")).alias("selected"), status.alias("status"), use.alias("from_daily"), F.when(use, F.col("_dp")).otherwise(0).alias("skipped"))
+
+
+def fallback_groups(composed: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys, pos, group_status)`` after ``daily_fallback``: groups that supplied hours of a day that is a daily value are unused, the daily group is selected."""
+    d = decided.select(*keys, "from_daily", F.col("selected").alias("_sel"))
+    own = composed.select(*keys, "pos", "group_status").join(d, keys, "left")
+    status = F.when(F.col("from_daily") & (F.col("pos") == F.col("_sel")), "selected").when(F.col("from_daily") & (F.col("group_status") == "selected"), "unused").otherwise(F.col("group_status"))
+    return own.select(*keys, "pos", status.alias("group_status"))
 
 
 def exclude_inputs(rows: DataFrame, overrides: DataFrame, reading: list[str]) -> DataFrame:

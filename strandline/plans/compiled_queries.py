@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.operators import compiler, rules
+from strandline.operators import compiler, explain, rules
 from strandline.plans.registry import query
 from strandline.sources import catalogue
 from strandline.sources.tables import measurements, table, zone_of
@@ -206,3 +206,25 @@ def selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = src.select(F.col("source_id").alias("rule"), F.to_json(F.struct(F.lit(rules.VERSION).alias("schema"), F.lit("pulse").alias("metric"), groups.alias("groups"), out.alias("exclude"))).alias("doc"))
     got = compiler.memberships(src, src.select(F.col("source_id").alias("rule"), "source_id"), compiler.predicates(docs))
     return got.select(F.col("source_id").cast("long").alias("k"), "pos")
+
+
+_TOLD = _ROWS + """, p AS (SELECT *, CASE WHEN flags & 1 <> 0 THEN 'flagged' WHEN value NOT BETWEEN 10 AND 60 THEN 'implausible' ELSE 'ok' END AS gate FROM r0 WHERE metric = 'pulse'),
+w AS (SELECT DISTINCT owner, d FROM p), s AS (SELECT owner, d, unnest([0, 1, 2]) AS pos FROM w),
+c AS (SELECT owner, d, pos, count(*) FILTER (gate = 'ok') AS n, count(*) FILTER (gate = 'flagged') AS fl, count(*) FILTER (gate = 'implausible') AS im FROM p WHERE pos >= 0 GROUP BY ALL),
+g AS (SELECT s.*, CASE WHEN coalesce(n, 0) > 0 THEN NULL WHEN im > 0 THEN 'What g' || CAST(pos AS VARCHAR) || ' has is out of range.' WHEN fl > 0 THEN 'g' || CAST(pos AS VARCHAR) || ' has flagged rows only.' ELSE 'g' || CAST(pos AS VARCHAR) || ' has nothing here.' END AS why FROM s LEFT JOIN c USING (owner, d, pos)),
+f AS (SELECT owner, d, min(pos) FILTER (why IS NULL) AS sel, count(*) FILTER (why IS NULL) AS ok FROM g GROUP BY ALL),
+t AS (SELECT g.owner, g.d, string_agg(why, ' ' ORDER BY pos) FILTER (why IS NOT NULL AND (pos < sel OR sel IS NULL OR g.owner % 3 = 2)) AS why, string_agg('g' || CAST(pos AS VARCHAR), ', ' ORDER BY pos) FILTER (why IS NULL AND pos <> sel AND g.owner % 3 < 2) AS spare FROM g JOIN f USING (owner, d) GROUP BY ALL)
+SELECT f.owner, f.d AS date, array_to_string(list_filter([CASE WHEN ok = 0 THEN 'No source can be used.' WHEN f.owner % 3 = 2 THEN CAST(ok AS VARCHAR) || ' sources combined.' WHEN sel = 0 OR f.owner % 3 = 1 THEN 'Taken from g' || CAST(CASE WHEN f.owner % 3 = 1 THEN sel ELSE sel END AS VARCHAR) || ', the first choice.' ELSE 'Taken from g' || CAST(sel AS VARCHAR) || '.' END,
+  why, 'Not needed: ' || spare || '.', CASE WHEN f.owner % 3 = 2 AND ok = 1 THEN 'There are fewer sources than the rule asks for.' END, CASE WHEN f.d >= DATE '2024-01-20' THEN 'The window is still open.' END], lambda x: x IS NOT NULL), ' ') AS explanation
+FROM f JOIN t USING (owner, d) WHERE f.owner % 3 <> 1"""
+
+
+@query("st19_compiled_explanations", _TOLD)
+def compiled_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of days that were picked or pooled: where a value is from, why preferred groups aren't used, what wasn't needed."""
+    op = F.when(F.col("owner") % 3 == 2, '{"op":"mean_across_sources","min_sources":2}').otherwise('{"op":"first_available"}')
+    docs = _documents(spark, sf_dir, "pulse", F.concat(F.lit('"window":{"kind":"local_day"},"quality":{"plausible_range":[10,60],"exclude_flags":["manual_entry"]},"strategy":'), op)).where("owner % 3 <> 1")
+    got = compiler.resolve(docs, catalogue.metrics(spark), rows(spark, sf_dir), sources(spark, sf_dir), NOW, name="told")
+    days = got.results.withColumn("end", F.unix_micros(F.date_add("date", 1).cast("timestamp")))
+    text = explain.windows(days, got.groups, compiler.WINDOW, F.lit(1_705_708_800_000_000))
+    return text.join(days.select(*compiler.WINDOW, "owner", "date"), compiler.WINDOW).select("owner", "date", "explanation")

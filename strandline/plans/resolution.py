@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.operators import assign, episodes, strategy, windows, within
 from strandline.plans.gold_queries import LOCAL_HOURS
 from strandline.plans.registry import query
+from strandline.sources.scratch import Scratch
 from strandline.sources.tables import ZONES, measurements, zone_of
 
 DAY = ["owner", "local_date"]
@@ -277,17 +278,31 @@ def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strategy.compose(strategy.gates(listed, 10, 1e9), DAY)
 
 
-@query("st14_daily_fallback", _COMPOSE + f""", lone AS (SELECT owner, d, pos FROM (SELECT owner, d, {_POS3} AS pos, k FROM m WHERE {_POS3} IS NOT NULL) GROUP BY ALL HAVING min(k) >= 40),
+_FALLBACK = _COMPOSE + f""", lone AS (SELECT owner, d, pos FROM (SELECT owner, d, {_POS3} AS pos, k FROM m WHERE {_POS3} IS NOT NULL) GROUP BY ALL HAVING min(k) >= 40),
 dv AS (SELECT g.owner, g.d, g.pos, max_by(value, (s, id)) AS value FROM g JOIN lone ON lone.owner = g.owner AND lone.d = g.d AND lone.pos = g.pos GROUP BY ALL), dd AS (SELECT owner, d, min(pos) AS dp, min_by(value, pos) AS dv FROM dv GROUP BY ALL),
 lead_ AS (SELECT owner, d, min(pos) AS p FROM grp WHERE sup > 0 GROUP BY ALL), base AS (SELECT owner, d FROM cd),
-o AS (SELECT base.owner, base.d, day.value, day.hours, groups, one, direct, p, dp, dd.dv, dp IS NOT NULL AND (p IS NULL OR dp < p) AS use FROM base LEFT JOIN day ON day.owner = base.owner AND day.d = base.d LEFT JOIN lead_ ON lead_.owner = base.owner AND lead_.d = base.d LEFT JOIN dd ON dd.owner = base.owner AND dd.d = base.d)
+o AS (SELECT base.owner, base.d, day.value, day.hours, groups, one, direct, p, dp, dd.dv, dp IS NOT NULL AND (p IS NULL OR dp < p) AS use FROM base LEFT JOIN day ON day.owner = base.owner AND day.d = base.d LEFT JOIN lead_ ON lead_.owner = base.owner AND lead_.d = base.d LEFT JOIN dd ON dd.owner = base.owner AND dd.d = base.d)"""
+
+
+@query("st14_daily_fallback", _FALLBACK + """
 SELECT owner, d AS local_date, round(CASE WHEN use THEN dv ELSE value END, 6) AS value, CAST(CASE WHEN use THEN dp WHEN groups = 1 THEN one END AS INTEGER) AS selected,
-  CASE WHEN use THEN CASE WHEN dp = 0 THEN 'direct' ELSE 'fallback' END WHEN hours IS NULL THEN 'no_data' WHEN groups = 1 THEN CASE WHEN direct THEN 'direct' ELSE 'fallback' END ELSE 'calculated' END AS status, use AS from_daily FROM o""")
+  CASE WHEN use THEN CASE WHEN dp = 0 THEN 'direct' ELSE 'fallback' END WHEN hours IS NULL THEN 'no_data' WHEN groups = 1 THEN CASE WHEN direct THEN 'direct' ELSE 'fallback' END ELSE 'calculated' END AS status, use AS from_daily, CAST(CASE WHEN use THEN dp ELSE 0 END AS INTEGER) AS skipped FROM o""")
 def daily_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A composed day is the daily value of a group with nothing else that stands before all suppliers; rows of long kind stand for daily values."""
+    return strategy.daily_fallback(composed(spark, sf_dir), _lone(spark, sf_dir), DAY).select(*DAY, _r("value"), "selected", "status", "from_daily", "skipped")
+
+
+def _lone(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grouped(measurements(spark, sf_dir), POOL)
-    only = g.groupBy(*GROUPED).agg(F.min("k").alias("least"), F.max_by("value", F.struct("start_at", "id")).alias("value")).where("least >= 40")
-    return strategy.daily_fallback(composed(spark, sf_dir), only, DAY).select(*DAY, _r("value"), "selected", "status", "from_daily")
+    return g.groupBy(*GROUPED).agg(F.min("k").alias("least"), F.max_by("value", F.struct("start_at", "id")).alias("value")).where("least >= 40")
+
+
+@query("st14_group_states", _FALLBACK + """ SELECT grp.owner, grp.d AS local_date, CAST(grp.pos AS INTEGER) AS pos, CASE WHEN o.use AND grp.pos = o.dp THEN 'selected' WHEN o.use AND rk = 5 THEN 'unused' ELSE ['no_data', 'stale', 'below_quality', 'unused', 'selected'][rk] END AS group_status FROM grp LEFT JOIN o ON o.owner = grp.owner AND o.d = grp.d""")
+def group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each group did on a day, once the daily value of another has taken the place of its hours."""
+    days = Scratch(spark, "states").save(composed(spark, sf_dir))
+    decided = strategy.daily_fallback(days, _lone(spark, sf_dir), DAY)
+    return strategy.fallback_groups(days, decided, DAY)
 
 
 @query("st15_overrides", _AT.replace("FROM m WHERE", "FROM m WHERE id % 50 <> 0 AND") + """, f AS (SELECT owner, d, min_by(value, pos) AS computed FROM v GROUP BY ALL)
