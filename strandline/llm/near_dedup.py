@@ -3,13 +3,17 @@
 1.  One pass over the texts gives each document the size of its shingle set, a 128-bit print of the
     set, and band keys over many universal hash minima.
 2.  Documents with equal sets form a class, represented by its least id; only representatives go on.
-3.  Within each band bucket the signatures are compared, large buckets block by block, and those that
-    agree well enough for a link are tied together; of the ties of a task a spanning forest is kept.
+3.  Within each band bucket the signatures are compared, and those that agree well enough for a link are
+    tied together; of the ties of a task a spanning forest is kept.  A large bucket is cut into blocks, each
+    compared within itself and with a few hubs of the bucket; then only members that are not in the
+    bucket's largest component are compared with the other blocks, and with other components alone.
     Components of the ties are the families.  A linked pair shares a bucket and agrees there, so no link
     leaves a family, and documents that share a bucket by chance don't chain families together.
-4.  A family is cut into blocks, and each pair of blocks is one small task: signatures rule most
-    pairs out, the full sets confirm the rest, and the task returns a forest that spans its links.
-    Pairs are never rows of a table; a family of any size spreads over many tasks.
+4.  A family is cut into blocks likewise: signatures rule most pairs out, the full sets confirm the rest,
+    and a task returns a forest that spans its links.  A set goes to its own block once, those of the hubs to
+    every block; members outside the family's largest component meet the other blocks afterwards.
+    Pairs are never rows of a table; a family of any size spreads over many tasks, and one whose members
+    are all alike is compared in time that grows with their number, not with its square.
 5.  Components of the links by alternating large-star and small-star.
 """
 
@@ -33,8 +37,8 @@ _B = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)[:, None]
 _STEP = 512
 #: Agreement of signatures under which a pair is not compared in full: more than five standard errors under a similarity of 0.8.
 _SLACK = 0.2
-#: A family has blocks of ``BLOCK`` members, of more beyond ``SPLIT`` blocks, and of ``MOST`` at most; a block holds sets of ``HASHES`` shingles on average at most.
-BLOCK, SPLIT, MOST, HASHES = 64, 32, 4096, 1 << 23
+#: A family has blocks of ``BLOCK`` members, and a block sets of ``HASHES`` shingles on average at most; hubs of a bucket and of a family.
+BLOCK, HASHES, HUBS = 256, 1 << 23, 8
 #: Members of a bucket that are compared in one piece, and rows of small buckets that one task takes at once on average.
 BUCKET, ROWS_AT_ONCE = 1024, 16384
 
@@ -99,7 +103,10 @@ def _describe(size: int):
 
 
 def _plausible(percent: int):
-    """Group function of whole buckets, or of a pair of blocks of one: a forest (u, v) of the pairs whose sizes and signatures allow a link."""
+    """Group function of whole buckets, or of two sides of one (``own`` tells them apart): a forest (u, v) of the pairs whose sizes and signatures allow a link.
+
+    Members of one ``label`` (of an earlier round) are tied already.
+    """
     least = (percent / 100 - _SLACK) * BANDS * ROWS
 
     def run(rows: pa.Table) -> pa.Table:
@@ -107,6 +114,7 @@ def _plausible(percent: int):
         order = np.lexsort((ids, own, key))
         key, ids, own, n = key[order], ids[order], own[order], n[order]
         signs = np.frombuffer(b"".join(rows.column("signs").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
+        tied_before = np.asarray(rows.column("label"))[order]
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(heads, len(key)))
         u, v = [], []
@@ -122,7 +130,7 @@ def _plausible(percent: int):
         for lo, size in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
             at = np.arange(lo, lo + size)
             left, right = (at, at) if own[lo] == own[lo + size - 1] else (at[own[at] == own[lo]], at[own[at] != own[lo]])
-            label = np.arange(size)
+            label = np.unique(tied_before[lo : lo + size], return_inverse=True)[1]
             for a in left.tolist():
                 rest = right[(right > a) & (label[right - lo] != label[a - lo])]
                 if not len(rest):
@@ -147,25 +155,69 @@ def _families(told: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     # signatures join what is left of the buckets, which is little: they aren't sent through the join of all bands
     shared = scratch.save(bands.join(sizes.select("key", "blocks"), "key"))
     rows = shared.join(told.select("id", "n", "signs"), "id")
-    own = F.pmod(F.xxhash64("id"), "blocks")
-    small = rows.where("blocks = 1").select("key", F.pmod(F.xxhash64("key"), F.lit(max(1, -(-total // ROWS_AT_ONCE)))).alias("i"), F.lit(-1).cast("long").alias("j"), F.lit(0).cast("long").alias("own"), "id", "n", "signs")
-    large = rows.where("blocks > 1").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = large.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "signs")
-    ties = small.groupBy("i").applyInArrow(_plausible(percent), "u long, v long").union(large.groupBy("key", "i", "j").applyInArrow(_plausible(percent), "u long, v long"))
-    return scratch.save(components(ties, scratch).withColumnsRenamed({"node": "id", "component": "family"}))
+    columns = ["key", "i", "own", "id", "label", "n", "signs"]
+    none = F.lit(0).cast("long")
+    at_once = F.lit(max(1, -(-total // ROWS_AT_ONCE)))
+    small = rows.where("blocks = 1").select("key", F.pmod(F.xxhash64("key"), at_once).alias("i"), none.alias("own"), "id", F.col("id").alias("label"), "n", "signs")
+    ties = small.groupBy("i").applyInArrow(_plausible(percent), "u long, v long")
+    if sizes.where("blocks > 1").isEmpty():
+        return scratch.save(components(ties, scratch).withColumnsRenamed({"node": "id", "component": "family"}))
+
+    large = scratch.save(rows.where("blocks > 1").withColumn("i", F.pmod(F.xxhash64("id"), "blocks")))
+    hubs = _first_of(large.select("key", "id"), "key", "id").join(sizes.select("key", "blocks"), "key").join(told.select("id", "n", "signs"), "id")
+    hubs = hubs.select("key", F.explode(F.sequence(none, F.col("blocks") - 1)).alias("i"), F.lit(-1).cast("long").alias("own"), "id", F.col("id").alias("label"), "n", "signs")
+    block = large.select("key", "i", none.alias("own"), "id", F.col("id").alias("label"), "n", "signs")
+    ties = ties.union(block.groupBy("key", "i").applyInArrow(_plausible(percent), "u long, v long")).union(block.union(hubs).groupBy("key", "i").applyInArrow(_plausible(percent), "u long, v long"))
+    found = scratch.save(components(ties, scratch))
+    labelled = large.join(found.withColumnsRenamed({"node": "id", "component": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    labelled = scratch.save(labelled.select("key", "i", "id", "label", "n", "signs"))
+    rest, other = _leftovers(labelled, "key", BUCKET, scratch)
+    if rest is not None:
+        sides = rest.select("key", "i", "other", F.lit(-1).cast("long").alias("own"), "id", "label", "n", "signs").union(other.select("key", "i", "other", none.alias("own"), "id", "label", "n", "signs"))
+        more = sides.groupBy("key", "i", "other").applyInArrow(_plausible(percent), "u long, v long")
+        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
+    return scratch.save(found.withColumnsRenamed({"node": "id", "component": "family"}))
+
+
+def _first_of(rows: DataFrame, group: str, item: str) -> DataFrame:
+    """``(group, item)``: ``HUBS`` items of each group, the first by a hash; every task keeps no more than that of a group."""
+    order = F.struct(F.xxhash64(item, F.lit(7)).alias("h"), F.col(item).alias(item))
+    salted = rows.groupBy(group, F.pmod(F.xxhash64(item), F.lit(64)).alias("_salt")).agg(F.min(order).alias("o"))
+    best = salted.groupBy(group).agg(F.slice(F.array_sort(F.collect_list("o")), 1, HUBS).alias("o"))
+    return best.select(group, F.explode(f"o.{item}").alias(item))
+
+
+def _leftovers(labelled: DataFrame, group: str, size: int, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """Members outside the largest component of their group, and all members, each side once for every block ``(i, other)`` of the other; None if there are none.
+
+    ``labelled(group, i, id, label, ...)``: block of each member and the component that it is in so far.
+    """
+    counts = scratch.save(labelled.groupBy(group, "label").agg(F.count("*").alias("k")))
+    top = counts.groupBy(group).agg(F.max_by("label", F.struct("k", "label")).alias("top"), (F.sum("k") - F.max("k")).alias("left")).where(F.col("left") > 0)
+    top = scratch.save(top.select(group, "top", F.ceil(F.col("left") / size).cast("long").alias("parts")))
+    if top.isEmpty():
+        return None, None
+    blocks = labelled.groupBy(group).agg((F.max("i") + 1).alias("blocks"))
+    met = labelled.join(top.join(blocks, group), group)
+    rest = met.where("label <> top").withColumn("other", F.pmod(F.xxhash64("id", F.lit(3)), "parts")).drop("i").withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rest, every
+
+
+_SET_NAMES = ["id", "family", "i", "other", "own", "label", "set"]
 
 
 def _full_sets(size: int):
-    """Task function: (id, text, family, blocks) to (id, family, i, j, own, set): the set once for each pair of blocks that it takes part in."""
+    """Task function: (id, text, family, label, places) to (id, family, i, other, own, label, set): the set once for each place (i, other, own) of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, held = [], 0
-            ids, family, blocks = (batch.column(c).to_pylist() for c in (0, 2, 3))
+            ids, family, label, places = (batch.column(c).to_pylist() for c in (0, 2, 3, 4))
             for i, s in _sets(batch, size):
-                raw, own = s.tobytes(), int(mix64(np.array([ids[i] & (1 << 64) - 1], np.uint64))[0] % np.uint64(blocks[i]))
-                for other in range(blocks[i]):
-                    rows.append((ids[i], family[i], min(own, other), max(own, other), own, raw))
+                raw = s.tobytes()
+                for p in places[i]:
+                    rows.append((ids[i], family[i], p["i"], p["other"], p["own"], label[i], raw))
                     held += len(raw)
                     if held > 4 << 20:
                         yield _set_batch(rows)
@@ -176,26 +228,27 @@ def _full_sets(size: int):
     return run
 
 
-_SET_NAMES = ["id", "family", "i", "j", "own", "set"]
-
-
 def _set_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.binary()]
+    kinds = [pa.int64()] * 6 + [pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=_SET_NAMES)
 
 
 def _confirm(percent: int):
-    """Task function of one pair of blocks: a forest (u, v) that spans the links between the two (within one, if they are the same)."""
+    """Task function of a block with hubs (``own`` -1 or 0, all compared) or of leftovers and a block (-2 and 0, compared with each other): a forest (u, v) that spans the links.
+
+    Members of one ``label`` are linked already.
+    """
 
     def run(block: pa.Table) -> pa.Table:
-        ids, own = (np.asarray(block.column(c)) for c in ("id", "own"))
+        ids, own, label = (np.asarray(block.column(c)) for c in ("id", "own", "label"))
         order = np.lexsort((ids, own))
-        ids, own = ids[order], own[order]
+        ids, own, label = ids[order], own[order], label[order]
         raw = block.column("set").combine_chunks() if block.num_rows else []
         sets = [np.frombuffer(raw[int(k)].as_buffer(), np.uint64) for k in order]
         n = np.array([len(s) for s in sets], np.int64)
         signs = np.array([signature(s) for s in sets]).astype(np.uint8)
-        parent = list(range(len(sets)))
+        _, first, place = np.unique(label, return_index=True, return_inverse=True)
+        parent = first[place].tolist()  # members of a label start out tied to its first
 
         def root(x: int) -> int:
             while parent[x] != x:
@@ -204,10 +257,10 @@ def _confirm(percent: int):
             return x
 
         found = []
-        both = own[0] != own[-1]
-        for a in range(len(sets)):
-            lo = max(a + 1, int(np.searchsorted(own, own[a], side="right"))) if both else a + 1
-            rest = np.arange(lo, len(sets))
+        apart = own[0] == -2
+        last = int(np.searchsorted(own, -2, side="right")) if apart else len(sets)
+        for a in range(last):
+            rest = np.arange(last if apart else a + 1, len(sets))
             # sizes alone, then signatures, then the full sets of those not yet tied together
             rest = rest[100 * np.minimum(n[rest], n[a]) >= percent * np.maximum(n[rest], n[a])]
             if len(rest):
@@ -225,6 +278,38 @@ def _confirm(percent: int):
     return run
 
 
+def _confirmed(texts: DataFrame, family: DataFrame, told: DataFrame, shingle: int, percent: int, scratch: Scratch) -> DataFrame:
+    """``(u, v)``: a forest that spans the links of all families, confirmed on full sets."""
+    sizes = family.join(told.groupBy("id").agg(F.max("n").alias("n")), "id").groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"))
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("hashes") / HASHES)).cast("long")  # by members, and by the size of their sets where these are large
+    sizes = scratch.save(sizes.select("family", blocks.alias("blocks")))
+    placed = scratch.save(family.join(sizes, "family").select("id", "family", "blocks", F.pmod(F.xxhash64("id"), "blocks").alias("i")))
+    spread = sizes.where("blocks > 1")
+    zero = F.lit(0).cast("long")
+    place = lambda i, other, own: F.struct(i.alias("i"), other.alias("other"), F.lit(own).cast("long").alias("own"))
+    hubs = _first_of(placed.where("blocks > 1").select("family", "id"), "family", "id").select("id", F.lit(True).alias("hub"))
+    own = placed.join(hubs, "id", "left")
+    # a hub goes to the blocks of the others too
+    elsewhere = F.transform(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda k: k != F.col("i")), lambda k: place(k, zero, -1))
+    places = F.concat(F.array(place(F.col("i"), zero, 0)), F.when(F.col("hub"), elsewhere).otherwise(F.array().cast("array<struct<i:bigint,other:bigint,own:bigint>>")))
+    kind = "id long, family long, i long, other long, own long, label long, set binary"
+    rows = texts.join(scratch.save(own.select("id", "family", F.col("id").alias("label"), places.alias("places"))), "id").select("id", "text", "family", "label", "places")
+    links = rows.mapInArrow(lean(_full_sets(shingle)), kind).groupBy("family", "i", "other").applyInArrow(_confirm(percent), "u long, v long")
+    if spread.isEmpty():
+        return links
+    links = scratch.save(links)
+    tied = components(links, scratch).withColumnsRenamed({"node": "id", "component": "label"})
+    labelled = placed.join(spread.select("family"), "family", "left_semi").join(tied, "id", "left").select("family", "i", "id", F.coalesce("label", "id").alias("label"))
+    rest, every = _leftovers(scratch.save(labelled), "family", BLOCK, scratch)
+    if rest is None:
+        return links
+    sides = rest.select("family", "id", "label", place(F.col("i"), F.col("other"), -2).alias("p")).union(every.select("family", "id", "label", place(F.col("i"), F.col("other"), 0).alias("p")))
+    again = scratch.save(sides.groupBy("id", "family", "label").agg(F.collect_list("p").alias("places")))
+    rows = texts.join(again, "id").select("id", "text", "family", "label", "places")
+    more = rows.mapInArrow(lean(_full_sets(shingle)), kind).groupBy("family", "i", "other").applyInArrow(_confirm(percent), "u long, v long")
+    return links.union(more)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, name: str = "near") -> DataFrame:
     """``(id, n_shingles, component_id, kept)`` for every row of ``docs``.
 
@@ -232,8 +317,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``shingle``-word shingles.  Null or wordless texts have an empty set and are linked with nothing;
     shorter texts than a shingle count as one.  Rows that repeat an id are one document with several
     texts: each row is returned, and a link of any of them is a link of the document.  Rows without an
-    id are linked with nothing and kept: they get a row with a null ``component_id``.  An empty table
-    gives an empty one.  Other columns are ignored, whatever their names.  A pair at the threshold is missed by all bands with a
+    id are linked with nothing and kept: they get a row with a null ``component_id``.  Texts of any length
+    are compared whole, each in the memory of one task.  An empty table gives an empty one.  Other columns are ignored, whatever their names.  A pair at the threshold is missed by all bands with a
     probability under one in two million at 0.85 (under one in ten thousand at 0.8).
     """
     spark = docs.sparkSession
@@ -248,13 +333,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     others = scratch.save(member.where("id <> rep").select("id", "rep"))
 
     family = _families(member.where("id = rep and n > 0"), percent, scratch)
-    sizes = family.join(told.groupBy("id").agg(F.max("n").alias("n")), "id").groupBy("family").agg(F.count("*").alias("members"), F.sum("n").alias("hashes"))
-    # by members, and by the size of their sets where these are large
-    blocks = F.greatest(F.ceil(F.col("members") / F.least(F.greatest(F.lit(BLOCK), F.col("members") / SPLIT), F.lit(MOST))), F.ceil(F.col("hashes") / HASHES))
-    sizes = scratch.save(sizes.select("family", blocks.alias("blocks")))
-    placed = family.join(sizes, "family").select("id", "family", "blocks")
-    rows = texts.where("id is not null").join(scratch.save(placed), "id").select("id", "text", "family", "blocks").mapInArrow(lean(_full_sets(shingle)), "id long, family long, i long, j long, own long, set binary")
-    links = rows.groupBy("family", "i", "j").applyInArrow(_confirm(percent), "u long, v long")
+    links = _confirmed(texts.where("id is not null"), family, told, shingle, percent, scratch)
     # an id with several texts ties what these are copies of
     again = told.groupBy("id").agg(F.count("*").alias("rows")).where("rows > 1").select("id")
     links = links.union(others.join(again, "id", "left_semi").select(F.col("id").alias("u"), F.col("rep").alias("v")))

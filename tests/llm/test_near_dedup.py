@@ -54,16 +54,31 @@ def test_repeated_ids(spark):
     assert got == [(3, 36, 3, True), (3, 36, 3, True), (5, 36, 3, False), (5, 36, 3, False), (7, 1, 7, True), (7, 1, 7, True), (9, 36, 3, False)]
 
 
-@pytest.mark.parametrize("bucket,at_once", [(4, 64), (2, 10**6)])
-def test_large_buckets_are_compared_block_by_block(spark, monkeypatch, bucket, at_once):
-    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
-    monkeypatch.setattr(near_dedup, "ROWS_AT_ONCE", at_once)
-    monkeypatch.setattr(near_dedup, "HASHES", 400)
+@pytest.mark.parametrize("bucket,at_once,block,hubs", [(4, 64, 256, 8), (2, 10**6, 5, 1), (6, 100, 9, 2)])
+def test_large_buckets_and_families_are_compared_block_by_block(spark, monkeypatch, bucket, at_once, block, hubs):
+    for name, value in (("BUCKET", bucket), ("ROWS_AT_ONCE", at_once), ("HASHES", 400), ("BLOCK", block), ("HUBS", hubs)):
+        monkeypatch.setattr(near_dedup, name, value)
     rows = corpus(5)
     want = near(rows, 85)
     assert rows_of(spark, rows) == sorted((i, n, c, i == c) for i, (n, c) in want.items())
 
 
+def test_a_bucket_of_twenty_thousand_different_texts(spark):
+    """One family of near copies, none of them equal, with a smaller one and single texts beside it, in time that doesn't grow with the square."""
+    rnd = random.Random(3)
+    base, other = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    rows = []
+    for i in range(20_000):
+        t = list(base)
+        t[-1 - i % 2] = f"x{i}"
+        rows.append((i, " ".join(t)))
+    rows += [(30_000 + i, " ".join([*other[:-1], f"y{i}"])) for i in range(50)] + [(40_000 + i, " ".join(f"z{i}_{k}" for k in range(20))) for i in range(50)]
+    rnd.shuffle(rows)
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    assert {tuple(r) for r in got.groupBy("component_id").count().where("count > 1").collect()} == {(0, 20_000), (30_000, 50)}
+    assert got.where("kept").count() == 52
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, 1), (5, 2), (2, 9), (7, 7), (5, 1)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), Scratch(spark, "t")).collect()))
