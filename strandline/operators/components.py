@@ -12,21 +12,20 @@ def _least(edges: DataFrame, node: str) -> DataFrame:
     return edges.groupBy(node).agg(F.min("other").alias("least"))
 
 
-def _large_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is tied to the least of the node and its neighbours."""
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("other")).union(edges.select(F.col("v").alias("node"), F.col("u").alias("other")))
-    least = scratch.save(_least(both, "node").select("node", F.least("node", "least").alias("least")))
-    out = both.join(least, "node").where("other > node").select(F.col("other").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
-    return out, least
+    least = _least(both, "node").select("node", F.least("node", "least").alias("least"))
+    return both.join(least, "node").where("other > node").select(F.col("other").alias("u"), F.col("least").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below it are tied to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("node"), F.least("u", "v").alias("other"))
-    least = scratch.save(_least(down, "node"))
-    joined = down.join(least, "node")
-    out = joined.select(F.col("other").alias("u"), F.col("least").alias("v")).union(least.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    return out.where("u <> v").distinct(), least
+    joined = down.join(_least(down, "node"), "node")
+    # the node's own tie comes with its rows
+    out = joined.select(F.explode(F.array(F.struct(F.col("other").alias("u"), F.col("least").alias("v")), F.struct(F.col("node").alias("u"), F.col("least").alias("v")))).alias("e")).select("e.*")
+    return out.where("u <> v").distinct()
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -46,11 +45,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.save(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct())
     mark = _mark(edges)
     while True:
-        large, least1 = _large_star(edges, scratch)
-        large = scratch.save(large)
-        small, least2 = _small_star(large, scratch)
-        small = scratch.save(small)
-        scratch.drop(edges, large, least1, least2)
+        large = scratch.save(_large_star(edges))
+        small = scratch.save(_small_star(large))
+        scratch.drop(edges, large)
         new = _mark(small)
         edges = small
         if new == mark:
