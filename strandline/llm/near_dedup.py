@@ -293,13 +293,14 @@ def _confirmed(texts: DataFrame, family: DataFrame, told: DataFrame, shingle: in
     elsewhere = F.transform(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda k: k != F.col("i")), lambda k: place(k, zero, -1))
     places = F.concat(F.array(place(F.col("i"), zero, 0)), F.when(F.col("hub"), elsewhere).otherwise(F.array().cast("array<struct<i:bigint,other:bigint,own:bigint>>")))
     kind = "id long, family long, i long, other long, own long, label long, set binary"
-    rows = texts.join(scratch.save(own.select("id", "family", F.col("id").alias("label"), places.alias("places"))), "id").select("id", "text", "family", "label", "places")
+    # texts meet their places by a shuffle of both at every size: what is placed grows with the texts
+    rows = texts.join(scratch.save(own.select("id", "family", F.col("id").alias("label"), places.alias("places"))).hint("merge"), "id").select("id", "text", "family", "label", "places")
     links = rows.mapInArrow(lean(_full_sets(shingle)), kind).groupBy("family", "i", "other").applyInArrow(_confirm(percent), "u long, v long")
     if spread.isEmpty():
         return links
-    links = scratch.save(links)
-    tied = components(links, scratch).withColumnsRenamed({"node": "id", "component": "label"})
-    labelled = placed.join(spread.select("family"), "family", "left_semi").join(tied, "id", "left").select("family", "i", "id", F.coalesce("label", "id").alias("label"))
+    tied = scratch.save(components(links, scratch))
+    links = tied.select(F.col("node").alias("u"), F.col("component").alias("v"))  # as stars, which the last components take as they are
+    labelled = placed.join(spread.select("family"), "family", "left_semi").join(tied.withColumnsRenamed({"node": "id", "component": "label"}), "id", "left").select("family", "i", "id", F.coalesce("label", "id").alias("label"))
     rest, every = _leftovers(scratch.save(labelled), "family", BLOCK, scratch)
     if rest is None:
         return links
