@@ -167,16 +167,25 @@ def _families(told: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     hubs = _first_of(large.select("key", "id"), "key", "id").join(sizes.select("key", "blocks"), "key").join(told.select("id", "n", "signs"), "id")
     hubs = hubs.select("key", F.explode(F.sequence(none, F.col("blocks") - 1)).alias("i"), F.lit(-1).cast("long").alias("own"), "id", F.col("id").alias("label"), "n", "signs")
     block = large.select("key", "i", none.alias("own"), "id", F.col("id").alias("label"), "n", "signs")
-    ties = ties.union(block.groupBy("key", "i").applyInArrow(_plausible(percent), "u long, v long")).union(block.union(hubs).groupBy("key", "i").applyInArrow(_plausible(percent), "u long, v long"))
-    found = scratch.save(components(ties, scratch))
-    labelled = large.join(found.withColumnsRenamed({"node": "id", "component": "label"}), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    labelled = scratch.save(labelled.select("key", "i", "id", "label", "n", "signs"))
+    near_hubs = scratch.save(block.union(hubs).groupBy("key", "i").applyInArrow(_plausible(percent), "u long, v long"))
+    ties = ties.union(block.groupBy("key", "i").applyInArrow(_plausible(percent), "u long, v long")).union(near_hubs)
+    labelled = scratch.save(_labelled(large.select("key", "i", "id", "n", "signs"), near_hubs, hubs.select("id").distinct()))
     rest, other = _leftovers(labelled, "key", BUCKET, scratch)
     if rest is not None:
         sides = rest.select("key", "i", "other", F.lit(-1).cast("long").alias("own"), "id", "label", "n", "signs").union(other.select("key", "i", "other", none.alias("own"), "id", "label", "n", "signs"))
-        more = sides.groupBy("key", "i", "other").applyInArrow(_plausible(percent), "u long, v long")
-        found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more), scratch)
-    return scratch.save(found.withColumnsRenamed({"node": "id", "component": "family"}))
+        ties = ties.union(sides.groupBy("key", "i", "other").applyInArrow(_plausible(percent), "u long, v long"))
+    return scratch.save(components(ties, scratch).withColumnsRenamed({"node": "id", "component": "family"}))
+
+
+def _labelled(members: DataFrame, ties: DataFrame, hubs: DataFrame) -> DataFrame:
+    """``members`` with ``label``: the least hub that a member is tied to itself, else its own id.
+
+    Members of one label are tied to the same hub.  Two labels may be of one component: their members are
+    compared once more, which costs time and changes nothing.
+    """
+    own = ties.join(hubs.withColumnRenamed("id", "u"), "u").groupBy(F.col("v").alias("id")).agg(F.min("u").alias("label"))
+    own = own.union(hubs.select("id", F.col("id").alias("label"))).groupBy("id").agg(F.min("label").alias("label"))
+    return members.join(own, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
 
 def _first_of(rows: DataFrame, group: str, item: str) -> DataFrame:
@@ -289,18 +298,17 @@ def _confirmed(texts: DataFrame, family: DataFrame, told: DataFrame, shingle: in
     place = lambda i, other, own: F.struct(i.alias("i"), other.alias("other"), F.lit(own).cast("long").alias("own"))
     hubs = _first_of(placed.where("blocks > 1").select("family", "id"), "family", "id").select("id", F.lit(True).alias("hub"))
     own = placed.join(hubs, "id", "left")
-    # a hub goes to the blocks of the others too
-    elsewhere = F.transform(F.filter(F.sequence(zero, F.col("blocks") - 1), lambda k: k != F.col("i")), lambda k: place(k, zero, -1))
-    places = F.concat(F.array(place(F.col("i"), zero, 0)), F.when(F.col("hub"), elsewhere).otherwise(F.array().cast("array<struct<i:bigint,other:bigint,own:bigint>>")))
+    # a hub goes to every block, where it is compared first
+    everywhere = F.transform(F.sequence(zero, F.col("blocks") - 1), lambda k: place(k, zero, -1))
+    places = F.when(F.col("hub"), everywhere).otherwise(F.array(place(F.col("i"), zero, 0)))
     kind = "id long, family long, i long, other long, own long, label long, set binary"
     # texts meet their places by a shuffle of both at every size: what is placed grows with the texts
     rows = texts.join(scratch.save(own.select("id", "family", F.col("id").alias("label"), places.alias("places"))).hint("merge"), "id").select("id", "text", "family", "label", "places")
     links = rows.mapInArrow(lean(_full_sets(shingle)), kind).groupBy("family", "i", "other").applyInArrow(_confirm(percent), "u long, v long")
     if spread.isEmpty():
         return links
-    tied = scratch.save(components(links, scratch))
-    links = tied.select(F.col("node").alias("u"), F.col("component").alias("v"))  # as stars, which the last components take as they are
-    labelled = placed.join(spread.select("family"), "family", "left_semi").join(tied.withColumnsRenamed({"node": "id", "component": "label"}), "id", "left").select("family", "i", "id", F.coalesce("label", "id").alias("label"))
+    links = scratch.save(links)
+    labelled = _labelled(placed.join(spread.select("family"), "family", "left_semi").select("family", "i", "id"), links, hubs.select("id"))
     rest, every = _leftovers(scratch.save(labelled), "family", BLOCK, scratch)
     if rest is None:
         return links
