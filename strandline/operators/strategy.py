@@ -121,37 +121,39 @@ def reorder(values: DataFrame, contexts: DataFrame, keys: list[str], orders: dic
 RANKS = ("no_data", "stale", "below_quality", "unused", "selected")  # fixed values: a group's day has the best status of its hours
 
 
-def compose(hours: DataFrame, keys: list[str], op: str = "first_available") -> DataFrame:
-    """Groups' hours ``(keys, hour, pos, value, reason, coverage, elapsed)`` composed to days, one row for each group.
+def compose(hours: DataFrame, keys: list[str], groups: int, op: str = "first_available") -> DataFrame:
+    """Groups' hours ``(keys, hour, pos, value, reason, coverage, elapsed, day)`` composed to days, one row for each group.
 
-    Every hour picks its group: the first valid one, or the first of those with the largest value.  The
-    result has, for each key and group, ``group_status`` (the best of its hours), ``group_value`` (its own
+    Only hours with rows come in: an hour that a group lacks counts as ``no_data`` with nothing covered, which its day's length
+    ``day`` (that of all its hours, as ``elapsed`` is of one) tells without listing it.  Every hour picks its group: the first
+    valid one, or the first of those with the largest value.  The
+    result has, for each key and each of the ``groups``, ``group_status`` (the best of its hours), ``group_value`` (its own
     day), ``group_coverage`` (by elapsed time), ``supplied``, and for the day ``value``, ``hours``,
     ``groups``, ``selected``, ``status`` and ``exceeds``: several groups supplied hours, and the sum is more
     than any one of them would give.
     """
-    hour = [*keys, "hour"]
     valid = F.when(_valid(), F.col("pos"))
     order = F.struct("pos") if op == "first_available" else F.struct(-F.col("value"), "pos")
-    w = Window.partitionBy(*hour)
+    w = Window.partitionBy(*keys, "hour")
     best = F.min_by("pos", F.when(_valid(), order)).over(w)
-    h = hours.withColumn("_sel", best).withColumn("_first", F.min(valid).over(w))
+    # one shuffle by the day serves its hours, its groups and itself
+    h = hours.repartition(*keys).withColumn("_sel", best)
     status = F.when(F.col("pos") == F.col("_sel"), 5).when(_valid(), 4).when(F.col("reason") == "no_data", 1).when(F.col("reason") == "stale", 2).otherwise(3)
     own = h.groupBy(*keys, "pos").agg(
-        F.max(status).alias("_rank"), F.sum(F.when(_valid(), F.col("value"))).alias("group_value"), (F.sum(F.coalesce("coverage", F.lit(0.0)) * F.col("elapsed")) / F.sum("elapsed")).alias("group_coverage"),
+        F.max(status).alias("_rank"), F.sum(F.when(_valid(), F.col("value"))).alias("group_value"), (F.sum(F.coalesce("coverage", F.lit(0.0)) * F.col("elapsed")) / F.first("day")).alias("group_coverage"),
         F.count_if(F.col("pos") == F.col("_sel")).alias("supplied"), F.sum(F.when(F.col("pos") == F.col("_sel"), F.col("value"))).alias("_part"),
         F.count_if((F.col("pos") == F.col("_sel")) & (F.col("pos") != (0 if op == "first_available" else -1))).alias("_later"),
     )
-    d = Window.partitionBy(*keys)
     supplied = F.col("supplied") > 0
-    own = own.withColumns({
-        "value": F.sum("_part").over(d), "hours": F.sum("supplied").over(d), "groups": F.sum(supplied.cast("int")).over(d), "_most": F.max(F.coalesce("group_value", F.lit(0.0))).over(d),
-        "_one": F.max(F.when(supplied, F.col("pos"))).over(d), "_fall": F.sum("_later").over(d),
-    })
+    days = own.groupBy(*keys).agg(
+        F.collect_list(F.struct("pos", "_rank", "group_value", "group_coverage", supplied.alias("supplied"))).alias("_own"), F.sum("_part").alias("value"), F.sum("supplied").alias("hours"), F.sum(supplied.cast("int")).alias("groups"),
+        F.max(F.coalesce("group_value", F.lit(0.0))).alias("_most"), F.max(F.when(supplied, F.col("pos"))).alias("_one"), F.sum("_later").alias("_fall"),
+    )
     direct = F.when(F.col("_fall") == 0, "direct").otherwise("fallback") if op == "first_available" else F.lit("fallback")
     state = F.when(F.col("hours") == 0, "no_data").when(F.col("groups") == 1, direct).otherwise("calculated")
-    return own.select(
-        *keys, "pos", F.element_at(F.array(*[F.lit(r) for r in RANKS]), F.col("_rank")).alias("group_status"), "group_value", "group_coverage", supplied.alias("supplied"), "value", "hours", "groups",
+    out = spine(days, groups).withColumn("_g", F.get(F.filter("_own", lambda g: g["pos"] == F.col("pos")), F.lit(0)))
+    return out.select(
+        *keys, "pos", F.element_at(F.array(*[F.lit(r) for r in RANKS]), F.coalesce("_g._rank", F.lit(1))).alias("group_status"), "_g.group_value", F.coalesce("_g.group_coverage", F.lit(0.0)).alias("group_coverage"), F.coalesce("_g.supplied", F.lit(False)).alias("supplied"), "value", "hours", "groups",
         F.when(F.col("groups") == 1, F.col("_one")).alias("selected"), state.alias("status"), F.coalesce((F.col("groups") > 1) & (F.col("value") > F.col("_most") + 1e-9), F.lit(False)).alias("exceeds"),
     )
 

@@ -272,10 +272,10 @@ def compose_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = grouped(measurements(spark, sf_dir), POOL).withColumn("t", F.unix_micros("start_at"))
     v = windows.local_parts(g.drop("local_date"), "t", "t").groupBy("owner", "local_date", F.col("hour_start").alias("hour"), "pos").agg(F.sum("value").alias("value"), F.count("*").alias("n"))
-    days = windows.day_bounds(v.select("owner", "local_date").distinct().withColumn("zone", zone_of(F.col("owner"))))
-    hours = windows.day_windows(days, 60).select("owner", "local_date", F.unix_micros("start").alias("hour"), (F.unix_micros("end") - F.unix_micros("start")).alias("elapsed"))
-    listed = strategy.spine(hours, len(POOL)).join(v, ["owner", "local_date", "hour", "pos"], "left").withColumn("coverage", F.least(F.lit(1.0), F.coalesce("n", F.lit(0)) / 2.0))
-    return strategy.compose(strategy.gates(listed, 10, 1e9), DAY)
+    at = windows.day_bounds(v.withColumn("zone", zone_of(F.col("owner"))))
+    lo, hi = F.unix_micros("day_start"), F.unix_micros("day_end")
+    listed = at.select(*GROUPED, "hour", "value", F.least(F.lit(1.0), F.col("n") / 2.0).alias("coverage"), (F.least(F.col("hour") + 3_600_000_000, hi) - F.col("hour")).alias("elapsed"), (hi - lo).alias("day"))
+    return strategy.compose(strategy.gates(listed, 10, 1e9), DAY, len(POOL))
 
 
 _FALLBACK = _COMPOSE + f""", lone AS (SELECT owner, d, pos FROM (SELECT owner, d, {_POS3} AS pos, k FROM m WHERE {_POS3} IS NOT NULL) GROUP BY ALL HAVING min(k) >= 40),
