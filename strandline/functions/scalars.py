@@ -105,6 +105,16 @@ def rounded(value: Column, places: int = 6) -> Column:
     return F.round(value, places)
 
 
+def settled(value: Column, digits: int = 12) -> Column:
+    """A sum or mean of doubles at so many significant digits: the same in whatever order its parts were added, so that a bound that it meets exactly is met.
+
+    Beyond the sizes whose scale is an exact power of ten, it stays as it is.
+    """
+    size = F.abs(value)
+    scale = F.pow(F.lit(10.0), F.lit(digits - 1) - F.floor(F.log10(size)))
+    return F.when(size.between(1e-10, 1e11), F.rint(value * scale) / scale).otherwise(value)
+
+
 def key_of(kind: Column, start: Column, date: Column, as_of: Column, reading: Column) -> Column:
     """Key of a window within its kind: the date, the UTC start, the instant it is as of, or the reading."""
     return F.when(kind.isin("local_day", "local_night"), F.date_format(date, "yyyy-MM-dd")).when(kind == "latest", window_key(as_of)).when(kind == "reading", reading).otherwise(window_key(start))

@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import window_key
+from strandline.functions.scalars import settled, window_key
 from strandline.operators import rules as documents
 from strandline.operators.joins import overlap, points_in_spans
 from strandline.operators.strategy import group_status
@@ -131,11 +131,12 @@ def _gated(rows: DataFrame) -> DataFrame:
 _RULE = ["owner", "metric", "window", "agg", "intra", "statistic", "span", "reported", "low", "high", "min_coverage", "staleness"]
 
 
-def group_values(placed: DataFrame) -> DataFrame:
+def group_values(placed: DataFrame, rules: DataFrame) -> DataFrame:
     """One row for each window and group with rows: ``value``, ``covered``, ``at``, ``first``, ``n``, and the rows that gates took.
 
     Three aggregations: a source's rows in a bucket, the sources of a group in a bucket, the buckets of a
-    window.  Each keeps what any class or statistic may need, and the last one picks.
+    window.  Each keeps what any class or statistic may need, and the last one picks.  One shuffle by the
+    window, before intervals are cut into buckets, serves all three; ``rules`` (of ``dispatch``) come last.
     """
     ok, daily = F.col("gone").isNull(), F.col("kind") == "daily_value"
     additive = F.col("agg") == "additive"
@@ -143,12 +144,12 @@ def group_values(placed: DataFrame) -> DataFrame:
     clip = F.col("window").isin(*WALL, *NIGHT)
     a, b = F.when(clip, lo).otherwise(F.col("lo")), F.when(clip, hi).otherwise(F.col("hi"))
     spread = additive & ~daily & (F.col("hi") > F.col("lo"))
-    r = placed.withColumn("_a", a).withColumn("_b", b)
+    r = placed.select(*WINDOW, "pos", "group", "source_id", "id", "kind", "lo", "hi", "value", "gone", "start", "end", "date", "window", "agg", "intra", F.coalesce(F.col("statistic") == "min_rolling_mean", F.lit(False)).alias("_rolled")).repartition(*WINDOW).withColumn("_a", a).withColumn("_b", b)
     cells = F.when(daily, F.array(F.lit(-1).cast("long"))).when(spread, F.sequence(F.expr(f"_a div {BASE}"), F.expr(f"(greatest(_b - 1, _a)) div {BASE}"))).otherwise(F.array(F.expr(f"lo div {BASE}")))
     r = r.withColumn("b", F.explode(cells))
     share = F.least(F.col("_b"), (F.col("b") + 1) * BASE) - F.greatest(F.col("_a"), F.col("b") * BASE)
     r = r.withColumn("x", F.when(spread, F.col("value") * share / (F.col("hi") - F.col("lo"))).otherwise(F.col("value")))
-    head = [F.first(c).alias(c) for c in (*_RULE, "start", "end", "date")]
+    head = [F.first(c).alias(c) for c in ("agg", "intra", "_rolled", "start", "end", "date")]
     keys = [*WINDOW, "pos", "group"]
     last = F.when(ok, F.struct("lo", "id", "value"))
     each = r.groupBy(*keys, "source_id", "b").agg(
@@ -158,16 +159,16 @@ def group_values(placed: DataFrame) -> DataFrame:
     of = F.when(F.col("b") == -1, F.col("newest")).when(F.col("agg") == "additive", F.col("total")).otherwise(F.col("mean"))
     each = each.withColumn("m", of)
     sums = [F.sum(c).alias(c) for c in ("n", "flagged", "implausible")]
-    head = [F.first(c).alias(c) for c in (*_RULE, "start", "end", "date")]
+    head = [F.first(c).alias(c) for c in ("_rolled", "start", "end", "date")]
     put = F.when(F.first("intra") == "sum", F.sum("m")).when(F.first("intra") == "max", F.max("m")).otherwise(F.avg("m"))
     bucket = each.groupBy(*keys, "b").agg(*head, put.alias("m"), F.sum(F.col("mean") * F.col("n")).alias("weighted"), F.max("last").alias("last"), F.min("first").alias("first"), *sums)
-    head = [F.first(c).alias(c) for c in (*_RULE, "start", "end", "date")]
     walked = F.when(F.col("b") >= 0, F.col("m"))
-    series = F.when(F.first("statistic") == "min_rolling_mean", F.array_sort(F.collect_list(F.when(walked.isNotNull(), F.struct("b", "m")))))
+    series = F.when(F.first("_rolled"), F.array_sort(F.collect_list(F.when(walked.isNotNull() & F.col("_rolled"), F.struct("b", "m")))))
     v = bucket.groupBy(*keys).agg(
-        *head, F.avg(walked).alias("_avg"), F.sum(walked).alias("_sum"), F.min(walked).alias("_min"), F.max(F.when(F.col("b") == -1, F.col("m"))).alias("_daily"), F.count(walked).alias("covered"),
+        *[F.first(c).alias(c) for c in ("start", "end", "date")], F.avg(walked).alias("_avg"), F.sum(walked).alias("_sum"), F.min(walked).alias("_min"), F.max(F.when(F.col("b") == -1, F.col("m"))).alias("_daily"), F.count(walked).alias("covered"),
         (F.sum("weighted") / F.sum("n")).alias("_mean"), F.max("last").alias("_last"), F.max(F.when(F.col("b") == -1, F.col("last"))).alias("_dlast"), F.min("first").alias("first"), series.alias("_series"), *sums,
-    )
+    ).join(rules.select("rule", *_RULE), "rule")
+    v = v.withColumns({c: settled(F.col(c)) for c in ("_avg", "_sum", "_mean")})
     return v.withColumn("value", _picked()).withColumn("at", F.col("_last.lo")).drop("_avg", "_sum", "_min", "_daily", "_mean", "_last", "_dlast", "_series")
 
 
@@ -315,20 +316,21 @@ def resolve(rules: DataFrame, catalogue: DataFrame, rows: DataFrame, sources: Da
     at = F.lit(now)
     r = rows.withColumnRenamed("metric", "reads").join(d.drop("n_groups", "op", "least", "use_available", "follow", "compose", "contexts"), ["owner", "reads"])
     r = _gated(r.where((F.col("kind") != "daily_value") | F.col("window").isin("local_day", "latest", "reading")))
-    member = scratch.save(memberships(sources, r.select("rule", "source_id").distinct(), predicates(rules)))
+    chosen_by = scratch.save(predicates(rules))
+    member = scratch.save(memberships(sources, r.select("rule", "source_id").distinct(), chosen_by))
     r = r.join(member, ["rule", "source_id"])
     placed = _windowed(r.where(~F.col("window").isin(*NIGHT)))
     if nights is not None:
         placed = placed.unionByName(_nightly(r.where(F.col("window").isin(*NIGHT)), nights))
     placed = scratch.save(placed.withColumn("pos", F.coalesce("pos", F.lit(-2))))
 
-    values = group_values(placed.where("pos >= 0"))
+    values = group_values(placed.where("pos >= 0"), d)
     values = scratch.save(values)
     listed = placed.groupBy(*WINDOW).agg(*[F.first(c).alias(c) for c in ("owner", "window", "date", "start", "end")])
     days = listed.where("window = 'latest'").select("owner", "date", "start", "end").distinct()
     values = values.where("window <> 'latest'").unionByName(_carried(values.where("window = 'latest'"), days, at))
     listed = _contexts(listed, events, member)
-    names = predicates(rules).where("pos >= 0").select("rule", "pos", "group").distinct()
+    names = chosen_by.where("pos >= 0").select("rule", "pos", "group").distinct()
     every = listed.join(names, "rule").join(d.drop("owner", "window", "n_groups"), "rule")
     own = values.select(*WINDOW, "pos", "value", "covered", "at", "first", "n", "flagged", "implausible")
     every = every.join(own, [*WINDOW, "pos"], "left")
