@@ -463,7 +463,7 @@ def _link_all(one: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     return scratch.save(spread.groupBy("shard", "i", "j").applyInArrow(_compare(threshold), _FOUND))
 
 
-def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", name: str = "vectors", report: dict | None = None) -> DataFrame:
+def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", name: str = "vectors", report: dict | None = None, whole: bool = False) -> DataFrame:
     """``(id, n_links, component_id, kept)`` for every id of ``df``.
 
     Vectors that are null, zero, or hold null or non-finite components are linked with nothing; vectors
@@ -474,7 +474,8 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
     The recall measured at each overlap is logged and put into ``report``: ``audited`` vectors, ``recall``
     as (overlap, ``recalls``), and whether the links are those of all pairs (``exact``).  Where no sampled vector
     has a link, vectors that the search linked are audited instead; where it linked none either, up to
-    ``OUTRIGHT`` vectors are compared all with all, and beyond that the recall is reported as ``unmeasured``.
+    ``OUTRIGHT`` vectors are compared all with all, and beyond that the recall is reported as ``unmeasured``;
+    with ``whole`` they are compared whatever their number, so that no result depends on it.
     """
     spark = df.sparkSession
     scratch = Scratch(spark, name)
@@ -510,7 +511,7 @@ def near_vectors(df: DataFrame, threshold: float = 0.95, id_col: str = "vec_id",
         report["recall"].append(("all pairs" if report["exact"] else overlap, measured or "unmeasured"))
         _LOG.info("recall of %d audited vectors, overlap %s: %s", len(known), *report["recall"][-1])
         if not measured and not report["exact"]:
-            if count > OUTRIGHT:
+            if count > OUTRIGHT and not whole:
                 _LOG.warning("no link among %d vectors to measure the recall by", count)
                 break
             report["exact"] = True

@@ -56,7 +56,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and groups of all vectors at a cosine of 0.95."""
-    return graph_dedup.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), name="op7")
+    return graph_dedup.near_vectors(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), name="op7", whole=True)
 
 
 def op8_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
