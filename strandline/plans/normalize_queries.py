@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import normalize as nz
 from strandline.plans.registry import query
-from strandline.sources.tables import measurements, table
+from strandline.sources.tables import measurements, spread, table
 
 _S = F.struct
 
@@ -18,7 +18,7 @@ def _json(*cols) -> F.Column:
 
 def scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as measure groups: a weight, a pulse, for some a blood pressure, a temperature that counts from a thermometer only, and a type that nobody knows."""
-    p = table(spark, sf_dir, "part")
+    p = spread(table(spark, sf_dir, "part").select("p_partkey", "p_size"), "p_partkey")
     m = lambda v, t, u: _S(v.cast("long").alias("value"), F.lit(t).alias("type"), F.lit(u).alias("unit"))
     key, size = F.col("p_partkey"), F.col("p_size")
     bp = F.when(key % 2 == 0, F.array(m(size + 100, 10, 0), m(size + 50, 9, 0)))
@@ -65,7 +65,7 @@ SELECT id AS raw_id, t * 1000000 AS lo, (t + k * 60) * 1000000 AS hi, CASE WHEN
   CASE WHEN id % 2 = 0 THEN k * 48 WHEN id % 3 = 0 THEN k * 20 ELSE k * 40 END AS asleep, CASE WHEN id % 2 = 1 THEN k * 20 END AS deep, CASE WHEN id % 2 = 1 THEN CASE WHEN id % 3 = 0 THEN 0 ELSE k * 20 END END AS rem, CASE WHEN id % 2 = 1 THEN k * 5 END AS awake FROM r""")
 def sleep_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nights with totals of the provider, or summed from the stages of their own device."""
-    m = measurements(spark, sf_dir).where("k > 0")
+    m = spread(measurements(spark, sf_dir).where("k > 0").select("id", "start_at", "k"), "id")
     t, k = F.unix_seconds("start_at"), F.col("k")
     st = lambda a, b, state, model: _S((t + k * a).alias("startdate"), (t + k * b).alias("enddate"), F.lit(state).alias("state"), model.alias("model"))
     states = F.array(st(0, 5, 0, F.lit(1)), st(5, 25, 2, F.lit(1)), st(25, 45, 3, F.when(F.col("id") % 3 == 0, 9).otherwise(1)), st(45, 50, 77, F.lit(1)))

@@ -41,3 +41,10 @@ SQL = f"""m AS (
     ({list(ZONES)!r})[1 + user_id % 3] AS zone, CAST((ts AT TIME ZONE 'UTC') AT TIME ZONE (({list(ZONES)!r})[1 + user_id % 3]) AS DATE) AS d,
     CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END AS flags
   FROM events)"""
+
+
+def spread(df: DataFrame, *keys: str, rows: int = 50_000) -> DataFrame:
+    """``df`` in parts of some ``rows``, at least one for each core: a small file of narrow rows is one part or two as it is read, however much is made of each row."""
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(n, *keys)
