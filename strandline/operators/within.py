@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.scalars import settled
-
 MICROS = 1_000_000
 BASE = 300 * MICROS
 
@@ -58,8 +56,10 @@ def parts(df: DataFrame, size: int, lo: Column | None = None, hi: Column | None
 
 def additive(df: DataFrame, keys: list[str], intra: str = "max", size: int = BASE) -> DataFrame:
     """``(keys, value, buckets)``: intervals spread over buckets, summed per source, combined per bucket, summed."""
-    each = parts(df, size).groupBy(*keys, "source", "b").agg(F.sum("part").alias("v"))
-    return each.groupBy(*keys, "b").agg(combine(intra, "v").alias("v")).groupBy(*keys).agg(settled(F.sum("v")).alias("value"), F.count("*").alias("buckets"))
+    # one shuffle of the rows, before they are cut, serves the three aggregations
+    rows = df.select(*keys, "source", "start_at", "end_at", "value").repartition(*keys)
+    each = parts(rows, size).groupBy(*keys, "source", "b").agg(F.sum("part").alias("v"))
+    return each.groupBy(*keys, "b").agg(combine(intra, "v").alias("v")).groupBy(*keys).agg(F.sum("v").alias("value"), F.count("*").alias("buckets"))
 
 
 def daily(df: DataFrame, keys: list[str], intra: str = "max") -> DataFrame:
