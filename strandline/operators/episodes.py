@@ -81,27 +81,37 @@ def best_first_clusters(spans: DataFrame, keys: list[str], least: float, kind: s
     """``spans`` with ``cluster`` (its least id), where links count by falling overlap and a cluster holds one specific ``kind`` at most.
 
     Of equal overlaps the pair that starts first counts first; a null kind is unspecific.  In each round
-    every link that is the best of all that either of its clusters has is settled; none that is settled
-    later could come before it, so the result is that of taking all links one by one.
+    every cluster looks at the best link that it has.  If the cluster is unspecific it stays so until that
+    link, which then joins it to whatever the other has become; if both are of one kind they agree at any
+    time.  All such links are settled together, so the result is that of taking all links one by one.  A
+    cluster with a kind waits where its best link is to an unspecific one, which is gone after the round:
+    clusters halve, and rounds grow with the logarithm of their number.  Between two clusters only the
+    best link stays.
     """
     scratch = Scratch(spans.sparkSession, name)
-    order = F.struct((-F.col("ratio")).alias("r"), "a_lo", "a", "b_lo", "b")
-    left = scratch.save(links(spans.select(*keys, "id", "lo", "hi"), keys, least).select("a", "b", order.alias("rank")))
+    rank = F.struct((-F.col("ratio")).alias("r"), "a_lo", "a", "b_lo", "b")
+    met = links(spans.select(*keys, "id", "lo", "hi", F.col(kind).alias("kind")), keys, least)
+    # two clusters with two kinds never join, now or later
+    agree = "ca <> cb and (ka is null or kb is null or ka = kb)"
+    left = scratch.save(met.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("a_kind").alias("ka"), F.col("b_kind").alias("kb"), rank.alias("rank")).where(agree))
     state = scratch.save(spans.select("id", F.col("id").alias("cluster"), F.col(kind).alias("kind")))
-    while True:
-        ends = left.select("a", "b", "rank")
+    while not left.isEmpty():
+        ends = left.select("rank", F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("d"), F.col("ka").alias("k"), F.col("kb").alias("l")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("d"), F.col("kb").alias("k"), F.col("ka").alias("l")))).alias("e")).select("rank", "e.*")
+        best = ends.groupBy("c").agg(F.min(F.struct("rank", "d", "k", "l")).alias("e")).select("c", "e.*")
+        found = components(best.where("k is null or k = l").select(F.col("c").alias("u"), F.col("d").alias("v")), scratch)
+        into = scratch.save(found.select(F.col("node").alias("cluster"), F.col("component").alias("new")))
+        now = state.join(into, "cluster", "left").select("id", F.coalesce("new", "cluster").alias("cluster"), "kind")
+        old_state, old_left = state, left
+        # the kind of a cluster is that of its members with one
+        kinds = scratch.save(now.groupBy("cluster").agg(F.max("kind").alias("kind")))
+        state = scratch.save(now)
+        moved = into.join(kinds.withColumnRenamed("cluster", "new"), "new")
         for end in ("a", "b"):
-            ends = ends.join(state.select(F.col("id").alias(end), F.col("cluster").alias(f"c{end}"), F.col("kind").alias(f"k{end}")), end)
-        # two clusters with two kinds never join, now or later
-        left = scratch.save(ends.where("ca <> cb and (ka is null or kb is null or ka = kb)"))
-        if left.isEmpty():
-            break
-        best = scratch.save(left.select(F.explode(F.array("ca", "cb")).alias("c"), "rank").groupBy("c").agg(F.min("rank").alias("best")))
-        top = left.join(best.select(F.col("c").alias("ca"), F.col("best").alias("ba")), "ca").join(best.select(F.col("c").alias("cb"), F.col("best").alias("bb")), "cb").where("rank = ba and rank = bb")
-        pairs = scratch.save(top.select("ca", "cb", F.coalesce("ka", "kb").alias("k")))
-        into = pairs.select(F.col("ca").alias("cluster"), F.least("ca", "cb").alias("new"), "k").union(pairs.select("cb", F.least("ca", "cb"), "k"))
-        state = scratch.save(state.join(into, "cluster", "left").select("id", F.coalesce("new", "cluster").alias("cluster"), F.coalesce("k", "kind").alias("kind")))
-        left = left.select("a", "b", "rank")
+            left = left.join(moved.select(F.col("cluster").alias(f"c{end}"), F.col("new").alias(f"n{end}"), F.col("kind").alias(f"m{end}")), f"c{end}", "left")
+            left = left.withColumns({f"c{end}": F.coalesce(f"n{end}", f"c{end}"), f"k{end}": F.coalesce(f"m{end}", f"k{end}")})
+        one = left.where(agree).groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+        left = scratch.save(one.agg(F.min(F.struct("rank", F.when(F.col("ca") < F.col("cb"), F.col("ka")).otherwise(F.col("kb")).alias("ka"), F.when(F.col("ca") < F.col("cb"), F.col("kb")).otherwise(F.col("ka")).alias("kb"))).alias("e")).select("ca", "cb", "e.ka", "e.kb", "e.rank"))
+        scratch.drop(old_state, old_left, kinds, into)
     return spans.join(state.select("id", "cluster"), "id")
 
 

@@ -9,7 +9,7 @@ from strandline.functions.scalars import night_of
 from strandline.operators import assign, episodes, sleep
 from strandline.plans.registry import query
 from strandline.sources.scratch import Scratch
-from strandline.sources.tables import ZONES, measurements, zone_of
+from strandline.sources.tables import ZONES, measurements, spread, zone_of
 
 KEYS = ["owner", "night"]
 PEOPLE = 7
@@ -174,6 +174,6 @@ def workouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     What a link does depends on all better ones, which SQL can't express; a test takes them one by one.
     """
     rows = sessions(spark, sf_dir).select("owner", "id", "source", "lo", "hi").withColumn("sport", F.when(F.col("source") != "view", F.col("source"))).withColumn("place", F.when(F.col("source") == "view", 1).when(F.col("source") == "error", -1).when(F.col("source") != "signup", 0))
-    found = episodes.best_first_clusters(rows, ["owner"], 0.6, "sport")
+    found = episodes.best_first_clusters(spread(rows, "id"), ["owner"], 0.6, "sport")
     ends = found.groupBy("owner", "cluster").agg(F.min("lo").alias("start"), F.max("hi").alias("end"))
     return episodes.pick(found, ["owner", "cluster"], "place").select("owner", "cluster", "id", "lo", "hi", "sport", "alternates").join(ends, ["owner", "cluster"])
