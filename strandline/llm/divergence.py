@@ -82,16 +82,15 @@ def _pieces(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[pa.R
 
 def _sketched(least: int, width: int, size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((DEPTH, width), np.uint8)
+        seen = np.zeros((DEPTH, width), np.uint32)
         for part, names, term, doc in _pieces(batches, size):
             langs, lang = _coded(part.column("lang"))
             once = np.unique(doc * len(names) + term)  # each term counts once for a document
             pairs, n = np.unique(lang[once // len(names)] * len(names) + once % len(names), return_counts=True)
             for d, cell in _cells(langs, names, pairs, width):
-                at, inverse = np.unique(cell, return_inverse=True)
-                more = np.bincount(inverse, np.minimum(n, least))
-                seen[d, at] = np.minimum(least, seen[d, at] + more).astype(np.uint8)
-        yield from _blocks(seen)
+                np.add.at(seen[d], cell, np.minimum(n, least).astype(np.uint32))
+                seen[d, cell] = np.minimum(least, seen[d, cell])
+        yield from _blocks(seen.astype(np.uint8))
 
     return lean(run)
 
@@ -144,16 +143,15 @@ def counts(docs: DataFrame, seen: np.ndarray, least: int = LEAST, size: int = BY
             langs, lang = _coded(part.column("lang"))
             sources, source = _coded(part.column("source"))
             k = len(names)
-            pairs, inverse = np.unique(lang[doc] * k + term, return_inverse=True)
-            enough = np.ones(len(pairs), bool)
-            for d, cell in _cells(langs, names, pairs, seen.shape[1]):
-                enough &= seen[d, cell] >= least
-            left = enough[inverse]
-            term, doc = term[left], doc[left]
             group = lang * len(sources) + source
-            keys, n = np.unique(group[doc] * k + term, return_counts=True)
-            once = np.unique(doc * k + term)
-            _, held = np.unique(group[once // k] * k + once % k, return_counts=True)  # the same keys
+            # occurrences are sorted once; a document's terms are then counted by group
+            once, times = np.unique(doc * k + term, return_counts=True)
+            keys, inverse, held = np.unique(group[once // k] * k + once % k, return_inverse=True, return_counts=True)
+            n = np.bincount(inverse, times, len(keys)).astype(np.int64)
+            enough = np.ones(len(keys), bool)
+            for d, cell in _cells(langs, names, keys // k // len(sources) * k + keys % k, seen.shape[1]):
+                enough &= seen[d, cell] >= least
+            keys, n, held = keys[enough], n[enough], held[enough]
             g = keys // k
             yield pa.record_batch({
                 "lang": langs.take(pa.array(g // len(sources))), "source": sources.take(pa.array(g % len(sources))),
