@@ -6,35 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.operators import windows, within
+from strandline.sources.tables import parts_of
 
 HOUR = 3_600_000_000
 
 
-def hourly(df: DataFrame, keys: list[str], interval: Column, zone: str = "zone") -> DataFrame:
+def hourly(df: DataFrame, keys: list[str], interval: Column, zone: str = "zone", days: DataFrame | None = None) -> DataFrame:
     """``(keys, local_date, hour_start, samples, buckets, bucket_mean_sum, min_value, max_value, interval_sum, first_at, last_at)`` per source and local hour.
 
     ``interval`` tells rows that last from samples.  A sample counts in its hour, an interval in every
     hour that it overlaps, by its share; ``buckets`` counts the five-minute buckets with a sample or a
     part of an interval.  Hours are those of the owner's wall clock; instants are microseconds.
-    One pass: rows become parts in buckets, these are summed by bucket and then by hour.
+    ``days(keys, local_date)``: only the hours of these.
+    Rows become parts in hours and are shuffled once, by the day, into as many tasks as there are rows for;
+    a part tells the buckets that it reaches by bits, so that it stays one row.
     """
     s = F.unix_micros("start_at")
     lasts = interval & (F.col("end_at") > F.col("start_at"))
     rows = df.select(*keys, F.col(zone).alias("_zone"), "value", lasts.alias("_lasts"), s.alias("_s"), F.when(lasts, F.unix_micros("end_at")).otherwise(s).alias("_e"))
-    cut = windows.local_parts(rows, "_s", "_e", "_zone", HOUR)
-    # the part of an interval counts once, in the first of its buckets
-    b = F.sequence(F.expr(f"part_lo div {within.BASE}"), F.expr(f"greatest(part_hi - 1, part_lo) div {within.BASE}"))
-    cut = cut.select("*", F.posexplode(b).alias("_i", "b"))
-    head, sample = F.col("_lasts") & (F.col("_i") == 0), ~F.col("_lasts")
-    share = F.col("value") * (F.col("part_hi") - F.col("part_lo")) / (F.col("_e") - F.col("_s"))
-    hour = [*keys, "local_date", "hour_start"]
+    day, n = [*keys, "local_date"], parts_of(df)
+    cut = windows.local_parts(rows, "_s", "_e", "_zone", HOUR).drop("_zone").repartition(n, *day)
+    if days is not None:
+        cut = cut.join(days.select(*day).repartition(n, *day).hint("shuffle_hash"), day, "left_semi")
+    hour, sample = [*day, "hour_start"], F.when(~F.col("_lasts"), F.col("value"))
+    share = F.when(F.col("_lasts"), F.col("value") * (F.col("part_hi") - F.col("part_lo")) / (F.col("_e") - F.col("_s")))
+    b, last = F.expr(f"part_lo div {within.BASE}"), F.expr(f"greatest(part_hi - 1, part_lo) div {within.BASE}")
+    # an hour starts in a bucket and reaches into twelve more at most
+    cut = cut.withColumn("b", b).withColumn("_n", (last - b + 1).cast("int")).withColumn("_i", (b - F.expr(f"hour_start div {within.BASE}")).cast("int"))
     each = cut.groupBy(*hour, "b").agg(
-        F.count_if(sample | head).alias("n"), F.avg(F.when(sample, F.col("value"))).alias("m"), F.min(F.when(sample | head, F.col("value"))).alias("low"),
-        F.max(F.when(sample | head, F.col("value"))).alias("high"), F.sum(F.when(head, share)).alias("part"),
-        F.min(F.when(sample | head, F.col("part_lo"))).alias("first"), F.max(F.when(sample | head, F.col("part_hi"))).alias("last"),
+        F.count("*").alias("n"), F.avg(sample).alias("m"), F.min("value").alias("low"), F.max("value").alias("high"), F.sum(share).alias("part"),
+        F.min("part_lo").alias("first"), F.max("part_hi").alias("last"), F.bit_or(F.expr("shiftleft(shiftleft(1L, _n) - 1L, _i)")).alias("_bits"),
     )
     return each.groupBy(*hour).agg(
-        F.sum("n").alias("samples"), F.count("*").alias("buckets"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("bucket_mean_sum"), F.min("low").alias("min_value"),
+        F.sum("n").alias("samples"), F.bit_count(F.bit_or("_bits")).cast("long").alias("buckets"), F.coalesce(F.sum("m"), F.lit(0.0)).alias("bucket_mean_sum"), F.min("low").alias("min_value"),
         F.max("high").alias("max_value"), F.coalesce(F.sum("part"), F.lit(0.0)).alias("interval_sum"), F.min("first").alias("first_at"), F.max("last").alias("last_at"),
     )
 

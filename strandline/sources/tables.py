@@ -43,8 +43,11 @@ SQL = f"""m AS (
   FROM events)"""
 
 
+def parts_of(df: DataFrame, rows: int = 50_000) -> int:
+    """Parts of some ``rows`` each that ``df`` makes, at least one for each core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def spread(df: DataFrame, *keys: str, rows: int = 50_000) -> DataFrame:
     """``df`` in parts of some ``rows``, at least one for each core: a small file of narrow rows is one part or two as it is read, however much is made of each row."""
-    spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, -(-df.count() // rows))
-    return df.repartition(n, *keys)
+    return df.repartition(parts_of(df, rows), *keys)

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from strandline.operators import gold
 from strandline.sources.scratch import Scratch, released
+from strandline.sources.tables import parts_of
 from strandline.streaming.steps import Steps
 
 ROW = "key string, owner long, source string, zone string, start_at timestamp, end_at timestamp, value double, deleted boolean, seq long"
@@ -61,11 +62,14 @@ def widened(marks: DataFrame, days: int = 1) -> DataFrame:
 
 
 def rebuilt(hours: DataFrame, rows: DataFrame, marks: DataFrame, interval: Column) -> DataFrame:
-    """``hours`` with those of marked days and their neighbours built again from ``rows``; the others stay as they are."""
-    days = widened(marks)
-    near = widened(days)  # rows that reach into a day may have started on the one before
-    fresh = gold.hourly(rows.where("not deleted").join(near, DAY, "left_semi"), ["owner", "source"], interval).join(days, DAY, "left_semi")
-    return hours.join(days, DAY, "left_anti").unionByName(fresh.select(hours.columns))
+    """``hours`` with those of marked days and their neighbours built again from ``rows``; the others stay as they are.
+
+    Marked days grow with the batch and aren't sent whole to every task: rows and hours meet them by a shuffle.
+    """
+    days, n = widened(marks), parts_of(hours)
+    fresh = gold.hourly(rows.where("not deleted"), ["owner", "source"], interval, days=days)
+    kept = hours.repartition(n, *DAY).join(days.repartition(n, *DAY).hint("shuffle_hash"), DAY, "left_anti")
+    return kept.unionByName(fresh.select(hours.columns))
 
 
 def reach(rules: DataFrame) -> DataFrame:
