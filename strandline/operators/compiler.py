@@ -312,6 +312,8 @@ def resolve(rules: DataFrame, catalogue: DataFrame, rows: DataFrame, sources: Da
     field agree only with selectors that don't ask for it; repeated rows count as often as they are there.
     """
     scratch = Scratch(rules.sparkSession, name)
+    # documents made of other rows are parsed once for each rule, not for each of those rows
+    rules = scratch.save(rules.select("rule", "owner", "metric", "doc"))
     d = scratch.save(dispatch(rules, catalogue))
     at = F.lit(now)
     r = rows.withColumnRenamed("metric", "reads").join(d.drop("n_groups", "op", "least", "use_available", "follow", "compose", "contexts"), ["owner", "reads"])
