@@ -319,7 +319,11 @@ def resolve(rules: DataFrame, catalogue: DataFrame, rows: DataFrame, sources: Da
     r = rows.withColumnRenamed("metric", "reads").join(d.drop("n_groups", "op", "least", "use_available", "follow", "compose", "contexts"), ["owner", "reads"])
     r = _gated(r.where((F.col("kind") != "daily_value") | F.col("window").isin("local_day", "latest", "reading")))
     chosen_by = scratch.save(predicates(rules))
-    member = scratch.save(memberships(sources, r.select("rule", "source_id").distinct(), chosen_by))
+    used = r.select("rule", "source_id")
+    if events is not None:  # a workout's recorder counts by its group, whether or not it has rows of the metric
+        asks = d.where(F.size("contexts") > 0).select("rule", "owner")
+        used = used.unionByName(events.select("owner", "source_id").distinct().join(asks, "owner").select("rule", "source_id"))
+    member = scratch.save(memberships(sources, used.distinct(), chosen_by))
     r = r.join(member, ["rule", "source_id"])
     placed = _windowed(r.where(~F.col("window").isin(*NIGHT)))
     if nights is not None:
