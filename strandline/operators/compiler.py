@@ -137,6 +137,24 @@ def group_values(placed: DataFrame, rules: DataFrame) -> DataFrame:
     Three aggregations: a source's rows in a bucket, the sources of a group in a bucket, the buckets of a
     window.  Each keeps what any class or statistic may need, and the last one picks.  One shuffle by the
     window, before intervals are cut into buckets, serves all three; ``rules`` (of ``dispatch``) come last.
+    Rules that need sums and means alone keep nothing but numbers, so that their buckets are hashed and not
+    sorted; where it is their sum that counts, an interval alone in its window and group isn't cut at all.
+    """
+    additive, window = F.col("agg") == "additive", F.col("window")
+    summed = (additive & (~window.isin("local_day", "latest", "reading") | ~F.col("reported"))) | ((F.col("agg") == "intensive") & (window != "latest"))
+    plain = F.coalesce(summed & (F.coalesce("statistic", F.lit("")) != "min_rolling_mean"), F.lit(False))
+    total = plain & additive & F.col("statistic").isNull()
+    v = _aggregated(placed.where(total), lone=True).unionByName(_aggregated(placed.where(plain & ~total))).unionByName(_aggregated(placed.where(~plain), whole=True))
+    v = v.join(rules.select("rule", *_RULE), "rule")
+    v = v.withColumns({c: settled(F.col(c)) for c in ("_avg", "_sum", "_mean")})
+    return v.withColumn("value", _picked()).drop("_avg", "_sum", "_min", "_daily", "_mean", "_last", "_dlast", "_series")
+
+
+def _aggregated(placed: DataFrame, whole: bool = False, lone: bool = False) -> DataFrame:
+    """Sums, means and counts of each window and group; if ``whole``, its last rows and its series of buckets as well.
+
+    If ``lone``, an interval that shares its window and group with no row stands for all its buckets (``_cells``) in one row: ``_sum``, ``covered``
+    and the counts are those of its buckets, ``_avg``, ``_min`` and ``_mean`` are not.
     """
     ok, daily = F.col("gone").isNull(), F.col("kind") == "daily_value"
     additive = F.col("agg") == "additive"
@@ -144,32 +162,48 @@ def group_values(placed: DataFrame, rules: DataFrame) -> DataFrame:
     clip = F.col("window").isin(*WALL, *NIGHT)
     a, b = F.when(clip, lo).otherwise(F.col("lo")), F.when(clip, hi).otherwise(F.col("hi"))
     spread = additive & ~daily & (F.col("hi") > F.col("lo"))
-    r = placed.select(*WINDOW, "pos", "group", "source_id", "id", "kind", "lo", "hi", "value", "gone", "start", "end", "date", "window", "agg", "intra", F.coalesce(F.col("statistic") == "min_rolling_mean", F.lit(False)).alias("_rolled")).repartition(*WINDOW).withColumn("_a", a).withColumn("_b", b)
-    cells = F.when(daily, F.array(F.lit(-1).cast("long"))).when(spread, F.sequence(F.expr(f"_a div {BASE}"), F.expr(f"(greatest(_b - 1, _a)) div {BASE}"))).otherwise(F.array(F.expr(f"lo div {BASE}")))
+    put = F.when(F.col("intra") == "sum", 1).when(F.col("intra") == "max", 2).otherwise(0)
+    rolled = F.coalesce(F.col("statistic") == "min_rolling_mean", F.lit(False))
+    r = placed.select(*WINDOW, "pos", "group", "source_id", "id", "kind", "lo", "hi", "value", "gone", "start", "end", "date", "window", "agg", additive.alias("_additive"), put.alias("_put"), rolled.alias("_rolled")).repartition(*WINDOW).withColumn("_a", a).withColumn("_b", b)
+    keys = [*WINDOW, "pos", "group"]
+    alone = spread & (F.count(F.lit(1)).over(Window.partitionBy(*keys)) == 1) if lone else F.lit(False)
+    low, high = F.expr(f"_a div {BASE}"), F.expr(f"(greatest(_b - 1, _a)) div {BASE}")
+    r = r.withColumn("_alone", alone).withColumn("_cells", F.when(F.col("_alone"), high - low + 1).otherwise(F.lit(1).cast("long")))
+    cells = F.when(daily, F.array(F.lit(-1).cast("long"))).when(F.col("_alone"), F.array(low)).when(spread, F.sequence(low, high)).otherwise(F.array(F.expr(f"lo div {BASE}")))
     r = r.withColumn("b", F.explode(cells))
-    share = F.least(F.col("_b"), (F.col("b") + 1) * BASE) - F.greatest(F.col("_a"), F.col("b") * BASE)
+    share = F.when(F.col("_alone"), F.col("_b") - F.col("_a")).otherwise(F.least(F.col("_b"), (F.col("b") + 1) * BASE) - F.greatest(F.col("_a"), F.col("b") * BASE))
     r = r.withColumn("x", F.when(spread, F.col("value") * share / (F.col("hi") - F.col("lo"))).otherwise(F.col("value")))
-    head = [F.first(c).alias(c) for c in ("agg", "intra", "_rolled", "start", "end", "date")]
-    keys = [*WINDOW, "pos", "group"]
+    fixed = ("_rolled", "_cells", "start", "end", "date")
+    count = lambda c: F.sum(F.when(c, F.col("_cells")).otherwise(0))
     last = F.when(ok, F.struct("lo", "id", "value"))
     each = r.groupBy(*keys, "source_id", "b").agg(
-        *head, F.avg(F.when(ok, F.col("x"))).alias("mean"), F.sum(F.when(ok, F.col("x"))).alias("total"), F.max_by("value", last).alias("newest"), F.max(last).alias("last"),
-        F.min(F.when(ok, F.col("lo"))).alias("first"), F.count_if(ok).alias("n"), F.count_if(F.col("gone") == "flagged").alias("flagged"), F.count_if(F.col("gone") == "implausible").alias("implausible"),
+        *[F.first(c).alias(c) for c in ("_additive", "_put", *fixed)], F.avg(F.when(ok, F.col("x"))).alias("mean"), F.sum(F.when(ok, F.col("x"))).alias("total"), F.max(F.when(ok, F.col("lo"))).alias("at"),
+        F.min(F.when(ok, F.col("lo"))).alias("first"), count(ok).alias("n"), count(F.col("gone") == "flagged").alias("flagged"), count(F.col("gone") == "implausible").alias("implausible"),
+        *([F.max_by("value", last).alias("newest"), F.max(last).alias("last")] if whole else []),
     )
-    of = F.when(F.col("b") == -1, F.col("newest")).when(F.col("agg") == "additive", F.col("total")).otherwise(F.col("mean"))
-    each = each.withColumn("m", of)
+    of = F.when(F.col("_additive"), F.col("total")).otherwise(F.col("mean"))
+    each = each.withColumn("m", F.when(F.col("b") == -1, F.col("newest")).otherwise(of) if whole else of)
     sums = [F.sum(c).alias(c) for c in ("n", "flagged", "implausible")]
-    head = [F.first(c).alias(c) for c in ("_rolled", "start", "end", "date")]
-    put = F.when(F.first("intra") == "sum", F.sum("m")).when(F.first("intra") == "max", F.max("m")).otherwise(F.avg("m"))
-    bucket = each.groupBy(*keys, "b").agg(*head, put.alias("m"), F.sum(F.col("mean") * F.col("n")).alias("weighted"), F.max("last").alias("last"), F.min("first").alias("first"), *sums)
-    walked = F.when(F.col("b") >= 0, F.col("m"))
-    series = F.when(F.first("_rolled"), F.array_sort(F.collect_list(F.when(walked.isNotNull() & F.col("_rolled"), F.struct("b", "m")))))
-    v = bucket.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in ("start", "end", "date")], F.avg(walked).alias("_avg"), F.sum(walked).alias("_sum"), F.min(walked).alias("_min"), F.max(F.when(F.col("b") == -1, F.col("m"))).alias("_daily"), F.count(walked).alias("covered"),
-        (F.sum("weighted") / F.sum("n")).alias("_mean"), F.max("last").alias("_last"), F.max(F.when(F.col("b") == -1, F.col("last"))).alias("_dlast"), F.min("first").alias("first"), series.alias("_series"), *sums,
-    ).join(rules.select("rule", *_RULE), "rule")
-    v = v.withColumns({c: settled(F.col(c)) for c in ("_avg", "_sum", "_mean")})
-    return v.withColumn("value", _picked()).withColumn("at", F.col("_last.lo")).drop("_avg", "_sum", "_min", "_daily", "_mean", "_last", "_dlast", "_series")
+    joined = F.when(F.first("_put") == 1, F.sum("m")).when(F.first("_put") == 2, F.max("m")).otherwise(F.avg("m"))
+    bucket = each.groupBy(*keys, "b").agg(
+        *[F.first(c).alias(c) for c in fixed], joined.alias("m"), F.sum(F.col("mean") * F.col("n")).alias("weighted"), F.max("at").alias("at"), F.min("first").alias("first"), *sums,
+        *([F.max("last").alias("last")] if whole else []),
+    )
+    walked, day = F.when(F.col("b") >= 0, F.col("m")), F.col("b") == -1
+    out = bucket.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in ("start", "end", "date")], F.avg(walked).alias("_avg"), F.sum(walked).alias("_sum"), F.min(walked).alias("_min"), F.max(F.when(day, F.col("m"))).alias("_daily"), count(walked.isNotNull()).alias("covered"),
+        (F.sum("weighted") / F.sum("n")).alias("_mean"), F.max("at").alias("at"), F.min("first").alias("first"), *sums,
+        *([F.max("last").alias("_last"), F.max(F.when(day, F.col("last"))).alias("_dlast"), _series().alias("_series")] if whole else []),
+    )
+    none = F.lit(None)
+    return out if whole else out.withColumns({"_last": none.cast(_LAST), "_dlast": none.cast(_LAST), "_series": none.cast("array<struct<b:bigint,m:double>>")})
+
+
+_LAST = "struct<lo:bigint,id:bigint,value:double>"
+
+
+def _series() -> Column:
+    return F.when(F.first("_rolled"), F.array_sort(F.collect_list(F.when((F.col("b") >= 0) & F.col("m").isNotNull() & F.col("_rolled"), F.struct("b", "m")))))
 
 
 def _rolling() -> Column:
@@ -231,11 +265,26 @@ def _contexts(windows: DataFrame, events: DataFrame | None, member: DataFrame) -
     return out.join(best, WINDOW, "left").withColumn("context", F.coalesce("_night", "c.context")).withColumn("recorder", F.when(F.col("context") == "workout", F.col("c.recorder"))).drop("_night", "c")
 
 
-def _ladder() -> Column:
+#: What is kept of a group with rows, in its window's array.
+_OWN = ("pos", "group", "value", "n", "at", "first", "coverage", "reason")
+
+
+def _judged(values: DataFrame, now: Column) -> DataFrame:
+    """``values`` with ``coverage`` and ``reason``."""
+    span = F.least(F.col("end"), now) - F.col("start")
+    v = values.withColumn("coverage", F.when(span > 0, F.least(F.lit(1.0), F.coalesce("covered", F.lit(0)) / F.ceil(span / BASE))).otherwise(0.0))
+    return v.withColumn("reason", _gate(now))
+
+
+def _listed() -> Column:
+    """Groups that the window's context puts first; null where there are none."""
+    return F.transform(F.col("contexts")[F.col("context")], lambda g: F.when(g == "@workout_source", F.col("recorder")).otherwise(g))
+
+
+def _ladder(pos: Column, group: Column) -> Column:
     """Place of a group in its window: those that the context lists in that order, then the rule's own order."""
-    listed = F.transform(F.coalesce(F.col("contexts")[F.col("context")], F.array().cast("array<string>")), lambda g: F.when(g == "@workout_source", F.col("recorder")).otherwise(g))
-    place = F.array_position(F.coalesce(listed, F.array().cast("array<string>")), F.col("group"))
-    return F.when(place > 0, place.cast("int")).otherwise(F.col("pos") + 1000)
+    place = F.array_position("_listed", group)
+    return F.when(place > 0, place.cast("int")).otherwise(pos + 1000)
 
 
 class Resolution:
@@ -245,38 +294,38 @@ class Resolution:
         self.groups, self.results = groups, results
 
 
-def _chosen(groups: DataFrame) -> DataFrame:
-    """One row for each window by the strategy of its rule, all strategies in one aggregation."""
-    ok = F.col("reason").isNull()
-    g = F.struct("value", "group", "ladder", "pos")
-    low = F.min_by(g, F.when(ok, F.col("ladder")))
-    late = F.max_by(g, F.when(ok, F.struct("at", -F.col("ladder"))))
-    early = F.min_by(g, F.when(ok, F.struct("first", "ladder")))
-    v = F.when(ok, F.col("value"))
-    one = groups.groupBy(*WINDOW).agg(
-        *[F.first(c).alias(c) for c in ("owner", "metric", "window", "date", "start", "end", "op", "least", "use_available", "follow", "compose", "context")],
-        low.alias("_first"), late.alias("_late"), early.alias("_early"), F.avg(v).alias("_mean"), F.min(v).alias("_min"), F.max(v).alias("_max"), F.sum(v).alias("_sum"), F.count(v).alias("valid"), F.min("ladder").alias("_top"),
-        F.array_sort(F.collect_list(F.struct("ladder", "group", ok.alias("ok"), "value"))).alias("_all"),
-    )
+def _chosen(windows: DataFrame) -> DataFrame:
+    """Each window by the strategy of its rule: ``_own`` are its groups with rows, ``_names`` all groups of the rule, both as few as the document lists."""
+    rank = lambda x: _ladder(x["pos"], x["group"])
+    ok = F.transform(F.filter("_own", lambda x: x["reason"].isNull()), lambda x: F.struct(*[x[c].alias(c) for c in ("value", "group", "at", "first")], rank(x).alias("ladder")))
+    top = F.when(F.col("_listed").isNull(), F.get("_names", F.lit(0))["pos"] + 1000).otherwise(F.array_min(F.transform("_names", rank)))
+    one = windows.withColumn("_ok", ok).withColumn("valid", F.size("_ok").cast("long")).withColumn("_top", top)
     pool = F.col("op").isin(*documents.POOLS)
     few = pool & (F.col("valid") > 0) & (F.col("valid") < F.col("least"))
     there = (F.col("valid") > 0) & (~few | F.col("use_available"))
     timed = F.col("op").isin("latest", "earliest")
-    picked = F.when(F.col("op") == "latest", F.col("_late")).when(F.col("op") == "earliest", F.col("_early")).otherwise(F.col("_first"))
-    pooled = F.when(F.col("op") == documents.POOLS[0], F.col("_mean")).when(F.col("op") == documents.POOLS[1], F.col("_min")).when(F.col("op") == documents.POOLS[2], F.col("_max")).otherwise(F.col("_sum"))
+    late = F.array_max(F.transform("_ok", lambda x: F.struct(x["at"], -x["ladder"], x.alias("g"))))["g"]
+    early = F.array_min(F.transform("_ok", lambda x: F.struct(x["first"], x["ladder"], x.alias("g"))))["g"]
+    low = F.array_min(F.transform("_ok", lambda x: F.struct(x["ladder"], x.alias("g"))))["g"]
+    picked = F.when(F.col("op") == "latest", late).when(F.col("op") == "earliest", early).otherwise(low)
+    v = F.transform("_ok", lambda x: x["value"])
+    total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+    pooled = F.when(F.col("op") == documents.POOLS[0], total / F.nullif("valid", F.lit(0))).when(F.col("op") == documents.POOLS[1], F.array_min(v)).when(F.col("op") == documents.POOLS[2], F.array_max(v)).otherwise(total)
     one = one.withColumn("_pick", F.when(~pool, picked)).withColumn("value", F.when(there, F.when(pool, pooled).otherwise(F.col("_pick.value")))).withColumn("selected", F.when(there & ~pool, F.col("_pick.group")))
     status = F.when(~there, "no_data").when(pool, "calculated").when(timed | (F.col("_pick.ladder") == F.col("_top")), "direct").otherwise("fallback")
-    skipped = F.when(there & ~pool & ~timed, F.transform(F.filter("_all", lambda x: x["ladder"] < F.col("_pick.ladder")), lambda x: F.concat(F.lit("preferred_source_unavailable:"), x["group"])))
+    ranked = F.array_sort(F.transform("_names", lambda x: F.struct(rank(x).alias("ladder"), x["group"].alias("group"))))
+    before = F.transform(F.filter(ranked, lambda x: x["ladder"] < F.col("_pick.ladder")), lambda x: F.concat(F.lit("preferred_source_unavailable:"), x["group"]))
+    skipped = F.when(there & ~pool & ~timed & (F.col("_pick.ladder") > F.col("_top")), before)
     other = F.array_compact(F.array(F.when(few, "insufficient_sources"), F.when(there & (F.col("op") == documents.POOLS[3]), "cross_source_sum")))
     warned = F.concat(other, F.coalesce(skipped, F.array().cast("array<string>")))
-    return one.withColumn("status", status).withColumn("warnings", warned).drop("_first", "_late", "_early", "_mean", "_min", "_max", "_sum", "_top", "_pick")
+    return one.withColumn("status", status).withColumn("warnings", warned).drop("_pick", "_top")
 
 
 def _followed(own: DataFrame, leaders: DataFrame) -> DataFrame:
     """Results of followers: the leader's group where it is valid here; else their own strategy, a pick as fallback, a pool as calculated."""
     lead = leaders.select("owner", F.col("metric").alias("follow"), "window_key", F.col("selected").alias("_led"))
     out = own.join(lead, ["owner", "follow", "window_key"], "left")
-    met = F.get(F.filter("_all", lambda x: x["ok"] & (x["group"] == F.col("_led"))), F.lit(0))
+    met = F.get(F.filter("_ok", lambda x: x["group"] == F.col("_led")), F.lit(0))
     out = out.withColumn("_met", met)
     ok = F.col("_met").isNotNull()
     status = F.when(ok, "direct").when(F.col("status") == "direct", "fallback").otherwise(F.col("status"))
@@ -286,20 +335,19 @@ def _followed(own: DataFrame, leaders: DataFrame) -> DataFrame:
 
 def _composed(hours: DataFrame) -> DataFrame:
     """Days that are sums of their hours, each hour from the group that it picks: the first valid one, or the first of those with most."""
-    most = F.element_at(F.array_sort(F.transform(F.filter("_all", lambda x: x["ok"]), lambda x: F.struct((-x["value"]).alias("v"), x["ladder"].alias("ladder"), x["group"].alias("group")))), 1)
+    most = F.array_min(F.transform("_ok", lambda x: F.struct((-x["value"]).alias("v"), x["ladder"].alias("ladder"), x["group"].alias("group"))))
     h = hours.withColumn("_top", F.when((F.col("compose") == "max") & (F.col("valid") > 0), most))
     h = h.withColumn("value", F.when(F.col("_top").isNotNull(), -F.col("_top.v")).otherwise(F.col("value"))).withColumn("selected", F.when(F.col("_top").isNotNull(), F.col("_top.group")).otherwise(F.col("selected")))
-    own = F.explode(F.filter("_all", lambda x: x["ok"]))
-    each = h.select("rule", "date", own.alias("x")).groupBy("rule", "date", "x.group").agg(F.sum("x.value").alias("v")).groupBy("rule", "date").agg(F.max("v").alias("_most"))
+    each = h.select("rule", "date", F.explode("_ok").alias("x")).groupBy("rule", "date", "x.group").agg(F.sum("x.value").alias("v")).groupBy("rule", "date").agg(F.max("v").alias("_most"))
     d = h.groupBy("rule", "date").agg(
-        *[F.first(c).alias(c) for c in ("owner", "metric", "op", "least", "use_available", "follow", "compose")], F.min("start").alias("start"), F.max("end").alias("end"), F.sum("value").alias("value"),
+        *[F.first(c).alias(c) for c in ("owner", "metric", "op", "least", "use_available", "follow", "compose")], F.min("start").alias("start"), F.max("end").alias("end"), settled(F.sum("value")).alias("value"),
         F.count_distinct("selected").alias("_n"), F.max("selected").alias("_one"), F.count_if(F.col("status") == "fallback").alias("_fell"), F.max("valid").alias("valid"),
     ).join(each, ["rule", "date"], "left")
     status = F.when(F.col("_n") == 0, "no_data").when(F.col("_n") > 1, "calculated").when((F.col("_fell") == 0) & (F.col("compose") != "max"), "direct").otherwise("fallback")
     over = (F.col("_n") > 1) & (F.col("value") > F.col("_most") + 1e-9)
     return d.select(
         "rule", F.col("date").cast("string").alias("window_key"), "owner", "metric", F.lit("local_day").alias("window"), "date", "start", "end", "op", "least", "use_available", "follow", "compose", F.lit(None).cast("string").alias("context"), "valid",
-        F.lit(None).cast(hours.schema["_all"].dataType).alias("_all"), "value", F.when(F.col("_n") == 1, F.col("_one")).alias("selected"), status.alias("status"), F.when(over, F.array(F.lit("composite_exceeds_any_source"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        F.lit(None).cast(hours.schema["_ok"].dataType).alias("_ok"), "value", F.when(F.col("_n") == 1, F.col("_one")).alias("selected"), status.alias("status"), F.when(over, F.array(F.lit("composite_exceeds_any_source"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
     )
 
 
@@ -332,20 +380,23 @@ def resolve(rules: DataFrame, catalogue: DataFrame, rows: DataFrame, sources: Da
 
     values = group_values(placed.where("pos >= 0"), d)
     values = scratch.save(values)
-    listed = placed.groupBy(*WINDOW).agg(*[F.first(c).alias(c) for c in ("owner", "window", "date", "start", "end")])
+    kinds = F.array(*[F.lit(k) for k in documents.WINDOWS])  # a kind as a number, so that windows are hashed and not sorted
+    listed = placed.groupBy(*WINDOW).agg(*[F.first(c).alias(c) for c in ("owner", "date", "start", "end")], F.first(F.array_position(kinds, F.col("window"))).alias("_kind"))
+    listed = listed.withColumn("window", F.get(kinds, (F.col("_kind") - 1).cast("int"))).drop("_kind")
     days = listed.where("window = 'latest'").select("owner", "date", "start", "end").distinct()
     values = values.where("window <> 'latest'").unionByName(_carried(values.where("window = 'latest'"), days, at))
     listed = _contexts(listed, events, member)
-    names = chosen_by.where("pos >= 0").select("rule", "pos", "group").distinct()
-    every = listed.join(names, "rule").join(d.drop("owner", "window", "n_groups"), "rule")
-    own = values.select(*WINDOW, "pos", "value", "covered", "at", "first", "n", "flagged", "implausible")
-    every = every.join(own, [*WINDOW, "pos"], "left")
-    span = F.least(F.col("end"), at) - F.col("start")
-    every = every.withColumn("coverage", F.when(span > 0, F.least(F.lit(1.0), F.coalesce("covered", F.lit(0)) / F.ceil(span / BASE))).otherwise(0.0))
-    every = every.withColumn("reason", _gate(at)).withColumn("ladder", _ladder())
-    groups = scratch.save(every)
-
-    chosen = scratch.save(_chosen(groups))
+    names = chosen_by.where("pos >= 0").select("rule", F.struct("pos", "group").alias("g")).distinct().groupBy("rule").agg(F.array_sort(F.collect_list("g")).alias("_names"))
+    own = _judged(values, at).groupBy(*WINDOW).agg(F.collect_list(F.struct(*_OWN)).alias("_own"))
+    told = d.select("rule", "metric", "op", "least", "use_available", "follow", "compose", "contexts").join(names, "rule")
+    # dealt by the rule, so that few small rules don't leave all windows to one task
+    every = listed.join(own, WINDOW, "left").join(told.hint("shuffle_hash"), "rule")
+    every = every.withColumn("_own", F.coalesce("_own", F.array().cast(own.schema["_own"].dataType))).withColumn("_listed", _listed()).drop("contexts", "recorder")
+    resolved = scratch.save(_chosen(every))
+    groups = resolved.select(*WINDOW, "owner", "metric", "window", "date", "context", "_own", "_listed", F.inline("_names")).withColumn("_o", F.get(F.filter("_own", lambda x: x["pos"] == F.col("pos")), F.lit(0)))
+    reason = F.when(F.col("_o").isNull(), "no_data").otherwise(F.col("_o.reason"))
+    groups = groups.select("*", *[F.col(f"_o.{c}").alias(c) for c in ("value", "n", "at")], F.coalesce("_o.coverage", F.lit(0.0)).alias("coverage"), reason.alias("reason"), _ladder(F.col("pos"), F.col("group")).alias("ladder"))
+    chosen = resolved.drop("_own", "_names", "_listed")
     done = chosen.where("follow is null and compose is null").unionByName(_composed(chosen.where("compose is not null")))
     chain = documents.leaders(d.select("metric", "follow").distinct(), f"{name}-chain").groupBy("metric").agg(F.max("steps").alias("steps"))
     depth = chain.agg(F.max("steps")).first()[0] or 0
