@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from strandline.operators import cells
 from strandline.operators.components import components
-from strandline.operators.joins import overlap
+from strandline.operators.joins import HOUR, overlap
 from strandline.sources.scratch import Scratch
 
 
@@ -77,42 +80,62 @@ def clusters(spans: DataFrame, keys: list[str], least: float, name: str = "clust
     return spans.join(found, F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("cluster", "id")).drop("node")
 
 
-def best_first_clusters(spans: DataFrame, keys: list[str], least: float, kind: str, name: str = "best_first") -> DataFrame:
+def best_first_clusters(spans: DataFrame, keys: list[str], least: float, kind: str, name: str = "best_first", size: int = 6 * HOUR) -> DataFrame:
     """``spans`` with ``cluster`` (its least id), where links count by falling overlap and a cluster holds one specific ``kind`` at most.
 
-    Of equal overlaps the pair that starts first counts first; a null kind is unspecific.  In each round
-    every cluster looks at the best link that it has.  If the cluster is unspecific it stays so until that
-    link, which then joins it to whatever the other has become; if both are of one kind they agree at any
-    time.  All such links are settled together, so the result is that of taking all links one by one.  A
-    cluster with a kind waits where its best link is to an unspecific one, which is gone after the round:
-    clusters halve, and rounds grow with the logarithm of their number.  Between two clusters only the
-    best link stays.
+    Of equal overlaps the pair that starts first counts first; a null kind is unspecific.  The result is that
+    of taking all links one by one, but they are never listed.  An unspecific span comes to the kind that it
+    reaches by better links than any other: that of its tree, where spans with a kind are roots and every link
+    counts that is not the last of a circle.  Links of a cell of time that are the last of a circle there are
+    left out at once, so that a row or two for each span remain.  As every link between spans that come to one
+    kind, or to none, is taken when its turn comes, clusters are then what hangs together within a kind.
     """
     scratch = Scratch(spans.sparkSession, name)
-    rank = F.struct((-F.col("ratio")).alias("r"), "a_lo", "a", "b_lo", "b")
-    met = links(spans.select(*keys, "id", "lo", "hi", F.col(kind).alias("kind")), keys, least)
-    # two clusters with two kinds never join, now or later
-    agree = "ca <> cb and (ka is null or kb is null or ka = kb)"
-    left = scratch.save(met.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.col("a_kind").alias("ka"), F.col("b_kind").alias("kb"), rank.alias("rank")).where(agree))
-    state = scratch.save(spans.select("id", F.col("id").alias("cluster"), F.col(kind).alias("kind")))
+    whole = F.coalesce(F.col("hi") > F.col("lo"), F.lit(False))
+    for k in keys:
+        whole = whole & F.col(k).isNotNull()
+    spans = spans.where("id is not null")
+    cell = F.explode(F.sequence(F.expr(f"floor(lo / {size}D)"), F.expr(f"floor((hi - 1) / {size}D)"))).alias("_cell")
+    met = spans.where(whole).select(*keys, "id", "lo", "hi", F.col(kind).alias("_kind"), cell)
+    schema = StructType([StructField(c, spans.schema[kind].dataType if c == "kind" else DoubleType() if c == "ratio" else LongType()) for c in ("u", "v", "kind", "ratio", "a_lo", "a", "b_lo", "b")])
+    found = scratch.save(met.groupBy(*keys, "_cell").applyInArrow(cells.told(least, size, to_arrow_schema(schema)), schema))
+    kinds = found.where("ratio is null").select(F.col("u").alias("id"), F.col("kind").alias("_told")).unionByName(_rooted(found.where("ratio is not null"), scratch))
+    own = spans.where(F.col(kind).isNotNull()).withColumn("_kind", F.col(kind)).unionByName(spans.where(F.col(kind).isNull()).join(kinds, "id", "left").withColumnRenamed("_told", "_kind"))
+    parts = own.where(whole).select(*spans.columns, "_kind", cell)
+    shape = StructType([*spans.schema.fields, StructField("_part", LongType()), StructField("_first", BooleanType()), StructField("_many", BooleanType())])
+    parts = scratch.save(parts.groupBy(*keys, "_cell").applyInArrow(cells.parted(least, size), shape))
+    # a span in several cells puts its parts there together
+    same = parts.where("_many").groupBy("id").agg(F.min("_part").alias("u"), F.collect_set("_part").alias("v")).select("u", F.explode("v").alias("v"))
+    into = components(same, scratch)
+    out = parts.where("_first").join(into, F.col("_part") == F.col("node"), "left").select(*spans.columns, F.coalesce("component", "_part").alias("cluster"))
+    return out.unionByName(spans.where(~whole).withColumn("cluster", F.col("id").cast("long")))
+
+
+def _rooted(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(id, _told)`` of the spans ``u`` that come to a kind by the links ``found(u, v, kind, ratio, a_lo, a, b_lo, b)``, ``v`` being null where the link is to a kind.
+
+    In each round every cluster takes its best link; clusters that stay without a kind halve at least.
+    """
+    left = scratch.save(found.select("u", "v", "kind", F.struct((-F.col("ratio")).alias("r"), "a_lo", "a", "b_lo", "b").alias("rank")).distinct())
+    state = scratch.save(left.select(F.explode(F.array("u", "v")).alias("id")).where("id is not null").distinct().select("id", F.col("id").alias("cluster"), F.lit(None).cast(found.schema["kind"].dataType).alias("_told")))
     while not left.isEmpty():
-        ends = left.select("rank", F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("cb").alias("d"), F.col("ka").alias("k"), F.col("kb").alias("l")), F.struct(F.col("cb").alias("c"), F.col("ca").alias("d"), F.col("kb").alias("k"), F.col("ka").alias("l")))).alias("e")).select("rank", "e.*")
-        best = ends.groupBy("c").agg(F.min(F.struct("rank", "d", "k", "l")).alias("e")).select("c", "e.*")
-        found = components(best.where("k is null or k = l").select(F.col("c").alias("u"), F.col("d").alias("v")), scratch)
-        into = scratch.save(found.select(F.col("node").alias("cluster"), F.col("component").alias("new")))
-        now = state.join(into, "cluster", "left").select("id", F.coalesce("new", "cluster").alias("cluster"), "kind")
+        ends = left.select("rank", F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("d"), "kind"), F.struct(F.col("v").alias("c"), F.col("u").alias("d"), "kind"))).alias("e")).select("rank", "e.*").where("c is not null")
+        best = scratch.save(ends.groupBy("c").agg(F.min(F.struct("rank", "d", "kind")).alias("e")).select("c", "e.d", "e.kind"))
+        tied = components(best.where("d is not null").select(F.col("c").alias("u"), F.col("d").alias("v")), scratch)
+        into = best.join(tied, F.col("c") == F.col("node"), "left").select("c", F.coalesce("component", "c").alias("new"), "kind")
+        # of the links that a cluster is made of, one at most leads to a kind
+        into = scratch.save(into.join(into.groupBy("new").agg(F.max("kind").alias("now")), "new").select("c", "new", "now"))
         old_state, old_left = state, left
-        # the kind of a cluster is that of its members with one
-        kinds = scratch.save(now.groupBy("cluster").agg(F.max("kind").alias("kind")))
-        state = scratch.save(now)
-        moved = into.join(kinds.withColumnRenamed("cluster", "new"), "new")
-        for end in ("a", "b"):
-            left = left.join(moved.select(F.col("cluster").alias(f"c{end}"), F.col("new").alias(f"n{end}"), F.col("kind").alias(f"m{end}")), f"c{end}", "left")
-            left = left.withColumns({f"c{end}": F.coalesce(f"n{end}", f"c{end}"), f"k{end}": F.coalesce(f"m{end}", f"k{end}")})
-        one = left.where(agree).groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
-        left = scratch.save(one.agg(F.min(F.struct("rank", F.when(F.col("ca") < F.col("cb"), F.col("ka")).otherwise(F.col("kb")).alias("ka"), F.when(F.col("ca") < F.col("cb"), F.col("kb")).otherwise(F.col("ka")).alias("kb"))).alias("e")).select("ca", "cb", "e.ka", "e.kb", "e.rank"))
-        scratch.drop(old_state, old_left, kinds, into)
-    return spans.join(state.select("id", "cluster"), "id")
+        state = scratch.save(state.join(into, F.col("cluster") == F.col("c"), "left").select("id", F.coalesce("new", "cluster").alias("cluster"), F.coalesce("_told", "now").alias("_told")))
+        for end in ("u", "v"):
+            left = left.join(into.select(F.col("c").alias(end), F.col("new").alias(f"n_{end}"), F.col("now").alias(f"k_{end}")), end, "left").withColumn(end, F.coalesce(f"n_{end}", end))
+        left = left.where("(k_u is null or (k_v is null and v is not null)) and not (u <=> v)")
+        reached = F.when(F.col("k_v").isNotNull(), F.struct(F.col("u").alias("u"), F.lit(None).cast("long").alias("v"), F.col("k_v").alias("kind"))).when(F.col("k_u").isNotNull(), F.struct(F.col("v").alias("u"), F.lit(None).cast("long").alias("v"), F.col("k_u").alias("kind")))
+        one = left.select("rank", F.coalesce(reached, F.struct(F.when(F.col("v").isNull(), F.col("u")).otherwise(F.least("u", "v")).alias("u"), F.when(F.col("v").isNotNull(), F.greatest("u", "v")).alias("v"), F.col("kind"))).alias("e")).select("rank", "e.*")
+        # between two clusters, and from one to any kind, the best link stays
+        left = scratch.save(one.groupBy("u", "v").agg(F.min(F.struct("rank", "kind")).alias("e")).select("u", "v", "e.kind", "e.rank"))
+        scratch.drop(old_state, old_left, best, into)
+    return state.where("_told is not null").select("id", "_told")
 
 
 def pick(spans: DataFrame, keys: list[str], position: str) -> DataFrame:
